@@ -83,7 +83,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Counts and places of phrases in a sequence of symbols below ``sigma``; the last symbol must be 0."""
+    """Counts and places of phrases in a sequence of symbols below ``sigma``; the last symbol, and no other, is 0."""
 
     def __init__(self, text: np.ndarray, sigma: int):
         order = suffix_array(text)
@@ -119,7 +119,8 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The windows of some items: ``vocabulary`` holds sorted word hashes, symbols count from 1."""
+    """The windows of some items: ``vocabulary`` holds sorted word hashes, symbols count from 2
+    (0 ends a shard, 1 stands between stretches)."""
 
     vocabulary: np.ndarray
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # windows, and the number of each one's item list
@@ -139,7 +140,7 @@ def phrases(rows: list[tuple[object, str | None]], window: int) -> Phrases:
         seen += [("null" if rows[block.first + i][0] is None else str(rows[block.first + i][0]), w.hash[w.bounds[i] : w.bounds[i + 1]]) for i in range(len(block))]
     vocabulary = np.unique(np.concatenate([h for _, h in seen])) if seen else np.empty(0, np.uint64)
     for item, h in seen:
-        ids = (np.searchsorted(vocabulary, h) + 1).tolist()
+        ids = (np.searchsorted(vocabulary, h) + 2).tolist()
         for i in range(max(1, len(ids) - window + 1) if ids else 0):
             held.setdefault(len(ids[i : i + window]), {}).setdefault(tuple(ids[i : i + window]), set()).add(item)
     lists, by_length = [], {}
@@ -151,10 +152,11 @@ def phrases(rows: list[tuple[object, str | None]], window: int) -> Phrases:
 
 def _hits(parts: list[tuple[int, np.ndarray, np.ndarray]], p: Phrases):
     """(window list number, document, first word, length) of every occurrence in one shard."""
-    text = np.concatenate([np.append(x, 0) for _, x, _ in parts])
+    text = np.concatenate([np.append(x, 1) for _, x, _ in parts])
+    text[-1] = 0
     where = np.concatenate([np.append(at, -1) for _, _, at in parts])
     doc = np.concatenate([np.full(len(x) + 1, d) for d, x, _ in parts])
-    index = FMIndex(text, len(p.vocabulary) + 1)
+    index = FMIndex(text, len(p.vocabulary) + 2)
     for length, (windows, number) in p.by_length.items():
         low, high = index.search(windows)
         n = high - low
@@ -186,14 +188,14 @@ def scan_texts(texts: list[bytes], p: Phrases):
         some = np.flatnonzero(known)
         slot = np.searchsorted(p.vocabulary, w.hash[some])
         same = p.vocabulary[np.minimum(slot, len(p.vocabulary) - 1)] == w.hash[some]
-        symbol = np.zeros(len(w.hash), np.int64)
-        symbol[some[same]] = slot[same] + 1
+        symbol = np.ones(len(w.hash), np.int64)
+        symbol[some[same]] = slot[same] + 2
         border = np.zeros(len(w.hash) + 1, bool)
         border[w.bounds] = True
-        stop = np.flatnonzero((symbol == 0) | border[:-1])
-        edges = np.unique(np.concatenate([stop, stop[symbol[stop] == 0] + 1, [0, len(symbol)]]))
+        stop = np.flatnonzero((symbol == 1) | border[:-1])
+        edges = np.unique(np.concatenate([stop, stop[symbol[stop] == 1] + 1, [0, len(symbol)]]))
         begin, end = edges[:-1], edges[1:]
-        keep = (end - begin >= p.shortest) & (symbol[np.minimum(begin, max(0, len(symbol) - 1))] > 0) if len(symbol) else np.zeros(0, bool)
+        keep = (end - begin >= p.shortest) & (symbol[np.minimum(begin, max(0, len(symbol) - 1))] > 1) if len(symbol) else np.zeros(0, bool)
         for b, e in zip(begin[keep].tolist(), end[keep].tolist(), strict=True):
             d = int(w.doc[b])
             parts.append((block.first + d, symbol[b:e], np.arange(b, e) - w.bounds[d]))
