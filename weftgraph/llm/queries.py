@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftgraph.llm import decontaminate, exact_dedup, packing
+from weftgraph.llm import chat, decontaminate, exact_dedup, licenses, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +20,26 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"])), ",")
+    return chat.rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", spans)
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_decontaminate, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_license_scan, op5_decontaminate, op8_rotate, op10_pack)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join(f"('{pair}', {n}, {at}, {pairs}, {base}, '{label}')" for pair, n, at, pairs, base, label in licenses.template_rows()[1:])
+
 ORACLES = {
     "op1_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -44,4 +56,25 @@ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM h GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op4_license_scan": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_AZ}, '{_WORDS}') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(pair, template, tpos, pairs, is_base, label)),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM d WHERE len(w) > 1),
+v AS (SELECT doc_id, template, is_base, label, pairs, pos - tpos AS diagonal, count(*) AS votes FROM g JOIN t USING (pair) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh FROM v WHERE NOT is_base AND (votes > 1 OR pairs = 1) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM m),
+s AS (SELECT doc_id, is_base, label, diagonal AS first, least(1.0, votes::DOUBLE / pairs) AS share FROM v WHERE is_base
+      UNION ALL SELECT doc_id, is_base, label, min(diagonal), least(1.0, sum(votes)::DOUBLE / pairs) FROM c GROUP BY doc_id, is_base, label, template, pairs, part),
+r AS (SELECT doc_id, count(*) FILTER (is_base AND share = 1) AS n_base, min(first) FILTER (is_base AND share = 1) AS first_word, max(first) FILTER (is_base AND share = 1) AS last_word,
+      array_to_string(list_sort(list(DISTINCT label) FILTER (is_base AND share = 1)), ',') AS base_labels,
+      array_to_string(list_sort(list(DISTINCT label) FILTER ((is_base AND share = 1) OR (NOT is_base AND share >= {licenses.COVERAGE}))), ',') AS labels, max(share) AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN r USING (doc_id)""",
+    "op8_rotate": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text, turn // {chat.SEGMENT} AS segment FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM c WHERE role <> 'system'),
+h AS (SELECT c.*, perspective, role = perspective AS own, '{chat.OPEN}' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head FROM c JOIN p USING (conv_id)),
+o AS (SELECT *, length(head) + length(text) + {len(chat.CLOSE)} + 1 AS size, row_number() OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text) AS n FROM h),
+a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective, segment ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS begins FROM o)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.CLOSE}' || chr(10), '' ORDER BY n) AS text,
+       coalesce(string_agg(begins || '-' || (begins + length(text) + {len(chat.CLOSE)}), ',' ORDER BY n) FILTER (own), '') AS mask FROM a GROUP BY conv_id, perspective, segment""",
 }
