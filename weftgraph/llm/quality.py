@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import kernels as K
 from weftgraph.llm.storage import free_name
 
-CHUNK, OVERLAP, DIMS, WIDTH, STRIDE, FILTERS = 512, 16, 8, 8, 4, 24
-PER_CLASS, CHUNKS_PER_DOC, EPOCHS, BATCH, RATE, CUT = 2000, 12, 8, 64, 0.004, 0.3
+CHUNK, OVERLAP, DIMS, WIDTH, STRIDE, FILTERS = 512, 16, 8, 12, 4, 40
+PER_CLASS, CHUNKS_PER_DOC, EPOCHS, BATCH, RATE, CUT = 2000, 12, 12, 64, 0.004, 0.3
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
