@@ -53,32 +53,41 @@ def _merge(bits: int, repeats: bool):
     return run
 
 
-def _tester(plane, bits: int):
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        p = _positions(h.to_numpy(), bits)
-        byte = plane.value[(p >> _U(3)).astype(np.int64)]
-        return pd.Series((byte >> (_U(7) - (p & _U(7))).astype(np.uint8) & 1).all(axis=1))
+class Plane:
+    """A finished filter: ``match`` asks with numpy hashes inside a task, ``test`` with a column."""
 
-    return maybe
+    def __init__(self, sent, bits: int):
+        self.sent, self.bits = sent, bits
 
+    def match(self, h: np.ndarray) -> np.ndarray:
+        p = _positions(h, self.bits)
+        byte = self.sent.value[(p >> _U(3)).astype(np.int64)]
+        return (byte >> (_U(7) - (p & _U(7))).astype(np.uint8) & 1).all(axis=1)
 
-def _plane(hashed: DataFrame, bits: int, repeats: bool):
+    def test(self, column):
+        @F.pandas_udf("boolean")
+        def maybe(h: pd.Series) -> pd.Series:
+            return pd.Series(self.match(h.to_numpy()))
+
+        return maybe(column)
+
+
+def _plane(hashed: DataFrame, bits: int, repeats: bool) -> Plane:
     shards = hashed.select("h").mapInArrow(_sketch(bits), "shard int, once binary, twice binary").groupBy("shard").applyInArrow(_merge(bits, repeats), "shard int, plane binary")
     plane, width = np.zeros(bits // 8, np.uint8), bits // SHARDS // 8
     for row in shards.collect():  # bits / 8 bytes in all
         plane[row.shard * width : (row.shard + 1) * width] = np.frombuffer(row.plane, np.uint8)
-    return _tester(hashed.sparkSession.sparkContext.broadcast(plane), bits)
+    return Plane(hashed.sparkSession.sparkContext.broadcast(plane), bits)
 
 
-def member_test(hashed: DataFrame, n: int, max_bits: int = MAX_BITS):
-    """A test on a hash column: false where no row of ``hashed`` (column h, n rows) has it. Past ``max_bits``
+def members(hashed: DataFrame, n: int, max_bits: int = MAX_BITS) -> Plane:
+    """A test on hashes: false where no row of ``hashed`` (column h, n rows) has it. Past ``max_bits``
     the filter lets more through, so what is asked must still be joined."""
     return _plane(hashed, 1 << max(13, (min(n * BITS_PER_ROW, max_bits) - 1).bit_length()), False)
 
 
 def repeat_tests(hashed: DataFrame, n: int, max_bits: int = MAX_BITS):
-    """(turn, turns, test) for each filter: ``test`` maps a hash column to false where it occurs once for sure.
+    """(turn, turns, plane) for each filter: ``plane.test`` maps a hash column to false where it occurs once for sure.
 
     The filter's size follows the row count. Beyond ``max_bits`` the hashes are dealt over several
     filters, one after the other, so that what is broadcast stays within ``max_bits / 8`` bytes.

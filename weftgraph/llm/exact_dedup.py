@@ -38,8 +38,8 @@ def decide(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     hashed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("text_sha256")).withColumn("h", F.xxhash64("text_sha256")), "exact")
     n, parts = hashed.count(), []
-    for turn, turns, test in repeat_tests(hashed, n, max_bits):
-        flagged = hashed.filter(in_turn(F.col("h"), turn, turns)).withColumn("maybe", test("h"))
+    for turn, turns, plane in repeat_tests(hashed, n, max_bits):
+        flagged = hashed.filter(in_turn(F.col("h"), turn, turns)).withColumn("maybe", plane.test("h"))
         alone = flagged.filter(~F.col("maybe")).select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
         again = flagged.filter("maybe").select("doc_id", "text_sha256")
         groups = again.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -53,13 +53,13 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     keyed = docs.withColumn(sha, digest(F.col("text"))).withColumn(h, F.xxhash64(sha))
     hashed = materialize(keyed.select(F.col("doc_id").alias("doc_id"), F.col(sha).alias("sha"), F.col(h).alias("h")), "exact")
     parts = []
-    for turn, turns, test in repeat_tests(hashed, hashed.count(), max_bits):
+    for turn, turns, plane in repeat_tests(hashed, hashed.count(), max_bits):
         mine = in_turn(F.col(h), turn, turns)
-        parts.append(keyed.filter(mine & ~test(h)))
-        again = hashed.filter(in_turn(F.col("h"), turn, turns) & test("h"))
+        parts.append(keyed.filter(mine & ~plane.test(h)))
+        again = hashed.filter(in_turn(F.col("h"), turn, turns) & plane.test("h"))
         keep = again.groupBy("sha").agg(F.min("doc_id").alias("keep_id"))
         # On text and id together: the rows of a hot text are dealt over all tasks.
-        stay = keyed.filter(mine & test(h)).join(keep, (F.col(sha) == keep["sha"]) & F.col("doc_id").eqNullSafe(keep["keep_id"]), "left_semi")
+        stay = keyed.filter(mine & plane.test(h)).join(keep, (F.col(sha) == keep["sha"]) & F.col("doc_id").eqNullSafe(keep["keep_id"]), "left_semi")
         repeats = again.groupBy("sha", "doc_id").count().filter("count > 1")
         parts.append(stay if repeats.isEmpty() else stay.dropDuplicates([sha]))
     return _union(parts).select(*docs.columns)

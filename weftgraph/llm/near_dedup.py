@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.bloom import member_test
+from weftgraph.llm.bloom import members
 from weftgraph.llm.graph import components
 from weftgraph.llm.storage import free_name, join_groups, materialize
 
@@ -207,7 +207,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     """The ``pairs`` whose documents' full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     hashed = materialize(ends.withColumn("h", F.xxhash64("id")), "ends")
-    asked = docs.filter(member_test(hashed, hashed.count())(F.xxhash64("doc_id")))
+    asked = docs.filter(members(hashed, hashed.count()).test(F.xxhash64("doc_id")))
     full = materialize(asked.select("doc_id", "text").mapInArrow(_full_sets(k), "id long, items binary").join(hashed.select("id"), "id", "left_semi"), "sets")
     one, two = full.select(F.col("id").alias("a"), F.col("items").alias("x")), full.select(F.col("id").alias("b"), F.col("items").alias("y"))
     met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -243,7 +243,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     out = link(docs, k, percent)
     gone = materialize(out.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     h = free_name(docs.columns, "_h")
-    test = member_test(gone.select(F.xxhash64("gone").alias("h")), gone.count())
-    marked = docs.withColumn(h, F.coalesce(test(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))), F.lit(False)))
+    plane = members(gone.select(F.xxhash64("gone").alias("h")), gone.count())
+    marked = docs.withColumn(h, F.coalesce(plane.test(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))), F.lit(False)))
     stay = marked.filter(~F.col(h)).unionByName(marked.filter(h).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
     return stay.select(*docs.columns)

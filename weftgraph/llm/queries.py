@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality
+from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"])), ",")
     return chat.rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", spans)
@@ -45,7 +49,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op8_rotate, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op10_pack)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,4 +93,12 @@ o AS (SELECT *, length(head) + length(text) + {len(chat.CLOSE)} + 1 AS size, row
 a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective, segment ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS begins FROM o)
 SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.CLOSE}' || chr(10), '' ORDER BY n) AS text,
        coalesce(string_agg(begins || '-' || (begins + length(text) + {len(chat.CLOSE)}), ',' ORDER BY n) FILTER (own), '') AS mask FROM a GROUP BY conv_id, perspective, segment""",
+    "op7_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS x FROM r WHERE n > 1),
+a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS x, unnest(w) AS word FROM d),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS t, count(*) AS n FROM a ANTI JOIN c USING (doc_id, x) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
 }
