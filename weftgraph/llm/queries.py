@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, substring_dedup
+from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["begin"], m["end"])), ",")
     return chat.rotate(_table(spark, sf_dir, "conversations")).withColumn("mask", spans)
@@ -49,7 +53,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op9_suffix_dedup, op10_pack)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
