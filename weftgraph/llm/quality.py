@@ -29,7 +29,7 @@ from weftgraph.llm import kernels as K
 from weftgraph.llm.storage import free_name
 
 CHUNK, OVERLAP, DIMS, WIDTH, STRIDE, FILTERS = 512, 16, 8, 12, 4, 40
-PER_CLASS, CHUNKS_PER_DOC, EPOCHS, BATCH, RATE, CUT = 2000, 12, 12, 64, 0.004, 0.3
+PER_CLASS, CHUNKS_PER_DOC, STEPS, BATCH, RATE, CUT = 2000, 12, 800, 64, 0.004, 0.3
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -105,24 +105,22 @@ def _gradients(net: Network, chunks: np.ndarray, owner: np.ndarray, docs: int, l
     return [g_vectors, g_filters, g_top.sum(axis=0), features.T @ error + 1e-4 * net.head, error.sum(keepdims=True)]
 
 
-def train(samples: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Network:
-    """``samples``: chunks of a document one after the other, and its label."""
+def train(samples: list[tuple[bytes, int]], steps: int = STEPS) -> Network:
+    """``samples``: chunks of a document one after the other, and its label. Every step sees as many of either class."""
     net, r = fresh(), np.random.default_rng(5)
     parts = net.parts()
-    m, v, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
+    m, v = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     label = np.array([y for _, y in samples], np.float32)
     rows = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x, _ in samples]
-    for epoch in range(epochs):
-        order = r.permutation(len(rows))
-        for i in range(0, len(order), BATCH):
-            pick = order[i : i + BATCH]
-            owner = np.repeat(np.arange(len(pick)), [len(rows[k]) for k in pick])
-            t += 1
-            rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for p, g, a, b in zip(parts, _gradients(net, np.concatenate([rows[k] for k in pick]), owner, len(pick), label[pick]), m, v, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
+    sides = [np.flatnonzero(label == y) for y in (0, 1)]
+    for t in range(1, steps + 1):
+        pick = np.concatenate([r.choice(x, BATCH // 2, replace=len(x) < BATCH // 2) for x in sides])
+        owner = np.repeat(np.arange(len(pick)), [len(rows[k]) for k in pick])
+        rate = RATE * (1 - (t - 1) / steps) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        for p, g, a, b in zip(parts, _gradients(net, np.concatenate([rows[k] for k in pick]), owner, len(pick), label[pick]), m, v, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
     return net
 
 
@@ -162,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_p
     n1 = sum(y for _, y in samples)
     if not samples or n1 in (0, len(samples)):
         return None, prior
-    return train(samples), prior - float(np.log(n1 / (len(samples) - n1)))
+    return train(samples), prior
 
 
 def _scores(texts: list[bytes], net: Network | None, shift: float) -> np.ndarray:
