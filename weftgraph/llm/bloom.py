@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash functions, bits for each row, most bits of one filter (16 MB of plane), and shards that merge it.
-PROBES, BITS_PER_ROW, MAX_BITS, SHARDS = 4, 8, 1 << 27, 64
+#: Hash functions, bits for each row, most bits of one filter (16 MB of plane), and bits of one of the shards that merge it.
+PROBES, BITS_PER_ROW, MAX_BITS, SHARD_BITS = 4, 8, 1 << 27, 1 << 21
 _U = np.uint64
 
 
@@ -22,7 +22,8 @@ def _positions(h: np.ndarray, bits: int) -> np.ndarray:
 
 def _sketch(bits: int):
     """One task's share of the filter: the bits its hashes set, and those of hashes it saw twice, by shard."""
-    width = bits // SHARDS
+    width = min(bits, SHARD_BITS)
+    shards = bits // width
 
     def run(batches):
         seen = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
@@ -30,16 +31,16 @@ def _sketch(bits: int):
             return
         h, n = np.unique(np.concatenate(seen), return_counts=True)
         once, twice = (np.unique(_positions(x, bits)) for x in (h, h[n > 1]))
-        cuts = [np.searchsorted(x, np.arange(SHARDS + 1, dtype=_U) * _U(width)) for x in (once, twice)]
+        cuts = [np.searchsorted(x, np.arange(shards + 1, dtype=_U) * _U(width)) for x in (once, twice)]
         local = lambda x, c, s: (x[c[s] : c[s + 1]] - _U(s * width)).astype("<u4").tobytes()
-        used = [s for s in range(SHARDS) if cuts[0][s] < cuts[0][s + 1]]
+        used = [s for s in range(shards) if cuts[0][s] < cuts[0][s + 1]]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([local(once, cuts[0], s) for s in used], pa.binary()), pa.array([local(twice, cuts[1], s) for s in used], pa.binary())], ["shard", "once", "twice"])
 
     return run
 
 
 def _merge(bits: int, repeats: bool):
-    width = bits // SHARDS
+    width = min(bits, SHARD_BITS)
 
     def run(table: pa.Table) -> pa.Table:
         first, again = np.zeros(width, bool), np.zeros(width, bool)
@@ -74,7 +75,7 @@ class Plane:
 
 def _plane(hashed: DataFrame, bits: int, repeats: bool) -> Plane:
     shards = hashed.select("h").mapInArrow(_sketch(bits), "shard int, once binary, twice binary").groupBy("shard").applyInArrow(_merge(bits, repeats), "shard int, plane binary")
-    plane, width = np.zeros(bits // 8, np.uint8), bits // SHARDS // 8
+    plane, width = np.zeros(bits // 8, np.uint8), min(bits, SHARD_BITS) // 8
     for row in shards.collect():  # bits / 8 bytes in all
         plane[row.shard * width : (row.shard + 1) * width] = np.frombuffer(row.plane, np.uint8)
     return Plane(hashed.sparkSession.sparkContext.broadcast(plane), bits)
