@@ -171,6 +171,8 @@ def scan_texts(texts: list[bytes], p: Phrases):
 
     def flush():
         for number, doc, at, length in _hits(parts, p):
+            if not len(doc):
+                continue
             order = np.argsort(doc, kind="stable")
             docs, cut = np.unique(doc[order], return_index=True)
             for d, a, n in zip(docs.tolist(), np.split(at[order], cut[1:]), np.split(number[order], cut[1:]), strict=True):

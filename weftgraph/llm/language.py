@@ -34,7 +34,7 @@ def grams(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(block), dtype=np.int32), block.end - block.begin + 1)
     docs, buckets = [], []
     for n in ORDERS:
-        h = v[: len(v) - n + 1].copy()
+        h = v[: max(0, len(v) - n + 1)].copy()
         for i in range(1, n):
             h *= K.BASE
             h += v[i : i + len(h)]
