@@ -47,47 +47,65 @@ class Unit:
 
 
 WORDS20 = Unit(True, 20, 5, True)
-BYTES50 = Unit(False, 50, 8, False)
+BYTES50 = Unit(False, 50, 20, False)
 
 
-def _windows(h: np.ndarray, width: int) -> np.ndarray:
+def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of ``h`` under powers of a base, and the inverse powers that move a difference to the origin."""
     up, down = K.powers(len(h) + 1)
     sums = np.zeros(len(h) + 1, _U)
     np.cumsum(h * up[: len(h)], out=sums[1:])
-    n = len(h) - width + 1
-    return K.mix((sums[width:] - sums[:n]) * down[:n])
+    return sums, down
 
 
 def window_hashes(unit: Unit, h: np.ndarray) -> np.ndarray:
-    return _windows(h, unit.width) if len(h) >= unit.width else np.empty(0, _U)
+    """Hashes of all windows of one document."""
+    if len(h) < unit.width:
+        return np.empty(0, _U)
+    sums, down = _prefix(h)
+    n = len(h) - unit.width + 1
+    return K.mix((sums[unit.width :] - sums[:n]) * down[:n])
 
 
 def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor, stretch, document, first window, windows) arrays; a part of a long document at a time."""
     h, first, end = unit.symbols(block)
     owner = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(np.append(first, len(h)))) if len(block) else np.empty(0, np.int32)
-    reach = unit.width - unit.gram + 1
+    reach, place = unit.width - unit.gram + 1, _U((1 << 20) - 1)
     for at in range(0, max(0, len(h) - unit.width + 1), K.BLOCK):
-        part = h[at : at + K.BLOCK + unit.width - 1]
-        w, g = _windows(part, unit.width), _windows(part, unit.gram)
-        pick = K.sliding_min(g, reach)[: len(w)]
-        doc = owner[at : at + len(w)]
-        inside = np.arange(at, at + len(w)) + unit.width <= end[doc]
-        fresh = np.ones(len(w), bool)
-        fresh[1:] = (pick[1:] != pick[:-1]) | ~inside[:-1]
+        sums, down = _prefix(h[at : at + K.BLOCK + unit.width - 1])
+        m = len(sums) - unit.gram
+        gram = sums[unit.gram :] - sums[:m]
+        gram *= down[:m]
+        # 44 bits of hash above 20 of position: the least entry is the lowest hash, and the first of equal ones.
+        low = (gram ^ gram >> _U(29)) * _A
+        low &= ~place
+        low |= np.arange(m, dtype=_U)
+        have = 1
+        while have < reach:
+            step = min(have, reach - have)
+            low = np.minimum(low[:-step], low[step:])
+            have += step
+        n = len(low)
+        doc = owner[at : at + n]
+        inside = np.arange(at + unit.width, at + unit.width + n) <= end[doc]
+        fresh = np.ones(n, bool)
+        fresh[1:] = (low[1:] != low[:-1]) | ~inside[:-1]
         begin = np.flatnonzero(fresh & inside)
         if len(begin):
             stop = np.flatnonzero(np.append((fresh | ~inside)[1:], True) & inside)
-            n = stop - begin + 1
-            s = K.mix(w[begin] * _A + w[stop] * _B + n.astype(_U) * _C + (pick[begin] - begin).astype(_U))
-            yield g[pick[begin]], s, doc[begin], begin + at - first[doc[begin]], n
+            pick = (low[begin] & place).astype(np.int64)
+            one, two = ((sums[x + unit.width] - sums[x]) * down[x] for x in (begin, stop))
+            count = stop - begin + 1
+            s = K.mix(K.mix(one) * _A + K.mix(two) * _B + count.astype(_U) * _C + (pick - begin).astype(_U))
+            yield K.mix(gram[pick]), s, doc[begin], begin + at - first[doc[begin]], count
 
 
 _ROW = "a long, s long, doc long, start long, c int"
 
 
-def stretch_rows(docs: DataFrame, unit: Unit, anchors: Plane | None = None, known: Plane | None = None) -> DataFrame:
-    """All stretches of ``docs`` (doc, text), or those whose anchor or own hash the filter lets through."""
+def stretch_rows(docs: DataFrame, unit: Unit, anchors: tuple[Plane, int] | None = None, known: Plane | None = None) -> DataFrame:
+    """All stretches of ``docs`` (doc, text), or those whose anchor (by filter and number of buckets) or own hash a filter lets through."""
 
     def run(batches):
         for b in batches:
@@ -95,40 +113,61 @@ def stretch_rows(docs: DataFrame, unit: Unit, anchors: Plane | None = None, know
             for block in K.blocks(K.encoded(b.column(1))):
                 for a, s, doc, start, n in stretches(unit, block):
                     if anchors or known:
-                        keep = anchors.match(a) if anchors else known.match(s)
+                        keep = anchors[0].match(anchor_key(a, anchors[1])) if anchors else known.match(s)
                         a, s, doc, start, n = a[keep], s[keep], doc[keep], start[keep], n[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[block.first + doc]), pa.array(start), pa.array(n.astype(np.int32))], ["a", "s", "doc", "start", "c"])
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(K.tidy(run), _ROW)
 
 
-def anchor_counts(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
-    """Anchors (column h) that occur more than once. Tasks send sorted distinct anchors in packed blocks, eight
-    bytes each at most, so a common one weighs no more than a rare one."""
+def _folded(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An anchor's bucket, and 32 other bits of it. Buckets follow the corpus, so the chance that two share both stays small."""
+    return ((a >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64), (a & _U(0xFFFFFFFF)).astype("<u4")
+
+
+def anchor_key(a: np.ndarray, buckets: int) -> np.ndarray:
+    bucket, low = _folded(a, buckets)
+    return bucket << 32 | low.astype(np.int64)
+
+
+def shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
+    """Keys (column h) of anchors that occur more than once. Tasks send the distinct ones of a batch in packed
+    blocks, four bytes each, so a common one weighs no more than a rare one."""
 
     def pack(batches):
         for b in batches:
             got = [a for block in K.blocks(K.encoded(b.column(1))) for a, *_ in stretches(unit, block)]
             if not got:
                 continue
-            h, n = np.unique(np.concatenate(got), return_counts=True)
-            cut = np.searchsorted(h, (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(_U))
-            rows = [(i, x, y) for i, (x, y) in enumerate(zip(np.split(h, cut), np.split(n > 1, cut), strict=True)) if len(x)]
+            h, n = np.unique(anchor_key(np.concatenate(got), buckets), return_counts=True)
+            cut = np.searchsorted(h, np.arange(1, buckets, dtype=np.int64) << 32)
+            rows = [(i, x, y) for i, (x, y) in enumerate(zip(np.split((h & 0xFFFFFFFF).astype("<u4"), cut), np.split(n > 1, cut), strict=True)) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([np.packbits(r[2]).tobytes() for r in rows], pa.binary())], ["bucket", "once", "more"])
 
     def merge(table: pa.Table) -> pa.Table:
-        seen = [np.frombuffer(x, _U) for x in table["once"].to_pylist()]
+        seen = [np.frombuffer(x, "<u4") for x in table["once"].to_pylist()]
         more = [np.unpackbits(np.frombuffer(y, np.uint8), count=len(x)).astype(bool) for x, y in zip(seen, table["more"].to_pylist(), strict=True)]
         h, n = np.unique(np.concatenate(seen), return_counts=True)
         again = np.union1d(h[n > 1], np.concatenate([x[y] for x, y in zip(seen, more, strict=True)]))
-        return pa.table({"h": pa.array(again.view(np.int64))})
+        return pa.table({"h": pa.array(again.astype(np.int64) | table["bucket"][0].as_py() << 32)})
+
+    return docs.mapInArrow(K.tidy(pack), "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(merge, "h long")
+
+
+def earliest(rows: DataFrame, key: str, *more) -> DataFrame:
+    """For each ``key`` its first place (doc, start), the number n of its rows, and what ``more`` adds.
 
-    return docs.mapInArrow(pack, "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(merge, "h long")
+    Place and document are folded into one decimal, which a hash aggregate can hold; a struct would be sorted.
+    """
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("start").cast("decimal(14,0)")
+    out = rows.groupBy(key).agg(F.min("doc").alias("doc"), F.min(place).alias("place"), *more, F.count(F.lit(1)).alias("n"))
+    start = (F.col("place") - F.col("doc").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)")).cast("long")
+    return out.withColumn("start", start).drop("place")
 
 
 def firsts(rows: DataFrame) -> DataFrame:
     """Each different stretch once: where it comes first, and in how many rows it occurs."""
-    return rows.groupBy("s").agg(F.min(F.struct("doc", "start")).alias("at"), F.first("a").alias("a"), F.first("c").alias("c"), F.count(F.lit(1)).alias("n")).select("s", "a", F.col("at.doc").alias("doc"), F.col("at.start").alias("start"), "c", "n")
+    return earliest(rows, "s", F.first("a").alias("a"), F.first("c").alias("c")).select("s", "a", "doc", "start", "c", "n")
 
 
 def later(unit: Unit, first_doc: str, first_start: str) -> F.Column:
@@ -183,13 +222,13 @@ def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
                     at, f = at[ok], np.repeat(fresh[0][lo:hi].astype(bool), n)[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(np.full(len(at), ids[block.first + i])), pa.array(at.astype(np.int64)), pa.array(f)], ["w", "doc", "start", "fresh"])
 
-    return with_requests(docs, requests, "start c fresh").mapInArrow(run, "w long, doc long, start long, fresh boolean")
+    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(run), "w long, doc long, start long, fresh boolean")
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
     """(doc, start, c = 1) of the fresh windows among the requested that another of them holds earlier."""
     rows = materialize(windows_of(docs, unit, requests), "windows")
-    groups = rows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("at"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", F.col("at.doc").alias("first_doc"), F.col("at.start").alias("first_start"), "n")
+    groups = earliest(rows, "w").filter("n > 1").select("w", F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "n")
     return join_groups(rows.filter("fresh"), groups, "w", "n", rows.count()).filter(later(unit, "first_doc", "first_start")).select("doc", "start", F.lit(1).alias("c"))
 
 
@@ -227,7 +266,7 @@ def report(docs: DataFrame, unit: Unit, removed: DataFrame) -> DataFrame:
     lists = materialize(removed.groupBy("doc").agg(F.collect_list(F.struct("start", "c")).alias("asked")), "removed")
     plane = members(lists.select(F.xxhash64("doc").alias("h")), lists.count())
     some = docs.filter(plane.test(F.xxhash64("doc"))).join(lists, "doc", "left").select("doc", "text", F.coalesce("asked.start", F.array().cast("array<long>")).alias("start"), F.coalesce("asked.c", F.array().cast("array<int>")).alias("c"))
-    return docs.filter(~plane.test(F.xxhash64("doc"))).select("doc", "text").mapInArrow(run, shape).unionByName(some.mapInArrow(run, shape))
+    return docs.filter(~plane.test(F.xxhash64("doc"))).select("doc", "text").mapInArrow(K.tidy(run), shape).unionByName(some.mapInArrow(K.tidy(run), shape))
 
 
 def plain(docs: DataFrame) -> DataFrame:

@@ -57,15 +57,16 @@ def _mark(unit: R.Unit):
 def removed_strings(docs: DataFrame, unit: R.Unit = R.BYTES50, hot: int = HOT) -> DataFrame:
     """Removed windows (doc, start, c) of ``docs`` (doc, text)."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shared = materialize(R.anchor_counts(docs, unit, max(64, 2 * size // (unit.width - unit.gram) // BUCKET)), "anchors")
-    rows = R.stretch_rows(docs, unit, anchors=members(shared, shared.count()))
+    buckets = max(64, 2 * size // (unit.width - unit.gram) // BUCKET)
+    shared = materialize(R.shared_anchors(docs, unit, buckets), "anchors")
+    rows = R.stretch_rows(docs, unit, anchors=(members(shared, shared.count()), buckets))
     different = materialize(R.firsts(rows), "stretches")
     known = materialize(different.filter("n > 1").select("s", F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "n"), "known")
     whole = R.copies(docs, unit, known, known.count())
     rivals = materialize(R.contested(different.select("a", "doc", "start", "c"), different.count()), "rivals")
     few, many = rivals.filter(F.col("m") <= hot), rivals.filter(F.col("m") > hot).withColumn("fresh", F.lit(True))
     shards = max(1, few.count() // SHARD)
-    contexts = R.with_requests(docs, few.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), "shard start c").mapInArrow(_contexts(unit), "shard long, doc long, start long, context binary")
+    contexts = R.with_requests(docs, few.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), "shard start c").mapInArrow(K.tidy(_contexts(unit)), "shard long, doc long, start long, context binary")
     out = whole.unionByName(contexts.groupBy("shard").applyInArrow(_mark(unit), "doc long, start long, c int"))
     if not many.isEmpty():
         out = out.unionByName(R.repeated_windows(docs, unit, many.select("doc", "start", "c", "fresh")))
