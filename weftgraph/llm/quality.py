@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.storage import free_name
+from weftgraph.llm.storage import free_name, modest_batches
 
 CHUNK, OVERLAP, DIMS, WIDTH, STRIDE, FILTERS = 512, 16, 8, 12, 4, 40
-PER_CLASS, CHUNKS_PER_DOC, STEPS, BATCH, RATE, CUT = 2000, 12, 800, 64, 0.004, 0.3
+PER_CLASS, CHUNKS_PER_DOC, STEPS, BATCH, RATE, CUT = 2000, 6, 700, 48, 0.004, 0.3
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_p
     share = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
     picked = known.filter(share < F.when(F.col("quality") == 0, min(1.0, per_class / bad)).otherwise(min(1.0, per_class / good)))
     rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("quality").cast("int"))
-    found = rows.mapInArrow(_take_chunks(chunks_per_doc), "doc_id long, chunks binary, quality int").collect()
+    found = rows.mapInArrow(K.tidy(_take_chunks(chunks_per_doc)), "doc_id long, chunks binary, quality int").collect()
     samples = [(bytes(x["chunks"]), x["quality"]) for x in sorted(found, key=lambda x: (x["doc_id"], bytes(x["chunks"])))]
     n1 = sum(y for _, y in samples)
     if not samples or n1 in (0, len(samples)):
@@ -173,6 +173,7 @@ def _scores(texts: list[bytes], net: Network | None, shift: float) -> np.ndarray
 
 def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` with a column _score more."""
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
     name = free_name(docs.columns, "_score")
     at = docs.columns.index("text")
@@ -182,7 +183,7 @@ def score(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_scores(K.encoded(b.column(at)), net, shift), pa.float64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0).cast("double")).schema)
+    return docs.mapInArrow(K.tidy(run), docs.withColumn(name, F.lit(0.0).cast("double")).schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, cut: float = CUT, **how) -> DataFrame:
