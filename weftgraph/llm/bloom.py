@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import kernels as K
+
 #: Hash functions, bits for each row, most bits of one filter (16 MB of plane), and bits of one of the shards that merge it.
 PROBES, BITS_PER_ROW, MAX_BITS, SHARD_BITS = 4, 8, 1 << 27, 1 << 21
 _U = np.uint64
@@ -74,7 +76,7 @@ class Plane:
 
 
 def _plane(hashed: DataFrame, bits: int, repeats: bool) -> Plane:
-    shards = hashed.select("h").mapInArrow(_sketch(bits), "shard int, once binary, twice binary").groupBy("shard").applyInArrow(_merge(bits, repeats), "shard int, plane binary")
+    shards = hashed.select("h").mapInArrow(K.tidy(_sketch(bits)), "shard int, once binary, twice binary").groupBy("shard").applyInArrow(_merge(bits, repeats), "shard int, plane binary")
     plane, width = np.zeros(bits // 8, np.uint8), min(bits, SHARD_BITS) // 8
     for row in shards.collect():  # bits / 8 bytes in all
         plane[row.shard * width : (row.shard + 1) * width] = np.frombuffer(row.plane, np.uint8)

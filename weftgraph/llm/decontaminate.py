@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.storage import free_name
+from weftgraph.llm.storage import free_name, modest_batches
 
 SAMPLE = 8
 #: Symbols of one index, and bytes of benchmark text that one pass sends to the tasks.
@@ -225,6 +225,7 @@ def _passes(benchmark: DataFrame, window: int, pass_bytes: int):
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``docs`` with three more columns: _n_words, _spans (begin and end words of merged removal spans, as
     pairs in a flat list) and _items (sorted ids of the items found)."""
+    modest_batches(docs.sparkSession)
     names = [free_name(docs.columns, x) for x in ("_n_words", "_spans", "_items")]
     at = docs.columns.index("text")
     out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.array().cast("array<long>"), names[2]: F.array().cast("array<string>")})
@@ -245,7 +246,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, pass_bytes: in
                     items[d] = sorted({*items[d], *(x for _, _, n in hits for k in np.unique(n).tolist() for x in sent.value.items[k])})
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], b.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(K.tidy(run), out.schema)
     return out
 
 
@@ -285,4 +286,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame
                 columns[chars] = pa.array(n, b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-3]).filter(pa.array(keep))
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(K.tidy(run), docs.schema)

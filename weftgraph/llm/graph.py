@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import kernels as K
 from weftgraph.llm.storage import join_groups, materialize
 
 #: Links that one task contracts, at most about.
@@ -36,7 +37,7 @@ def _local_forest(batches):
 
 def _contracted(edges: DataFrame, n: int) -> DataFrame:
     """``edges`` (n rows) contracted in as few tasks as hold ``TASK`` of them each."""
-    return edges.coalesce(max(1, -(-n // TASK))).mapInArrow(_local_forest, "u long, v long")
+    return edges.coalesce(max(1, -(-n // TASK))).mapInArrow(K.tidy(_local_forest), "u long, v long")
 
 
 def _least(edges: DataFrame, total: int) -> DataFrame:

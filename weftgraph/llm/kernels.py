@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one call of a kernel works on; a longer document is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -63,6 +64,21 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def tidy(run):
+    """``run`` over a task's batches, after which freed memory goes back to the machine: workers wait for their next task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
 @dataclass
 class Block:
     """Some documents' bytes in one array, with a space after each; ``first`` is the row of the first of them."""

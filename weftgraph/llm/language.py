@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
+from weftgraph.llm.storage import modest_batches
 
 ORDERS, BUCKETS, PER_LANG, SMOOTHING, UNKNOWN = (1, 2, 3, 4), 1 << 15, 4000, 0.5, "und"
 _U = np.uint64
@@ -84,7 +85,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarra
         return [], np.zeros((0, BUCKETS), np.float32)
     rate = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / sizes[x]))) for x in langs))
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    parts = known.filter(share < rate).select("text", "lang").mapInArrow(_count(langs), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    parts = known.filter(share < rate).select("text", "lang").mapInArrow(K.tidy(_count(langs)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     table = np.zeros(len(langs) * BUCKETS, np.float64)
     for r in parts.toArrow().to_batches():
         table[r.column(0).to_numpy()] = r.column(1).to_numpy()
@@ -111,6 +112,7 @@ def score_texts(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang)."""
+    modest_batches(docs.sparkSession)
     langs, weights = fit(docs, per_lang)
     sent = docs.sparkSession.sparkContext.broadcast((langs, weights))
 
@@ -129,4 +131,4 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("spoken"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(K.tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -172,10 +172,10 @@ _NAMES = [x.split()[0] for x in _PAIR.split(", ")]
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b of ``sets`` (id, n, sig), their sketches' distance, and whether they are next to each other early on."""
-    orders = sets.select("id", "n", "sig").mapInArrow(_orders, "tree int, key binary, s0 long, s1 long, id long, n long")
+    orders = sets.select("id", "n", "sig").mapInArrow(K.tidy(_orders), "tree int, key binary, s0 long, s1 long, id long, n long")
     run, across = _neighbours(percent)
-    met = materialize(orders.repartitionByRange("tree", "key", "s0", "s1", "id").sortWithinPartitions("tree", "key", "s0", "s1", "id").mapInArrow(run, _PAIR), "forest")
-    ends = met.filter("b IS NULL").coalesce(1).mapInArrow(across, _PAIR)
+    met = materialize(orders.repartitionByRange("tree", "key", "s0", "s1", "id").sortWithinPartitions("tree", "key", "s0", "s1", "id").mapInArrow(K.tidy(run), _PAIR), "forest")
+    ends = met.filter("b IS NULL").coalesce(1).mapInArrow(K.tidy(across), _PAIR)
     pairs = met.filter("b IS NOT NULL").unionByName(ends)
     return pairs.groupBy("a", "b").agg(F.min("off").alias("off"), F.max("near").alias("near"))
 
@@ -208,16 +208,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     hashed = materialize(ends.withColumn("h", F.xxhash64("id")), "ends")
     asked = docs.filter(members(hashed, hashed.count()).test(F.xxhash64("doc_id")))
-    full = materialize(asked.select("doc_id", "text").mapInArrow(_full_sets(k), "id long, items binary").join(hashed.select("id"), "id", "left_semi"), "sets")
+    full = materialize(asked.select("doc_id", "text").mapInArrow(K.tidy(_full_sets(k)), "id long, items binary").join(hashed.select("id"), "id", "left_semi"), "sets")
     one, two = full.select(F.col("id").alias("a"), F.col("items").alias("x")), full.select(F.col("id").alias("b"), F.col("items").alias("y"))
     met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(_confirm(percent), "a long, b long").distinct()
+    return met.mapInArrow(K.tidy(_confirm(percent)), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(docs.mapInArrow(_features(k), "doc_id long, n long, key binary, sig binary"), "minhash")
+    base = materialize(docs.mapInArrow(K.tidy(_features(k)), "doc_id long, n long, key binary, sig binary"), "minhash")
     total = base.count()
     sets = materialize(base.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     pairs = materialize(candidates(sets.filter("id IS NOT NULL"), percent), "pairs")

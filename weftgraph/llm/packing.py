@@ -26,6 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import kernels as K
+
+from weftgraph.llm.storage import modest_batches
 from weftgraph.llm.tokens import tokenizer
 
 CAPACITY, END, HOLD, CHARS = 2048, 1, 1 << 22, 1 << 20
@@ -108,4 +111,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, path: str
         deal(rests, out, capacity, linear, quadratic)
         yield out.batch()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA + (", ids array<long>" if with_ids else ""))
+    modest_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(run), _SCHEMA + (", ids array<long>" if with_ids else ""))

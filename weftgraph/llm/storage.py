@@ -21,9 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long rows: let the session send at most ``rows`` of them to Python at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
+    modest_batches(spark)
     path = f"{shared_dir(spark)}/weft/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
