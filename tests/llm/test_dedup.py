@@ -103,6 +103,25 @@ def test_near_in_a_large_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == {i: x[1] for i, x in near_rows(texts, 3, 85).items()}
 
 
+@pytest.mark.parametrize("rows", [512, 100])
+def test_near_in_a_template_crowd(spark, monkeypatch, rows):
+    """Texts of one template, all below the limit of each other, and planted pairs above it."""
+    monkeypatch.setattr(near_dedup, "ROWS", rows, raising=False)
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefghij", k=8))
+    template, texts = [word() for _ in range(144)], []
+    for i in range(500):
+        common = [word() for _ in range(6)]
+        for _ in range(2 if i < 40 else 1):
+            texts.append(" ".join(template + common + [word() for _ in range(12)]))
+    r.shuffle(texts)
+    texts = list(enumerate(texts))
+    want = {i: x[1] for i, x in near_rows(texts, 3, 85).items()}
+    assert sum(i != x for i, x in want.items()) == 40
+    got = near_dedup.link(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK", 40)
     r = random.Random(3)

@@ -2,11 +2,12 @@
 
 Rows with the same set of word shingles collapse to one set first. Each set's signature is put
 into ``TREES`` sorted orders, each beginning at another slot; an order is range-partitioned over the whole key, so
-no prefix, however common, gathers in one task. In each order every set meets the neighbours
-with which it shares the longest prefixes: comparing goes on along the sorted keys, deep where
-keys are dense and shallow where they are not. A small sketch drops chance neighbours; pairs that
-are left are confirmed on the full sets: first chains and best partners, then, after components
-are taken, every pair that still lies between two components.
+no prefix, however common, gathers in one task. In each order every set meets the ``REACH`` next ones. A small
+sketch drops chance neighbours; pairs that are left are confirmed on the full sets: first chains and best partners,
+then, after components are taken, every pair that still lies between two components. Last come crowds: regions of an
+order whose rows share its first ``PREFIX`` slots and are too many to have all met. Where a region still holds several
+components, its sets are dealt over blocks and every pair between two components is compared in full. So each pair
+that shares the first ``PREFIX`` slots of any order is tested, however many others share them.
 
 Defined results: a text without words, or null, has the empty set and is linked with nothing; with fewer words
 than ``k``, the whole sequence is one shingle; rows that repeat an id are one document; rows without
@@ -27,10 +28,14 @@ from weftgraph.llm.bloom import members
 from weftgraph.llm.graph import components
 from weftgraph.llm.storage import free_name, join_groups, materialize
 
-SLOTS, TREES, DEPTH, REACH, SKETCH = 96, 24, 8, 8, 64
+SLOTS, TREES, DEPTH, PREFIX, REACH, SKETCH = 96, 24, 8, 6, 8, 64
+#: Rows and shingles of a crowd's block, about, and columns of the matrix that counts what sets of a block share.
+ROWS, SHINGLES, WIDE = 512, 1 << 20, 4096
 _U = np.uint64
 _R = np.random.default_rng(424243)
 _XOR, _MUL = (_R.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(_U) * _U(2) + _U(1) for _ in range(2))
+#: The slots of each tree's key.
+_PICK = (np.arange(TREES)[:, None] * (SLOTS // TREES) + np.arange(DEPTH)) % SLOTS
 
 
 def shingle_sets(block: K.Block, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -82,14 +87,13 @@ def _features(k: int):
 
 def _orders(batches):
     """A row for each set and tree: the tree's key, and the sketch."""
-    pick = (np.arange(TREES)[:, None] * (SLOTS // TREES) + np.arange(DEPTH)) % SLOTS
     weight = _U(1) << np.arange(0, 64, 2, dtype=_U)
     for b in batches:
         sig = np.frombuffer(b"".join(b.column(2).to_pylist()), ">u2").reshape(-1, SLOTS)
         two = (sig[:, :SKETCH] & 3).astype(_U).reshape(-1, SKETCH // 32, 32)
         sketch = (two * weight).sum(axis=2, dtype=_U).astype(np.int64)
         for t in range(TREES):
-            key = np.ascontiguousarray(sig[:, pick[t]]).tobytes()
+            key = np.ascontiguousarray(sig[:, _PICK[t]]).tobytes()
             keys = pa.Array.from_buffers(pa.binary(2 * DEPTH), len(sig), [None, pa.py_buffer(key)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t), pa.int32()), keys, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), b.column(0), b.column(1)], ["tree", "key", "s0", "s1", "id", "n"])
 
@@ -203,17 +207,87 @@ def _confirm(percent: int):
     return run
 
 
+def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, items) of the documents named by ``ids`` (id)."""
+    hashed = materialize(ids.withColumn("h", F.xxhash64("id")), "ends")
+    asked = docs.filter(members(hashed, hashed.count()).test(F.xxhash64("doc_id")))
+    return materialize(asked.select("doc_id", "text").mapInArrow(K.tidy(_full_sets(k)), "id long, items binary").join(hashed.select("id"), "id", "left_semi"), "sets")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` whose documents' full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    hashed = materialize(ends.withColumn("h", F.xxhash64("id")), "ends")
-    asked = docs.filter(members(hashed, hashed.count()).test(F.xxhash64("doc_id")))
-    full = materialize(asked.select("doc_id", "text").mapInArrow(K.tidy(_full_sets(k)), "id long, items binary").join(hashed.select("id"), "id", "left_semi"), "sets")
+    full = full_sets(ends, docs, k)
     one, two = full.select(F.col("id").alias("a"), F.col("items").alias("x")), full.select(F.col("id").alias("b"), F.col("items").alias("y"))
     met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
     return met.mapInArrow(K.tidy(_confirm(percent)), "a long, b long").distinct()
 
 
+def _regions(batches):
+    """A row for each set and tree: a hash of the tree and the key's first PREFIX slots."""
+    for b in batches:
+        sig = np.frombuffer(b"".join(b.column(3).to_pylist()), ">u2").reshape(-1, SLOTS)
+        for t in range(TREES):
+            region = np.full(len(sig), t + 1, _U)
+            for slot in _PICK[t, :PREFIX]:
+                region = K.mix((region << _U(16) | region >> _U(48)) ^ sig[:, slot].astype(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), b.column(0), b.column(1), b.column(2)], ["region", "id", "n", "root"])
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of ``sets`` share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1
+    stay = count[item] > 1
+    owner, item = owner[stay], column[item[stay]]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(item[-1]) + 1 if len(item) else 0, WIDE):
+        a, b = np.searchsorted(item, [low, low + WIDE])
+        there = np.zeros((len(sets), WIDE), np.float32)
+        there[owner[a:b], item[a:b] - low] = 1
+        out += (there @ there.T).astype(np.int64)
+    return out
+
+
+def _block(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One link for each two components that a block's sets join."""
+        ids, root, part = (table[x].to_numpy() for x in ("id", "root", "part"))
+        sets = [np.frombuffer(x, _U) for x in table["items"].to_pylist()]
+        n, both = np.fromiter(map(len, sets), np.int64, len(sets)), shared(sets)
+        ok = (100 * both >= percent * (n[:, None] + n - both)) & (root[:, None] < root)
+        if table["one"][0].as_py() != table["two"][0].as_py():
+            ok &= part[:, None] != part
+        i, j = np.nonzero(ok)
+        _, first = np.unique(np.stack([root[i], root[j]], axis=1), axis=0, return_index=True)
+        i, j = i[first], j[first]
+        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.maximum(ids[i], ids[j]), pa.int64())})
+
+    return run
+
+
+def crowd_links(sets: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between components within regions of more rows than have all met; None where there is no such region."""
+    named = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), "sig")
+    rows = named.mapInArrow(K.tidy(_regions), "region long, id long, n long, root long")
+    counted = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("size") / SHINGLES)).cast("int")
+    crowds = materialize(counted.filter(f"m > {REACH + 1} AND low < high").select("region", "m", blocks.alias("blocks")), "crowds")
+    n, total = crowds.agg(F.count(F.lit(1)), F.sum("m")).first()
+    if not n:
+        return None
+    plane = members(crowds.select(F.col("region").alias("h")), n)
+    met = materialize(join_groups(rows.filter(plane.test("region")), crowds, "region", "m", total).select("region", "id", "root", "blocks"), "crowded")
+    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "root")
+    full = full_sets(met.select("id").distinct(), docs, k)
+    return materialize(dealt.join(full, "id").groupBy("region", "one", "two").applyInArrow(_block(percent), "a long, b long").distinct(), "linked")
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -231,7 +305,11 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     rest = materialize(rest.filter("root_a <> root_b").select("a", "b"), "rest")
     if not rest.isEmpty():
-        roots = components(links.unionByName(confirm(rest, docs, k, percent)))
+        links = materialize(links.unionByName(confirm(rest, docs, k, percent)), "linked")
+        roots = components(links)
+    crowd = crowd_links(sets.filter("id IS NOT NULL").select("id", "n", "sig"), roots, docs, k, percent)
+    if crowd is not None and not crowd.isEmpty():
+        roots = components(links.unionByName(crowd))
     named = sets.select("key", "id", "size").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "size", F.coalesce("root", "id").alias("component_id"))
     rows = join_groups(base.filter("n > 0").select("key", "doc_id", "n"), named, "key", "size", total).select("doc_id", "n", "component_id")
     rows = rows.unionByName(base.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
