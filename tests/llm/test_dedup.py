@@ -191,6 +191,23 @@ def test_bytes(docs, texts, hot):
     assert {r["doc"]: (r["n"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == byte_rows(texts, 50)
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_bytes_repeated_inside_a_document(spark, hot):
+    """A passage that an earlier document holds stands in a later one twice, with what follows it there."""
+    from weftgraph.llm import repeats as R
+
+    r = random.Random(7)
+    some = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    texts = []
+    for i in range(20):
+        passage, then = some(r.randint(50, 90)), some(r.randint(50, 90))
+        texts.append((2 * i, some(70) + passage + some(70)))
+        texts.append((2 * i + 1, "".join(some(60) + passage + then for _ in range(2 + i % 3)) + some(60)))
+    rows = R.plain(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    got = R.report(rows, R.BYTES50, suffix_dedup.removed_strings(rows, hot=hot)).collect()
+    assert {r["doc"]: (r["n"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == byte_rows(texts, 50)
+
+
 def test_bytes_of_nothing(empty, no_id):
     assert suffix_dedup.report(empty).count() == 0
     assert sum(r["n_removed"] for r in suffix_dedup.report(no_id).collect()) == 0

@@ -177,12 +177,17 @@ def later(unit: Unit, first_doc: str, first_start: str) -> F.Column:
     return F.col("doc") > F.col(first_doc)
 
 
-def copies(docs: DataFrame, unit: Unit, known: DataFrame, total: int) -> DataFrame:
-    """(doc, start, c) of stretches that came earlier; ``known``: s, first_doc, first_start, n."""
+def placed(docs: DataFrame, unit: Unit, known: DataFrame, total: int) -> DataFrame:
+    """All rows of the ``known`` stretches (s, first_doc, first_start, n), with their first places."""
     plane = members(known.select(F.col("s").alias("h")), total)
     rows = stretch_rows(docs, unit, known=plane)
     size = known.agg(F.sum("n")).first()[0] or 0
-    return join_groups(rows, known, "s", "n", size).filter(later(unit, "first_doc", "first_start")).select("doc", "start", "c")
+    return join_groups(rows, known, "s", "n", size)
+
+
+def copies(docs: DataFrame, unit: Unit, known: DataFrame, total: int) -> DataFrame:
+    """(doc, start, c) of stretches that came earlier; ``known``: s, first_doc, first_start, n."""
+    return placed(docs, unit, known, total).filter(later(unit, "first_doc", "first_start")).select("doc", "start", "c")
 
 
 def contested(different: DataFrame, total: int) -> DataFrame:

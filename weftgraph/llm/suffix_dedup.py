@@ -6,6 +6,7 @@ anchor, goes by anchor to shards; over a shard's stretches stands a run-compress
 with sampled run ends. Matching statistics of the stretches are streamed against it, and strings of full
 width that a document with a smaller id holds are marked. An anchor with more than ``HOT`` different
 stretches would make a shard unbounded: its windows are compared by hash instead, dealt over all tasks.
+A stretch that its first document holds at several places is compared once, and what is marked is marked at each.
 
 Defined results: null text is empty; a text below the width loses nothing; rows without an id come last and repeat
 nothing for each other; rows that repeat an id are one document; an empty table gives an empty table; other columns
@@ -23,7 +24,7 @@ from weftgraph.llm import kernels as K
 from weftgraph.llm import repeats as R
 from weftgraph.llm.bloom import members
 from weftgraph.llm.run_index import RunIndex
-from weftgraph.llm.storage import materialize
+from weftgraph.llm.storage import join_groups, materialize
 
 HOT, SHARD = 2000, 10_000
 #: About how many anchors one bucket of the count holds.
@@ -33,12 +34,12 @@ BUCKET = 500_000
 def _contexts(unit: R.Unit):
     def run(batches):
         for b in batches:
-            ids, (shard, at), (start, _), (c, _) = b.column(0).to_pylist(), *(R.flat(b, x) for x in ("shard", "start", "c"))
+            ids, (shard, at), (start, _), (c, _), (s, _), (n, _) = b.column(0).to_pylist(), *(R.flat(b, x) for x in ("shard", "start", "c", "s", "n"))
             rows = []
             for i, text in enumerate(K.encoded(b.column(1))):
-                rows += [(int(shard[j]), ids[i], int(start[j]), text[start[j] : start[j] + c[j] + unit.width - 1]) for j in range(at[i], at[i + 1])]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.binary())], ["shard", "doc", "start", "context"])
+                rows += [(int(shard[j]), ids[i], int(start[j]), int(s[j]), int(n[j]), text[start[j] : start[j] + c[j] + unit.width - 1]) for j in range(at[i], at[i + 1])]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:5]), pa.array(cols[5], pa.binary())], ["shard", "doc", "start", "s", "n", "context"])
 
     return run
 
@@ -47,13 +48,24 @@ def _mark(unit: R.Unit):
     def run(table: pa.Table) -> pa.Table:
         doc, start, texts = table["doc"].to_numpy(), table["start"].to_numpy(), table["context"].to_pylist()
         index = RunIndex(texts, doc, unit.width)
-        out = [(np.full(len(hit), doc[i]), start[i] + hit) for i, least in enumerate(index.least_values(np.arange(len(texts)))) if len(hit := np.flatnonzero(least < doc[i]))]
-        docs, starts = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
-        return pa.table({"doc": pa.array(docs, pa.int64()), "start": pa.array(starts, pa.int64()), "c": pa.array(np.ones(len(docs), np.int32))})
+        rows, at, size = [], [], []
+        for i, least in enumerate(index.least_values(np.arange(len(texts)))):
+            if (hit := least < doc[i]).any():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                rows.append(i)
+                at.append(edge[::2].tolist())
+                size.append((edge[1::2] - edge[::2]).tolist())
+        found = table.select(["s", "n", "doc", "start"]).take(pa.array(rows, pa.int64()))
+        return found.append_column("at", pa.array(at, pa.list_(pa.int32()))).append_column("size", pa.array(size, pa.list_(pa.int32())))
 
     return run
 
 
+def _spread(marks: DataFrame) -> DataFrame:
+    """(doc, start, c) of the marks (doc, start, at, size) of stretches."""
+    return marks.select("doc", "start", F.explode(F.arrays_zip("at", "size")).alias("x")).select("doc", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.size").alias("c"))
+
+
 def removed_strings(docs: DataFrame, unit: R.Unit = R.BYTES50, hot: int = HOT) -> DataFrame:
     """Removed windows (doc, start, c) of ``docs`` (doc, text)."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -62,15 +74,21 @@ def removed_strings(docs: DataFrame, unit: R.Unit = R.BYTES50, hot: int = HOT) -
     rows = R.stretch_rows(docs, unit, anchors=(members(shared, shared.count()), buckets))
     different = materialize(R.firsts(rows), "stretches")
     known = materialize(different.filter("n > 1").select("s", F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "n"), "known")
-    whole = R.copies(docs, unit, known, known.count())
-    rivals = materialize(R.contested(different.select("a", "doc", "start", "c"), different.count()), "rivals")
-    few, many = rivals.filter(F.col("m") <= hot), rivals.filter(F.col("m") > hot).withColumn("fresh", F.lit(True))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    placed = R.placed(docs, unit, known, known.count())
+    placed = materialize(placed.filter(R.later(unit, "first_doc", "first_start") | (F.col("start") != F.col("first_start"))).select("s", "doc", "start", "c", R.later(unit, "first_doc", "first_start").alias("whole")), "placed")
+    again = placed.filter("NOT whole").select("s", "doc", "start", "c").distinct()
+    rivals = materialize(R.contested(different.select("a", "s", "n", "doc", "start", "c"), different.count()), "rivals")
+    few, many = rivals.filter(F.col("m") <= hot), rivals.filter(F.col("m") > hot)
     shards = max(1, few.count() // SHARD)
-    contexts = R.with_requests(docs, few.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), "shard start c").mapInArrow(K.tidy(_contexts(unit)), "shard long, doc long, start long, context binary")
-    out = whole.unionByName(contexts.groupBy("shard").applyInArrow(_mark(unit), "doc long, start long, c int"))
+    contexts = R.with_requests(docs, few.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))), "shard start c s n").mapInArrow(K.tidy(_contexts(unit)), "shard long, doc long, start long, s long, n long, context binary")
+    marks = materialize(contexts.groupBy("shard").applyInArrow(_mark(unit), "s long, n long, doc long, start long, at array<int>, size array<int>"), "marks")
+    elsewhere = join_groups(again, marks.filter("n > 1").select("s", "n", "at", "size"), "s", "n", total)
+    out = placed.filter("whole").select("doc", "start", "c").unionByName(_spread(marks)).unionByName(_spread(elsewhere))
     if not many.isEmpty():
-        out = out.unionByName(R.repeated_windows(docs, unit, many.select("doc", "start", "c", "fresh")))
-    return materialize(out, "removed")
+        places = many.select("doc", "start", "c").unionByName(join_groups(again, many.filter("n > 1").select("s", "n"), "s", "n", total).select("doc", "start", "c"))
+        out = out.unionByName(R.repeated_windows(docs, unit, places.withColumn("fresh", F.lit(True))))
+    return out
 
 
 def report(docs: DataFrame, unit: R.Unit = R.BYTES50) -> DataFrame:
