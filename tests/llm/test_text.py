@@ -104,6 +104,22 @@ def test_tokens_equal_the_library():
     assert ids.tolist() == sum(want, [])
 
 
+def test_added_tokens_in_packed_texts_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    parts = ["<|endoftext|>", "<|endoftext", " ", "  ", "\n", " The", "ing", "'s", "é", "|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "", "plain", *("".join(r.choices(parts, k=r.randint(0, 9))) for _ in range(300))]
+    want = [x.ids for x in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), with_ids=True).collect()
+    found = defaultdict(list)
+    for x in sorted(rows, key=lambda x: x["start"]):
+        found[x["doc_id"]] += x["ids"]
+    assert {i: x[:-1] for i, x in found.items()} == dict(enumerate(want))
+
+
 @pytest.mark.parametrize(("capacity", "hold"), [(2048, 1 << 22), (64, 500)])
 def test_packing(docs, texts, capacity, hold):
     rows = packing.pack(docs, capacity=capacity, hold=hold, with_ids=True).collect()

@@ -10,7 +10,7 @@ piece) that has room; a piece longer than the room is cut, and its rest is dealt
 Nothing shuffles: a task packs what it reads, in the order it reads it, so a repeated task gives
 the same rows. Sequence ids hold the partition's number in their upper half.
 
-Defined results: null or empty text is one piece of just the end id; rows that repeat an id are
+Defined results: an added token of the file that stands in a text is one id, as in the library; null or empty text is one piece of just the end id; rows that repeat an id are
 documents of their own; very long texts are cut; an empty table packs into no sequences; columns
 beside doc_id and text are not read.
 """
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END, path: str
                 while to < len(texts) and (to == at or chars + len(texts[to]) <= CHARS):
                     chars += len(texts[to])
                     to += 1
-                ids, sizes = tokenizer(path).encode(texts[at:to])
+                ids, sizes = tokenizer(path).encode(texts[at:to], added=True)
                 pieces = np.split(ids, np.cumsum(sizes)[:-1])
                 for doc, x in zip(docs_[at:to], pieces, strict=True):
                     x = np.append(x, np.uint32(end_id))

@@ -2,7 +2,8 @@
 
 Pre-tokens (the pieces within which byte pairs merge) are cut by numpy rules over code points
 and hashed; each different one is merged once and then looked up. The ids equal those of the
-`tokenizers` library for the same file, strings of special tokens being ordinary text.
+`tokenizers` library for the same file: at its default setting with ``added``, where the file's added tokens are
+cut out of the text first; without it as under ``encode_special_tokens``, where they are ordinary text.
 """
 
 from __future__ import annotations
@@ -80,7 +81,12 @@ def _bytes_of_symbols() -> dict[str, int]:
 class Tokenizer:
     def __init__(self, path: str):
         model = json.load(open(path, encoding="utf-8"))
-        special, symbol = {x["content"] for x in model.get("added_tokens", [])}, _bytes_of_symbols()
+        tokens, symbol = model.get("added_tokens", []), _bytes_of_symbols()
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in tokens):
+            raise ValueError("added tokens that look at their neighbours aren't supported")
+        special = {x["content"] for x in tokens}
+        self.added = {x["content"]: x["id"] for x in tokens}
+        self.split = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         ranks = {bytes(symbol[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
         self.piece = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.reset()
@@ -105,8 +111,29 @@ class Tokenizer:
         self.at[slot[~last]], self.length[slot[~last]] = at[~last], length[~last]
         return at, length
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts some of which hold added tokens: what lies between these is cut on its own."""
+        pieces, owner, token = [], [], []  # each piece, its text, and the id that follows it, or -1
+        for i, text in enumerate(texts):
+            at = 0
+            for m in self.split.finditer(text):
+                pieces.append(text[at : m.start()])
+                owner.append(i)
+                token.append(self.added[m.group()])
+                at = m.end()
+            pieces.append(text[at:])
+            owner.append(i)
+            token.append(-1)
+        ids, sizes = self.encode(pieces)
+        token = np.array(token)
+        here = token >= 0
+        out = np.insert(ids, np.cumsum(sizes)[here], token[here].astype(np.uint32))
+        return out, np.bincount(owner, sizes + here, len(texts)).astype(np.int64)
+
+    def encode(self, texts: list[str], added: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each has. A few MB of text at a time."""
+        if added and self.split and any(x in t for t in texts for x in self.added):
+            return self._encode_added(texts)
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
