@@ -103,6 +103,17 @@ def _shortest(n: DataFrame, e: DataFrame) -> DataFrame:
 
 _graph("node_cycles", f"{_PARTS}, one AS (SELECT DISTINCT src, dst FROM small WHERE src <> dst), walk AS (SELECT src AS first, [src, dst] AS path, dst AS last FROM one WHERE dst > src UNION ALL SELECT first, list_append(path, dst), dst FROM walk JOIN one ON src = last WHERE len(path) < 10 AND dst > first AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM walk JOIN one ON src = last AND dst = first", True)(lambda n, e: traversal.cycles(_parts(e), limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
 
+# The same operators over every edge, so that they grow with the tables; without SQL, which would be too slow.
+_graph("blast_radius_all", None)(lambda n, e: traversal.blast_radius(n, e, "region:0", 5))
+_graph("ego_graph_all", None)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
+_graph("node_cycles_all", None)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
+
+
+@_graph("shortest_path_all", None)
+def _shortest_all(n: DataFrame, e: DataFrame) -> DataFrame:
+    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, e, "region:0", "part:4"))), "hop int, id string")
+
+
 _EXT = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in stats.EXTENSION_LANGUAGE.items()) + " ELSE ext END"
 _graph("stats_languages", f"SELECT x AS language, count(*) AS n FROM (SELECT CASE WHEN trim(lang) <> '' THEN lower(lang) WHEN contains(file_path, '.') THEN {_EXT} ELSE '' END AS x FROM (SELECT *, lower(regexp_extract(file_path, '\\.([^.]*)$', 1)) AS ext FROM nodes)) WHERE x <> '' GROUP BY x")(lambda n, e: stats.languages(n))
 _graph("stats_frameworks", "SELECT trim(framework) AS framework, count(*) AS n FROM nodes WHERE trim(framework) <> '' GROUP BY 1")(lambda n, e: stats.frameworks(n))
