@@ -127,6 +127,35 @@ class Words:
         return np.diff(self.bounds)
 
 
+def weights(n: int) -> np.ndarray:
+    """A random multiplier for each of the first n places of a word."""
+    return _TABLE[:n] if n <= len(_TABLE) else mix(np.arange(1, n + 1, dtype=U64) * _STEP)
+
+
+_TABLE = mix(np.arange(1, 4097, dtype=U64) * _STEP)
+
+
+def piece_hashes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece of ``values`` (random words, one a symbol), pieces starting at ``begin``.
+
+    Each symbol is multiplied by a random number of its place, and the products are summed (multilinear hashing):
+    unlike powers of a base, these places have no structure that equal sums could follow from. Works in parts, so
+    that memory doesn't follow the length of a piece.
+    """
+    out, size = np.zeros(len(begin), U64), len(values)
+    edges = np.append(begin, size)
+    for low in range(0, size, 2 * BLOCK):
+        high = min(low + 2 * BLOCK, size)
+        i, j = int(np.searchsorted(begin, low, "right")) - 1, int(np.searchsorted(begin, high))
+        starts = np.maximum(edges[i:j], low)
+        length = np.minimum(edges[i + 1 : j + 1], high) - starts
+        place = np.arange(low, high) - np.repeat(edges[i:j], length)
+        most = int(place.max()) + 1
+        by = _TABLE[place] if most <= len(_TABLE) else mix((place + 1).astype(U64) * _STEP)
+        out[i:j] += np.add.reduceat(values[low:high] * by, starts - low)
+    return mix(out)
+
+
 def words(block: Block, solid: np.ndarray, codes: np.ndarray) -> Words:
     """Words are runs of ``solid`` bytes; equal words under ``codes`` get equal hashes."""
     mask = solid[block.data]
@@ -135,18 +164,15 @@ def words(block: Block, solid: np.ndarray, codes: np.ndarray) -> Words:
         edge = np.concatenate([[0], edge])
     begin, end = edge[0::2], edge[1::2]
     bounds = np.searchsorted(begin, np.append(block.begin, len(block.data) + 1))
-    hashes = np.empty(len(begin), U64)
+    hashes, n = np.empty(len(begin), U64), len(begin)
     at = 0
-    while at < len(begin):  # a part at a time: prefix sums take eight bytes for each byte
+    while at < n:  # a part at a time: codes take eight bytes for each byte
         to = max(at + 1, int(np.searchsorted(end, begin[at] + 2 * BLOCK)))
         low, high = int(begin[at]), int(end[to - 1])
-        up, down = powers(high - low + 1)
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum(codes[block.data[low:high]] * up[: high - low], out=sums[1:])
-        s = begin[at:to] - low
-        hashes[at:to] = (sums[end[at:to] - low] - sums[s]) * down[s]
+        first = np.cumsum(end[at:to] - begin[at:to]) - (end[at:to] - begin[at:to])
+        hashes[at:to] = piece_hashes(codes[block.data[low:high][mask[low:high]]], first)
         at = to
-    return Words(begin, end, np.repeat(np.arange(len(block), dtype=np.int32), np.diff(bounds)), mix(hashes), bounds)
+    return Words(begin, end, np.repeat(np.arange(len(block), dtype=np.int32), np.diff(bounds)), hashes, bounds)
 
 
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -154,10 +180,10 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, U64)
-    out = hashes[:n].copy()
+    by = weights(k)
+    out = hashes[:n] * by[0]
     for i in range(1, k):
-        out *= _STEP
-        out += hashes[i : n + i]
+        out += hashes[i : n + i] * by[i]
     return mix(out)
 
 
@@ -173,15 +199,3 @@ def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of the maximal runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
     return edge[0::2], edge[1::2]
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Position of the smallest entry in every ``width`` consecutive ones; the first of equal ones."""
-    best, at, have = x, np.arange(len(x), dtype=np.int64), 1
-    while have < width:
-        step = min(have, width - have)
-        a, b = best[:-step] if step else best, best[step:]
-        right = b < a
-        best, at = np.where(right, b, a), np.where(right, at[step:], at[:-step])
-        have += step
-    return at

@@ -93,7 +93,7 @@ class Tokenizer:
 
     def reset(self) -> None:
         self.key = np.zeros(SLOTS, np.uint64)
-        self.at, self.length = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.at, self.length, self.chars = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,9 +106,10 @@ class Tokenizer:
         self.pool[self.used : to] = np.fromiter((x for y in ids for x in y), np.uint32, to - self.used)
         self.used = to
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
-        self.key[slot], self.at[slot], self.length[slot] = hashes, at, length
-        last = self.key[slot] != hashes  # of two in one slot, whichever stays must be whole
-        self.at[slot[~last]], self.length[slot[~last]] = at[~last], length[~last]
+        self.key[slot] = hashes
+        stays = self.key[slot] == hashes  # of two in one slot, whichever stays must be whole
+        slot = slot[stays]
+        self.at[slot], self.length[slot], self.chars[slot] = at[stays], length[stays], np.fromiter(map(len, pieces), np.int64, len(pieces))[stays]
         return at, length
 
     def _encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -145,21 +146,15 @@ class Tokenizer:
             self.reset()
         end = np.append(begin[1:], len(points))
         h = np.empty(len(begin), np.uint64)
-        code, a = K.mix(points.astype(np.uint64) + np.uint64(0x1234567)), 0
-        while a < len(begin):
+        a = 0
+        while a < len(begin):  # a part at a time: codes take eight bytes for each character
             b = max(a + 1, int(np.searchsorted(end, begin[a] + 2 * K.BLOCK)))
-            low, high = int(begin[a]), int(end[b - 1])
-            up, down = K.powers(high - low + 1)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(code[low:high] * up[: high - low], out=sums[1:])
-            s = begin[a:b] - low
-            h[a:b] = (sums[end[a:b] - low] - sums[s]) * down[s]
+            h[a:b] = K.piece_hashes(K.mix(points[begin[a] : end[b - 1]].astype(np.uint64) + np.uint64(0x1234567)), begin[a:b] - begin[a])
             a = b
-        K.mix(h)
         h |= np.uint64(1) << np.uint64(63)  # no key is 0
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         at, length = self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != h)
+        miss = np.flatnonzero((self.key[slot] != h) | (self.chars[slot] != end - begin))
         if len(miss):
             new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
             first = miss[first]
