@@ -182,17 +182,17 @@ def byte_rows(texts, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_bytes(docs, texts, hot):
+@pytest.mark.parametrize("group", [2000, 1])
+def test_bytes(docs, texts, group):
     from weftgraph.llm import repeats as R
 
     rows = R.plain(docs)
-    got = R.report(rows, R.BYTES50, suffix_dedup.removed_strings(rows, hot=hot)).collect()
+    got = R.report(rows, R.BYTES50, suffix_dedup.removed_strings(rows, group=group)).collect()
     assert {r["doc"]: (r["n"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == byte_rows(texts, 50)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_bytes_repeated_inside_a_document(spark, hot):
+@pytest.mark.parametrize("group", [2000, 1])
+def test_bytes_repeated_inside_a_document(spark, group):
     """A passage that an earlier document holds stands in a later one twice, with what follows it there."""
     from weftgraph.llm import repeats as R
 
@@ -204,7 +204,7 @@ def test_bytes_repeated_inside_a_document(spark, hot):
         texts.append((2 * i, some(70) + passage + some(70)))
         texts.append((2 * i + 1, "".join(some(60) + passage + then for _ in range(2 + i % 3)) + some(60)))
     rows = R.plain(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
-    got = R.report(rows, R.BYTES50, suffix_dedup.removed_strings(rows, hot=hot)).collect()
+    got = R.report(rows, R.BYTES50, suffix_dedup.removed_strings(rows, group=group)).collect()
     assert {r["doc"]: (r["n"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == byte_rows(texts, 50)
 
 
@@ -228,6 +228,7 @@ def test_run_index_against_search():
         texts = [bytes(r.choices(b"ab\x00", k=r.randint(width, 40))) for _ in range(12)]
         value = np.arange(12)
         index = RunIndex(texts, value, width)
-        for i, least in enumerate(index.least_values(np.arange(12))):
+        least, first = index.least_values(np.arange(12))
+        for i in range(12):
             want = [min(j for j in range(12) if texts[i][k : k + width] in texts[j]) for k in range(len(texts[i]) - width + 1)]
-            assert least.tolist() == want
+            assert least[first[i] : first[i] + len(want)].tolist() == want

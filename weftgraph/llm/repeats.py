@@ -4,7 +4,9 @@ Every window of ``width`` symbols picks one anchor: its gram of lowest hash. Equ
 so consecutive windows with one anchor make a stretch, and equal stretches hold equal windows. Stretches,
 a fraction of the windows in number, are what is counted, sorted and joined; windows themselves are compared only
 where different stretches share an anchor (at the edges of copies). However texts are cut into stretches, the result is
-exact up to equality of 64-bit hashes.
+exact up to equality of two 64-bit hashes, the anchor's and the stretch's: stretches are only ever compared within an
+anchor. Windows are hashed by powers of a base modulo 2**64; over so few symbols as a window has, no two
+texts whatever their form agree by more than chance in over 40 bits (long ones could: words are hashed otherwise).
 """
 
 from __future__ import annotations
@@ -67,8 +69,9 @@ def window_hashes(unit: Unit, h: np.ndarray) -> np.ndarray:
     return K.mix((sums[unit.width :] - sums[:n]) * down[:n])
 
 
-def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, stretch, document, first window, windows) arrays; a part of a long document at a time."""
+def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, stretch, document, first window, windows, symbols from there to the anchor, check) arrays; a part of a long
+    document at a time. The check of words is a hash apart from the stretch's, of bytes it is 0."""
     h, first, end = unit.symbols(block)
     owner = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(np.append(first, len(h)))) if len(block) else np.empty(0, np.int32)
     reach, place = unit.width - unit.gram + 1, _U((1 << 20) - 1)
@@ -98,10 +101,31 @@ def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, np.ndarr
             one, two = ((sums[x + unit.width] - sums[x]) * down[x] for x in (begin, stop))
             count = stop - begin + 1
             s = K.mix(K.mix(one) * _A + K.mix(two) * _B + count.astype(_U) * _C + (pick - begin).astype(_U))
-            yield K.mix(gram[pick]), s, doc[begin], begin + at - first[doc[begin]], count
+            check = np.zeros(len(begin), _U)
+            if unit.words:
+                more, down = _prefix(K.mix(h[at : at + K.BLOCK + unit.width - 1] ^ _C))
+                check = K.mix((more[stop + unit.width] - more[begin]) * down[begin])
+            yield K.mix(gram[pick]), s, doc[begin], begin + at - first[doc[begin]], count, pick - begin, check
 
 
-_ROW = "a long, s long, doc long, start long, c int"
+#: Places are one number, document times this and the start in it: a hash aggregate can hold the least of them.
+SPAN = 1 << 40
+_ROW = "a long, s long, place decimal(38,0), c int, p int, v long"
+
+
+def _places(doc: np.ndarray, start: np.ndarray) -> pa.Array:
+    both = np.empty((len(doc), 2), np.int64)
+    both[:, 0] = (doc << 40) | start
+    both[:, 1] = doc >> 24
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc), [None, pa.py_buffer(both)])
+
+
+def start_of(place: str = "place") -> F.Column:
+    return F.pmod(F.col(place), F.lit(SPAN).cast("decimal(38,0)")).cast("long")
+
+
+def doc_of(place: str = "place") -> F.Column:
+    return F.expr(f"CAST(({place} - pmod({place}, CAST({SPAN} AS DECIMAL(38,0)))) div CAST({SPAN} AS DECIMAL(38,0)) AS BIGINT)")
 
 
 def stretch_rows(docs: DataFrame, unit: Unit, anchors: tuple[Plane, int] | None = None, known: Plane | None = None) -> DataFrame:
@@ -111,11 +135,12 @@ def stretch_rows(docs: DataFrame, unit: Unit, anchors: tuple[Plane, int] | None
         for b in batches:
             ids = b.column(0).to_numpy()
             for block in K.blocks(K.encoded(b.column(1))):
-                for a, s, doc, start, n in stretches(unit, block):
+                for found in stretches(unit, block):
                     if anchors or known:
-                        keep = anchors[0].match(anchor_key(a, anchors[1])) if anchors else known.match(s)
-                        a, s, doc, start, n = a[keep], s[keep], doc[keep], start[keep], n[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[block.first + doc]), pa.array(start), pa.array(n.astype(np.int32))], ["a", "s", "doc", "start", "c"])
+                        keep = np.flatnonzero(anchors[0].match(anchor_key(found[0], anchors[1])) if anchors else known.match(found[1]))
+                        found = [x[keep] for x in found]
+                    a, s, doc, start, n, p, v = found
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), _places(ids[block.first + doc], start), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(v.view(np.int64))], ["a", "s", "place", "c", "p", "v"])
 
     return docs.mapInArrow(K.tidy(run), _ROW)
 
@@ -140,9 +165,9 @@ def shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             if not got:
                 continue
             h, n = np.unique(anchor_key(np.concatenate(got), buckets), return_counts=True)
-            cut = np.searchsorted(h, np.arange(1, buckets, dtype=np.int64) << 32)
-            rows = [(i, x, y) for i, (x, y) in enumerate(zip(np.split((h & 0xFFFFFFFF).astype("<u4"), cut), np.split(n > 1, cut), strict=True)) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([np.packbits(r[2]).tobytes() for r in rows], pa.binary())], ["bucket", "once", "more"])
+            bucket, low = h >> 32, (h & 0xFFFFFFFF).astype("<u4")
+            held, cut = np.unique(bucket, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([x.tobytes() for x in np.split(low, cut[1:])], pa.binary()), pa.array([np.packbits(x).tobytes() for x in np.split(n > 1, cut[1:])], pa.binary())], ["bucket", "once", "more"])
 
     def merge(table: pa.Table) -> pa.Table:
         seen = [np.frombuffer(x, "<u4") for x in table["once"].to_pylist()]
@@ -154,45 +179,31 @@ def shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     return docs.mapInArrow(K.tidy(pack), "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(merge, "h long")
 
 
-def earliest(rows: DataFrame, key: str, *more) -> DataFrame:
-    """For each ``key`` its first place (doc, start), the number n of its rows, and what ``more`` adds.
-
-    Place and document are folded into one decimal, which a hash aggregate can hold; a struct would be sorted.
-    """
-    place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)") + F.col("start").cast("decimal(14,0)")
-    out = rows.groupBy(key).agg(F.min("doc").alias("doc"), F.min(place).alias("place"), *more, F.count(F.lit(1)).alias("n"))
-    start = (F.col("place") - F.col("doc").cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(14,0)")).cast("long")
-    return out.withColumn("start", start).drop("place")
-
-
 def firsts(rows: DataFrame) -> DataFrame:
     """Each different stretch once: where it comes first, and in how many rows it occurs."""
-    return earliest(rows, "s", F.first("a").alias("a"), F.first("c").alias("c")).select("s", "a", "doc", "start", "c", "n")
+    return rows.groupBy("a", "s").agg(F.min("place").alias("place"), F.first("c").alias("c"), F.first("p").alias("p"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
 
 
-def later(unit: Unit, first_doc: str, first_start: str) -> F.Column:
-    """Whether a row (doc, start) comes after the first."""
+def later(unit: Unit, place: str = "place", first: str = "first") -> F.Column:
+    """Whether a row's place comes after the first: anywhere, or in a later document."""
     if unit.within:
-        return F.struct("doc", "start") > F.struct(F.col(first_doc).alias("doc"), F.col(first_start).alias("start"))
-    return F.col("doc") > F.col(first_doc)
+        return F.col(place) > F.col(first)
+    span = F.lit(SPAN).cast("decimal(38,0)")
+    return F.col(place) - F.pmod(F.col(place), span) > F.col(first)
 
 
-def placed(docs: DataFrame, unit: Unit, known: DataFrame, total: int) -> DataFrame:
-    """All rows of the ``known`` stretches (s, first_doc, first_start, n), with their first places."""
-    plane = members(known.select(F.col("s").alias("h")), total)
+def placed(docs: DataFrame, unit: Unit, known: DataFrame, n: int) -> DataFrame:
+    """All rows of the ``known`` stretches (a, s, first, n; ``n`` of them), with their first places."""
+    plane = members(known.select(F.col("s").alias("h")), n)
     rows = stretch_rows(docs, unit, known=plane)
     size = known.agg(F.sum("n")).first()[0] or 0
-    return join_groups(rows, known, "s", "n", size)
-
-
-def copies(docs: DataFrame, unit: Unit, known: DataFrame, total: int) -> DataFrame:
-    """(doc, start, c) of stretches that came earlier; ``known``: s, first_doc, first_start, n."""
-    return placed(docs, unit, known, total).filter(later(unit, "first_doc", "first_start")).select("doc", "start", "c")
+    return join_groups(rows, known, ["a", "s"], "n", size)
 
 
 def contested(different: DataFrame, total: int) -> DataFrame:
-    """Of ``different`` stretches (a, ...), those that share their anchor with another one; adds m, how many do."""
-    shared = different.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    """Of ``different`` stretches (a, fresh, ...; ``total`` of them), those that share their anchor with another one, at
+    least one of them fresh; adds m, how many do."""
+    shared = different.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max("fresh").alias("some")).filter("m > 1 AND some").drop("some")
     return join_groups(different, shared, "a", "m", total)
 
 
@@ -211,7 +222,7 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
-    """(w, doc, start, fresh) for every window of the requested stretches (doc, start, c, fresh)."""
+    """(w, place, fresh) for every window of the requested stretches (doc, start, c, fresh)."""
 
     def run(batches):
         for b in batches:
@@ -224,17 +235,18 @@ def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
                     n = c[0][lo:hi].astype(np.int64)
                     at = np.repeat(start[0][lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     ok = at < len(w)
-                    at, f = at[ok], np.repeat(fresh[0][lo:hi].astype(bool), n)[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(np.full(len(at), ids[block.first + i])), pa.array(at.astype(np.int64)), pa.array(f)], ["w", "doc", "start", "fresh"])
+                    at, f = at[ok].astype(np.int64), np.repeat(fresh[0][lo:hi].astype(bool), n)[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), _places(np.full(len(at), ids[block.first + i]), at), pa.array(f)], ["w", "place", "fresh"])
 
-    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(run), "w long, doc long, start long, fresh boolean")
+    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(run), "w long, place decimal(38,0), fresh boolean")
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
     """(doc, start, c = 1) of the fresh windows among the requested that another of them holds earlier."""
     rows = materialize(windows_of(docs, unit, requests), "windows")
-    groups = earliest(rows, "w").filter("n > 1").select("w", F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "n")
-    return join_groups(rows.filter("fresh"), groups, "w", "n", rows.count()).filter(later(unit, "first_doc", "first_start")).select("doc", "start", F.lit(1).alias("c"))
+    groups = rows.groupBy("w").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = join_groups(rows.filter("fresh"), groups, "w", "n", rows.count()).filter(later(unit))
+    return found.select(doc_of().alias("doc"), start_of().alias("start"), F.lit(1).alias("c"))
 
 
 def _cut(unit: Unit, block: K.Block, i: int, mask: np.ndarray, w: K.Words | None) -> str:

@@ -37,7 +37,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 512, how: str = "inner") -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, parts: int = 512, how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``groups`` (one row for each ``key``, ``size`` rows of ``rows`` each) without a hot task.
 
     Groups that hold more than ``total / parts`` rows are fewer than ``parts``, so they are
