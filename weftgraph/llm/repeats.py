@@ -111,6 +111,7 @@ def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, ...]]:
 #: Places are one number, document times this and the start in it: a hash aggregate can hold the least of them.
 SPAN = 1 << 40
 _ROW = "a long, s long, place decimal(38,0), c int, p int, v long"
+_AT = "a long, s long, doc long, start long, c int, v long"
 
 
 def _places(doc: np.ndarray, start: np.ndarray) -> pa.Array:
@@ -120,16 +121,18 @@ def _places(doc: np.ndarray, start: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc), [None, pa.py_buffer(both)])
 
 
-def start_of(place: str = "place") -> F.Column:
-    return F.pmod(F.col(place), F.lit(SPAN).cast("decimal(38,0)")).cast("long")
+def start_of(place: F.Column | None = None) -> F.Column:
+    return F.pmod(F.col("place") if place is None else place, F.lit(SPAN).cast("decimal(38,0)")).cast("long")
 
 
-def doc_of(place: str = "place") -> F.Column:
-    return F.expr(f"CAST(({place} - pmod({place}, CAST({SPAN} AS DECIMAL(38,0)))) div CAST({SPAN} AS DECIMAL(38,0)) AS BIGINT)")
+def doc_of(place: F.Column | None = None) -> F.Column:
+    place, span = F.col("place") if place is None else place, F.lit(SPAN).cast("decimal(38,0)")
+    return F.call_function("div", place - F.pmod(place, span), span)
 
 
 def stretch_rows(docs: DataFrame, unit: Unit, anchors: tuple[Plane, int] | None = None, known: Plane | None = None) -> DataFrame:
-    """All stretches of ``docs`` (doc, text), or those whose anchor (by filter and number of buckets) or own hash a filter lets through."""
+    """All stretches of ``docs`` (doc, text), or those whose anchor (by filter and number of buckets) or own hash a filter
+    lets through; of ``known`` ones document and start instead of the place."""
 
     def run(batches):
         for b in batches:
@@ -140,9 +143,13 @@ def stretch_rows(docs: DataFrame, unit: Unit, anchors: tuple[Plane, int] | None
                         keep = np.flatnonzero(anchors[0].match(anchor_key(found[0], anchors[1])) if anchors else known.match(found[1]))
                         found = [x[keep] for x in found]
                     a, s, doc, start, n, p, v = found
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), _places(ids[block.first + doc], start), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(v.view(np.int64))], ["a", "s", "place", "c", "p", "v"])
+                    a, s, v, n, doc = pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n.astype(np.int32)), ids[block.first + doc]
+                    if known:
+                        yield pa.RecordBatch.from_arrays([a, s, pa.array(doc), pa.array(start), n, v], ["a", "s", "doc", "start", "c", "v"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([a, s, _places(doc, start), n, pa.array(p.astype(np.int32)), v], ["a", "s", "place", "c", "p", "v"])
 
-    return docs.mapInArrow(K.tidy(run), _ROW)
+    return docs.mapInArrow(K.tidy(run), _AT if known else _ROW)
 
 
 def _folded(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,16 +191,18 @@ def firsts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("a", "s").agg(F.min("place").alias("place"), F.first("c").alias("c"), F.first("p").alias("p"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
 
 
-def later(unit: Unit, place: str = "place", first: str = "first") -> F.Column:
-    """Whether a row's place comes after the first: anywhere, or in a later document."""
-    if unit.within:
-        return F.col(place) > F.col(first)
-    span = F.lit(SPAN).cast("decimal(38,0)")
-    return F.col(place) - F.pmod(F.col(place), span) > F.col(first)
+def later(unit: Unit) -> F.Column:
+    """Whether a row (doc, start) comes after the first place (first_doc, first_start): anywhere, or in a later document."""
+    after = F.col("doc") > F.col("first_doc")
+    return after | ((F.col("doc") == F.col("first_doc")) & (F.col("start") > F.col("first_start"))) if unit.within else after
+
+
+def first_place(place: F.Column) -> list[F.Column]:
+    return [doc_of(place).alias("first_doc"), start_of(place).alias("first_start")]
 
 
 def placed(docs: DataFrame, unit: Unit, known: DataFrame, n: int) -> DataFrame:
-    """All rows of the ``known`` stretches (a, s, first, n; ``n`` of them), with their first places."""
+    """All rows of the ``known`` stretches (a, s, first_doc, first_start, n; ``n`` of them), with their first places."""
     plane = members(known.select(F.col("s").alias("h")), n)
     rows = stretch_rows(docs, unit, known=plane)
     size = known.agg(F.sum("n")).first()[0] or 0
@@ -222,7 +231,7 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
-    """(w, place, fresh) for every window of the requested stretches (doc, start, c, fresh)."""
+    """(w, place, doc, start, fresh) for every window of the requested stretches (doc, start, c, fresh)."""
 
     def run(batches):
         for b in batches:
@@ -236,17 +245,18 @@ def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
                     at = np.repeat(start[0][lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     ok = at < len(w)
                     at, f = at[ok].astype(np.int64), np.repeat(fresh[0][lo:hi].astype(bool), n)[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), _places(np.full(len(at), ids[block.first + i]), at), pa.array(f)], ["w", "place", "fresh"])
+                    doc = np.full(len(at), ids[block.first + i])
+                    yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), _places(doc, at), pa.array(doc), pa.array(at), pa.array(f)], ["w", "place", "doc", "start", "fresh"])
 
-    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(run), "w long, place decimal(38,0), fresh boolean")
+    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(run), "w long, place decimal(38,0), doc long, start long, fresh boolean")
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
     """(doc, start, c = 1) of the fresh windows among the requested that another of them holds earlier."""
     rows = materialize(windows_of(docs, unit, requests), "windows")
-    groups = rows.groupBy("w").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = join_groups(rows.filter("fresh"), groups, "w", "n", rows.count()).filter(later(unit))
-    return found.select(doc_of().alias("doc"), start_of().alias("start"), F.lit(1).alias("c"))
+    groups = rows.groupBy("w").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "n", *first_place(F.col("place")))
+    found = join_groups(rows.filter("fresh").drop("place"), groups, "w", "n", rows.count()).filter(later(unit))
+    return found.select("doc", "start", F.lit(1).alias("c"))
 
 
 def _cut(unit: Unit, block: K.Block, i: int, mask: np.ndarray, w: K.Words | None) -> str:

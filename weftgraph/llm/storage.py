@@ -34,20 +34,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     modest_batches(spark)
     path = f"{shared_dir(spark)}/weft/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weft_path = path
+    return out
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, parts: int = 512, how: str = "inner") -> DataFrame:
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.weft_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, parts: int = 512, salts: int = 64) -> DataFrame:
     """Join ``rows`` to ``groups`` (one row for each ``key``, ``size`` rows of ``rows`` each) without a hot task.
 
-    Groups that hold more than ``total / parts`` rows are fewer than ``parts``, so they are
-    broadcast; the other groups are small by definition and meet their rows in a shuffle.
+    Groups that hold more than ``total / parts`` rows are fewer than ``parts``: their keys are broadcast, their rows get
+    one of ``salts`` numbers by a hash of all columns, and the group's row comes once for each number.
     """
-    limit = max(1000, total // parts)
-    hot = groups.filter(F.col(size) > limit)
-    cold = groups.filter(F.col(size) <= limit)
-    keys = F.broadcast(hot.select(key))
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key, how), allowMissingColumns=True)
+    keys, limit = [key] if isinstance(key, str) else key, max(1000, total // parts)
+    hot, salt = (free_name([*rows.columns, *groups.columns], x) for x in ("hot", "salt"))
+    large = F.broadcast(groups.filter(F.col(size) > limit).select(*keys, F.lit(True).alias(hot)))
+    dealt = F.when(F.col(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    numbers = F.when(F.col(size) > limit, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    marked = rows.join(large, keys, "left").withColumn(salt, dealt).drop(hot)
+    return marked.join(groups.withColumn(salt, F.explode(numbers)), [*keys, salt]).drop(salt)
 
 
 def free_name(taken: list[str], stem: str) -> str:

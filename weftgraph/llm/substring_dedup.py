@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import repeats as R
 from weftgraph.llm.bloom import members
-from weftgraph.llm.storage import materialize
+from weftgraph.llm.storage import materialize, release
 
 FAN, BATCHES = 2, 4
 #: Least number of buckets of a run, and bytes of text for each more.
@@ -72,9 +72,9 @@ class FingerprintIndex:
         """Removed windows (doc, start, c) of ``batch`` (doc, text), whose ids follow those of earlier batches.
         ``corpus`` holds the texts of this and all earlier batches, for verification."""
         different = materialize(self._before(batch), "batch")
-        known = materialize(different.filter("n > 1 OR old IS NOT NULL").select("a", "s", F.coalesce("old.place", "place").alias("first"), F.coalesce("old.v", "v").alias("check"), "n"), "known")
+        known = materialize(different.filter("n > 1 OR old IS NOT NULL").select("a", "s", *R.first_place(F.coalesce("old.place", "place")), F.coalesce("old.v", "v").alias("check"), "n"), "known")
         met = R.placed(batch, self.unit, known, known.count()).filter(R.later(self.unit) & (F.col("v") == F.col("check")))
-        out = met.select(R.doc_of().alias("doc"), R.start_of().alias("start"), "c")
+        out = met.select("doc", "start", "c")
         new = different.filter("old IS NULL").select(*_RUN)
         n = new.count()
         asked = new.select("a", "place", "c", F.lit(True).alias("fresh"))
@@ -87,6 +87,7 @@ class FingerprintIndex:
             self._add_run(new)
             if len(self.runs) > self.fan:
                 self.compact()
+        release(different, known)
         return out
 
 

@@ -29,7 +29,7 @@ from weftgraph.llm import kernels as K
 from weftgraph.llm import repeats as R
 from weftgraph.llm.bloom import members
 from weftgraph.llm.run_index import RunIndex
-from weftgraph.llm.storage import join_groups, materialize
+from weftgraph.llm.storage import join_groups, materialize, release
 
 #: Most stretches of one anchor that meet in a shard, and stretches of a shard, about.
 GROUP, SHARD = 2000, 10_000
@@ -142,8 +142,10 @@ def _refined(texts: DataFrame, unit: R.Unit, group: int) -> list[DataFrame]:
         answers = marks.unionByName(few.filter("n > 1").select("k", "q", "n", "doc", "start", none.alias("at"), none.alias("size"), F.lit(False).alias("marked")))
         answers = materialize(answers.groupBy("k", "q").agg(F.max("n").alias("of"), F.max("doc").alias("first"), F.max(F.when(F.col("marked"), F.col("at"))).alias("at"), F.max(F.when(F.col("marked"), F.col("size"))).alias("size")), "answers")
         met = join_groups(rows, answers, ["k", "q"], "of", rows.count())
-        whole, shift = F.col("doc") > F.col("first"), (F.col("start") - F.col("origin")).cast("int")
-        at = F.when(whole, F.array(shift)).otherwise(F.transform("at", lambda x: x + shift))
+        # The shift is a column first: in a lambda beside an alias named start, start would mean the alias.
+        met = met.withColumn("shift", (F.col("start") - F.col("origin")).cast("int"))
+        whole = F.col("doc") > F.col("first")
+        at = F.when(whole, F.array("shift")).otherwise(F.transform("at", lambda x: x + F.col("shift")))
         size = F.when(whole, F.array("c")).otherwise(F.col("size"))
         out.append(met.select(F.col("a").alias("k"), F.col("s").alias("q"), "n", "doc", F.col("origin").alias("start"), at.alias("at"), size.alias("size")).filter("at IS NOT NULL"))
         many = groups.filter(F.col("m") > group)
@@ -165,12 +167,15 @@ def removed_strings(docs: DataFrame, unit: R.Unit = R.BYTES50, group: int = GROU
     shared = materialize(R.shared_anchors(docs, unit, buckets), "anchors")
     rows = R.stretch_rows(docs, unit, anchors=(members(shared, shared.count()), buckets))
     different = materialize(R.firsts(rows), "stretches")
-    known = materialize(different.filter("n > 1").select("a", "s", F.col("place").alias("first"), "n"), "known")
-    placed = R.placed(docs, unit, known, known.count()).filter("place <> first")
-    placed = materialize(placed.select("a", "s", R.doc_of().alias("doc"), R.start_of().alias("start"), "c", R.later(unit).alias("whole")), "placed")
+    release(shared)
+    known = materialize(different.filter("n > 1").select("a", "s", *R.first_place(F.col("place")), "n"), "known")
+    placed = R.placed(docs, unit, known, known.count()).filter("doc <> first_doc OR start <> first_start")
+    placed = materialize(placed.select("a", "s", "doc", "start", "c", R.later(unit).alias("whole")), "placed")
+    release(known)
     again = placed.filter("NOT whole").select("a", "s", "doc", "start").distinct()
     rivals = R.contested(different.withColumn("fresh", F.lit(True)), different.count()).select(F.col("a").alias("k"), F.col("s").alias("q"), "n", "m", R.doc_of().alias("doc"), R.start_of().alias("start"), "c", "p")
     rivals = materialize(rivals, "rivals")
+    release(different)
     texts = lambda asked: R.with_requests(docs, asked, "start c p k q n").mapInArrow(K.tidy(_contexts(unit)), _TEXT)
     few, many = rivals.filter(F.col("m") <= group), rivals.filter(F.col("m") > group)
     marks = [_indexed(texts(few), unit, few.count())]
@@ -179,6 +184,7 @@ def removed_strings(docs: DataFrame, unit: R.Unit = R.BYTES50, group: int = GROU
     for i, x in enumerate(marks[1:], 1):
         marks[0] = marks[0].unionByName(x)
     marks = materialize(marks[0], "marks")
+    release(rivals)
     held = marks.filter("n > 1").select(F.col("k").alias("a"), F.col("q").alias("s"), "at", "size")
     elsewhere = again.join(held, ["a", "s"])
     return placed.filter("whole").select("doc", "start", "c").unionByName(_spread(marks)).unionByName(_spread(elsewhere))
