@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
+from weftgraph.llm.storage import materialize
 
 #: Hash functions, bits for each row, most bits of one filter (16 MB of plane), and bits of one of the shards that merge it.
 PROBES, BITS_PER_ROW, MAX_BITS, SHARD_BITS = 4, 8, 1 << 27, 1 << 21
@@ -89,17 +90,50 @@ def members(hashed: DataFrame, n: int, max_bits: int = MAX_BITS) -> Plane:
     return _plane(hashed, 1 << max(13, (min(n * BITS_PER_ROW, max_bits) - 1).bit_length()), False)
 
 
-def repeat_tests(hashed: DataFrame, n: int, max_bits: int = MAX_BITS):
-    """(turn, turns, plane) for each filter: ``plane.test`` maps a hash column to false where it occurs once for sure.
+def _deal(ranges: int):
+    """One task's different hashes by range, packed, with a mark on those it saw twice."""
 
-    The filter's size follows the row count. Beyond ``max_bits`` the hashes are dealt over several
-    filters, one after the other, so that what is broadcast stays within ``max_bits / 8`` bytes.
-    """
-    bits = 1 << max(13, (min(n * BITS_PER_ROW, max_bits) - 1).bit_length())
-    turns = max(1, -(-n * BITS_PER_ROW // max_bits))
-    for turn in range(turns):
-        yield turn, turns, _plane(hashed.filter(in_turn(F.col("h"), turn, turns)), bits, True)
+    def run(batches):
+        for b in batches:
+            h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False).astype(_U), return_counts=True)
+            held, cut = np.unique((h >> _U(32)) * _U(ranges) >> _U(32), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([x.tobytes() for x in np.split(h, cut[1:])], pa.binary()), pa.array([np.packbits(x).tobytes() for x in np.split(n > 1, cut[1:])], pa.binary())], ["range", "once", "twice"])
+
+    return run
+
+
+def _range_repeats(bits: int):
+    """The hashes of one range that may occur twice, by two planes of its own."""
 
+    def run(table: pa.Table) -> pa.Table:
+        first, again = np.zeros(bits, bool), np.zeros(bits, bool)
+        parts = [(np.frombuffer(x, _U), np.unpackbits(np.frombuffer(y, np.uint8), count=len(x) // 8).astype(bool)) for x, y in zip(table["once"].to_pylist(), table["twice"].to_pylist(), strict=True)]
+        for h, twice in parts:
+            p = _positions(h, bits)
+            again[p[first[p].all(axis=1) | twice]] = True
+            first[p] = True
+        maybe = np.unique(np.concatenate([h[again[_positions(h, bits)].all(axis=1)] for h, _ in parts]))
+        return pa.table({"h": pa.array(maybe.view(np.int64))})
+
+    return run
 
-def in_turn(h: F.Column, turn: int, turns: int) -> F.Column:
-    return F.lit(True) if turns == 1 else F.pmod(F.shiftrightunsigned(h, 40), F.lit(turns)) == turn
+
+def split_repeats(hashed: DataFrame, n: int, max_bits: int = MAX_BITS):
+    """A function that parts a table with a column h into (rows whose h occurs once among the ``n`` rows of ``hashed``
+    for sure, rows that may repeat).
+
+    The filter has two planes, bits set once and bits set again. Up to ``max_bits`` its second plane is sent to the
+    tasks. Beyond, hashes are dealt by range over tasks, eight bytes each and different ones alone, each range with
+    planes of its own; the hashes found are sent as a filter if it fits, else they meet the rows in a join.
+    """
+    if n * BITS_PER_ROW <= max_bits:
+        bits = 1 << max(13, (n * BITS_PER_ROW - 1).bit_length())
+        plane = _plane(hashed, bits, True)
+        return lambda rows: (rows.filter(~plane.test("h")), rows.filter(plane.test("h")))
+    ranges, bits = -(-n * BITS_PER_ROW * 2 // max_bits), max_bits
+    found = materialize(hashed.select("h").mapInArrow(K.tidy(_deal(ranges)), "range int, once binary, twice binary").groupBy("range").applyInArrow(_range_repeats(bits), "h long"), "repeated")
+    m = found.count()
+    if m * BITS_PER_ROW <= max_bits:
+        plane = members(found, m, max_bits)
+        return lambda rows: (rows.filter(~plane.test("h")), rows.filter(plane.test("h")))
+    return lambda rows: (rows.join(found, "h", "left_anti"), rows.join(found, "h", "left_semi"))

@@ -1,14 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Each text's byte n-grams of ``ORDERS`` lengths fall into ``BUCKETS`` buckets. Counts for each language are made
-by the tasks over labelled documents and summed; the matrix of log probabilities is broadcast (its size
-is languages x buckets, whatever the corpus), and a batch is scored by one sparse product.
+Each text's n-grams of ``ORDERS`` characters (code points; A-Z in lower case) fall into ``BUCKETS`` buckets. Counts for
+each language are made by the tasks over labelled documents and summed; the matrix of log probabilities is broadcast
+(its size is languages x buckets, whatever the corpus) with the languages' log shares among all labelled documents, and
+a batch is scored by one sparse product.
 
 The labelled documents used are a bounded sample: about ``per_lang`` of each language, chosen
 by a hash of doc_id. Texts are read whole.
 
 Defined results: ``und`` with score 0 for null text or text without a letter; ties go to the language first in the
-alphabet; rows that repeat an id are scored each; a table without labelled rows gives ``und`` throughout;
+alphabet; rows that repeat an id are scored each; a very long text is a block of its own, whose n-grams are counted
+together; a table without labelled rows gives ``und`` throughout;
 other columns are not read.
 """
 
@@ -26,26 +28,37 @@ ORDERS, BUCKETS, PER_LANG, SMOOTHING, UNKNOWN = (1, 2, 3, 4), 1 << 15, 4000, 0.5
 _U = np.uint64
 
 
+def characters(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of a block (its UTF-8 bytes; A-Z as a-z, white space as the blank), and its document."""
+    data = block.data
+    low = np.arange(256, dtype=np.uint32)
+    low[0x41:0x5B] += 0x20
+    low[list(K.SPACES)] = 0x20
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(np.append(lead, len(data)))
+    out = low[data[lead]]
+    for i in range(1, 4):
+        more = np.flatnonzero(size > i)
+        out[more] = out[more] << np.uint32(8) | data[lead[more] + i]
+    owner = np.searchsorted(block.end, lead)  # a document's closing space is its own
+    return out, owner
+
+
 def grams(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of every n-gram; a space is put before a text and after it, white space counts as one kind of space."""
-    codes = K.FOLDED.copy()
-    codes[list(K.SPACES)] = codes[0x20]
-    raw = np.concatenate([[0x20], block.data]).astype(np.uint8)
-    v = codes[raw]
-    owner = np.repeat(np.arange(len(block), dtype=np.int32), block.end - block.begin + 1)
+    chars, owner = characters(block)
+    first = np.searchsorted(owner, np.arange(len(block)))
+    v = K.mix(np.insert(chars, first, 0x20).astype(_U) + _U(0x51ED27))
+    own = np.insert(owner, first, np.arange(len(block)))
     docs, buckets = [], []
     for n in ORDERS:
         h = v[: max(0, len(v) - n + 1)].copy()
         for i in range(1, n):
             h *= K.BASE
             h += v[i : i + len(h)]
-        # Entry i covers raw[i : i + n], the text from i - 1 on; what would run past a text's closing space is left out.
-        h = h[:-1] if n == 1 else h
-        own = owner[: len(h)]
-        inside = own == owner[np.minimum(np.arange(len(h)) + max(0, n - 2), len(owner) - 1)]
-        h = h * _U(0x9E3779B97F4A7C15) + _U(n)
-        buckets.append((h >> _U(64 - 15)).astype(np.int32)[inside])
-        docs.append(own[inside])
+        inside = own[: len(h)] == own[n - 1 : n - 1 + len(h)]
+        buckets.append((K.mix(h + _U(n)) >> _U(64 - 15)).astype(np.int32)[inside])
+        docs.append(own[: len(h)][inside])
     return np.concatenate(docs), np.concatenate(buckets)
 
 
@@ -76,13 +89,13 @@ def _count(langs: list[str]):
     return run
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the matrix (languages + 1) x buckets; its last row is unused at scoring, the prior stands apart."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, the matrix languages x buckets of log probabilities, and the log prior (shares of all labelled documents)."""
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.coalesce(F.col("doc_id"), F.lit(0))))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((0, BUCKETS), np.float32)
+        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
     rate = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / sizes[x]))) for x in langs))
     share = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     parts = known.filter(share < rate).select("text", "lang").mapInArrow(K.tidy(_count(langs)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
@@ -90,11 +103,12 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarra
     for r in parts.toArrow().to_batches():
         table[r.column(0).to_numpy()] = r.column(1).to_numpy()
     table = table.reshape(len(langs), BUCKETS) + SMOOTHING
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    prior = np.log([sizes[x] / sum(sizes.values()) for x in langs])
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32), prior
 
 
-def score_texts(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the best language's number, and its probability per the mean n-gram evidence of a window of 32."""
+def score_texts(texts: list[bytes], weights: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the best language's number, and its probability by the evidence of at most 256 mean n-grams."""
     best, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     by_bucket = np.ascontiguousarray(weights.T)
     for block in K.blocks(texts, K.BLOCK // 2):
@@ -103,26 +117,26 @@ def score_texts(texts: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np
         bounds = np.searchsorted(doc, np.arange(len(block)))
         sums = np.add.reduceat(np.vstack([product, np.zeros((1, product.shape[1]), product.dtype)]).astype(np.float64), bounds, axis=0)
         total = np.add.reduceat(np.append(n, 0), bounds)
-        mean = sums / np.maximum(total, 1)[:, None] * np.minimum(total, 256)[:, None]
+        mean = sums / np.maximum(total, 1)[:, None] * np.minimum(total, 256)[:, None] + prior
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         at = slice(block.first, block.first + len(block))
-        best[at], sure[at] = sums.argmax(axis=1), p.max(axis=1) / p.sum(axis=1)
+        best[at] = (sums + prior).argmax(axis=1)
+        sure[at] = p[np.arange(len(block)), best[at]] / p.sum(axis=1)
     return best, sure
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of ``docs`` (doc_id, text, lang)."""
     modest_batches(docs.sparkSession)
-    langs, weights = fit(docs, per_lang)
-    sent = docs.sparkSession.sparkContext.broadcast((langs, weights))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, per_lang))
 
     def run(batches):
-        names, w = sent.value
+        names, w, prior = sent.value
         for b in batches:
             spoken = np.array(b.column(2).to_numpy(zero_copy_only=False), bool)
             n = b.num_rows
             if names:
-                best, sure = score_texts(K.encoded(b.column(3)), w)
+                best, sure = score_texts(K.encoded(b.column(3)), w, prior)
                 lang = [names[i] if s else UNKNOWN for i, s in zip(best.tolist(), spoken, strict=True)]
                 sure = np.where(spoken, sure, 0.0)
             else:

@@ -2,13 +2,15 @@
 
 Each document's rolling word pairs are exploded with their positions and joined to the template
 positions of the same pair. A match votes for the diagonal (document position less template
-position). A phrase stands where its diagonal has every vote; for longer templates, diagonals with
-at least two votes that lie near each other (words put in or left out) are merged, and the span
-counts once enough of the template's pairs voted. The join compares the pairs themselves, not only
+position); diagonals that lie near each other (words put in or left out) are merged. A merged region is then
+verified: its longest chain of matches in the order of both the text and the template, consecutive ones at most
+``NEAR`` diagonals apart, says which share of the template's pairs stands there; a pair counts once. A phrase
+stands where its diagonal has every vote. The join compares the pairs themselves, not only
 their hashes, so every vote is verified.
 
 Defined results: null or empty text has no words, no label and score 0; rows that repeat an id are
-scanned each on their own; other columns are not read; an empty table gives an empty table.
+scanned each on their own; a very long text is one row of words, exploded as it is read; other columns are not read;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql.window import Window
 
 #: (phrase, label): counted wherever all words stand consecutively.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: (label, template): found where COVERAGE of the word pairs vote for neighbouring diagonals.
+#: (label, template): found where a chain of matches holds COVERAGE of the word pairs; of fewer than eight pairs, all.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -34,8 +36,8 @@ TEMPLATES = [
     ("released-mit", "released under the mit license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-#: Share of a template's pairs that must vote, and how far apart diagonals of one span may lie.
-COVERAGE, NEAR = 0.8, 3
+#: Share of a template's pairs that a chain must hold, and how far apart diagonals of consecutive matches may lie.
+COVERAGE, NEAR = 0.875, 3
 _MARK = "\0"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,23 +70,38 @@ def word_list(text: F.Column) -> F.Column:
 
 
 def votes(docs: DataFrame, base=None, templates=None) -> DataFrame:
-    """(row, doc_id, template, diagonal, votes, ...) of each document; the mark's diagonal is the word count."""
+    """(row, doc_id, template, diagonal, at: template positions that voted, ...) of each document; the mark's diagonal is the word count."""
     cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), word_list(F.col("text")).alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
     gram = cut.select("row", "doc_id", F.posexplode(F.concat(pairs, F.array(F.lit(_MARK)))).alias("pos", "gram")).withColumn("h", F.xxhash64("gram"))
     met = gram.join(F.broadcast(_templates(docs.sparkSession, base, templates)), "h").filter(F.col("gram") == F.col("pair"))
-    return met.groupBy("row", "doc_id", "template", "is_base", "label", "pairs", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
+    return met.groupBy("row", "doc_id", "template", "is_base", "label", "pairs", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"))
+
+
+def chain(matches: F.Column, pairs: F.Column) -> F.Column:
+    """Matches (pos, tpos) of the longest chain: both rise, and consecutive ones lie at most NEAR diagonals apart."""
+
+    def add(state, x):
+        # What lies further back than a template reaches can't be a link's other end.
+        recent = F.filter(state["recent"], lambda r: r["pos"] >= x["pos"] - pairs - NEAR)
+        before = F.filter(recent, lambda r: (r["tpos"] < x["tpos"]) & (r["pos"] < x["pos"]) & (F.abs((x["pos"] - x["tpos"]) - (r["pos"] - r["tpos"])) <= NEAR))
+        best = F.coalesce(F.array_max(F.transform(before, lambda r: r["best"])), F.lit(0)) + 1
+        return F.struct(F.concat(recent, F.array(F.struct(x["pos"].alias("pos"), x["tpos"].alias("tpos"), best.alias("best")))).alias("recent"), F.greatest(state["most"], best).alias("most"))
+
+    start = F.struct(F.array().cast("array<struct<pos:int,tpos:int,best:int>>").alias("recent"), F.lit(0).alias("most"))
+    return F.aggregate(F.array_sort(matches), start, add)["most"]
 
 
 def spans(docs: DataFrame, base=None, templates=None) -> DataFrame:
-    """Votes of neighbouring diagonals taken together: adds ``first`` (start word) and ``share`` (0 to 1)."""
-    v = votes(docs, base, templates)
+    """Neighbouring diagonals taken together and verified: ``first`` (start word) and ``share`` (0 to 1) of each template's regions."""
     one = Window.partitionBy("row", "doc_id", "template").orderBy("diagonal")
-    loose = v.filter("NOT is_base AND template >= 0 AND (votes > 1 OR pairs = 1)")
-    loose = loose.withColumn("group", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(one) <= NEAR, 0).otherwise(1)).over(one))
-    loose = loose.groupBy("row", "doc_id", "template", "is_base", "label", "pairs", "group").agg(F.min("diagonal").alias("first"), F.sum("votes").alias("votes"))
-    strict = v.filter("is_base OR template < 0").withColumnRenamed("diagonal", "first")
-    return strict.unionByName(loose.drop("group")).withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("pairs")))
+    near = F.when(F.col("is_base"), 0).otherwise(NEAR)
+    v = votes(docs, base, templates)
+    v = v.withColumn("group", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(one) <= near, 0).otherwise(1)).over(one))
+    matches = F.transform("at", lambda t: F.struct((F.col("diagonal") + t).alias("pos"), t.alias("tpos")))
+    merged = v.groupBy("row", "doc_id", "template", "is_base", "label", "pairs", "group").agg(F.min("diagonal").alias("first"), F.flatten(F.collect_list(matches)).alias("matches"))
+    length = F.when(F.col("is_base") | (F.size("matches") < 2), F.size("matches")).otherwise(chain(F.col("matches"), F.col("pairs")))
+    return merged.select("row", "doc_id", "template", "is_base", "label", "first", (length / F.col("pairs")).alias("share"))
 
 
 def scan(docs: DataFrame, base=None, templates=None, coverage: float = COVERAGE) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Rows with the same set of word shingles collapse to one set first. Each set's signature is put
 into ``TREES`` sorted orders, each beginning at another slot; an order is range-partitioned over the whole key, so
-no prefix, however common, gathers in one task. In each order every set meets the ``REACH`` next ones. A small
-sketch drops chance neighbours; pairs that are left are confirmed on the full sets: first chains and best partners,
-then, after components are taken, every pair that still lies between two components. Last come crowds: regions of an
-order whose rows share its first ``PREFIX`` slots and are too many to have all met. Where a region still holds several
-components, its sets are dealt over blocks and every pair between two components is compared in full. So each pair
-that shares the first ``PREFIX`` slots of any order is tested, however many others share them.
+no prefix, however common, gathers in one task. In each order every set meets the ``REACH`` next ones, those with the
+longest common prefixes, whatever its depth is there; rows at the border of two tasks meet by a join on the border. A
+small sketch drops chance neighbours; pairs that are left are confirmed on the full sets: first chains and best
+partners, then, after components are taken, every pair that still lies between two components. Last come crowds:
+regions of an order whose rows share its first ``PREFIX`` slots and are too many to have all met. There the depth is
+cut to ``PREFIX``: where a region still holds several components, its sets are dealt over blocks and every pair
+between two components is compared in full. So each pair that shares the first ``PREFIX`` slots of any order is
+tested, however many others share them; the work of a crowd that stays apart grows with its square.
 
 Defined results: a text without words, or null, has the empty set and is linked with nothing; with fewer words
 than ``k``, the whole sequence is one shingle; rows that repeat an id are one document; rows without
-an id share the component of their text if another row has it, else they stay and have none; an empty table gives an
-empty table; other columns pass untouched.
+an id share the component of their text if another row has it, else they stay and have none; of a very long text the
+whole set of shingle hashes, eight bytes each, is held by one task at a time; an empty table gives an empty table; other
+columns pass untouched.
 """
 
 from __future__ import annotations
@@ -158,15 +161,10 @@ def _neighbours(percent: int):
             cols = [col("id"), none(pa.int64()), none(pa.int64()), none(pa.bool_()), col("tree"), pa.array(np.full(m, part), pa.int64()), pa.array(where, pa.int64()), col("key"), col("s0"), col("s1"), col("n")]
             yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], _NAMES)
 
-    def across(batches):
-        """All tasks' first and last rows, in order, in one small task: pairs over a border."""
-        got = [b for b in batches if b.num_rows]
-        if got:
-            table = pa.Table.from_batches(got).sort_by([("part", "ascending"), ("place", "ascending")])
-            keep = np.ones(len(table), bool)
-            p, q = table["part"].to_numpy(), table["place"].to_numpy()
-            keep[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-            yield rows(*pairs(table.filter(pa.array(keep)).rename_columns(["id", *table.column_names[1:]])))
+    def across(table: pa.Table) -> pa.Table:
+        """Pairs over one border, of the rows that end one task and those that begin the next."""
+        table = table.sort_by([("part", "ascending"), ("place", "ascending")])
+        return pa.Table.from_batches([rows(*pairs(table.rename_columns(["id", *table.column_names[1:]])))])
 
     return run, across
 
@@ -174,13 +172,35 @@ def _neighbours(percent: int):
 _NAMES = [x.split()[0] for x in _PAIR.split(", ")]
 
 
+def _borders(counts: dict[int, int]) -> list[tuple[int, int, bool]]:
+    """(border, task, whether its last rows) of the rows that meet over the borders of tasks with ``counts`` rows each.
+    Past a task with fewer rows than the reach, the next one's first rows come too."""
+    parts = sorted(counts)
+    out = []
+    for i, p in enumerate(parts[:-1]):
+        out.append((p, p, True))
+        met = 0
+        for q in parts[i + 1 :]:
+            out.append((p, q, False))
+            met += counts[q]
+            if met >= REACH:
+                break
+    return out
+
+
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs a < b of ``sets`` (id, n, sig), their sketches' distance, and whether they are next to each other early on."""
     orders = sets.select("id", "n", "sig").mapInArrow(K.tidy(_orders), "tree int, key binary, s0 long, s1 long, id long, n long")
     run, across = _neighbours(percent)
     met = materialize(orders.repartitionByRange("tree", "key", "s0", "s1", "id").sortWithinPartitions("tree", "key", "s0", "s1", "id").mapInArrow(K.tidy(run), _PAIR), "forest")
-    ends = met.filter("b IS NULL").coalesce(1).mapInArrow(K.tidy(across), _PAIR)
-    pairs = met.filter("b IS NOT NULL").unionByName(ends)
+    ends, pairs = met.filter("b IS NULL"), met.filter("b IS NOT NULL")
+    counts = {r["part"]: r["n"] for r in ends.groupBy("part").agg((F.max("place") + 1).alias("n")).collect()}  # a number for each task
+    borders = _borders(counts)
+    if borders:
+        meets = F.broadcast(met.sparkSession.createDataFrame([(g, p, last, counts[p]) for g, p, last in borders], "border long, at long, last boolean, rows long"))
+        side = F.when(F.col("last"), F.col("place") >= F.col("rows") - REACH).otherwise(F.col("place") < REACH)
+        over = ends.join(meets, F.col("part") == F.col("at")).filter(side).select("border", *_NAMES).dropDuplicates(["border", "part", "place"])
+        pairs = pairs.unionByName(over.groupBy("border").applyInArrow(lambda t: across(t.drop(["border"])), _PAIR))
     return pairs.groupBy("a", "b").agg(F.min("off").alias("off"), F.max("near").alias("near"))
 
 

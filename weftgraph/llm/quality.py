@@ -10,7 +10,7 @@ Scoring reads every byte of every text. The class shares of all labels set the p
 
 Defined results: null or empty text is scored as one chunk of padding; labels that are null are not
 used, and of repeated labels the lowest counts; without labels of both classes every score is the prior (1 without
-any label); rows that repeat an id are scored each; an empty table gives an empty table; other columns are kept by
+any label); rows that repeat an id are scored each; of a very long text 64 chunks at a time are laid out; an empty table gives an empty table; other columns are kept by
 ``keep`` and not read.
 """
 
@@ -51,15 +51,18 @@ def fresh(seed: int = 11) -> Network:
     return Network(f(256, DIMS) * 0.5, f(WIDTH * DIMS, FILTERS) * 0.2, np.zeros(FILTERS, np.float32), f(2 * FILTERS) * 0.05, np.zeros(1, np.float32))
 
 
-def chunks_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All chunks of the documents (zero bytes pad the last ones) and the number of each document's first."""
+def chunk_starts(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the documents' chunks begin and their documents end, and the number of each document's first chunk."""
     step = CHUNK - OVERLAP
     n = np.maximum(1, -(-(end - begin - OVERLAP) // step))
     first = np.cumsum(n) - n
-    at = np.repeat(begin - first * step, n) + np.arange(n.sum()) * step
+    return np.repeat(begin - first * step, n) + np.arange(n.sum()) * step, np.repeat(end, n), first
+
+
+def cut_chunks(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The chunks that begin ``at``; zero bytes stand past the end of a document."""
     where = at[:, None] + np.arange(CHUNK)
-    inside = where < np.repeat(end, n)[:, None]
-    return np.where(inside, data[np.minimum(where, len(data) - 1)], 0).astype(np.uint8), first
+    return np.where(where < end[:, None], data[np.minimum(where, len(data) - 1)], 0).astype(np.uint8)
 
 
 def _windows(net: Network, chunks: np.ndarray) -> np.ndarray:
@@ -76,10 +79,11 @@ def pooled(net: Network, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def logits(net: Network, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    chunks, first = chunks_of(data, begin, end)
-    top = np.concatenate([(np.ascontiguousarray(_windows(net, chunks[i : i + 64])).reshape(-1, WIDTH * DIMS) @ net.filters).reshape(-1, PLACES, FILTERS).max(axis=1) for i in range(0, len(chunks), 64)])
+    at, stop, first = chunk_starts(begin, end)
+    parts = (cut_chunks(data, at[i : i + 64], stop[i : i + 64]) for i in range(0, len(at), 64))
+    top = np.concatenate([(np.ascontiguousarray(_windows(net, x)).reshape(-1, WIDTH * DIMS) @ net.filters).reshape(-1, PLACES, FILTERS).max(axis=1) for x in parts])
     top = np.maximum(top + net.bias, 0)
-    mean = np.add.reduceat(top, first, axis=0) / np.diff(np.append(first, len(chunks)))[:, None]
+    mean = np.add.reduceat(top, first, axis=0) / np.diff(np.append(first, len(at)))[:, None]
     return np.hstack([mean, np.maximum.reduceat(top, first, axis=0)]) @ net.head + net.offset
 
 
@@ -135,10 +139,10 @@ def _take_chunks(limit: int):
             out = []
             for doc, text in zip(b.column(0).to_pylist(), K.encoded(b.column(1)), strict=True):
                 data = np.frombuffer(text + b" ", np.uint8)
-                chunks, _ = chunks_of(data, np.array([0]), np.array([len(text)]))
-                if len(chunks) > limit:
-                    chunks = chunks[np.sort(np.random.default_rng(zlib.crc32(str(doc).encode())).choice(len(chunks), limit, replace=False))]
-                out.append(chunks.tobytes())
+                at, stop, _ = chunk_starts(np.array([0]), np.array([len(text)]))
+                if len(at) > limit:
+                    at = at[np.sort(np.random.default_rng(zlib.crc32(str(doc).encode())).choice(len(at), limit, replace=False))]
+                out.append(cut_chunks(data, at, stop[: len(at)]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["doc_id", "chunks", "quality"])
 
     return run

@@ -77,14 +77,15 @@ t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_so
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op4_license_scan": f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_AZ}, '{_WORDS}') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_AZ}, '{_WORDS}') AS w FROM documents),
 t AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(pair, template, tpos, pairs, is_base, label)),
 g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pair FROM d WHERE len(w) > 1),
-v AS (SELECT doc_id, template, is_base, label, pairs, pos - tpos AS diagonal, count(*) AS votes FROM g JOIN t USING (pair) GROUP BY ALL),
-m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh FROM v WHERE NOT is_base AND (votes > 1 OR pairs = 1) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-c AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM m),
-s AS (SELECT doc_id, is_base, label, diagonal AS first, least(1.0, votes::DOUBLE / pairs) AS share FROM v WHERE is_base
-      UNION ALL SELECT doc_id, is_base, label, min(diagonal), least(1.0, sum(votes)::DOUBLE / pairs) FROM c GROUP BY doc_id, is_base, label, template, pairs, part),
+m AS (SELECT doc_id, template, is_base, label, pairs, pos, tpos FROM g JOIN t USING (pair)),
+c AS (SELECT doc_id, template, label, pairs, pos, tpos, 1 AS n FROM m WHERE NOT is_base
+      UNION SELECT m.doc_id, m.template, m.label, m.pairs, m.pos, m.tpos, c.n + 1 FROM c JOIN m ON m.doc_id = c.doc_id AND m.template = c.template
+      WHERE m.tpos > c.tpos AND m.pos > c.pos AND abs((m.pos - m.tpos) - (c.pos - c.tpos)) <= {licenses.NEAR}),
+s AS (SELECT doc_id, is_base, label, pos - tpos AS first, count(*) / pairs AS share FROM m WHERE is_base GROUP BY doc_id, is_base, label, template, pairs, pos - tpos
+      UNION ALL SELECT doc_id, false, label, NULL, max(n) / any_value(pairs) FROM c GROUP BY doc_id, template, label),
 r AS (SELECT doc_id, count(*) FILTER (is_base AND share = 1) AS n_base, min(first) FILTER (is_base AND share = 1) AS first_word, max(first) FILTER (is_base AND share = 1) AS last_word,
       array_to_string(list_sort(list(DISTINCT label) FILTER (is_base AND share = 1)), ',') AS base_labels,
       array_to_string(list_sort(list(DISTINCT label) FILTER ((is_base AND share = 1) OR (NOT is_base AND share >= {licenses.COVERAGE}))), ',') AS labels, max(share) AS score FROM s GROUP BY doc_id)
@@ -95,7 +96,7 @@ p AS (SELECT DISTINCT conv_id, role AS perspective FROM c WHERE role <> 'system'
 h AS (SELECT c.*, perspective, role = perspective AS own, '{chat.OPEN}' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head FROM c JOIN p USING (conv_id)),
 o AS (SELECT *, length(head) + length(text) + {len(chat.CLOSE)} + 1 AS size, row_number() OVER (PARTITION BY conv_id, perspective, segment ORDER BY turn, role, text) AS n FROM h),
 a AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id, perspective, segment ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS begins FROM o)
-SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.CLOSE}' || chr(10), '' ORDER BY n) AS text,
+SELECT conv_id, perspective, segment, min(turn)::BIGINT AS first_turn, count(*) AS n_turns, count(*) FILTER (own) AS n_own, string_agg(head || text || '{chat.CLOSE}' || chr(10), '' ORDER BY n) AS text,
        coalesce(string_agg(begins || '-' || (begins + length(text) + {len(chat.CLOSE)}), ',' ORDER BY n) FILTER (own), '') AS mask FROM a GROUP BY conv_id, perspective, segment""",
     "op7_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
