@@ -92,7 +92,7 @@ CASES = [
     ("a.ts", "typescript", "const app = express();\napp.get('/x', f);", {("typescript.express_routes", "endpoint", "GET /x")}), ("c.ts", "typescript", "@Controller('cats')\nexport class Cats {\n  @Get(':id')\n  one() {}\n}", {("typescript.nestjs_controllers", "class", "Cats"), ("typescript.nestjs_controllers", "endpoint", "GET :id")}), ("B.tsx", "typescript", "import React from 'react';\nexport function Box() { return <Inner/>; }\nconst useIt = () => 1;", {("frontend.react_components", "component", "Box"), ("frontend.react_components", "hook", "useIt")}), ("k.ts", "typescript", "import { Kafka } from 'kafkajs';\nconst k = new Kafka({});\np.send({ topic: 'a' })", {("kafka_js", "topic", "kafka:a")}),
     ("m.go", "go", 'package main\n\nimport (\n\t"fmt"\n)\n\ntype S struct {}\n\nfunc (s *S) Run() {}\nfunc f() { r.GET("/x", h) }', {("go_structures", "class", "S"), ("go_structures", "method", "Run"), ("go_web", "endpoint", "GET /x")}), ("m.rs", "rust", '#[get("/x")]\nasync fn x() {}\npub struct P;\nimpl T for P {}', {("actix_web", "endpoint", "GET /x"), ("rust_structures", "class", "P")}), ("m.cs", "csharp", 'namespace N;\npublic class A : B, IC {}\napp.MapGet("/x", f);', {("csharp_structures", "class", "A"), ("csharp_minimal_apis", "endpoint", "GET /x")}), ("m.kt", "kotlin", 'import io.ktor.server\nrouting { get("/x") { } }\nclass A : B()', {("ktor_routes", "endpoint", "GET /x"), ("kotlin_structures", "class", "A")}),
     ("m.scala", "scala", "trait T\nclass A extends B with T { def f = 1 }", {("scala_structures", "class", "A"), ("scala_structures", "interface", "T")}), ("m.cpp", "cpp", '#include <vector>\nclass A : public B {\n};\nint f(int x) {\n}', {("cpp_structures", "class", "A"), ("cpp_structures", "method", "f")}), ("s.sql", "sql", "CREATE TABLE a (id int REFERENCES b(id));", {("sql_structure", "entity", "a"), ("sql_migration", "sql_entity", "a")}), ("m.tf", "terraform", 'resource "aws_s3_bucket" "b" {}\nvariable "v" {}', {("terraform", "infra_resource", "aws_s3_bucket.b"), ("terraform", "config_definition", "v")}),
-    ("Dockerfile", "dockerfile", "FROM python:3 AS base\nEXPOSE 80\nENV A=1", {("dockerfile", "infra_resource", "python:3"), ("dockerfile", "endpoint", "port 80")}), ("m.proto", "proto", "package p;\nservice S {\n  rpc Do (A) returns (B);\n}\nmessage A {}", {("proto_structure", "interface", "S"), ("proto_structure", "method", "Do"), ("proto_structure", "protocol_message", "A")}), ("r.md", "markdown", "# Top\n[x](other.md)", {("markdown_structure", "config_key", "Top")}), ("b.sh", "bash", "#!/bin/sh\nrun() {\n docker ps\n}\nexport A=1", {("bash", "method", "run"), ("bash", "config_definition", "A")}),
+    ("Dockerfile", "dockerfile", "FROM python:3 AS base\nEXPOSE 80\nENV A=1", {("dockerfile", "infra_resource", "FROM python:3 AS base"), ("dockerfile", "endpoint", "port 80")}), ("m.proto", "proto", "package p;\nservice S {\n  rpc Do (A) returns (B);\n}\nmessage A {}", {("proto_structure", "interface", "S"), ("proto_structure", "method", "Do"), ("proto_structure", "protocol_message", "A")}), ("r.md", "markdown", "# Top\n[x](other.md)", {("markdown_structure", "config_key", "Top")}), ("b.sh", "bash", "#!/bin/sh\nrun() {\n docker ps\n}\nexport A=1", {("bash", "method", "run"), ("bash", "config_definition", "A")}),
     (".github/workflows/ci.yml", "yaml", "name: CI\non: [push]\njobs:\n  a: {}\n  b: {needs: a}", {("github_actions", "module", "CI"), ("github_actions", "method", "b")}), ("docker-compose.yml", "yaml", "services:\n  web: {image: x, depends_on: [db]}\n  db: {image: y}", {("docker_compose", "infra_resource", "web")}), ("k.yaml", "yaml", "apiVersion: v1\nkind: Service\nmetadata: {name: s}\nspec: {selector: {app: a}}\n---\napiVersion: apps/v1\nkind: Deployment\nmetadata: {name: d}\nspec: {template: {metadata: {labels: {app: a}}, spec: {containers: [{name: c, image: i}]}}}", {("kubernetes", "infra_resource", "Service/s"), ("kubernetes", "config_key", "c")}), ("package.json", "json", '{"name": "p", "scripts": {"t": "x"}, "dependencies": {"d": "1"}}', {("package_json", "module", "p"), ("package_json", "method", "t")}),
     ("o.yaml", "yaml", "openapi: 3.0.0\ninfo: {title: T}\npaths: {/x: {get: {}}}\ncomponents: {schemas: {A: {type: object}}}", {("openapi", "endpoint", "GET /x"), ("openapi", "entity", "A")}), ("pyproject.toml", "toml", '[project]\nname = "n"\ndependencies = ["d>=1"]\n[project.scripts]\nrun = "m:f"', {("pyproject_toml", "module", "n"), ("pyproject_toml", "config_definition", "run")}), ("tsconfig.json", "json", '{"extends": "./b", "compilerOptions": {"strict": true}}', {("tsconfig_json", "config_key", "strict")}), ("a.properties", "properties", "spring.datasource.url=jdbc:mysql://h/d", {("properties", "database_connection", "spring.datasource.url")}),
 ]

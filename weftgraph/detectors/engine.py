@@ -63,6 +63,8 @@ class Rule:
     edges: tuple[tuple[str, str, str], ...] = ()
     flags: int = re.MULTILINE
     upper: tuple[str, ...] = ()
+    #: A pattern that must be somewhere in the file.
+    when: str = ""
 
     def __post_init__(self):
         self.regex = re.compile(self.pattern, self.flags)
@@ -84,6 +86,8 @@ class Detector:
             return out
         seen = set()
         for rule in self.rules:
+            if rule.when and not re.search(rule.when, file.text):
+                continue
             for m in rule.regex.finditer(file.text):
                 v = {k: x or "" for k, x in m.groupdict().items()}
                 v |= {k: v[k].upper() for k in rule.upper if k in v}
@@ -96,6 +100,10 @@ class Detector:
                 for kind, src, dst in rule.edges:
                     if (edge := (kind, src.format(**v), dst.format(**v))) not in seen and not edge[2].endswith(":"):
                         seen.add(edge)
+                        if kind in ("imports", "depends_on") and src == "{file}" and edge[1] not in seen:
+                            # The file itself is a node, or its edges would dangle.
+                            seen.add(edge[1])
+                            out.node(edge[1], "module", file.path, file, module_type=f"{file.language}_file")
                         out.edge(*edge)
         if self.function:
             self.function(file, out)

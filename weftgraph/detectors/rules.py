@@ -62,7 +62,7 @@ CODE = (
     Detector("kotlin_structures", ("kotlin",), (_types(rf"^\s*{_CLASSY}(?:class|object)\s+(?P<name>\w+)", "class"), _types(r"^\s*(?:sealed\s+|fun\s+)?interface\s+(?P<name>\w+)", "interface"), Rule("method", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<name>\w+)\s*\(", "{name}", "{path}:{name}"), _imports(r"^import\s+(?P<name>[\w.]+)", "kotlin:external"), Rule(None, r"class\s+(?P<a>\w+)[^:{\n]*:\s*(?P<b>\w+)", "{b}", edges=(("extends", "{path}:{a}", "{b}"),)))),
     Detector("scala_structures", ("scala",), (_types(r"^\s*(?:\w+\s+)*(?:class|object)\s+(?P<name>\w+)", "class"), _types(r"^\s*(?:sealed\s+)?trait\s+(?P<name>\w+)", "interface"), Rule("method", r"^\s*(?:\w+\s+)*def\s+(?P<name>\w+)", "{name}", "{path}:{name}"), _imports(r"^\s*import\s+(?P<name>[\w.]+)", "scala:external"), Rule(None, r"class\s+(?P<a>\w+)[^{\n]*?\bextends\s+(?P<b>\w+)", "{b}", edges=(("extends", "{path}:{a}", "{b}"),)), Rule(None, r"class\s+(?P<a>\w+)[^{\n]*?\bwith\s+(?P<b>\w+)", "{b}", edges=(("implements", "{path}:{a}", "{b}"),)))),
     Detector("python_structures", ("python",), (_types(r"^class\s+(?P<name>\w+)", "class"), Rule("method", r"^\s*(?:async\s+)?def\s+(?P<name>\w+)", "{name}", "{path}:{name}:{line}", {}, (("defines", "{file}", "{path}:{name}:{line}"),)), _imports(r"^\s*(?:from\s+(?P<name>[\w.]+)\s+import|import\s+\w+)", "py:external"), _imports(r"^\s*import\s+(?P<name>[\w.]+)", "py:external"), Rule(None, r"^class\s+(?P<a>\w+)\(\s*(?P<b>[\w.]+)", "{b}", edges=(("extends", "{path}:{a}", "{b}"),)), Rule("module", r"^__all__\s*=\s*(?P<name>\[[^\]]*\])", "{path}", "{file}", {"all_exports": "{name}", "module_type": "python_file"}))),
-    Detector("typescript_structures", JS, (_types(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)", "class"), _types(r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)", "interface"), _types(r"^\s*(?:export\s+)?type\s+(?P<name>\w+)\s*[=<]", "class", alias="true"), _types(r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)", "enum"), Rule("method", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)", "{name}", "{path}:{name}"), Rule("method", r"^\s*(?:export\s+)?const\s+(?P<name>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>", "{name}", "{path}:{name}"), _imports(r"^\s*import\s[^'\"]*['\"](?P<name>[^'\"]+)['\"]", "ts:external"))),
+    Detector("typescript_structures", JS, (_types(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>\w+)", "class"), _types(r"^\s*(?:export\s+)?interface\s+(?P<name>\w+)", "interface"), _types(r"^\s*(?:export\s+)?type\s+(?P<name>\w+)\s*[=<]", "class", alias="true"), _types(r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(?P<name>\w+)", "enum"), Rule("method", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>\w+)", "{name}", "{path}:{name}"), Rule("method", r"^\s*(?:export\s+)?const\s+(?P<name>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>", "{name}", "{path}:{name}"), _imports(r"^\s*import\s[^'\"]*['\"](?P<name>[^'\"]+)['\"]", "ts:external"), Rule("module", r"^\s*(?:export\s+)?(?:declare\s+)?namespace\s+(?P<name>[\w.]+)", "{name}", "ts:{path}:namespace:{name}"))),
     Detector("cpp_structures", ("cpp", "c"), (_types(r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(?P<name>\w+)\s*(?:final\s*)?[:{]", "class"), _types(r"^\s*enum\s+(?:class\s+)?(?P<name>\w+)", "enum"), Rule("module", r"^\s*namespace\s+(?P<name>[\w:]+)", "{name}", "cpp:namespace:{name}", {"namespace": "{name}"}), Rule("method", r"^[\w:<>*&~ ]+?\b(?P<name>\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{", "{name}", "{path}:{name}"), _imports(r"^\s*#include\s*[<\"](?P<name>[^>\"]+)", "cpp:external"), Rule(None, r"(?:class|struct)\s+(?P<a>\w+)\s*(?:final\s*)?:\s*(?:public|private|protected)?\s*(?P<b>\w+)", "{b}", edges=(("extends", "{path}:{a}", "{b}"),)))),
     Detector("rust_structures", ("rust",), (Rule("module", r"^\s*(?:pub\s+)?mod\s+(?P<name>\w+)", "{name}", "{path}:mod:{name}"), _types(r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)", "class"), _types(r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)", "enum"), _types(r"^\s*(?:pub\s+)?trait\s+(?P<name>\w+)", "interface"), Rule("method", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+(?P<name>\w+)", "{name}", "{path}:{name}", {}, (("defines", "{file}", "{path}:{name}"),)), Rule("method", r"^\s*macro_rules!\s*(?P<name>\w+)", "{name}", "{path}:macro:{name}", {"type": "macro"}), _imports(r"^\s*(?:pub\s+)?use\s+(?P<name>[\w:]+)", "rust:external"), Rule(None, r"impl(?:<[^>]*>)?\s+(?P<b>\w+)(?:<[^>]*>)?\s+for\s+(?P<a>\w+)", "{b}", edges=(("implements", "{path}:{a}", "{b}"),)))),
     Detector("bash", ("bash",), (Rule("module", r"\A(?P<name>#!.*)?", "{path}", "{file}", {"shell": "{name}"}), Rule("method", r"^\s*(?:function\s+(?P<name>[\w-]+)|(?P<b>[\w-]+)\s*\(\)\s*\{)", "{name}{b}", "{path}:{name}{b}"), _imports(r"^\s*(?:source|\.)\s+(?P<name>[^\s;]+)", "bash:external"), Rule("config_definition", r"^\s*export\s+(?P<name>\w+)=", "{name}", "{path}:export:{name}"), Rule(None, r"^\s*(?:sudo\s+)?(?P<name>docker|kubectl|helm|terraform|aws|gcloud|az|npm|yarn|pip|mvn|gradle|make|git|curl|ansible)\b", "{name}", edges=(("calls", "{file}", "tool:{name}"),)))),
@@ -70,17 +70,37 @@ CODE = (
     Detector("batch_structure", ("batch",), (Rule("module", r"\A(?P<name>)", "{path}", "{file}"), Rule("method", r"^:(?P<name>[A-Za-z_]\w*)", "{name}", "{path}:{name}", {}, (("contains", "{file}", "{path}:{name}"),)), Rule("config_definition", r"(?i)^\s*@?set\s+(?:/[ap]\s+)?\"?(?P<name>\w+)=", "{name}", "{path}:set:{name}", {"variable": "{name}"}), Rule(None, r"(?i)^\s*@?call\s+:?(?P<name>[\w.\\-]+)", "{name}", edges=(("calls", "{file}", "{path}:{name}"),)))),
     Detector("markdown_structure", ("markdown",), (Rule("module", r"\A(?P<name>)", "{path}", "md:{path}"), Rule("config_key", r"^(?P<level>#{1,6})\s+(?P<name>.+?)\s*#*$", "{name}", "md:{path}:{line}", {"text": "{name}", "level": "{level}"}, (("contains", "md:{path}", "md:{path}:{line}"),)), Rule(None, r"\[(?P<text>[^\]]*)\]\((?P<name>(?!https?:|mailto:|#)[^)\s]+)", "{name}", edges=(("depends_on", "md:{path}", "{name}"),)))),
     Detector("proto_structure", ("proto",), (Rule("config_key", r"^\s*package\s+(?P<name>[\w.]+)", "{name}", "proto:{path}:package:{name}", {"package": "{name}"}), _imports(r"^\s*import\s+(?:public\s+)?\"(?P<name>[^\"]+)\"", "proto:external"), Rule("interface", r"^\s*service\s+(?P<name>\w+)", "{name}", "proto:{path}:service:{name}"), Rule("method", r"^\s*rpc\s+(?P<name>\w+)\s*\(\s*(?:stream\s+)?(?P<a>[\w.]+)\s*\)\s*returns\s*\(\s*(?:stream\s+)?(?P<b>[\w.]+)", "{name}", "proto:{path}:rpc:{name}", {"request_type": "{a}", "response_type": "{b}"}, (("contains", "{file}", "proto:{path}:rpc:{name}"),)), Rule("protocol_message", r"^\s*message\s+(?P<name>\w+)", "{name}", "proto:{path}:message:{name}"))),
-    Detector("bicep", ("bicep",), (Rule("azure_resource", r"^resource\s+(?P<name>\w+)\s+'(?P<type>Microsoft[^@']+)@?(?P<version>[^']*)'", "{name}", "bicep:{path}:{name}", {"azure_type": "{type}", "api_version": "{version}"}), Rule("infra_resource", r"^resource\s+(?P<name>\w+)\s+'(?!Microsoft)(?P<type>[^@']+)", "{name}", "bicep:{path}:{name}", {"azure_type": "{type}"}), Rule("config_key", r"^param\s+(?P<name>\w+)\s+(?P<type>\w+)", "{name}", "bicep:{path}:param:{name}", {"param_type": "{type}"}), Rule("external", r"^module\s+(?P<name>\w+)\s+'(?P<from>[^']+)'", "{name}", "bicep:module:{from}", {"module_name": "{name}", "module_path": "{from}"}, (("depends_on", "{file}", "bicep:module:{from}"),)))),
-    Detector("dockerfile", ("dockerfile",), (Rule("infra_resource", r"(?i)^FROM\s+(?P<name>\S+)(?:\s+AS\s+(?P<stage>\S+))?", "{name}", "docker:{path}:from:{name}", {"image": "{name}", "stage_alias": "{stage}"}, (("depends_on", "{file}", "docker:image:{name}"),)), Rule("endpoint", r"(?i)^EXPOSE\s+(?P<name>\d+)(?:/(?P<p>\w+))?", "port {name}", "docker:{path}:expose:{name}", {"port": "{name}", "protocol": "{p}"}), Rule("config_definition", r"(?i)^ENV\s+(?P<name>\w+)", "{name}", "docker:{path}:env:{name}", {"env_key": "{name}"}), Rule("config_definition", r"(?i)^ARG\s+(?P<name>\w+)", "{name}", "docker:{path}:arg:{name}", {"arg_name": "{name}"}), Rule("config_definition", r"(?i)^LABEL\s+(?P<name>[\w.-]+)=", "{name}", "docker:{path}:label:{name}", {"label_key": "{name}"}), Rule(None, r"(?i)^COPY\s+--from=(?P<name>\S+)", "{name}", edges=(("depends_on", "{file}", "docker:{path}:from:{name}"),)))),
+    Detector("bicep", ("bicep",), (Rule("azure_resource", r"^resource\s+(?P<name>\w+)\s+'(?P<type>Microsoft[^@']+)@?(?P<version>[^']*)'", "{name}", "bicep:{path}:{name}", {"azure_type": "{type}", "api_version": "{version}"}), Rule("infra_resource", r"^resource\s+(?P<name>\w+)\s+'(?!Microsoft)(?P<type>[^@']+)", "{name}", "bicep:{path}:{name}", {"azure_type": "{type}"}), Rule("config_key", r"^param\s+(?P<name>\w+)\s+(?P<type>\w+)", "{name}", "bicep:{path}:param:{name}", {"param_type": "{type}"}), Rule("infra_resource", r"^module\s+(?P<name>\w+)\s+'(?P<from>[^']+)'", "module {name} ({from})", "{path}:module:{name}", {"module_path": "{from}"}), Rule("external", r"^module\s+(?P<name>\w+)\s+'(?P<from>[^']+)'", "{from}", "bicep:external:{from}", {"module": "{from}"}, (("depends_on", "{file}", "bicep:external:{from}"),)))),
+    Detector("dockerfile", ("dockerfile",), (Rule("infra_resource", r"(?i)^FROM\s+(?P<name>\S+)\s+AS\s+(?P<stage>\S+)", "FROM {name} AS {stage}", "docker:{path}:from:{name}", {"image": "{name}", "stage_alias": "{stage}"}), Rule("infra_resource", r"(?i)^FROM\s+(?P<name>\S+)(?!\S)(?![ \t]+AS\s)", "FROM {name}", "docker:{path}:from:{name}", {"image": "{name}"}), Rule("external", r"(?i)^FROM\s+(?P<name>\S+)", "{name}", "docker:image:{name}", {"module": "{name}"}, (("depends_on", "{file}", "docker:image:{name}"),)), Rule("endpoint", r"(?i)^EXPOSE\s+(?P<name>\d+)(?:/(?P<p>\w+))?", "port {name}", "docker:{path}:expose:{name}", {"port": "{name}", "protocol": "{p}"}), Rule("config_definition", r"(?i)^ENV\s+(?P<name>\w+)", "{name}", "docker:{path}:env:{name}", {"env_key": "{name}"}), Rule("config_definition", r"(?i)^ARG\s+(?P<name>\w+)", "{name}", "docker:{path}:arg:{name}", {"arg_name": "{name}"}), Rule("config_definition", r"(?i)^LABEL\s+(?P<name>[\w.-]+)=", "{name}", "docker:{path}:label:{name}", {"label_key": "{name}"}), Rule(None, r"(?i)^COPY\s+--from=(?P<name>\S+)", "{name}", edges=(("depends_on", "{file}", "docker:{path}:from:{name}"),)))),
     Detector("terraform", ("terraform",), (Rule("infra_resource", r"^resource\s+\"(?P<type>[^\"_]+(?P<rest>[^\"]*))\"\s+\"(?P<name>[^\"]+)\"", "{type}.{name}", "tf:resource:{type}.{name}", {"resource_type": "{type}"}), Rule("infra_resource", r"^data\s+\"(?P<type>[^\"]+)\"\s+\"(?P<name>[^\"]+)\"", "data.{type}.{name}", "tf:data:{type}.{name}", {"data_source": "true", "resource_type": "{type}"}), Rule("module", r"^module\s+\"(?P<name>[^\"]+)\"\s*\{[^}]*?source\s*=\s*\"(?P<from>[^\"]+)\"", "{name}", "tf:module:{name}", {"module_source": "{from}"}, (("depends_on", "tf:module:{name}", "{from}"),)), Rule("config_definition", r"^(?P<type>variable|output|provider)\s+\"(?P<name>[^\"]+)\"", "{name}", "tf:{type}:{name}", {"config_type": "{type}"}))),
     Detector("sql_structure", ("sql",), (Rule("entity", r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?P<name>[\w.]+)", "{name}", "sql:table:{name}", {"entity_type": "table"}), Rule("entity", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:MATERIALIZED\s+)?VIEW\s+[`\"\[]?(?P<name>[\w.]+)", "{name}", "sql:view:{name}", {"entity_type": "view"}), Rule("config_definition", r"(?i)CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?P<name>[\w.]+)", "{name}", "sql:index:{name}", {"definition_type": "index"}), Rule("config_definition", r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:PROCEDURE|FUNCTION)\s+[`\"\[]?(?P<name>[\w.]+)", "{name}", "sql:procedure:{name}", {"definition_type": "procedure"}), Rule(None, r"(?is)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?P<a>[\w.]+)(?:(?!CREATE\s+TABLE).)*?REFERENCES\s+[`\"\[]?(?P<b>[\w.]+)", "{b}", edges=(("depends_on", "sql:table:{a}", "sql:table:{b}"),)))),
     Detector("sql_migration", ("sql", "python", "ruby", "xml", "yaml"), (Rule("sql_entity", r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?P<name>[\w.]+)", "{name}", "sql_entity:{name}", {"sql_object_type": "table", "table": "{name}"}, (("migrates", "migration:{path}", "sql_entity:{name}"),)), Rule("sql_entity", r"(?:op\.create_table\(\s*['\"]|create_table\s+:|<createTable[^>]*tableName=\"|tableName:\s*)(?P<name>\w+)", "{name}", "sql_entity:{name}", {"sql_object_type": "table", "table": "{name}"}, (("migrates", "migration:{path}", "sql_entity:{name}"),)), Rule("migration", r"\A(?P<name>)(?=(?:.|\n)*(?i:create\s+table|create_table|createTable|alter\s+table|changeSet))", "{path}", "migration:{path}", {"format": "{language}"}), Rule(None, r"(?i)REFERENCES\s+[`\"\[]?(?P<b>[\w.]+)", "{b}", edges=(("references_table", "migration:{path}", "sql_entity:{b}"),)))),
 )
 
-_MQ = (("active_mq", "activemq", ("ActiveMQ", "activemq", "artemis")), ("ibm_mq", "ibm_mq", ("MQQueueManager", "com.ibm.mq")), ("tibco_ems", "tibco_ems", ("Tibjms", "tibjms", "TibEMS")))
+_SENDS, _RECEIVES = r"\b(?:send|publish)\s*\(|\bMessageProducer\b", r"\b(?:receive|onMessage)\s*\(|\bMessageConsumer\b"
+
+
+def _mq(name: str, broker: str, needs: tuple[str, ...], server: Rule, queue: str, topic: str, sends: str = _SENDS, receives: str = _RECEIVES) -> Detector:
+    """Servers, queues and topics of a broker; whether the file's type sends or receives is told by calls anywhere in it."""
+    rules = [server]
+    for kind, pattern in (("queue", queue), ("topic", topic)):
+        id = f"{broker}:{kind}:{{name}}"
+        rules += [Rule(kind, pattern, id, id, {"broker": broker, kind: "{name}"}), Rule(None, pattern, "{name}", edges=(("sends_to", _OWNER, id),), when=sends), Rule(None, pattern, "{name}", edges=(("receives_from", _OWNER, id),), when=receives)]
+    return Detector(name, ("java",), tuple(rules), needs)
+
+
+def _factory(broker: str, pattern: str) -> Rule:
+    return Rule("message_queue", pattern, broker + ":{name}", broker + ":server:{name}", {"broker": broker, "factory_type": "{name}"}, (("connects_to", _OWNER, broker + ":server:{name}"),))
+
+
+_MQ = (
+    _mq("active_mq", "activemq", ("ActiveMQ", "activemq", "artemis"), _factory("activemq", r"new\s+(?P<name>\w*ConnectionFactory)\s*\("), r"(?:createQueue|new\s+ActiveMQQueue)\s*\(\s*\"(?P<name>[^\"]+)\"", r"(?:createTopic|new\s+ActiveMQTopic)\s*\(\s*\"(?P<name>[^\"]+)\""),
+    _mq("ibm_mq", "ibm_mq", ("MQQueueManager", "com.ibm.mq"), Rule("message_queue", r"new\s+MQQueueManager\s*\(\s*\"(?P<name>[^\"]+)\"", "ibm_mq:{name}", "ibm_mq:server:{name}", {"broker": "ibm_mq", "queue_manager": "{name}"}, (("connects_to", _OWNER, "ibm_mq:server:{name}"),)), r"(?:accessQueue|createQueue)\s*\(\s*\"(?P<name>[^\"]+)\"", r"createTopic\s*\(\s*\"(?P<name>[^\"]+)\"", r"\bput\s*\(", r"\bget\s*\("),
+    _mq("tibco_ems", "tibco_ems", ("Tibjms", "tibjms", "TibEMS"), _factory("tibco_ems", r"new\s+(?P<name>Tibjms(?:Queue|Topic)?ConnectionFactory)\s*\("), r"(?:createQueue|new\s+TibjmsQueue)\s*\(\s*\"(?P<name>[^\"]+)\"", r"(?:createTopic|new\s+TibjmsTopic)\s*\(\s*\"(?P<name>[^\"]+)\""),
+)
 JVM = (
-    *(Detector(name, ("java",), (Rule("message_queue", r"new\s+(?P<name>\w*(?:ConnectionFactory|MQQueueManager))\s*\(", "{name}", broker + ":server:{name}", {"broker": broker, "factory_type": "{name}"}, (("connects_to", _OWNER, broker + ":server:{name}"),)), _topic(broker, r"(?:createQueue|accessQueue)\(\s*\"(?P<name>[^\"]+)\"", "sends_to", "queue", "queue"), _topic(broker, r"createTopic\(\s*\"(?P<name>[^\"]+)\"", "sends_to")), needs=needs) for name, broker, needs in _MQ),
-    Detector("azure_functions", ("java", "csharp", *JS), (Rule("azure_function", r"[@\[]Function(?:Name)?\(\s*(?:name\s*=\s*)?\"(?P<name>[^\"]+)\"", "{name}", "azure:function:{name}", {"function_name": "{name}"}), Rule("endpoint", r"@?HttpTrigger\b(?P<name>[^)\n]*)", "HTTP trigger", "{path}:http:{line}", {"http_trigger": "true"}, (("exposes", "{file}", "{path}:http:{line}"),)), Rule("queue", r"ServiceBus(?:Queue)?Trigger\(?[^)]*?(?:queueName\s*=\s*)?\"(?P<name>[^\"]+)\"", "{name}", "azure:queue:{name}", {"queue": "{name}", "broker": "azure_servicebus"}, (("triggers", "azure:queue:{name}", "{file}"),)), Rule("topic", r"EventHubTrigger\(?[^)]*?eventHubName\s*=\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:eventhub:{name}", {"event_hub": "{name}"}, (("triggers", "azure:eventhub:{name}", "{file}"),)), Rule("azure_resource", r"(?P<name>CosmosDBTrigger)\b", "{name}", "{path}:cosmos", {"cosmos_type": "trigger"})), needs=("Trigger", "FunctionName")),
+    *_MQ,
+    Detector("azure_functions", ("java", "csharp", *JS), (Rule("azure_function", r"[@\[]Function(?:Name)?\(\s*(?:name\s*=\s*)?\"(?P<name>[^\"]+)\"", "{name}", "azure:function:{name}", {"function_name": "{name}"}), Rule("endpoint", r"@?HttpTrigger\b(?P<name>[^)\n]*)", "HTTP trigger", "{path}:http:{line}", {"http_trigger": "true"}, (("exposes", "{file}", "{path}:http:{line}"),)), Rule("queue", r"ServiceBus(?:Queue)?Trigger\(?(?:[^)]*?queueName\s*=\s*|\s*)\"(?P<name>[^\"]+)\"", "{name}", "azure:queue:{name}", {"queue": "{name}", "broker": "azure_servicebus"}, (("triggers", "azure:queue:{name}", "{file}"),)), Rule("topic", r"EventHubTrigger\(?[^)]*?eventHubName\s*=\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:eventhub:{name}", {"event_hub": "{name}"}, (("triggers", "azure:eventhub:{name}", "{file}"),)), Rule("azure_resource", r"(?P<name>CosmosDBTrigger)\b", "{name}", "{path}:cosmos", {"cosmos_type": "trigger"})), needs=("Trigger", "FunctionName")),
     Detector("azure_messaging", ("java",), (Rule("queue", r"queueName\(\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:servicebus:{name}", {}, (("connects_to", _OWNER, "azure:servicebus:{name}"),)), Rule("topic", r"(?:topicName|eventHubName)\(\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:eventhub:{name}", {}, (("connects_to", _OWNER, "azure:eventhub:{name}"),)), Rule(None, r"(?P<name>ServiceBusSenderClient|EventHubProducerClient)", "{name}", edges=(("sends_to", _OWNER, "azure:{name}"),)), Rule(None, r"(?P<name>ServiceBusReceiverClient|ServiceBusProcessorClient|EventHubConsumerClient|EventProcessorClient)", "{name}", edges=(("receives_from", _OWNER, "azure:{name}"),))), needs=("ServiceBus", "EventHub", "EventProcessor")),
     Detector("config_def", ("java",), (Rule("config_definition", r"@Value\(\s*\"\$\{(?P<name>[^}:\"]+)", "{name}", "config:{name}", {"config_key": "{name}", "config_source": "spring_value"}, (("reads_config", _OWNER, "config:{name}"),)), Rule("config_definition", r"@ConfigurationProperties\(\s*(?:prefix\s*=\s*)?\"(?P<name>[^\"]+)", "{name}", "config:{name}", {"config_key": "{name}", "config_source": "spring_config_props"}, (("reads_config", _OWNER, "config:{name}"),)), Rule("config_definition", r"\.define\(\s*\"(?P<name>[^\"]+)", "{name}", "config:{name}", {"config_key": "{name}", "config_source": "kafka_configdef"}, (("reads_config", _OWNER, "config:{name}"),)))),
     Detector("cosmos_db", ("java", *JS), (Rule("azure_resource", r"(?:getDatabase|database|databases\.get)\(\s*[\"'](?P<name>[^\"']+)", "{name}", "cosmos:database:{name}", {"cosmos_type": "database", "resource_name": "{name}"}, (("connects_to", _OWNER, "cosmos:database:{name}"),)), Rule("azure_resource", r"(?:getContainer|container)\(\s*[\"'](?P<name>[^\"']+)", "{name}", "cosmos:container:{name}", {"cosmos_type": "container", "resource_name": "{name}"}, (("connects_to", _OWNER, "cosmos:container:{name}"),))), needs=("Cosmos", "cosmos")),

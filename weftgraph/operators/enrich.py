@@ -175,3 +175,23 @@ def type_relations(language: str, text: str) -> list[tuple[str, str, str]]:
     elif language == "go":
         out = [(m[2], "implements_types", m[1]) for m in re.finditer(r"var\s+_\s+([\w.]+)\s*=\s*(?:\(\*|&)(\w+)", text)]
     return out
+
+
+def extract_types(files: DataFrame) -> DataFrame:
+    """(file_path, label, relation, names) of the types that files declare over others."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, *r) for p, x, t in zip(pdf["path"], pdf["language"], pdf["content"], strict=True) for r in type_relations(x, t or "")]
+            yield pd.DataFrame(sorted(set(rows)), columns=["file_path", "label", "relation", "names"])
+
+    return files.select("path", "language", "content").mapInPandas(run, "file_path string, label string, relation string, names string")
+
+
+def with_types(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """``nodes`` whose types have the properties extends_type and implements_types; a property that is there already stays."""
+    found = extract_types(files).groupBy("file_path", "label").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("relation", "names")))).alias("types"))
+    kinds = F.col("kind").isin("class", "abstract_class", "interface", "entity")
+    met = nodes.join(found, ["file_path", "label"], "left")
+    missing = F.map_filter(F.col("types"), lambda k, _: ~F.map_contains_key(F.col("props"), k))
+    return met.withColumn("props", F.when(kinds & F.col("types").isNotNull(), F.map_concat("props", missing)).otherwise(F.col("props"))).select(*nodes.columns)

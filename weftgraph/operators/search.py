@@ -8,16 +8,124 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
-from weftgraph.operators import neighbours
 
 K1, B = 1.2, 0.75
 # Which capabilities a kind of query needs, and what the analysis of each language offers.
 DIMENSIONS = ["SYMBOL_DEFINITIONS", "SYMBOL_REFERENCES", "IMPORT_RESOLUTION", "TYPE_INFO", "CLASS_HIERARCHY", "FRAMEWORK_SEMANTICS", "ORM_ENTITY_MAPPING", "AUTH_SECURITY", "ASYNC_PATTERNS"]
 QUERY_DIMENSIONS = {"FIND_SYMBOL": ["SYMBOL_DEFINITIONS"], "FIND_REFERENCES": ["SYMBOL_REFERENCES"], "FIND_CALLERS": ["SYMBOL_REFERENCES"], "FIND_DEPENDENCIES": ["IMPORT_RESOLUTION"], "SEARCH_TEXT": [], "FIND_CONFIG": ["FRAMEWORK_SEMANTICS"]}
-#: One letter for each dimension: exact, partial, lexical only, unsupported.
-LEVELS = {"E": "EXACT", "P": "PARTIAL", "L": "LEXICAL_ONLY", "U": "UNSUPPORTED"}
-CAPABILITIES = {"java": "EEEEEEEEP", "typescript": "PPPPPPPPP", "javascript": "PPPLPPPPP", "python": "PPPLPPPPP", "go": "PPPPLPPLP", "csharp": "PPPPPPPPP", "rust": "PPPPLPULP", "cpp": "PPPPPPULP"}
-LEXICAL_CAPABILITIES, NO_CAPABILITIES = "LLLULLULL", "U" * 9
+CAPABILITIES = {
+    "java": {
+        "SYMBOL_DEFINITIONS": "EXACT",
+        "SYMBOL_REFERENCES": "EXACT",
+        "IMPORT_RESOLUTION": "EXACT",
+        "TYPE_INFO": "EXACT",
+        "CLASS_HIERARCHY": "EXACT",
+        "FRAMEWORK_SEMANTICS": "EXACT",
+        "ORM_ENTITY_MAPPING": "EXACT",
+        "AUTH_SECURITY": "EXACT",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "typescript": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "PARTIAL",
+        "CLASS_HIERARCHY": "PARTIAL",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "PARTIAL",
+        "AUTH_SECURITY": "PARTIAL",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "javascript": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "LEXICAL_ONLY",
+        "CLASS_HIERARCHY": "PARTIAL",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "PARTIAL",
+        "AUTH_SECURITY": "PARTIAL",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "python": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "LEXICAL_ONLY",
+        "CLASS_HIERARCHY": "PARTIAL",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "PARTIAL",
+        "AUTH_SECURITY": "PARTIAL",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "go": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "PARTIAL",
+        "CLASS_HIERARCHY": "LEXICAL_ONLY",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "PARTIAL",
+        "AUTH_SECURITY": "LEXICAL_ONLY",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "csharp": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "PARTIAL",
+        "CLASS_HIERARCHY": "PARTIAL",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "PARTIAL",
+        "AUTH_SECURITY": "PARTIAL",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "rust": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "PARTIAL",
+        "CLASS_HIERARCHY": "LEXICAL_ONLY",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "UNSUPPORTED",
+        "AUTH_SECURITY": "LEXICAL_ONLY",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+    "cpp": {
+        "SYMBOL_DEFINITIONS": "PARTIAL",
+        "SYMBOL_REFERENCES": "PARTIAL",
+        "IMPORT_RESOLUTION": "PARTIAL",
+        "TYPE_INFO": "PARTIAL",
+        "CLASS_HIERARCHY": "PARTIAL",
+        "FRAMEWORK_SEMANTICS": "PARTIAL",
+        "ORM_ENTITY_MAPPING": "UNSUPPORTED",
+        "AUTH_SECURITY": "LEXICAL_ONLY",
+        "ASYNC_PATTERNS": "PARTIAL",
+    },
+}
+#: Languages known by their text alone, and all others.
+LEXICAL_CAPABILITIES = {
+    "SYMBOL_DEFINITIONS": "LEXICAL_ONLY",
+    "SYMBOL_REFERENCES": "LEXICAL_ONLY",
+    "IMPORT_RESOLUTION": "LEXICAL_ONLY",
+    "TYPE_INFO": "UNSUPPORTED",
+    "CLASS_HIERARCHY": "LEXICAL_ONLY",
+    "FRAMEWORK_SEMANTICS": "LEXICAL_ONLY",
+    "ORM_ENTITY_MAPPING": "UNSUPPORTED",
+    "AUTH_SECURITY": "LEXICAL_ONLY",
+    "ASYNC_PATTERNS": "LEXICAL_ONLY",
+}
+NO_CAPABILITIES = {
+    "SYMBOL_DEFINITIONS": "UNSUPPORTED",
+    "SYMBOL_REFERENCES": "UNSUPPORTED",
+    "IMPORT_RESOLUTION": "UNSUPPORTED",
+    "TYPE_INFO": "UNSUPPORTED",
+    "CLASS_HIERARCHY": "UNSUPPORTED",
+    "FRAMEWORK_SEMANTICS": "UNSUPPORTED",
+    "ORM_ENTITY_MAPPING": "UNSUPPORTED",
+    "AUTH_SECURITY": "UNSUPPORTED",
+    "ASYNC_PATTERNS": "UNSUPPORTED",
+}
 LEXICAL_LANGUAGES = "kotlin scala ruby php shell bash powershell markdown proto hcl terraform dockerfile yaml json toml ini properties xml sql".split()
 ALIASES = {"c#": "csharp", "c++": "cpp"}
 
@@ -53,21 +161,67 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.select("key", "size", F.explode("t").alias("token")).groupBy("key", "size", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """(key, score) of documents with every word of the query; a single word counts as a prefix. Score first, then key."""
-    words = [w for w in re.split("[^a-z0-9_]+", query.lower()) if w]
-    if not words:
-        return index.limit(0).select("key", F.lit(0.0).alias("score"))
-    sizes = index.select("key", "size").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    hit = index.filter(F.col("token").startswith(words[0]) if len(words) == 1 else F.col("token").isin(words))
+def query_words(query: str) -> list[str]:
+    return [w for w in re.split("[^a-z0-9_]+", query.lower()) if w]
+
+
+def hits(docs: DataFrame, key: str, text: str, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The part of the inverted index that ``words`` ask for (one word is a prefix), and the number and mean size of all documents.
+
+    Other words leave a document within its row, before anything is exploded or grouped.
+    """
+    t = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
+    asked = (lambda x: x.startswith(words[0])) if len(words) == 1 else (lambda x: x.isin(words))
+    some = t.select("key", F.size("t").alias("size"), F.explode(F.filter("t", asked)).alias("token"))
+    sizes = t.filter(F.size("t") > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
+    return some.groupBy("key", "size", "token").agg(F.count(F.lit(1)).alias("tf")), sizes
+
+
+def index_hits(index: DataFrame, words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As ``hits``, from a stored inverted index."""
+    sizes = index.groupBy("key").agg(F.first("size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    return index.filter(F.col("token").startswith(words[0]) if len(words) == 1 else F.col("token").isin(words)), sizes
+
+
+def ranked(hit: DataFrame, sizes: DataFrame, words: list[str], limit: int = 50) -> DataFrame:
+    """(key, score) by BM25 of documents with every word of the query; a single word counts as a prefix. Score first, then key."""
     df = hit.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = hit.join(df, "token").crossJoin(F.broadcast(sizes)).groupBy("key").agg(F.sum(part).alias("score"), F.count_distinct("token").alias("met"))
+    total = sizes.first()  # two numbers
+    idf = F.log(1 + (F.lit(total["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(total["mean"])))
+    scored = hit.join(df, "token").groupBy("key").agg(F.sum(part).alias("score"), F.count_distinct("token").alias("met"))
     scored = scored if len(words) == 1 else scored.filter(F.col("met") == len(set(words)))
     return scored.select("key", "score").orderBy(F.desc("score"), "key").limit(clamp(limit))
 
 
+def bm25(index: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """Ranked search in a stored inverted index."""
+    words = query_words(query)
+    return ranked(*index_hits(index, words), words, limit) if words else index.limit(0).select("key", F.lit(0.0).alias("score"))
+
+
+def bm25_documents(docs: DataFrame, key: str, text: str, query: str, limit: int = 50) -> DataFrame:
+    """Ranked search straight over documents."""
+    words = query_words(query)
+    return ranked(*hits(docs, key, text, words), words, limit) if words else docs.limit(0).select(F.col(key).alias("key"), F.lit(0.0).alias("score"))
+
+
+def node_text(nodes: DataFrame, fields: str = "label") -> DataFrame:
+    """(id, text) of what the label index (label and fqn) or the lexical one (comment and config keys) covers."""
+    parts = ["label", "fqn"] if fields == "label" else [M.prop("lex_comment"), M.prop("lex_config_keys")]
+    return nodes.select("id", F.concat_ws(" ", *parts).alias("text"))
+
+
+def text_search(nodes: DataFrame, query: str, fields: str = "label", limit: int = 50) -> DataFrame:
+    """Compact rows by rank from the index over node fields; where it finds nothing, the scan for the query as part of a text."""
+    found = bm25_documents(node_text(nodes, fields), "id", "text", query, limit)
+    rows = M.compact(nodes).join(F.broadcast(found.withColumnRenamed("key", "id")), "id")
+    if not rows.isEmpty():
+        return rows.orderBy(F.desc("score"), "id")
+    scan = label_search if fields == "label" else lexical_search
+    return scan(nodes, query, limit).withColumn("score", F.lit(0.0))
+
+
 def find_node(nodes: DataFrame, query: str, limit: int = 50, lexical: bool = True) -> DataFrame:
     """Label matches, then prose matches not among them; names equal but for case come first."""
     a = label_search(nodes, query, limit).withColumn("pass", F.lit(0))
@@ -80,8 +234,7 @@ def find_node(nodes: DataFrame, query: str, limit: int = 50, lexical: bool = Tru
 def capability(language: str | None) -> dict[str, str]:
     name = (language or "").strip().lower()
     name = ALIASES.get(name, name)
-    letters = CAPABILITIES.get(name, LEXICAL_CAPABILITIES if name in LEXICAL_LANGUAGES else NO_CAPABILITIES)
-    return {d: LEVELS[x] for d, x in zip(DIMENSIONS, letters, strict=True)}
+    return CAPABILITIES.get(name, LEXICAL_CAPABILITIES if name in LEXICAL_LANGUAGES else NO_CAPABILITIES)
 
 
 def route(query_type: str, language: str | None) -> str:
@@ -152,5 +305,21 @@ def evidence_pack(nodes: DataFrame, edges: DataFrame, symbol: str | None = None,
     return rows.select("part", "id", "kind", "label", "file_path").orderBy("part", "id")
 
 
-def find_text(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
-    return neighbours.evidence_text(nodes, edges, path)
+def related_files(pack: DataFrame) -> DataFrame:
+    """(file_path, parts): the distinct files of an evidence pack's rows."""
+    return pack.filter("file_path <> ''").groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set("part")), ",").alias("parts")).orderBy("file_path")
+
+
+def full_evidence(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, symbol: str | None = None, path: str | None = None, query_type: str = "FIND_SYMBOL", language: str | None = None, limit: int = 20) -> DataFrame:
+    """The evidence pack with, for each row, its snippet and provenance, and the same level and note on all rows.
+
+    The level is the weakest capability that the query's kind needs in the language (guessed from the symbol if not given).
+    """
+    pack = evidence_pack(nodes, edges, symbol, path, limit)
+    own = nodes.join(pack.select("id"), "id", "left_semi")
+    told = plan(query_type, language or guess_language(symbol or ""))
+    weakest = ["UNSUPPORTED", "LEXICAL_ONLY", "PARTIAL", "EXACT"]
+    level = min((told["capabilities"][d] for d in QUERY_DIMENSIONS.get(query_type, [])), key=weakest.index, default="UNSUPPORTED")
+    out = pack.join(provenance(own).select("id", "provenance"), "id", "left")
+    out = out.join(snippet(files, own), "id", "left") if files is not None else out.withColumns({"snippet": F.lit(None).cast("string"), "first_line": F.lit(None).cast("long")})
+    return out.withColumns({"level": F.lit(level), "note": F.lit(told["note"])}).orderBy("part", "id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
+from weftgraph.operators import traversal
 from weftgraph.operators.neighbours import membership
 
 
@@ -65,57 +66,36 @@ def counts_by_service(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.groupBy("service").agg(F.count_if(F.col("kind") == "endpoint").alias("endpoint_count"), F.count_if(F.col("kind") == "entity").alias("entity_count"))
 
 
-def _followers(links: DataFrame) -> dict[str, list[tuple[str, str]]]:
-    """Each service's targets in order of names with the first kind. There are as many rows as pairs of services."""
-    out: dict[str, list[tuple[str, str]]] = {}
-    for r in links.groupBy("source", "target").agg(F.min("kind").alias("kind")).orderBy("source", "target").collect():
-        out.setdefault(r["source"], []).append((r["target"], r["kind"]))
-    return out
+def service_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, kind): pairs of connected services by label, with the first kind of connection."""
+    return connections(nodes, edges).groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.min("kind").alias("kind"))
+
+
+def service_path_rows(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """(hop, source, target, kind) of a shortest path between services, the smallest names winning; no rows from one to
+    itself or where there is none."""
+    pairs = traversal.settled(service_pairs(nodes, edges))
+    labels = services(nodes).select(F.col("label").alias("id"))
+    path = traversal.shortest_path(labels, pairs, start, goal)
+    hops = [(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False), 1)]
+    steps = nodes.sparkSession.createDataFrame(hops, "hop int, source string, target string")
+    return steps.join(pairs, (F.col("source") == F.col("src")) & (F.col("target") == F.col("dst"))).select("hop", "source", "target", "kind").orderBy("hop")
 
 
 def service_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> list[dict] | None:
     """Hops of a shortest path between services; [] from one to itself, None where there is none."""
     if start == goal:
         return []
-    follow, came, queue = _followers(connections(nodes, edges)), {start: None}, [start]
-    for at in queue:
-        for to, kind in follow.get(at, []):
-            if to in came:
-                continue
-            came[to] = (at, kind)
-            if to == goal:
-                hops = []
-                while came[to]:
-                    hops.append({"from": came[to][0], "to": to, "type": came[to][1]})
-                    to = came[to][0]
-                return hops[::-1]
-            queue.append(to)
-    return None
-
-
-def service_cycles(nodes: DataFrame, edges: DataFrame) -> list[list[str]]:
-    """Cycles that one depth-first walk in order of names closes, each beginning at its smallest name. Not all there are."""
-    follow, done, found = _followers(connections(nodes, edges)), set(), []
-    for root in sorted(follow):
-        if root in done:
-            continue
-        path, place = [root], {root: 0}
-        todo = [iter(follow.get(root, []))]
-        done.add(root)
-        while todo:
-            to = next(todo[-1], None)
-            if to is None:
-                todo.pop()
-                place.pop(path.pop())
-            elif to[0] in place:
-                cycle = path[place[to[0]] :]
-                least = cycle.index(min(cycle))
-                cycle = cycle[least:] + cycle[:least]
-                if cycle not in found:
-                    found.append(cycle)
-            elif to[0] not in done:
-                done.add(to[0])
-                place[to[0]] = len(path)
-                path.append(to[0])
-                todo.append(iter(follow.get(to[0], [])))
-    return sorted(found)
+    return [{"from": r["source"], "to": r["target"], "type": r["kind"]} for r in service_path_rows(nodes, edges, start, goal).collect()] or None
+
+
+def service_cycles(nodes: DataFrame, edges: DataFrame, longest: int = 10, limit: int = 100) -> list[list[str]]:
+    """The cycles of ``service_cycle_rows`` as lists, not closed."""
+    return [r["cycle"].split(">")[:-1] for r in service_cycle_rows(nodes, edges, longest, limit).collect()]
+
+
+def service_cycle_rows(nodes: DataFrame, edges: DataFrame, longest: int = 10, limit: int = 100) -> DataFrame:
+    """(cycle, length): cycles of services, the shortest first, each from its smallest name on and closed by it. A walk
+    in order of names would find some of them; this lists all, up to the limit."""
+    found = traversal.cycles(traversal.settled(service_pairs(nodes, edges)), longest, limit)
+    return found.select(F.concat_ws(">", F.concat("path", F.slice("path", 1, 1))).alias("cycle"), F.size("path").alias("length"))

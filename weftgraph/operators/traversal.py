@@ -11,7 +11,7 @@ from weftgraph import model as M
 from weftgraph.operators.neighbours import membership
 
 
-def _settle(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """Cut lineage in the session's shared checkpoint folder (a temporary one only in local mode)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -32,10 +32,10 @@ def reachable(edges: DataFrame, start: str, depth: int, kinds: list[str] | None
     front = spark.range(1).select(F.lit(start).alias("id"))
     seen = front.select("id", F.lit(0).alias("hops")) if not include_start else front.select("id", F.lit(0).alias("hops")).limit(0)
     for hop in range(1, depth + 1):
-        front = _settle(e.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti"))
+        front = settled(e.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti"))
         if front.isEmpty():
             break
-        seen = _settle(seen.unionByName(front.select("id", F.lit(hop).alias("hops"))))
+        seen = settled(seen.unionByName(front.select("id", F.lit(hop).alias("hops"))))
     return seen.filter("hops > 0")
 
 
@@ -65,8 +65,8 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, mos
     e = edges.select("src", "dst")
     seen = front = spark.range(1).select(F.lit(start).alias("id"), F.lit(None).cast("string").alias("parent"))
     for _ in range(most):
-        front = _settle(e.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen.select("id"), "id", "left_anti"))
-        seen = _settle(seen.unionByName(front))
+        front = settled(e.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen.select("id"), "id", "left_anti"))
+        seen = settled(seen.unionByName(front))
         if not front.filter(F.col("id") == goal).isEmpty():
             path = [goal]
             while path[-1] != start:
@@ -77,19 +77,36 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, goal: str, mos
     return []
 
 
+def _in_circles(e: DataFrame, most: int) -> DataFrame:
+    """``e`` without edges that can't lie on a cycle: ends that nothing enters, or that lead nowhere, go, round by round."""
+    n = e.count()
+    for _ in range(most):
+        e = settled(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        left = e.count()
+        if left == n:
+            break
+        n = left
+    return e
+
+
 def cycles(edges: DataFrame, longest: int = 10, limit: int | None = 100) -> DataFrame:
-    """Simple cycles of 2 to ``longest`` edges as arrays of ids, each once, from its smallest id on.
+    """Simple cycles of 2 to ``longest`` edges as arrays of ids, each once, from its smallest id on; the shortest come first.
 
-    A path grows only over ids above its first, so each cycle is met at one start.
+    Edges that lie on no cycle are trimmed first. A path grows only over ids above its first, so each cycle is met at one
+    start. With a limit, longer cycles aren't looked for once there are as many. Without one, all are listed, of which a
+    dense graph has exponentially many.
     """
-    e = edges.filter("src <> dst").select("src", "dst").distinct()
+    e = _in_circles(settled(edges.filter("src <> dst").select("src", "dst").distinct()), longest)
     paths = e.filter("dst > src").select(F.col("src").alias("first"), F.array("src", "dst").alias("path"))
-    found = None
+    found, met = None, 0
     for _ in range(2, longest + 1):
         step = paths.join(e, F.element_at("path", -1) == F.col("src"))
-        closed = step.filter("dst = first").select("path")
+        closed = settled(step.filter("dst = first").select("path"))
         found = closed if found is None else found.unionByName(closed)
-        paths = _settle(step.filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))).select("first", F.concat("path", F.array("dst")).alias("path")))
+        met += closed.count()
+        if limit is not None and met >= limit:
+            break
+        paths = settled(step.filter((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))).select("first", F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
             break
     out = found.orderBy(F.size("path"), F.concat_ws(">", "path"))

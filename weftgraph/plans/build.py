@@ -39,7 +39,7 @@ def assemble(raw_nodes: DataFrame, raw_edges: DataFrame, files: DataFrame, proje
     modules, contains = linkers.link_modules(nodes, edges)
     nodes, edges = nodes.unionByName(modules), edges.unionByName(contains)
     nodes = layers.classify(nodes)
-    nodes = enrich.with_comments(enrich.with_config_keys(nodes), files)
+    nodes = enrich.with_types(enrich.with_comments(enrich.with_config_keys(nodes), files), files)
     edges = edges.unionByName(linkers.resolve_calls(enrich.extract_calls(files, nodes), nodes))
     nodes, services, owned = enrich.detect_services(nodes, files, project)
     nodes, edges = nodes.unionByName(services), edges.unionByName(owned)

@@ -20,6 +20,8 @@ UNION ALL SELECT 'order:' || CAST(o_orderkey AS STRING), 'endpoint', '/orders/'
 UNION ALL SELECT 'guard:' || CAST(n_nationkey AS STRING), 'guard', n_name || 'Guard', '', 'auth/' || n_name || '.java', '', 'backend', 'java', 'spring_security', NULL, CASE n_regionkey % 3 WHEN 0 THEN 'jwt' WHEN 1 THEN 'oauth2' END, NULL, NULL, NULL FROM {nation}
 UNION ALL SELECT 'db:' || CAST(s_suppkey AS STRING), 'database_connection', CASE WHEN s_suppkey % 3 = 0 THEN 'Redis' ELSE 'spring.datasource.url' END, '', 'conf/app.properties', '', 'infra', 'properties', '', NULL, NULL, NULL, CASE s_suppkey % 3 WHEN 1 THEN 'postgres' WHEN 2 THEN 'MySQL@host' END, NULL FROM {supplier} WHERE s_suppkey % 10 = 0 OR s_suppkey < 6
 UNION ALL SELECT DISTINCT 'topic:' || p_brand, 'topic', p_brand, '', 'conf/topics.yml', '', 'infra', 'yaml', '', NULL, NULL, CASE WHEN p_brand < 'Brand#3' THEN 'kafka' END, NULL, NULL FROM {part}
+UNION ALL SELECT 'queue:' || CAST(s_suppkey AS STRING), 'queue', 'orders.' || s_name, '', 'conf/queues.yml', '', 'infra', 'yaml', '', NULL, NULL, 'jms', NULL, NULL FROM {supplier} WHERE s_suppkey % 20 = 0
+UNION ALL SELECT 'component:' || CAST(c_custkey AS STRING), 'component', 'View' || CAST(c_custkey AS STRING), '', 'web/View' || CAST(c_custkey % 30 AS STRING) || '.tsx', '', 'frontend', 'typescript', 'react', NULL, NULL, NULL, NULL, NULL FROM {customer} WHERE c_custkey % 25 = 0
 UNION ALL SELECT 'gha:' || r_name, 'module', r_name || ' build', '', '.github/workflows/' || r_name || '.yml', 'gha:' || r_name, 'infra', 'yaml', '', NULL, NULL, NULL, NULL, NULL FROM {region}
 UNION ALL SELECT 'gha:' || r_name || ':job:' || n_name, 'method', n_name, '', '.github/workflows/' || r_name || '.yml', 'gha:' || r_name, 'infra', 'yaml', '', NULL, NULL, NULL, NULL, NULL FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT CASE n_nationkey % 4 WHEN 0 THEN 'k8s:' WHEN 1 THEN 'compose:' WHEN 2 THEN 'tf:' ELSE 'other:' END || n_name, 'infra_resource', n_name, '', 'deploy/' || n_name || '.tf', '', 'infra', 'terraform', '', NULL, NULL, NULL, NULL, NULL FROM {nation}
@@ -38,8 +40,8 @@ UNION ALL SELECT 'order:' || CAST(o_orderkey AS STRING), 'depends_on', 'customer
 UNION ALL SELECT DISTINCT 'order:' || CAST(l_orderkey AS STRING), 'queries', 'part:' || CAST(l_partkey AS STRING) FROM {lineitem}
 UNION ALL SELECT DISTINCT 'supplier:' || CAST(l_suppkey AS STRING), 'produces', 'part:' || CAST(l_partkey AS STRING) FROM {lineitem}
 UNION ALL SELECT DISTINCT 'customer:' || CAST(o_custkey AS STRING), 'consumes', 'part:' || CAST(l_partkey AS STRING) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-UNION ALL SELECT DISTINCT 'order:' || CAST(l_orderkey AS STRING), 'calls', 'supplier:' || CAST(l_suppkey AS STRING) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND o_orderpriority = '1-URGENT' AND l_returnflag = 'R' AND l_discount >= 0.08
-UNION ALL SELECT DISTINCT 'part:' || CAST(p_partkey AS STRING), 'depends_on', 'part:' || CAST((p_partkey * 7) % 97 AS STRING) FROM {part} WHERE p_partkey <= 200
+UNION ALL SELECT DISTINCT 'order:' || CAST(l_orderkey AS STRING), 'calls', 'supplier:' || CAST(l_suppkey AS STRING) FROM {lineitem} WHERE l_quantity >= 40 AND l_returnflag = 'R'
+UNION ALL SELECT DISTINCT 'part:' || CAST(p_partkey AS STRING), 'depends_on', 'part:' || CAST((p_partkey * 22) % 97 AS STRING) FROM {part}
 UNION ALL SELECT 'part:' || CAST(p_partkey AS STRING), 'imports', 'part:' || CAST(p_partkey + 10000000 AS STRING) FROM {part} WHERE p_partkey % 100 = 0
 UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS STRING), 'publishes', 'topic:Brand#' || CAST(1 + s_suppkey % 5 AS STRING) || CAST(1 + s_suppkey % 3 AS STRING) FROM {supplier} WHERE s_suppkey % 4 = 0
 UNION ALL SELECT 'customer:' || CAST(c_custkey AS STRING), 'listens', 'topic:Brand#' || CAST(1 + c_custkey % 5 AS STRING) || CAST(1 + c_custkey % 4 AS STRING) FROM {customer} WHERE c_custkey % 50 = 0

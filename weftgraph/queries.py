@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
-from weftgraph.operators import flow, layers, linkers, merge, search, stats, topology, traversal
+from weftgraph.operators import enrich, flow, layers, linkers, merge, search, stats, tools, topology, traversal
 from weftgraph.operators import neighbours as N
+from weftgraph.plans import specimens
 from weftgraph.plans.tables import graph_from_tables, with_graph
 from weftgraph.sources import files as S
 
@@ -72,38 +73,35 @@ _graph("cross_service_connections", f"{_LINKS} SELECT source, target, kind FROM
 _graph("service_degree", f"{_DEGREES} SELECT n.label, build_tool, 0::BIGINT AS endpoint_count, 0::BIGINT AS entity_count, coalesce(o, 0) AS connections_out, coalesce(i, 0) AS connections_in FROM nodes n LEFT JOIN degrees USING (label) WHERE kind = 'service'")(topology.summary)
 _graph("bottlenecks", f"{_DEGREES} SELECT label AS service, i AS connections_in, o AS connections_out, i + o AS total FROM degrees")(topology.bottlenecks)
 _graph("dead_services", f"{_LINKS} SELECT id, label FROM nodes WHERE kind = 'service' AND label NOT IN (SELECT target FROM links)")(topology.dead_services)
-_graph("service_dependencies", f"{_LINKS} SELECT target AS service, kind FROM links WHERE source = 'CHINA'")(lambda n, e: topology.service_links(n, e, "CHINA"))
-_graph("service_dependents", f"{_LINKS} SELECT source AS service, kind FROM links WHERE target = 'CHINA'")(lambda n, e: topology.service_links(n, e, "CHINA", False))
-_graph("service_peers", f"{_LINKS} SELECT DISTINCT target AS service FROM links WHERE source = 'CHINA'")(lambda n, e: topology.service_peers(n, e, "CHINA"))
-_graph("service_detail", f"{_OWN} SELECT DISTINCT n.id, n.kind, n.label, n.file_path, n.layer, CASE n.kind WHEN 'endpoint' THEN 'endpoints' WHEN 'entity' THEN 'entities' WHEN 'guard' THEN 'guards' WHEN 'database_connection' THEN 'databases' ELSE 'queues' END AS bucket FROM nodes n JOIN own ON n.id = node_id WHERE service = 'CHINA' AND n.kind IN ('endpoint', 'entity', 'guard', 'database_connection', 'topic', 'queue', 'message_queue')")(lambda n, e: topology.service_detail(n, e, "CHINA"))
+_graph("service_dependencies", f"{_LINKS} SELECT target AS service, kind FROM links WHERE source = 'NATION_3'")(lambda n, e: topology.service_links(n, e, "NATION_3"))
+_graph("service_dependents", f"{_LINKS} SELECT source AS service, kind FROM links WHERE target = 'NATION_3'")(lambda n, e: topology.service_links(n, e, "NATION_3", False))
+_graph("service_peers", f"{_LINKS} SELECT DISTINCT target AS service FROM links WHERE source = 'NATION_3'")(lambda n, e: topology.service_peers(n, e, "NATION_3"))
+_graph("service_detail", f"{_OWN} SELECT DISTINCT n.id, n.kind, n.label, n.file_path, n.layer, CASE n.kind WHEN 'endpoint' THEN 'endpoints' WHEN 'entity' THEN 'entities' WHEN 'guard' THEN 'guards' WHEN 'database_connection' THEN 'databases' ELSE 'queues' END AS bucket FROM nodes n JOIN own ON n.id = node_id WHERE service = 'NATION_3' AND n.kind IN ('endpoint', 'entity', 'guard', 'database_connection', 'topic', 'queue', 'message_queue')")(lambda n, e: topology.service_detail(n, e, "NATION_3"))
 _graph("service_counts", f"{_OWN} SELECT service, count(*) FILTER (n.kind = 'endpoint') AS endpoint_count, count(*) FILTER (n.kind = 'entity') AS entity_count FROM own JOIN nodes n ON n.id = node_id GROUP BY service")(topology.counts_by_service)
 _graph("component_by_file", f"{_OWN}, one AS (SELECT node_id, min(service) AS service FROM own GROUP BY node_id) SELECT n.id, n.kind, n.label, n.file_path, n.layer, service FROM nodes n LEFT JOIN one ON n.id = node_id WHERE file_path = 'api/orders3.ts'")(lambda n, e: N.component_by_file(n, e, "api/orders3.ts"))
 _graph("related_endpoints", f"{_OWN}, hit AS (SELECT DISTINCT service_id FROM own WHERE node_id = 'customer:7'), near AS (SELECT node_id FROM own WHERE service_id IN (SELECT service_id FROM hit)) SELECT {COMPACT} FROM nodes WHERE kind IN ('endpoint', 'websocket_endpoint') AND id IN (SELECT node_id FROM near) ORDER BY id LIMIT 50")(lambda n, e: N.related_endpoints(n, e, "customer:7"))
-_graph("evidence_for_file", None)(lambda n, e: N.evidence_text(n, e, "schema/part5.sql"))
-_graph("service_path_lengths", f"{_LINKS}, pairs AS (SELECT DISTINCT source, target FROM links), walk AS (SELECT target AS service, 1 AS hops FROM pairs WHERE source = 'CHINA' UNION SELECT p.target, hops + 1 FROM walk w JOIN pairs p ON p.source = w.service WHERE hops < 24) SELECT service, min(hops)::INTEGER AS hops FROM walk WHERE service <> 'CHINA' GROUP BY service", True)(lambda n, e: traversal.reachable(topology.connections(n, e).select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind"), "CHINA", 24).select(F.col("id").alias("service"), "hops"))
+_graph("evidence_for_file", "own AS (SELECT id, '- ' || kind || ' ' || label || ' (' || id || ')' AS line FROM nodes WHERE file_path = 'schema/part5.sql' ORDER BY id LIMIT 25), up AS (SELECT id, '< ' || kind || ' ' || label || ' (' || id || ')' AS line FROM nodes WHERE id IN (SELECT src FROM edges WHERE dst IN (SELECT id FROM own)) ORDER BY id LIMIT 15) SELECT string_agg(line, chr(10) ORDER BY part, id) AS text FROM (SELECT 0 AS part, * FROM own UNION ALL SELECT 1, * FROM up)")(lambda n, e: N.evidence_text(n, e, "schema/part5.sql"))
+_graph("service_path_lengths", f"{_LINKS}, pairs AS (SELECT DISTINCT source, target FROM links), walk AS (SELECT target AS service, 1 AS hops FROM pairs WHERE source = 'NATION_3' UNION SELECT p.target, hops + 1 FROM walk w JOIN pairs p ON p.source = w.service WHERE hops < 24) SELECT service, min(hops)::INTEGER AS hops FROM walk WHERE service <> 'NATION_3' GROUP BY service", True)(lambda n, e: traversal.reachable(topology.connections(n, e).select(F.col("source").alias("src"), F.col("target").alias("dst"), "kind"), "NATION_3", 24).select(F.col("id").alias("service"), "hops"))
 
 
-@_graph("service_cycles", None)
-def _service_cycles(n: DataFrame, e: DataFrame) -> DataFrame:
-    return n.sparkSession.createDataFrame([(">".join(c), len(c)) for c in topology.service_cycles(n, e)], "cycle string, length long")
+_graph("service_path", f"{_LINKS}, pairs AS (SELECT source AS src, target AS dst, min(kind) AS kind FROM links GROUP BY ALL), far AS (SELECT src, dst, kind FROM pairs), walk AS (SELECT 'NATION_3' AS id, 0 AS hops UNION SELECT dst, hops + 1 FROM walk JOIN far ON src = id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT f.dst AS id, min(f.src) AS parent FROM far f JOIN best a ON a.id = f.src JOIN best b ON b.id = f.dst WHERE b.hops = a.hops + 1 GROUP BY f.dst), back AS (SELECT id, parent FROM parent WHERE id = 'NATION_20' UNION ALL SELECT p.id, p.parent FROM back JOIN parent p ON p.id = back.parent) SELECT b.hops::INTEGER AS hop, k.parent AS source, k.id AS target, f.kind FROM back k JOIN best b ON b.id = k.id JOIN far f ON f.src = k.parent AND f.dst = k.id", True)(lambda n, e: topology.service_path_rows(n, e, "NATION_3", "NATION_20"))
+_graph("service_cycles", f"{_LINKS}, pairs AS (SELECT DISTINCT source AS src, target AS dst FROM links), two AS (SELECT a.src || '>' || a.dst || '>' || a.src AS cycle, 2 AS length, a.src || '>' || a.dst AS key FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst), three AS (SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || a.src, 3, a.src || '>' || a.dst || '>' || b.dst FROM pairs a JOIN pairs b ON b.src = a.dst JOIN pairs c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst) SELECT cycle, length FROM (SELECT * FROM two UNION ALL SELECT * FROM three) ORDER BY length, key LIMIT 100")(topology.service_cycle_rows)
 
-
-_PARTS = "small AS (SELECT src, dst FROM edges WHERE src LIKE 'part:%' AND dst LIKE 'part:%' AND kind = 'depends_on')"
-_parts = lambda e: e.filter(F.col("src").startswith("part:") & F.col("dst").startswith("part:") & (F.col("kind") == "depends_on"))
-_graph("blast_radius", f"{_PARTS}, walk AS (SELECT dst AS id, 1 AS hops FROM small WHERE src = 'part:101' UNION SELECT s.dst, hops + 1 FROM walk w JOIN small s ON s.src = w.id WHERE hops < 5) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:101' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, _parts(e), "part:101", 5))
-_graph("ego_graph", f"{_PARTS}, two AS (SELECT src, dst FROM small UNION SELECT dst, src FROM small), walk AS (SELECT dst AS id, 1 AS hops FROM two WHERE src = 'part:7' UNION SELECT t.dst, hops + 1 FROM walk w JOIN two t ON t.src = w.id WHERE hops < 2) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:7' GROUP BY ALL", True)(lambda n, e: traversal.ego_graph(n, _parts(e), "part:7", 2))
-_graph("affected_services", f"{_OWN}, walk AS (SELECT dst AS id FROM edges WHERE src IN ('order:1', 'order:2', 'order:3')) SELECT DISTINCT service FROM own WHERE node_id IN (SELECT id FROM walk)")(lambda n, e: traversal.affected_services(n, e, e.filter(F.col("src").isin("order:1", "order:2", "order:3")).select(F.col("dst").alias("id"))))
+_graph("blast_radius", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'nation:3' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 5) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'nation:3' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, e, "nation:3", 5))
+_graph("blast_radius_direct", f"SELECT {COMPACT}, 1 AS hops FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = 'nation:3')")(lambda n, e: traversal.blast_radius(n, e, "nation:3", 1))
+_graph("ego_graph", "two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT dst AS id, 1 AS hops FROM two WHERE src = 'part:7' UNION SELECT t.dst, hops + 1 FROM walk w JOIN two t ON t.src = w.id WHERE hops < 2) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:7' GROUP BY ALL ORDER BY n.id LIMIT 500", True)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
+_graph("affected_services", f"{_OWN}, walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT DISTINCT service FROM own WHERE node_id IN (SELECT id FROM walk)", True)(lambda n, e: traversal.affected_services(n, e, traversal.blast_radius(n, e, "order:1", 3)))
 _graph("trace_impact", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'order:1' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, e, "order:1", 3))
 
 
-@_graph("shortest_path", f"{_PARTS}, walk AS (SELECT 'part:150' AS id, ['part:150'] AS path UNION ALL SELECT s.dst, list_append(path, s.dst) FROM walk w JOIN small s ON s.src = w.id WHERE len(path) < 21 AND NOT list_contains(path, s.dst)) SELECT (u.i - 1)::INTEGER AS hop, path[u.i] AS id FROM (SELECT path FROM walk WHERE id = 'part:4' ORDER BY len(path) LIMIT 1) p, LATERAL (SELECT unnest(range(1, len(p.path) + 1)) AS i) u", True)
+@_graph("shortest_path", "walk AS (SELECT 'region:0' AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT e.dst AS id, min(e.src) AS parent FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE b.hops = a.hops + 1 GROUP BY e.dst), back AS (SELECT 'part:4' AS id UNION ALL SELECT p.parent FROM back JOIN parent p ON p.id = back.id) SELECT hops::INTEGER AS hop, id FROM back JOIN best USING (id)", True)
 def _shortest(n: DataFrame, e: DataFrame) -> DataFrame:
-    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, _parts(e), "part:150", "part:4"))), "hop int, id string")
+    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, e, "region:0", "part:4"))), "hop int, id string")
 
 
-_graph("node_cycles", f"{_PARTS}, one AS (SELECT DISTINCT src, dst FROM small WHERE src <> dst), walk AS (SELECT src AS first, [src, dst] AS path, dst AS last FROM one WHERE dst > src UNION ALL SELECT first, list_append(path, dst), dst FROM walk JOIN one ON src = last WHERE len(path) < 10 AND dst > first AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM walk JOIN one ON src = last AND dst = first", True)(lambda n, e: traversal.cycles(_parts(e), limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
+# In SQL only edges whose two ends lie on the kinds that cycles need are walked: a path over every edge has too many others.
+_graph("node_cycles", "one AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND src IN (SELECT dst FROM edges) AND dst IN (SELECT src FROM edges)), core AS (SELECT src, dst FROM one WHERE src IN (SELECT dst FROM one) AND dst IN (SELECT src FROM one)), walk AS (SELECT src AS first, [src, dst] AS path, dst AS last FROM core WHERE dst > src UNION ALL SELECT first, list_append(path, dst), dst FROM walk JOIN core ON src = last WHERE len(path) < 10 AND dst > first AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM walk JOIN core ON src = last AND dst = first", True)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
 
-# The same operators over every edge, so that they grow with the tables; without SQL, which would be too slow.
 _graph("blast_radius_all", None)(lambda n, e: traversal.blast_radius(n, e, "region:0", 5))
 _graph("ego_graph_all", None)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
 _graph("node_cycles_all", None)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
@@ -157,22 +155,36 @@ _table("merge_edges", f"WITH {_REPORTS} SELECT 'u' || (pos % 50) AS src, id AS d
     lambda spark, t: merge.merge_edges(_reports(t).select(F.col("pos").cast("string").alias("id"), "kind", F.concat(F.lit("u"), F.col("pos") % 50).alias("src"), F.col("id").alias("dst"), "confidence", "source", "props", "pos"), ["pos"]).select("src", "dst", "kind", F.col("id").cast("long").alias("edge"))
 )
 
-_graph("label_search", f"SELECT {COMPACT} FROM nodes WHERE contains(lower(label), 'ind') OR contains(lower(fqn), 'ind') ORDER BY id LIMIT 50")(lambda n, e: search.label_search(n, " InD "))
+_graph("label_search", f"SELECT {COMPACT} FROM nodes WHERE contains(lower(label), 'tion_1') OR contains(lower(fqn), 'tion_1') ORDER BY id LIMIT 50")(lambda n, e: search.label_search(n, " Tion_1 "))
 _PAGES = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
 _docs = lambda t: t("documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("config_key").alias("kind"), F.col("source").alias("label"), F.col("lang").alias("fqn"), F.col("source").alias("file_path"), F.lit("shared").alias("layer"), F.create_map(F.lit("lex_comment"), "text").alias("props"), "text")
 _table("lexical_search", "SELECT 'doc:' || doc_id AS id, 'config_key' AS kind, source AS label, source AS file_path, 'shared' AS layer FROM documents WHERE contains(lower(text), 'license') ORDER BY id LIMIT 50")(lambda spark, t: search.lexical_search(_docs(t), "License"))
 _table("config_key_search", "SELECT 'doc:' || doc_id AS id, 'config_key' AS kind, source AS label, source AS file_path, 'shared' AS layer FROM documents WHERE contains(lower(text), 'apache') ORDER BY id LIMIT 50")(lambda spark, t: search.config_key_search(_docs(t), "apache"))
-_graph("find_node", f"SELECT {COMPACT}, CASE WHEN lower(label) = 'india' THEN 0 ELSE 1 END AS rank FROM nodes WHERE contains(lower(label), 'india') OR contains(lower(fqn), 'india') ORDER BY rank, id LIMIT 50")(lambda n, e: search.find_node(n, "India"))
+_graph("find_node", f"SELECT {COMPACT}, CASE WHEN lower(label) = 'nation_1' THEN 0 ELSE 1 END AS rank FROM nodes WHERE contains(lower(label), 'nation_1') OR contains(lower(fqn), 'nation_1') ORDER BY rank, id LIMIT 50")(lambda n, e: search.find_node(n, "Nation_1"))
 _BM25 = """WITH d AS (SELECT doc_id AS key, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM documents), z AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d WHERE len(t) > 0),
 w AS (SELECT key, size, token, count(*) AS tf FROM (SELECT key, len(t) AS size, unnest(t) AS token FROM d) WHERE %s GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM w GROUP BY token)
 SELECT key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM w JOIN f USING (token), z GROUP BY key HAVING count(DISTINCT token) >= %d ORDER BY round(score, 6) DESC, key LIMIT 50"""
 for _name, _query, _where, _n in (("bm25_search", "the license", "token IN ('the', 'license')", 2), ("bm25_prefix", "licen", "starts_with(token, 'licen')", 1)):
-    _table(_name, _BM25 % (_where, _n))(lambda spark, t, q=_query: search.bm25(search.inverted_index(t("documents"), "doc_id", "text"), q).withColumn("score", F.round("score", 6)))
+    _table(_name, _BM25 % (_where, _n))(lambda spark, t, q=_query: search.bm25_documents(t("documents"), "doc_id", "text", q).withColumn("score", F.round("score", 6)))
 _LANGS = ["java", "typescript", "javascript", "python", "go", "C#", "rust", "cpp", "kotlin", "cobol", ""]
-_table("plan_route", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{x}', '{search.route(q, x)}')" for q in search.QUERY_DIMENSIONS for x in _LANGS) + ") AS t(query_type, language, route)")(lambda spark, t: search.plans(spark, _LANGS))
-_table("capabilities", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{d}', '{v}')" for x in _LANGS for d, v in search.capability(x).items()) + ") AS t(language, dimension, level)")(lambda spark, t: search.capability_table(spark, _LANGS))
+_D = ["SYMBOL_DEFINITIONS", "SYMBOL_REFERENCES", "IMPORT_RESOLUTION", "TYPE_INFO", "CLASS_HIERARCHY", "FRAMEWORK_SEMANTICS", "ORM_ENTITY_MAPPING", "AUTH_SECURITY", "ASYNC_PATTERNS"]
+# Levels written out once more, apart from the operator's table: what each language lacks of PARTIAL in all dimensions.
+_OTHER_LEVELS = """
+java SYMBOL_DEFINITIONS EXACT, java SYMBOL_REFERENCES EXACT, java IMPORT_RESOLUTION EXACT, java TYPE_INFO EXACT, java CLASS_HIERARCHY EXACT, java FRAMEWORK_SEMANTICS EXACT, java ORM_ENTITY_MAPPING EXACT, java AUTH_SECURITY EXACT,
+javascript TYPE_INFO LEXICAL_ONLY, python TYPE_INFO LEXICAL_ONLY, go CLASS_HIERARCHY LEXICAL_ONLY, go AUTH_SECURITY LEXICAL_ONLY,
+rust CLASS_HIERARCHY LEXICAL_ONLY, rust ORM_ENTITY_MAPPING UNSUPPORTED, rust AUTH_SECURITY LEXICAL_ONLY, cpp ORM_ENTITY_MAPPING UNSUPPORTED, cpp AUTH_SECURITY LEXICAL_ONLY,
+kotlin SYMBOL_DEFINITIONS LEXICAL_ONLY, kotlin SYMBOL_REFERENCES LEXICAL_ONLY, kotlin IMPORT_RESOLUTION LEXICAL_ONLY, kotlin TYPE_INFO UNSUPPORTED, kotlin CLASS_HIERARCHY LEXICAL_ONLY, kotlin FRAMEWORK_SEMANTICS LEXICAL_ONLY, kotlin ORM_ENTITY_MAPPING UNSUPPORTED, kotlin AUTH_SECURITY LEXICAL_ONLY, kotlin ASYNC_PATTERNS LEXICAL_ONLY"""
+_LEVELS_SQL = f"""WITH l AS (SELECT unnest({_LANGS!r}) AS language), d AS (SELECT unnest({_D!r}) AS dimension),
+o AS (SELECT split_part(x, ' ', 1) AS language, split_part(x, ' ', 2) AS dimension, split_part(x, ' ', 3) AS level FROM (SELECT trim(unnest(string_split(replace('{_OTHER_LEVELS.strip()}', chr(10), ' '), ','))) AS x)),
+c AS (SELECT language, dimension, CASE WHEN language IN ('cobol', '') THEN 'UNSUPPORTED' ELSE coalesce(level, 'PARTIAL') END AS level FROM (SELECT e.language, e.dimension, level FROM (SELECT language, dimension FROM l, d) e LEFT JOIN o ON lower(e.language) = o.language AND e.dimension = o.dimension))"""
+_table("capabilities", f"{_LEVELS_SQL} SELECT language, dimension, level FROM c")(lambda spark, t: search.capability_table(spark, _LANGS))
+_table("plan_route", f"""{_LEVELS_SQL}, q AS (SELECT * FROM (VALUES ('FIND_SYMBOL', 'SYMBOL_DEFINITIONS'), ('FIND_REFERENCES', 'SYMBOL_REFERENCES'), ('FIND_CALLERS', 'SYMBOL_REFERENCES'), ('FIND_DEPENDENCIES', 'IMPORT_RESOLUTION'), ('FIND_CONFIG', 'FRAMEWORK_SEMANTICS')) AS q(query_type, dimension))
+SELECT query_type, language, CASE level WHEN 'UNSUPPORTED' THEN 'DEGRADED' WHEN 'PARTIAL' THEN 'MERGED' WHEN 'LEXICAL_ONLY' THEN 'LEXICAL_FIRST' ELSE 'GRAPH_FIRST' END AS route FROM q JOIN c USING (dimension) UNION ALL SELECT 'SEARCH_TEXT', language, 'LEXICAL_FIRST' FROM l""")(lambda spark, t: search.plans(spark, _LANGS))
+_graph("text_search", "t AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', label, fqn)), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM nodes), z AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t WHERE len(t) > 0), w AS (SELECT id, size, token, count(*) AS tf FROM (SELECT id, len(t) AS size, unnest(t) AS token FROM t) WHERE starts_with(token, 'nation_1') GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM w GROUP BY token), s AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM w JOIN f USING (token), z GROUP BY id) SELECT id, kind, label, file_path, layer, round(score, 6) AS score FROM s JOIN nodes USING (id) ORDER BY round(score, 9) DESC, id LIMIT 50")(lambda n, e: search.text_search(n, "Nation_1").withColumn("score", F.round("score", 6)))
 _graph("references", f"hit AS (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM nodes WHERE kind = 'class')) SELECT {COMPACT} FROM nodes WHERE id IN (SELECT src FROM hit) AND kind <> 'class'")(lambda n, e: search.references(n, e, n.filter("kind = 'class'")))
 _graph("evidence_pack", "m AS (SELECT * FROM nodes WHERE contains(lower(label), 'customer#00000001') OR contains(lower(fqn), 'customer#00000001') ORDER BY id LIMIT 20), r AS (SELECT * FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM m)) AND id NOT IN (SELECT id FROM m)) SELECT 'match' AS part, id, kind, label, file_path FROM m UNION ALL SELECT 'reference', id, kind, label, file_path FROM r")(lambda n, e: search.evidence_pack(n, e, symbol="Customer#00000001"))
+_graph("evidence_files", "m AS (SELECT * FROM nodes WHERE contains(lower(label), 'customer#00000001') OR contains(lower(fqn), 'customer#00000001') ORDER BY id LIMIT 20), p AS (SELECT 'match' AS part, file_path FROM m UNION ALL SELECT 'reference', file_path FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM m)) AND id NOT IN (SELECT id FROM m)) SELECT file_path, array_to_string(list_sort(list(DISTINCT part)), ',') AS parts FROM p WHERE file_path <> '' GROUP BY file_path")(lambda n, e: search.related_files(search.evidence_pack(n, e, symbol="Customer#00000001")))
+_graph("evidence_full", "m AS (SELECT * FROM nodes WHERE contains(lower(label), 'customer#00000001') OR contains(lower(fqn), 'customer#00000001') ORDER BY id LIMIT 20), r AS (SELECT * FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM m)) AND id NOT IN (SELECT id FROM m)) SELECT part, id, kind, label, file_path, '' AS provenance, 'EXACT' AS level, '' AS note FROM (SELECT 'match' AS part, * FROM m UNION ALL SELECT 'reference', * FROM r)")(lambda n, e: search.full_evidence(n, e, symbol="Customer#00000001", language="java").drop("snippet", "first_line"))
 _table("provenance", "SELECT 'doc:' || doc_id AS id, 'class' AS kind, source AS file_path, 1::BIGINT AS line_start, n_chars AS line_end, 'prov_lang=' || lang || ';prov_size=' || n_chars AS provenance FROM documents")(lambda spark, t: search.provenance(t("documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.lit("class").alias("kind"), F.col("source").alias("file_path"), F.lit(1).cast("long").alias("line_start"), F.col("n_chars").alias("line_end"), F.create_map(F.lit("prov_size"), F.col("n_chars").cast("string"), F.lit("prov_lang"), F.col("lang"), F.lit("other"), F.lit("x")).alias("props"))))
 _table("doc_snippet", "WITH d AS (SELECT page_id, string_split(html, chr(10)) AS l, page_id % 7 + 1 AS s FROM pages), r AS (SELECT page_id, l, greatest(1, s - 3) AS a, least(len(l), s + 5) AS b FROM d) SELECT 'page:' || page_id AS id, array_to_string(l[a:b], chr(10)) AS snippet, a AS first_line FROM r")(
     lambda spark, t: search.snippet(t("pages").select(F.concat(F.lit("p"), "page_id").alias("path"), F.col("html").alias("content")), t("pages").select(F.concat(F.lit("page:"), "page_id").alias("id"), F.concat(F.lit("p"), "page_id").alias("file_path"), (F.col("page_id") % 7 + 1).alias("line_start"), (F.col("page_id") % 7 + 3).alias("line_end")))
@@ -194,3 +206,34 @@ _each = lambda d, n: d.select("path", "content_hash", F.explode(F.sequence(F.lit
 _table("cache_list", "SELECT 'f' || page_id AS path, sha256(html) AS content_hash, 'html' AS language, greatest(len(string_split(html, '<a ')) - 1, 0)::BIGINT AS n_nodes, greatest(len(string_split(html, '<p')) - 1, 0)::BIGINT AS n_edges FROM pages")(lambda spark, t: S.cache_list(_cached(t), _each(_cached(t), "links"), _each(_cached(t), "paras")))
 _table("cache_lookup", "SELECT 'f' || page_id AS path, sha256(html) AS content_hash, 'html' AS language FROM pages WHERE 'f' || page_id LIKE '%7' ORDER BY path LIMIT 1")(lambda spark, t: S.cache_lookup(_cached(t).drop("links", "paras"), "7"))
 _table("detect_html_links", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS x FROM pages) GROUP BY page_id")(lambda spark, t: t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
+
+for _family in specimens.families():
+    _table(f"detect_{_family}", specimens.sql(_family))(lambda spark, t, f=_family: specimens.findings(t("nation"), f))
+
+
+def _calls(t) -> DataFrame:
+    files = specimens.sources(t("nation"))
+    methods = files.select(F.col("path").alias("file_path"), F.explode(F.array(F.lit("run"), F.concat(F.lit("run"), F.regexp_extract("path", r"src/(.*)\.\w+$", 1)), F.concat(F.lit("helper"), F.regexp_extract("path", r"src/(.*)\.\w+$", 1)))).alias("label"))
+    return enrich.extract_calls(files, methods.select(F.concat_ws("|", "file_path", "label").alias("id"), "file_path", F.lit("method").alias("kind"), "label")).select(F.split_part("src", F.lit("|"), F.lit(1)).alias("file_path"), F.split_part("src", F.lit("|"), F.lit(2)).alias("label"), "name")
+
+
+def _comments(t) -> DataFrame:
+    files = specimens.sources(t("nation")).filter("language IN ('python', 'java')")
+    at = F.when(F.col("language") == "python", 1).otherwise(2).cast("long")
+    values = {"id": F.col("path"), "kind": F.lit("class"), "label": F.lit("x"), "file_path": F.col("path"), "line_start": at, "props": F.create_map()}
+    nodes = files.select(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.NODES))
+    return enrich.with_comments(nodes, files).select("file_path", F.col("line_start").alias("line"), F.col("props")["lex_comment"].alias("comment"))
+
+
+_table("extract_calls", specimens.source_sql(specimens.CALLS, ["file_path", "label", "name"]))(lambda spark, t: _calls(t))
+_table("extract_types", specimens.source_sql(specimens.TYPES, ["file_path", "label", "relation", "names"]))(lambda spark, t: enrich.extract_types(specimens.sources(t("nation"))))
+_table("doc_comments", specimens.source_sql(specimens.COMMENTS, ["file_path", "line", "comment"]))(lambda spark, t: _comments(t))
+
+# The tools lead to operators that have queries above: the same rows, by way of names, modes and checked arguments.
+for _name, _tool, _args, _like in (
+    ("tool_graph_summary", "graph_summary", {"mode": "categories", "category": "architecture"}, "stats_architecture"), ("tool_find_in_graph", "find_in_graph", {"mode": "by_file", "file_path": "api/orders3.ts"}, "component_by_file"), ("tool_inspect_node", "inspect_node", {"mode": "ego", "center": "part:7"}, "ego_graph"),
+    ("tool_trace_relationships", "trace_relationships", {"mode": "shortest_path", "from": "region:0", "to": "part:4"}, "shortest_path"), ("tool_analyze_impact", "analyze_impact", {"mode": "blast_radius", "node_id": "nation:3"}, "blast_radius_direct"), ("tool_topology_view", "topology_view", {"mode": "service", "service_name": "NATION_3"}, "service_detail"),
+    ("tool_run_query", "run_query", {"query": "SELECT kind, count(*) AS n FROM {nodes} GROUP BY kind"}, "count_nodes_by_kind"),
+):
+    _graph(_name, None)(lambda n, e, tool=_tool, args=_args: tools.call(tools.Graph(n, e), tool, args))
+    ORACLES[_name] = ORACLES[_like]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders left out, and the language of each extension.
-EXCLUDED = "node_modules build target dist out bin obj .git .svn .idea .vscode .eclipse .settings __pycache__ venv .venv .tox .mypy_cache .pytest_cache .eggs .gradle .mvn bower_components .next .nuxt coverage .nyc_output .parcel-cache .turbo .cache vendor .codeiq".split()
+EXCLUDED = "node_modules build target dist out bin obj .git .svn .idea .vscode .eclipse .settings __pycache__ venv .venv .tox .mypy_cache .pytest_cache .eggs .gradle .mvn bower_components .next .nuxt coverage .nyc_output .parcel-cache .turbo .cache vendor .weftgraph".split()
 LANGUAGES = {
     "java": "java", "py": "python", "pyw": "python", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "cjs": "typescript", "go": "go", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml", "ini": "ini", "cfg": "ini", "properties": "properties", "sql": "sql", "bat": "batch", "cmd": "batch", "vue": "vue", "svelte": "svelte", "cs": "csharp", "kt": "kotlin", "kts": "kotlin",
     "scala": "scala", "sc": "scala", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "h": "cpp", "rs": "rust", "tf": "terraform", "tfvars": "terraform", "bicep": "bicep", "proto": "proto", "xml": "xml", "md": "markdown", "markdown": "markdown", "ps1": "powershell", "psm1": "powershell", "psd1": "powershell", "sh": "bash", "bash": "bash", "zsh": "bash", "rb": "ruby", "groovy": "groovy", "gradle": "groovy",

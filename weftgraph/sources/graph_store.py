@@ -53,11 +53,6 @@ class GraphStore:
         self.write(self.spark.createDataFrame([], M.NODES), self.spark.createDataFrame([], M.EDGES))
 
 
-def in_order(edges: DataFrame) -> DataFrame:
-    """By kind in the order of the domain, then by id."""
-    return edges.orderBy(F.array_position(F.array(*map(F.lit, M.EDGE_KINDS)), F.col("kind")), "id")
-
-
 def without_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without the nodes of ``paths`` (path), and without edges at either end of these."""
     gone = nodes.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id")
@@ -65,11 +60,6 @@ def without_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple
     return nodes.join(gone, "id", "left_anti").select(*nodes.columns), left.select(*edges.columns)
 
 
-def replace_files(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    n, e = without_files(nodes, edges, paths)
-    return n.unionByName(new_nodes), e.unionByName(new_edges)
-
-
 def without_sources(nodes: DataFrame, edges: DataFrame, sources: list[str]) -> tuple[DataFrame, DataFrame]:
     keep = ~F.coalesce(F.col("source").isin(sources), F.lit(False))
     return nodes.filter(keep), edges.filter(keep)
