@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
+from weftgraph.operators.settle import settled
 
 
 def find_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
@@ -107,7 +108,7 @@ def related_endpoints(nodes: DataFrame, edges: DataFrame, identifier: str, limit
 
 def evidence_text(nodes: DataFrame, edges: DataFrame, path: str, most_nodes: int = 25, most_upstream: int = 15) -> DataFrame:
     """One row for a file: its nodes and what points to them, as lines of text."""
-    own = nodes.filter(F.col("file_path") == path).orderBy("id").limit(most_nodes)
+    own = settled(nodes.filter(F.col("file_path") == path).orderBy("id").limit(most_nodes))
     up = nodes.join(edges.join(own.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")), "id", "left_semi").orderBy("id").limit(most_upstream)
     line = lambda mark: F.concat(F.lit(mark), F.col("kind"), F.lit(" "), F.col("label"), F.lit(" ("), F.col("id"), F.lit(")"))
     rows = own.select(F.lit(0).alias("part"), "id", line("- ").alias("line")).unionByName(up.select(F.lit(1).alias("part"), "id", line("< ").alias("line")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
+from weftgraph.operators.settle import settled
 
 K1, B = 1.2, 0.75
 # Which capabilities a kind of query needs, and what the analysis of each language offers.
@@ -300,6 +301,7 @@ def references(nodes: DataFrame, edges: DataFrame, matches: DataFrame) -> DataFr
 def evidence_pack(nodes: DataFrame, edges: DataFrame, symbol: str | None = None, path: str | None = None, limit: int = 20) -> DataFrame:
     """(part, id, kind, label, file_path): the matches of a symbol or file, and what refers to them."""
     found = label_search(nodes, symbol, limit) if symbol else M.compact(nodes.filter(F.col("file_path") == path)).orderBy("id").limit(limit)
+    found = settled(found)  # at most ``limit`` rows, read again for what refers to them
     refs = references(nodes, edges, found)
     rows = found.withColumn("part", F.lit("match")).unionByName(refs.withColumn("part", F.lit("reference")))
     return rows.select("part", "id", "kind", "label", "file_path").orderBy("part", "id")
@@ -315,7 +317,7 @@ def full_evidence(nodes: DataFrame, edges: DataFrame, files: DataFrame | None =
 
     The level is the weakest capability that the query's kind needs in the language (guessed from the symbol if not given).
     """
-    pack = evidence_pack(nodes, edges, symbol, path, limit)
+    pack = settled(evidence_pack(nodes, edges, symbol, path, limit))
     own = nodes.join(pack.select("id"), "id", "left_semi")
     told = plan(query_type, language or guess_language(symbol or ""))
     weakest = ["UNSUPPORTED", "LEXICAL_ONLY", "PARTIAL", "EXACT"]

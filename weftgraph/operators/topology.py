@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph import model as M
 from weftgraph.operators import traversal
 from weftgraph.operators.neighbours import membership
+from weftgraph.operators.settle import settled
 
 
 def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def service_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def service_path_rows(nodes: DataFrame, edges: DataFrame, start: str, goal: str) -> DataFrame:
     """(hop, source, target, kind) of a shortest path between services, the smallest names winning; no rows from one to
     itself or where there is none."""
-    pairs = traversal.settled(service_pairs(nodes, edges))
+    pairs = settled(service_pairs(nodes, edges))
     labels = services(nodes).select(F.col("label").alias("id"))
     path = traversal.shortest_path(labels, pairs, start, goal)
     hops = [(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:], strict=False), 1)]
@@ -97,5 +98,5 @@ def service_cycles(nodes: DataFrame, edges: DataFrame, longest: int = 10, limit:
 def service_cycle_rows(nodes: DataFrame, edges: DataFrame, longest: int = 10, limit: int = 100) -> DataFrame:
     """(cycle, length): cycles of services, the shortest first, each from its smallest name on and closed by it. A walk
     in order of names would find some of them; this lists all, up to the limit."""
-    found = traversal.cycles(traversal.settled(service_pairs(nodes, edges)), longest, limit)
+    found = traversal.cycles(settled(service_pairs(nodes, edges)), longest, limit)
     return found.select(F.concat_ws(">", F.concat("path", F.slice("path", 1, 1))).alias("cycle"), F.size("path").alias("length"))

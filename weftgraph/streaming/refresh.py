@@ -10,7 +10,7 @@ from weftgraph import model as M
 from weftgraph.detectors import engine
 from weftgraph.operators import enrich, layers, linkers, merge
 from weftgraph.operators.neighbours import drop_dangling
-from weftgraph.operators.traversal import settled
+from weftgraph.operators.settle import settled
 from weftgraph.sources.graph_store import GraphStore
 
 ARRIVAL = ["path", "content_hash", "seq"]
