@@ -26,7 +26,7 @@ from weftgraph.llm import repeats as R
 from weftgraph.llm.bloom import members
 from weftgraph.llm.storage import materialize, release
 
-FAN, BATCHES = 2, 4
+FAN, BATCHES = 1, 3
 #: Least number of buckets of a run, and bytes of text for each more.
 BUCKETS, BUCKET_BYTES = 32, 1 << 28
 _RUN = ["a", "s", "v", "place", "c"]
