@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph import model as M
 from weftgraph.operators import enrich, flow, layers, linkers, merge, search, stats, tools, topology, traversal
 from weftgraph.operators import neighbours as N
+from weftgraph.operators.settle import settled
 from weftgraph.plans import specimens
 from weftgraph.plans.tables import graph_from_tables, with_graph
 from weftgraph.sources import files as S
@@ -87,29 +88,29 @@ _graph("service_path_lengths", f"{_LINKS}, pairs AS (SELECT DISTINCT source, tar
 _graph("service_path", f"{_LINKS}, pairs AS (SELECT source AS src, target AS dst, min(kind) AS kind FROM links GROUP BY ALL), far AS (SELECT src, dst, kind FROM pairs), walk AS (SELECT 'NATION_3' AS id, 0 AS hops UNION SELECT dst, hops + 1 FROM walk JOIN far ON src = id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT f.dst AS id, min(f.src) AS parent FROM far f JOIN best a ON a.id = f.src JOIN best b ON b.id = f.dst WHERE b.hops = a.hops + 1 GROUP BY f.dst), back AS (SELECT id, parent FROM parent WHERE id = 'NATION_20' UNION ALL SELECT p.id, p.parent FROM back JOIN parent p ON p.id = back.parent) SELECT b.hops::INTEGER AS hop, k.parent AS source, k.id AS target, f.kind FROM back k JOIN best b ON b.id = k.id JOIN far f ON f.src = k.parent AND f.dst = k.id", True)(lambda n, e: topology.service_path_rows(n, e, "NATION_3", "NATION_20"))
 _graph("service_cycles", f"{_LINKS}, pairs AS (SELECT DISTINCT source AS src, target AS dst FROM links), two AS (SELECT a.src || '>' || a.dst || '>' || a.src AS cycle, 2 AS length, a.src || '>' || a.dst AS key FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst), three AS (SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || a.src, 3, a.src || '>' || a.dst || '>' || b.dst FROM pairs a JOIN pairs b ON b.src = a.dst JOIN pairs c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst) SELECT cycle, length FROM (SELECT * FROM two UNION ALL SELECT * FROM three) ORDER BY length, key LIMIT 100")(topology.service_cycle_rows)
 
-_graph("blast_radius", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'nation:3' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 5) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'nation:3' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, e, "nation:3", 5))
-_graph("blast_radius_direct", f"SELECT {COMPACT}, 1 AS hops FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = 'nation:3')")(lambda n, e: traversal.blast_radius(n, e, "nation:3", 1))
-_graph("ego_graph", "two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT dst AS id, 1 AS hops FROM two WHERE src = 'part:7' UNION SELECT t.dst, hops + 1 FROM walk w JOIN two t ON t.src = w.id WHERE hops < 2) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:7' GROUP BY ALL ORDER BY n.id LIMIT 500", True)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
-_graph("affected_services", f"{_OWN}, walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT DISTINCT service FROM own WHERE node_id IN (SELECT id FROM walk)", True)(lambda n, e: traversal.affected_services(n, e, traversal.blast_radius(n, e, "order:1", 3)))
-_graph("trace_impact", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'order:1' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, e, "order:1", 3))
+_graph("blast_radius", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'nation:3' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 5) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'nation:3' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "nation:3", 5))
+_graph("blast_radius_direct", f"SELECT {COMPACT}, 1 AS hops FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = 'nation:3')")(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "nation:3", 1))
+_graph("ego_graph", "two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT dst AS id, 1 AS hops FROM two WHERE src = 'part:7' UNION SELECT t.dst, hops + 1 FROM walk w JOIN two t ON t.src = w.id WHERE hops < 2) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:7' GROUP BY ALL ORDER BY n.id LIMIT 500", True)(lambda n, e: traversal.ego_graph(n, settled(e.select("src", "dst", "kind")), "part:7", 2))
+_graph("affected_services", f"{_OWN}, walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT DISTINCT service FROM own WHERE node_id IN (SELECT id FROM walk)", True)(lambda n, e: traversal.affected_services(n, e, traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "order:1", 3)))
+_graph("trace_impact", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'order:1' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "order:1", 3))
 
 
 @_graph("shortest_path", "walk AS (SELECT 'region:0' AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT e.dst AS id, min(e.src) AS parent FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE b.hops = a.hops + 1 GROUP BY e.dst), back AS (SELECT 'part:4' AS id UNION ALL SELECT p.parent FROM back JOIN parent p ON p.id = back.id) SELECT hops::INTEGER AS hop, id FROM back JOIN best USING (id)", True)
 def _shortest(n: DataFrame, e: DataFrame) -> DataFrame:
-    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, e, "region:0", "part:4"))), "hop int, id string")
+    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, settled(e.select("src", "dst", "kind")), "region:0", "part:4"))), "hop int, id string")
 
 
 # In SQL only edges whose two ends lie on the kinds that cycles need are walked: a path over every edge has too many others.
 _graph("node_cycles", "one AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND src IN (SELECT dst FROM edges) AND dst IN (SELECT src FROM edges)), core AS (SELECT src, dst FROM one WHERE src IN (SELECT dst FROM one) AND dst IN (SELECT src FROM one)), walk AS (SELECT src AS first, [src, dst] AS path, dst AS last FROM core WHERE dst > src UNION ALL SELECT first, list_append(path, dst), dst FROM walk JOIN core ON src = last WHERE len(path) < 10 AND dst > first AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM walk JOIN core ON src = last AND dst = first", True)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
 
-_graph("blast_radius_all", None)(lambda n, e: traversal.blast_radius(n, e, "region:0", 5))
-_graph("ego_graph_all", None)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
+_graph("blast_radius_all", None)(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "region:0", 5))
+_graph("ego_graph_all", None)(lambda n, e: traversal.ego_graph(n, settled(e.select("src", "dst", "kind")), "part:7", 2))
 _graph("node_cycles_all", None)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
 
 
 @_graph("shortest_path_all", None)
 def _shortest_all(n: DataFrame, e: DataFrame) -> DataFrame:
-    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, e, "region:0", "part:4"))), "hop int, id string")
+    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, settled(e.select("src", "dst", "kind")), "region:0", "part:4"))), "hop int, id string")
 
 
 _EXT = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in stats.EXTENSION_LANGUAGE.items()) + " ELSE ext END"
@@ -235,5 +236,5 @@ for _name, _tool, _args, _like in (
     ("tool_trace_relationships", "trace_relationships", {"mode": "shortest_path", "from": "region:0", "to": "part:4"}, "shortest_path"), ("tool_analyze_impact", "analyze_impact", {"mode": "blast_radius", "node_id": "nation:3"}, "blast_radius_direct"), ("tool_topology_view", "topology_view", {"mode": "service", "service_name": "NATION_3"}, "service_detail"),
     ("tool_run_query", "run_query", {"query": "SELECT kind, count(*) AS n FROM {nodes} GROUP BY kind"}, "count_nodes_by_kind"),
 ):
-    _graph(_name, None)(lambda n, e, tool=_tool, args=_args: tools.call(tools.Graph(n, e), tool, args))
+    _graph(_name, None)(lambda n, e, tool=_tool, args=_args: tools.call(tools.Graph(n, settled(e)), tool, args))
     ORACLES[_name] = ORACLES[_like]
