@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
+from weftgraph.operators.neighbours import drop_dangling
 
 
 def _edges(rows: DataFrame, kind: str, source: str, props) -> DataFrame:
@@ -68,10 +69,13 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def phantom_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: distinct nodes, distinct edges (src, dst, kind), repeated nodes and edges."""
+    """One row: distinct nodes, distinct edges (src, dst, kind), repeated nodes and edges, and edges with an end that is no node."""
     n = nodes.agg(F.count_distinct("id").alias("nodes"), (F.count("id") - F.count_distinct("id")).alias("repeated_nodes"))
     key = F.struct("src", "dst", "kind")
-    return n.crossJoin(edges.agg(F.count_distinct(key).alias("edges"), (F.count(F.lit(1)) - F.count_distinct(key)).alias("repeated_edges")))
+    e = edges.agg(F.count_distinct(key).alias("edges"), (F.count(F.lit(1)) - F.count_distinct(key)).alias("repeated_edges"), F.count(F.lit(1)).alias("all"))
+    whole = drop_dangling(nodes, edges).agg(F.count(F.lit(1)).alias("whole"))
+    # Three tables of one row each.
+    return n.crossJoin(e).crossJoin(whole).select("nodes", "repeated_nodes", "edges", "repeated_edges", (F.col("all") - F.col("whole")).alias("dangling_edges"))
 
 
 def first_by(rows: DataFrame, key: list[str], order: list) -> DataFrame:

@@ -65,7 +65,7 @@ _dead = f"SELECT {COMPACT} FROM nodes WHERE kind IN %s AND kind NOT IN {_in(M.EN
 _graph("dead_code", _dead % _in(M.DEAD_CODE_KINDS))(lambda n, e: N.dead_code(n, e, limit=None))
 _graph("dead_code_entities", _dead % "('entity', 'repository')" + " ORDER BY id LIMIT 100")(lambda n, e: N.dead_code(n, e, ["entity", "repository"]))
 _graph("drop_phantom_edges", "SELECT id AS edge, kind, src, dst FROM (SELECT src || '|' || kind || '|' || dst AS id, * FROM edges) WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")(lambda n, e: N.drop_dangling(n, e).select(F.col("id").alias("edge"), "kind", "src", "dst"))
-_graph("snapshot_counters", "SELECT (SELECT count(DISTINCT id) FROM nodes) AS nodes, (SELECT count(id) - count(DISTINCT id) FROM nodes) AS repeated_nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst, kind FROM edges)) AS edges, (SELECT count(*) FROM edges) - (SELECT count(*) FROM (SELECT DISTINCT src, dst, kind FROM edges)) AS repeated_edges")(linkers.phantom_counts)
+_graph("snapshot_counters", "SELECT (SELECT count(DISTINCT id) FROM nodes) AS nodes, (SELECT count(id) - count(DISTINCT id) FROM nodes) AS repeated_nodes, (SELECT count(*) FROM (SELECT DISTINCT src, dst, kind FROM edges)) AS edges, (SELECT count(*) FROM edges) - (SELECT count(*) FROM (SELECT DISTINCT src, dst, kind FROM edges)) AS repeated_edges, (SELECT count(*) FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)) AS dangling_edges")(linkers.phantom_counts)
 
 _OWN = "own AS (SELECT n.id AS service_id, n.label AS service, e.dst AS node_id FROM edges e JOIN nodes n ON e.src = n.id AND n.kind = 'service' WHERE e.kind = 'contains')"
 _LINKS = f"{_OWN}, links AS (SELECT DISTINCT a.service AS source, b.service AS target, e.kind AS kind FROM edges e JOIN own a ON e.src = a.node_id JOIN own b ON e.dst = b.node_id WHERE a.service_id <> b.service_id AND e.kind IN {_in(M.RUNTIME_KINDS)})"
@@ -205,6 +205,8 @@ _table("manifest_hash", f"SELECT sha256(string_agg(path || chr(0) || content_has
 _cached = lambda t: t("pages").select(F.concat(F.lit("f"), "page_id").alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"), F.lit("html").alias("language"), F.size(F.split("html", "<a ")).alias("links"), F.size(F.split("html", "<p")).alias("paras"))
 _each = lambda d, n: d.select("path", "content_hash", F.explode(F.sequence(F.lit(0), F.col(n))).alias("seq")).filter("seq > 1")
 _table("cache_list", "SELECT 'f' || page_id AS path, sha256(html) AS content_hash, 'html' AS language, greatest(len(string_split(html, '<a ')) - 1, 0)::BIGINT AS n_nodes, greatest(len(string_split(html, '<p')) - 1, 0)::BIGINT AS n_edges FROM pages")(lambda spark, t: S.cache_list(_cached(t), _each(_cached(t), "links"), _each(_cached(t), "paras")))
+_table("cache_stats", "SELECT count(*) AS files, sum(greatest(len(string_split(html, '<a ')) - 1, 0))::BIGINT AS nodes, sum(greatest(len(string_split(html, '<p')) - 1, 0))::BIGINT AS edges FROM pages")(lambda spark, t: S.cache_stats(_cached(t), _each(_cached(t), "links"), _each(_cached(t), "paras")))
+_table("cache_get", "WITH c AS (SELECT 'f' || page_id AS path, sha256(html) AS content_hash, 'html' AS language FROM pages) SELECT * FROM c WHERE content_hash = (SELECT content_hash FROM c WHERE path = 'f7')")(lambda spark, t: S.cache_get(_cached(t).select("path", "content_hash", "language"), _cached(t).filter("path = 'f7'").first()["content_hash"]))
 _table("cache_lookup", "SELECT 'f' || page_id AS path, sha256(html) AS content_hash, 'html' AS language FROM pages WHERE 'f' || page_id LIKE '%7' ORDER BY path LIMIT 1")(lambda spark, t: S.cache_lookup(_cached(t).drop("links", "paras"), "7"))
 _table("detect_html_links", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS x FROM pages) GROUP BY page_id")(lambda spark, t: t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")))
 

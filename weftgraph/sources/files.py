@@ -130,6 +130,15 @@ def cache_list(files: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int
     return out.offset(max(0, offset)).limit(limit) if limit > 0 else out
 
 
+def cache_get(files: DataFrame, content_hash: str) -> DataFrame:
+    """The cached files of a content hash, in order of paths; no rows where the cache lacks it."""
+    return files.filter(F.col("content_hash") == content_hash).orderBy("path")
+
+
+def cache_has(files: DataFrame, content_hash: str) -> bool:
+    return not cache_get(files, content_hash).isEmpty()
+
+
 def cache_lookup(files: DataFrame, query: str) -> DataFrame:
     """The file of this hash, else of this path, else the first whose path ends so."""
     rank = F.when(F.col("content_hash") == query, 0).when(F.col("path") == query, 1).when(F.col("path").endswith(query), 2)
