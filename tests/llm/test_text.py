@@ -176,10 +176,13 @@ def naive_licenses(text):
     for label, t in licenses.TEMPLATES:
         p = list(zip(t.split(), t.split()[1:], strict=False))
         hits = [(i, j) for i, x in enumerate(zip(w, w[1:], strict=False)) for j, y in enumerate(p) if x == y]
-        best = {}
-        for i, j in hits:  # in order of the text
-            best[i, j] = 1 + max((n for (a, b), n in best.items() if a < i and b < j and abs((i - j) - (a - b)) <= licenses.NEAR), default=0)
-        own |= {label} if max(best.values(), default=0) >= licenses.COVERAGE * len(p) else set()
+        best, most = [], 0
+        for i, j in hits:  # in order of the text; what lies further back than the template is long can't be linked
+            best = [x for x in best if x[0] >= i - len(p) - licenses.NEAR]
+            n = 1 + max((n for a, b, n in best if a < i and b < j and abs((i - j) - (a - b)) <= licenses.NEAR), default=0)
+            best.append((i, j, n))
+            most = max(most, n)
+        own |= {label} if most >= licenses.COVERAGE * len(p) else set()
     return len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places})), own
 
 
@@ -205,7 +208,7 @@ def test_licenses(spark):
     assert "mit-notice" in by[10]["labels"]  # a word put in
     assert "mit-notice" not in by[11]["labels"]
     assert by[6]["labels"] == "apache,apache-2.0"
-    assert [by[i]["labels"] for i in (12, 13, 14, 15)] == ["", "cc-by-4.0", "cc-by-nc-4.0", ""]
+    assert [by[i]["labels"] for i in (12, 13, 14, 15)] == ["", "cc-by-4.0", "cc-by-nc-4.0", "reserved"]
 
 
 def test_licenses_of_nothing(docs, empty, texts):
