@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, sim_hash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op9_suffix_dedup, op10_pack)}
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim_hash.link(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op9_suffix_dedup, op10_pack, op12_simhash)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
