@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, sim_hash, substring_dedup, suffix_dedup
+from weftgraph.llm import chat, decontaminate, divergence, exact_dedup, language, licenses, near_dedup, packing, prefix_trie, quality, sim_hash, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim_hash.link(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op9_suffix_dedup, op10_pack, op12_simhash)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_quality, op4_license_scan, op5_decontaminate, op6_language, op7_substring_dedup, op8_rotate, op9_suffix_dedup, op10_pack, op11_divergence, op12_simhash, op13_prefix_trie)}
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,4 +118,30 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS x FROM r WHERE n > 1),
 a AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS x, unnest(w) AS word FROM d),
 s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS t, count(*) AS n FROM a ANTI JOIN c USING (doc_id, x) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(s.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+    "op11_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS d FROM (SELECT row_number() OVER () AS i, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY ALL HAVING sum(d) >= 30),
+l AS (SELECT lang, count(k.term) AS v, coalesce(sum(k.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(t.n) FILTER (k.term IS NOT NULL), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN t USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, 1 + (1000000000 * (coalesce(t.n, 0) + 5)::HUGEINT) // (g.total + 5 * v) AS p, 1 + (1000000000 * (k.n + 5)) // (l.total + 5 * v) AS q FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y USING (lang, term) WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
+    "op13_prefix_trie": r"""
+WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS z),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295]::BIGINT[], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(z[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), z),
+o AS (SELECT *, md5(role) || md5(text) AS mark, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS r FROM t),
+b AS (SELECT c.conv_id, r, 0 AS own, mark, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND r <= h UNION ALL SELECT conv_id, r, 1, mark, words FROM o JOIN c USING (conv_id) WHERE r > h),
+s AS (SELECT conv_id, words, row_number() OVER w AS depth, md5(string_agg(mark, '') OVER w) AS node FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, r)),
+m AS (SELECT conv_id, 0 AS depth, 0 AS words, '' AS node FROM c UNION ALL SELECT conv_id, depth, words, node FROM s),
+e AS (SELECT arg_max(node, depth) AS node, conv_id FROM m GROUP BY conv_id),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM m GROUP BY node, depth),
+u AS (SELECT n.*, p.node AS parent FROM n LEFT JOIN m p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+k AS (SELECT parent AS node, count(*) AS n_children FROM u GROUP BY parent),
+a AS (SELECT a.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum(saved) AS saved_tokens FROM n LEFT JOIN k USING (node) JOIN m a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.node),
+f AS (SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM e GROUP BY node)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM u JOIN a USING (node) LEFT JOIN k USING (node) LEFT JOIN f USING (node) LEFT JOIN n p ON p.node = u.parent""",
 }
