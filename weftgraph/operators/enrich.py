@@ -6,7 +6,7 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
@@ -74,16 +74,12 @@ def with_comments(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return nodes.join(found, "id", "left").withColumn("props", F.when(F.col("comment").isNotNull(), F.map_concat(rest, F.create_map(F.lit("lex_comment"), F.col("comment")))).otherwise(F.col("props"))).select(*nodes.columns)
 
 
-def build_modules(files: DataFrame) -> DataFrame:
-    """(dir, build_tool, file): the build file that names each directory, from paths alone."""
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    table = F.create_map(*(F.lit(x) for kv in BUILD_FILES.items() for x in kv))
-    tool = table[name]
+def _build_tool(path) -> Column:
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    tool = F.create_map(*(F.lit(x) for kv in BUILD_FILES.items() for x in kv))[name]
     for suffix, t in BUILD_SUFFIXES.items():
         tool = F.coalesce(tool, F.when(name.endswith(suffix), t))
-    order = F.coalesce(F.create_map(*(F.lit(x) for i, f in enumerate(PYTHON_ORDER) for x in (f, i)))[name], F.lit(len(PYTHON_ORDER)))
-    rows = files.filter(~F.exists(F.split("path", "/"), lambda x: x.isin(EXCLUDED))).select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.col("path").alias("file"), tool.alias("build_tool"), order.alias("order")).filter("build_tool IS NOT NULL")
-    return first_by(rows, ["dir"], [F.col("build_tool").isin(SUPPLEMENTAL), F.col("order"), F.col("file")]).drop("order")
+    return tool
 
 
 def service_name(tool: str, text: str) -> str:
@@ -94,32 +90,62 @@ def service_name(tool: str, text: str) -> str:
     return m[1].rsplit("/", 1)[-1] if m else ""
 
 
-def detect_services(nodes: DataFrame, files: DataFrame, project: str = "root") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes with their service among the properties, service nodes, contains edges): a service for each directory with a
-    build file, every node in the deepest one above it; without any build file, one ``unknown`` service."""
+def build_files(files: DataFrame) -> DataFrame:
+    """(dir, file, build_tool, place, name): every build file, its place among those of its folder's tool, and what it names."""
 
     @F.pandas_udf("string")
     def named(tool: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([service_name(t, x or "") for t, x in zip(tool, text, strict=True)])
 
-    spark = nodes.sparkSession
-    modules = build_modules(files)
-    if modules.isEmpty():
-        modules = spark.createDataFrame([("", "unknown", None)], "dir string, build_tool string, file string")
-    modules = modules.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    place = F.coalesce(F.create_map(*(F.lit(x) for i, f in enumerate(PYTHON_ORDER) for x in (f, i)))[F.regexp_extract("path", r"([^/]*)$", 1)], F.lit(len(PYTHON_ORDER)))
+    found = files.withColumn("build_tool", _build_tool(F.col("path"))).filter(F.col("build_tool").isNotNull() & ~F.exists(F.split("path", "/"), lambda x: x.isin(EXCLUDED)))
+    return found.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.col("path").alias("file"), "build_tool", place.alias("place"), named("build_tool", "content").alias("name"))
+
+
+def build_modules(builds: DataFrame, project: str = "root") -> DataFrame:
+    """(dir, build_tool, service, service_id): of each folder's build files the one that names it."""
+    first = first_by(builds, ["dir"], [F.col("build_tool").isin(SUPPLEMENTAL), F.col("place"), F.col("file")])
     folder = F.when(F.col("dir") == "", F.lit(project)).otherwise(F.element_at(F.split("dir", "/"), -1))
-    modules = modules.withColumn("name", named("build_tool", "content")).withColumn("service", F.when(F.col("name") != "", F.col("name")).otherwise(folder))
-    modules = modules.select("dir", "build_tool", "service", F.concat(F.lit("service:"), F.when(F.col("dir") == "", ".").otherwise(F.col("dir")), F.lit(":"), "service").alias("service_id"))
-    placed = nodes.join(longest_prefix(nodes.select(F.coalesce("file_path", F.lit("")).alias("path")), modules.select("dir")), F.coalesce("file_path", F.lit("")) == F.col("path"), "left").drop("path").join(modules, "dir", "left")
-    counts = placed.groupBy("service_id").agg(F.count_if(F.col("kind") == "endpoint").alias("n_endpoints"), F.count_if(F.col("kind") == "entity").alias("n_entities"))
-    s = modules.join(counts, "service_id", "left")
+    named = first.withColumn("service", F.when(F.col("name") != "", F.col("name")).otherwise(folder))
+    return named.select("dir", "build_tool", "service", F.concat(F.lit("service:"), F.when(F.col("dir") == "", ".").otherwise(F.col("dir")), F.lit(":"), "service").alias("service_id"))
+
+
+def no_build_file(spark: SparkSession, project: str = "root") -> DataFrame:
+    """The one service of a tree without any build file, as ``build_modules`` gives them."""
+    return build_modules(spark.createDataFrame([("", None, "unknown", len(PYTHON_ORDER), "")], "dir string, file string, build_tool string, place int, name string"), project)
+
+
+def placed_nodes(nodes: DataFrame, modules: DataFrame) -> DataFrame:
+    """``nodes`` with dir, build_tool, service and service_id of the deepest module above each; null where there is none."""
+    path = F.coalesce("file_path", F.lit(""))
+    return nodes.join(longest_prefix(nodes.select(path.alias("path")), modules.select("dir")), path == F.col("path"), "left").drop("path").join(modules, "dir", "left")
+
+
+def service_nodes(modules: DataFrame) -> DataFrame:
+    """A node for each of ``modules``, which have n_endpoints and n_entities too."""
     text = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     made = {"id": F.col("service_id"), "kind": F.lit("service"), "label": F.col("service"), "fqn": F.lit(""), "file_path": F.col("dir"), "layer": F.lit("backend"), "confidence": F.lit("SYNTACTIC"), "source": F.lit("service_detector"), "annotations": F.array().cast("array<string>"), "props": F.create_map(F.lit("build_tool"), F.col("build_tool"), F.lit("endpoint_count"), text("n_endpoints"), F.lit("entity_count"), text("n_entities"))}
-    services = s.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.NODES))
-    edges = placed.filter("service_id IS NOT NULL").select(F.concat_ws("|", F.lit("service"), "service_id", "id").alias("id"), F.lit("contains").alias("kind"), F.col("service_id").alias("src"), F.col("id").alias("dst"), F.lit("SYNTACTIC").alias("confidence"), F.lit("service_detector").alias("source"), F.create_map().cast("map<string,string>").alias("props"))
+    return modules.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.NODES))
+
+
+def service_edges(placed: DataFrame) -> DataFrame:
+    return placed.filter("service_id IS NOT NULL").select(F.concat_ws("|", F.lit("service"), "service_id", "id").alias("id"), F.lit("contains").alias("kind"), F.col("service_id").alias("src"), F.col("id").alias("dst"), F.lit("SYNTACTIC").alias("confidence"), F.lit("service_detector").alias("source"), F.create_map().cast("map<string,string>").alias("props"))
+
+
+def stamped(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """Nodes with their service among the properties; where no module holds one its properties stay."""
     rest = F.map_filter("props", lambda k, _: k != "service")
-    stamped = placed.withColumn("props", F.when(F.col("service").isNotNull(), F.map_concat(rest, F.create_map(F.lit("service"), F.col("service")))).otherwise(F.col("props"))).select(*nodes.columns)
-    return stamped, services, edges
+    return placed.withColumn("props", F.when(F.col("service").isNotNull(), F.map_concat(rest, F.create_map(F.lit("service"), F.col("service")))).otherwise(F.col("props"))).select(*columns)
+
+
+def detect_services(nodes: DataFrame, files: DataFrame, project: str = "root") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes with their service among the properties, service nodes, contains edges): a service for each directory with a
+    build file, every node in the deepest one above it; without any build file, one ``unknown`` service."""
+    builds = build_files(files)
+    modules = no_build_file(nodes.sparkSession, project) if builds.isEmpty() else build_modules(builds, project)
+    placed = placed_nodes(nodes, modules)
+    counts = placed.groupBy("service_id").agg(F.count_if(F.col("kind") == "endpoint").alias("n_endpoints"), F.count_if(F.col("kind") == "entity").alias("n_entities"))
+    return stamped(placed, nodes.columns), service_nodes(modules.join(counts, "service_id", "left")), service_edges(placed)
 
 
 _KEYWORDS = set("if for while switch return catch new function super this else do try throw typeof await async class def elif print assert not in and or match func go defer range select case sizeof".split())
@@ -153,7 +179,7 @@ def call_sites(language: str, text: str) -> list[tuple[str, int, str]]:
 
 
 def extract_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, name) of call sites: the method nodes of a file and the names they call."""
+    """(src, name, path) of call sites: the method nodes of a file and the names they call."""
 
     def run(batches):
         for pdf in batches:
@@ -161,7 +187,7 @@ def extract_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pd.DataFrame(sorted(set(rows)), columns=["file_path", "label", "name"])
 
     sites = files.select("path", "language", "content").mapInPandas(run, "file_path string, label string, name string")
-    return sites.join(nodes.filter("kind = 'method'").select("file_path", "label", F.col("id").alias("src")), ["file_path", "label"]).select("src", "name")
+    return sites.join(nodes.filter("kind = 'method'").select("file_path", "label", F.col("id").alias("src")), ["file_path", "label"]).select("src", "name", F.col("file_path").alias("path"))
 
 
 def type_relations(language: str, text: str) -> list[tuple[str, str, str]]:

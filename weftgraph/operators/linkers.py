@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
 from weftgraph.operators.neighbours import drop_dangling
 
 
-def _edges(rows: DataFrame, kind: str, source: str, props) -> DataFrame:
-    return rows.select(F.concat_ws("|", F.lit(source), "src", "dst").alias("id"), F.lit(kind).alias("kind"), "src", "dst", F.lit("LEXICAL").alias("confidence"), F.lit(source).alias("source"), props.alias("props"))
+def edge_columns(kind: str, source: str, props: Column) -> list[Column]:
+    """An edge that ``source`` infers between the columns src and dst."""
+    return [F.concat_ws("|", F.lit(source), "src", "dst").alias("id"), F.lit(kind).alias("kind"), F.col("src"), F.col("dst"), F.lit("LEXICAL").alias("confidence"), F.lit(source).alias("source"), props.alias("props")]
 
 
-def _inferred(*more):
+def _edges(rows: DataFrame, kind: str, source: str, props: Column) -> DataFrame:
+    return rows.select(*edge_columns(kind, source, props))
+
+
+def inferred(*more) -> Column:
     return F.create_map(F.lit("inferred"), F.lit("true"), *more).cast("map<string,string>")
 
 
@@ -25,7 +30,7 @@ def link_topics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     makes = met.filter(F.col("kind").isin("produces", "publishes")).select("topic", F.col("src")).distinct()
     takes = met.filter(F.col("kind").isin("consumes", "listens")).select("topic", F.col("src").alias("dst")).distinct()
     pairs = makes.join(takes, "topic").filter("src <> dst").groupBy("src", "dst").agg(F.min("topic").alias("topic"))
-    return _edges(pairs, "calls", "topic_linker", _inferred(F.lit("topic"), F.col("topic"))).orderBy("id")
+    return _edges(pairs, "calls", "topic_linker", inferred(F.lit("topic"), F.col("topic"))).orderBy("id")
 
 
 def link_entities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,7 +40,13 @@ def link_entities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     entities = entities.groupBy("key").agg(F.max("id").alias("dst"))
     repos = nodes.filter((F.col("kind") == "repository") & F.col("label").rlike("(?:Repository|Repo|Dao|DAO)$")).select(F.col("id").alias("src"), F.lower(F.regexp_replace("label", "(?:Repository|Repo|Dao|DAO)$", "")).alias("key")).filter("key <> ''")
     have = edges.filter(F.col("kind") == "queries").select("src", "dst")
-    return _edges(repos.join(entities, "key").select("src", "dst").join(have, ["src", "dst"], "left_anti"), "queries", "entity_linker", _inferred()).orderBy("id")
+    return _edges(repos.join(entities, "key").select("src", "dst").join(have, ["src", "dst"], "left_anti"), "queries", "entity_linker", inferred()).orderBy("id")
+
+
+def module_nodes(names: DataFrame) -> DataFrame:
+    """A node for each module name (module)."""
+    made = {"id": F.concat(F.lit("module:"), "module"), "kind": F.lit("module"), "label": F.col("module"), "fqn": F.col("module"), "module": F.col("module"), "layer": F.lit("unknown"), "confidence": F.lit("LEXICAL"), "source": F.lit("module_linker")}
+    return names.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.NODES))
 
 
 def link_modules(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,12 +54,10 @@ def link_modules(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     members = nodes.filter((F.col("kind") != "module") & (F.trim("module") != "")).select("id", "module")
     there = nodes.filter(F.col("kind") == "module").groupBy(F.col("label").alias("module")).agg(F.min("id").alias("have"))
     named = members.select("module").distinct().join(there, "module", "left")
-    new = named.filter("have IS NULL").select(F.concat(F.lit("module:"), "module").alias("id"), "module")
-    made = {"id": F.col("id"), "kind": F.lit("module"), "label": F.col("module"), "fqn": F.col("module"), "module": F.col("module"), "layer": F.lit("unknown"), "confidence": F.lit("LEXICAL"), "source": F.lit("module_linker")}
-    extra = new.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in M.NODES))
+    extra = module_nodes(named.filter("have IS NULL").select("module"))
     links = members.join(named.select("module", F.coalesce("have", F.concat(F.lit("module:"), "module")).alias("src")), "module").select("src", F.col("id").alias("dst"))
     have = edges.filter(F.col("kind") == "contains").select("src", "dst")
-    return extra.orderBy("id"), _edges(links.join(have, ["src", "dst"], "left_anti"), "contains", "module_linker", _inferred()).orderBy("id")
+    return extra.orderBy("id"), _edges(links.join(have, ["src", "dst"], "left_anti"), "contains", "module_linker", inferred()).orderBy("id")
 
 
 def longest_prefix(paths: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -65,7 +74,7 @@ def longest_prefix(paths: DataFrame, dirs: DataFrame) -> DataFrame:
 def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
     """calls edges for call sites (src, name) whose name belongs to just one method."""
     methods = nodes.filter(F.col("kind") == "method").groupBy(F.col("label").alias("name")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("dst")).filter("n = 1")
-    return _edges(calls.join(methods, "name").select("src", "dst").filter("src <> dst").distinct(), "calls", "extractor", _inferred()).orderBy("id")
+    return _edges(calls.join(methods, "name").select("src", "dst").filter("src <> dst").distinct(), "calls", "extractor", inferred()).orderBy("id")
 
 
 def phantom_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

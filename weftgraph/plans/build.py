@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import model as M
 from weftgraph.detectors import engine
-from weftgraph.operators import enrich, layers, linkers, merge
+from weftgraph.operators import claims, enrich, layers, linkers, merge
 from weftgraph.operators.neighbours import drop_dangling
 from weftgraph.sources import files as S
 from weftgraph.sources.graph_store import GraphStore
@@ -34,16 +34,14 @@ def assemble(raw_nodes: DataFrame, raw_edges: DataFrame, files: DataFrame, proje
     """The whole graph from detector output and the files' texts."""
     nodes = merge.merge_nodes(raw_nodes, ARRIVAL)
     edges = drop_dangling(nodes, merge.merge_edges(raw_edges, ARRIVAL))
-    edges = edges.unionByName(linkers.link_topics(nodes, edges))
-    edges = edges.unionByName(linkers.link_entities(nodes, edges))
+    found = [edges, linkers.link_topics(nodes, edges), linkers.link_entities(nodes, edges)]
     modules, contains = linkers.link_modules(nodes, edges)
-    nodes, edges = nodes.unionByName(modules), edges.unionByName(contains)
-    nodes = layers.classify(nodes)
+    nodes = layers.classify(nodes.unionByName(modules))
     nodes = enrich.with_types(enrich.with_comments(enrich.with_config_keys(nodes), files), files)
-    edges = edges.unionByName(linkers.resolve_calls(enrich.extract_calls(files, nodes), nodes))
+    found += [contains, linkers.resolve_calls(enrich.extract_calls(files, nodes), nodes)]
     nodes, services, owned = enrich.detect_services(nodes, files, project)
-    nodes, edges = nodes.unionByName(services), edges.unionByName(owned)
-    return nodes.select(*(f.name for f in M.NODES)), edges.dropDuplicates(["src", "dst", "kind"])
+    edges = claims.survivors(claims.ranked(*found, owned))
+    return nodes.unionByName(services).select(*(f.name for f in M.NODES)), edges
 
 
 def build(spark: SparkSession, root: str, cache: S.Cache, store: GraphStore, project: str = "root", use_git: bool = True) -> bool:

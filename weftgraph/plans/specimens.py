@@ -1,4 +1,4 @@
-"""A small source file for every detector, and the rows it must give; QQ stands for a name taken from a table.
+"""A small source file for every detector, and the rows it must give; NAME stands for a name taken from a table.
 
 The queries over them put each name of ``nation`` into each file, run every detector of the file's language and
 return what the specimen's own detector found, next to SQL that fills the names into the rows below.
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.detectors import engine
 
+#: What names are put in for: letters that no name of an API holds.
+NAME = "ZQZ"
+
 
 @dataclass(frozen=True)
 class Specimen:
@@ -37,7 +40,7 @@ def files(names: DataFrame, specimens: list[Specimen]) -> DataFrame:
     """(path, language, content, content_hash) of each specimen with each name (column n_name); the detector's name stands as the hash."""
     one = lambda s: F.struct(F.lit(s.path).alias("path"), F.lit(s.language).alias("language"), F.lit(s.text).alias("content"), F.lit(s.detector).alias("content_hash"))
     each = names.select("n_name", F.explode(F.array(*map(one, specimens))).alias("f"))
-    put = lambda c: F.replace(F.col(f"f.{c}"), F.lit("QQ"), F.col("n_name")).alias(c)
+    put = lambda c: F.replace(F.col(f"f.{c}"), F.lit(NAME), F.col("n_name")).alias(c)
     return each.select(put("path"), F.col("f.language").alias("language"), put("content"), F.col("f.content_hash").alias("content_hash"))
 
 
@@ -51,26 +54,26 @@ def findings(names: DataFrame, family: str) -> DataFrame:
 def sql(family: str) -> str:
     quoted = lambda *x: "(" + ", ".join("'" + y.replace("'", "''") + "'" for y in x) + ")"
     rows = [quoted(s.detector, s.path, item, kind, label) for s in of(family) for item, found in (("node", s.nodes), ("edge", s.edges)) for kind, label in found]
-    return f"SELECT detector, replace(path, 'QQ', n_name) AS path, item, kind, replace(label, 'QQ', n_name) AS label FROM nation, (VALUES {', '.join(rows)}) AS t(detector, path, item, kind, label)"
+    return f"SELECT detector, replace(path, '{NAME}', n_name) AS path, item, kind, replace(label, '{NAME}', n_name) AS label FROM nation, (VALUES {', '.join(rows)}) AS t(detector, path, item, kind, label)"
 
 
 #: (path, language, text) of small sources with calls, types and comments, and what must be found in them.
 SOURCES = [
-    ("src/QQ.py", "python", 'class QQ(Base, Mixin):\n    """Keeps QQ."""\n\n    def run(self):\n        helperQQ()\n\ndef helperQQ():\n    print(1)\n'),
-    ("src/QQ.java", "java", "/** Serves QQ. */\npublic class QQ extends Base implements Runnable {\n  public void run() {\n    helperQQ();\n  }\n}\n"),
-    ("src/QQ.go", "go", "package m\n\nvar _ Reader = (*QQ)(nil)\n\nfunc runQQ() {\n\thelperQQ()\n}\n"),
-    ("src/QQ.ts", "typescript", "export class QQ extends Base implements Store {\n}\nfunction runQQ() {\n  helperQQ();\n}\n"),
+    ("src/ZQZ.py", "python", 'class ZQZ(Base, Mixin):\n    """Keeps ZQZ."""\n\n    def run(self):\n        helperZQZ()\n\ndef helperZQZ():\n    print(1)\n'),
+    ("src/ZQZ.java", "java", "/** Serves ZQZ. */\npublic class ZQZ extends Base implements Runnable {\n  public void run() {\n    helperZQZ();\n  }\n}\n"),
+    ("src/ZQZ.go", "go", "package m\n\nvar _ Reader = (*ZQZ)(nil)\n\nfunc runZQZ() {\n\thelperZQZ()\n}\n"),
+    ("src/ZQZ.ts", "typescript", "export class ZQZ extends Base implements Store {\n}\nfunction runZQZ() {\n  helperZQZ();\n}\n"),
 ]
-CALLS = [("src/QQ.py", "run", "helperQQ"), ("src/QQ.py", "helperQQ", "print"), ("src/QQ.java", "run", "helperQQ"), ("src/QQ.go", "runQQ", "helperQQ"), ("src/QQ.ts", "runQQ", "helperQQ")]
-TYPES = [("src/QQ.py", "QQ", "extends_type", "Base, Mixin"), ("src/QQ.java", "QQ", "extends_type", "Base"), ("src/QQ.java", "QQ", "implements_types", "Runnable"), ("src/QQ.go", "QQ", "implements_types", "Reader"), ("src/QQ.ts", "QQ", "extends_type", "Base"), ("src/QQ.ts", "QQ", "implements_types", "Store")]
-COMMENTS = [("src/QQ.py", 1, "Keeps QQ."), ("src/QQ.java", 2, "Serves QQ.")]
+CALLS = [("src/ZQZ.py", "run", "helperZQZ"), ("src/ZQZ.py", "helperZQZ", "print"), ("src/ZQZ.java", "run", "helperZQZ"), ("src/ZQZ.go", "runZQZ", "helperZQZ"), ("src/ZQZ.ts", "runZQZ", "helperZQZ")]
+TYPES = [("src/ZQZ.py", "ZQZ", "extends_type", "Base, Mixin"), ("src/ZQZ.java", "ZQZ", "extends_type", "Base"), ("src/ZQZ.java", "ZQZ", "implements_types", "Runnable"), ("src/ZQZ.go", "ZQZ", "implements_types", "Reader"), ("src/ZQZ.ts", "ZQZ", "extends_type", "Base"), ("src/ZQZ.ts", "ZQZ", "implements_types", "Store")]
+COMMENTS = [("src/ZQZ.py", 1, "Keeps ZQZ."), ("src/ZQZ.java", 2, "Serves ZQZ.")]
 
 
 def sources(names: DataFrame) -> DataFrame:
     """(path, language, content) of SOURCES with each name."""
     one = lambda s: F.struct(F.lit(s[0]).alias("path"), F.lit(s[1]).alias("language"), F.lit(s[2]).alias("content"))
     each = names.select("n_name", F.explode(F.array(*map(one, SOURCES))).alias("f"))
-    put = lambda c: F.replace(F.col(f"f.{c}"), F.lit("QQ"), F.col("n_name")).alias(c)
+    put = lambda c: F.replace(F.col(f"f.{c}"), F.lit(NAME), F.col("n_name")).alias(c)
     return each.select(put("path"), F.col("f.language").alias("language"), put("content"))
 
 
@@ -78,108 +81,108 @@ def source_sql(rows: list[tuple], columns: list[str]) -> str:
     """SQL that fills the names of ``nation`` into ``rows``."""
     value = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
     listed = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in rows)
-    shown = ", ".join(c if isinstance(v, int) else f"replace({c}, 'QQ', n_name) AS {c}" for c, v in zip(columns, rows[0], strict=True))
+    shown = ", ".join(c if isinstance(v, int) else f"replace({c}, 'ZQZ', n_name) AS {c}" for c, v in zip(columns, rows[0], strict=True))
     return f"SELECT {shown} FROM nation, (VALUES {listed}) AS t({', '.join(columns)})"
 
 
 SPECIMENS = [
-    Specimen('auth', 'certificate_auth', 'src/QQ.java', 'java', 'class QQ { X509Certificate cert; }\nString s = "mTLS";\nSystem.setProperty("javax.net.ssl.keyStore", "QQ");', [('guard', 'mTLS'), ('guard', 'X.509'), ('guard', 'TLS configuration')], []),
-    Specimen('auth', 'ldap_auth', 'src/QQ.py', 'python', "import ldap3\nserver = ldap3.Server('QQ')\nAUTH_LDAP_SERVER_URI = 'QQ'", [('guard', 'LDAP: ldap3.'), ('guard', 'LDAP: AUTH_LDAP_SERVER_URI')], []),
-    Specimen('auth', 'session_header_auth', 'src/QQ.ts', 'typescript', "import session from 'express-session';\nconst key = req.headers['x-api-key'];\napp.use(csurf());\nconst a = req.headers.authorization; // QQ", [('middleware', 'session: express-session'), ('guard', "API key: 'x-api-key'"), ('guard', 'CSRF: csurf'), ('guard', 'authorization header')], []),
-    Specimen('auth', 'spring_security', 'src/QQ.java', 'java', '@EnableWebSecurity\nclass QQ {\n  @PreAuthorize("hasRole(\'QQ\')")\n  void a() {}\n  @Secured("ROLE_QQ")\n  void b() {}\n}', [('guard', 'PreAuthorize'), ('guard', 'Secured'), ('guard', '@EnableWebSecurity')], []),
-    Specimen('auth', 'django_auth', 'src/QQ.py', 'python', "@login_required\ndef a(request): ...\n\n@permission_required('app.QQ')\ndef b(request): ...\n\nclass QQ(LoginRequiredMixin, View): ...", [('guard', 'login_required'), ('guard', 'app.QQ'), ('guard', 'LoginRequiredMixin')], []),
-    Specimen('auth', 'fastapi_auth', 'src/QQ.py', 'python', "oauth = OAuth2PasswordBearer(tokenUrl='QQ')\n\n@app.get('/QQ')\ndef a(user=Depends(get_current_user)): ...", [('guard', 'get_current_user'), ('guard', 'OAuth2PasswordBearer')], []),
-    Specimen('auth', 'typescript.nestjs_guards', 'src/QQ.ts', 'typescript', "import { UseGuards } from '@nestjs/common';\n@UseGuards(QQGuard)\n@Roles('QQ')\nclass A {}\nclass QQGuard implements CanActivate {}\nconst g = AuthGuard('jwt');", [('guard', 'QQGuard'), ('guard', "roles 'QQ'"), ('guard', 'QQGuard'), ('guard', 'AuthGuard jwt')], []),
-    Specimen('auth', 'typescript.passport_jwt', 'src/QQ.ts', 'typescript', "passport.use(new QQStrategy());\napp.get('/', passport.authenticate('QQ'));\njwt.verify(token, key);", [('guard', 'QQStrategy'), ('middleware', 'QQ'), ('middleware', 'jwt.verify')], []),
-    Specimen('csharp', 'csharp_efcore', 'src/QQ.cs', 'csharp', 'public class QQContext : DbContext {\n  public DbSet<QQ> All { get; set; }\n}\npublic class AddQQ : Migration {\n  void Up() { b.CreateTable(name: "QQ_rows"); }\n}', [('repository', 'QQContext'), ('entity', 'QQ'), ('migration', 'AddQQ'), ('entity', 'QQ_rows')], [('queries', 'efcore:entity:QQ')]),
-    Specimen('csharp', 'csharp_minimal_apis', 'src/QQ.cs', 'csharp', 'var b = WebApplication.CreateBuilder(args);\napp.UseAuthorization();\napp.MapGet("/QQ", () => 1);\napp.MapPost("/QQ", () => 1);', [('endpoint', 'GET /QQ'), ('endpoint', 'POST /QQ'), ('guard', 'UseAuthorization'), ('module', 'src/QQ.cs')], [('exposes', 'src/QQ.cs:GET:/QQ'), ('exposes', 'src/QQ.cs:POST:/QQ')]),
-    Specimen('csharp', 'csharp_structures', 'src/QQ.cs', 'csharp', 'using System.Text;\nnamespace App.QQ;\npublic class QQ : Base { }\npublic interface IQQ { }\npublic class QQImpl : IQQ { }\npublic enum QQKind { A }\npublic abstract class QQBase { }\n[HttpGet("QQ")]', [('module', 'App.QQ'), ('class', 'QQ'), ('class', 'QQImpl'), ('class', 'QQBase'), ('interface', 'IQQ'), ('enum', 'QQKind'), ('external', 'System.Text'), ('module', 'src/QQ.cs'), ('endpoint', 'GET QQ')], [('imports', 'csharp:external:System.Text'), ('extends', 'Base'), ('implements', 'IQQ')]),
-    Specimen('frontend', 'frontend.angular_components', 'src/QQ.ts', 'typescript', "@Component({ selector: 'QQ' })\nexport class QQComponent {}\n@Injectable()\nexport class QQService {}", [('component', 'QQComponent'), ('middleware', 'QQService')], []),
-    Specimen('frontend', 'frontend.frontend_routes', 'src/QQ.tsx', 'typescript', 'const a = <Route path="/QQ" element={<QQ/>} />;\nconst b = [{ path: \'/list-QQ\', component: QQList }];', [('endpoint', '/QQ'), ('endpoint', '/list-QQ')], [('renders', 'QQList')]),
-    Specimen('frontend', 'frontend.react_components', 'src/QQ.tsx', 'typescript', "import React from 'react';\nexport function QQ() { return <QQItem/>; }\nclass QQOld extends React.Component {}\nexport const useQQ = () => 1;", [('component', 'QQ'), ('component', 'QQOld'), ('hook', 'useQQ')], [('renders', 'QQItem')]),
-    Specimen('frontend', 'frontend.svelte_components', 'src/QQ.svelte', 'svelte', '<script>\n  export let QQ;\n</script>\n<p>{QQ}</p>', [('component', 'src/QQ.svelte')], []),
-    Specimen('frontend', 'frontend.vue_components', 'src/QQ.vue', 'vue', '<template><p/></template>\n<script setup>\nexport function useQQ() { return 1 }\n</script>', [('component', 'QQ'), ('hook', 'useQQ')], []),
-    Specimen('generic', 'generic_imports', 'src/QQ.java', 'java', 'import java.util.List;\nimport org.QQ.Thing;', [('module', 'java.util.List'), ('module', 'src/QQ.java'), ('module', 'org.QQ.Thing')], [('imports', 'java:external:java.util.List'), ('imports', 'java:external:org.QQ.Thing')]),
-    Specimen('go', 'go_orm', 'src/QQ.go', 'go', 'package m\n\ntype QQ struct {\n\tgorm.Model\n}\n\nfunc f() {\n\tdb, _ := gorm.Open(x)\n\tdb.AutoMigrate(&QQ{})\n}', [('entity', 'QQ'), ('migration', '&QQ{}'), ('database_connection', 'gorm.Open')], []),
-    Specimen('go', 'go_structures', 'src/QQ.go', 'go', 'package QQ\n\nimport (\n\t"fmt"\n)\n\ntype S struct {}\n\ntype I interface {}\n\nfunc (s *S) Run() {}\n\nfunc QQRun() {}', [('module', 'QQ'), ('class', 'S'), ('interface', 'I'), ('method', 'Run'), ('method', 'QQRun'), ('external', 'fmt'), ('module', 'src/QQ.go')], [('defines', 'src/QQ.go:S:Run'), ('defines', 'src/QQ.go::QQRun'), ('imports', 'go:external:fmt')]),
-    Specimen('go', 'go_web', 'src/QQ.go', 'go', 'package m\n\nfunc f() {\n\tr.GET("/QQ", h)\n\thttp.HandleFunc("/any-QQ", h)\n\tr.Use(QQLog)\n}', [('endpoint', 'GET /QQ'), ('endpoint', '/any-QQ'), ('middleware', 'QQLog')], []),
-    Specimen('iac', 'bicep', 'src/QQ.bicep', 'bicep', "param QQ string\nresource acc 'Microsoft.Storage/storageAccounts@2021-02-01' = {\n}\nmodule net './QQ.bicep' = {\n}", [('azure_resource', 'acc'), ('config_key', 'QQ'), ('infra_resource', 'module net (./QQ.bicep)'), ('external', './QQ.bicep'), ('module', 'src/QQ.bicep')], [('depends_on', 'bicep:external:./QQ.bicep')]),
-    Specimen('iac', 'dockerfile', 'src/QQ/Dockerfile', 'dockerfile', 'FROM python:3 AS base\nARG QQ\nENV QQ_HOME=1\nEXPOSE 8080/tcp\nLABEL team=QQ\nFROM alpine\nCOPY --from=base /a /a', [('infra_resource', 'FROM python:3 AS base'), ('infra_resource', 'FROM alpine'), ('external', 'python:3'), ('module', 'src/QQ/Dockerfile'), ('external', 'alpine'), ('endpoint', 'port 8080'), ('config_definition', 'QQ_HOME'), ('config_definition', 'QQ'), ('config_definition', 'team')], [('depends_on', 'docker:image:python:3'), ('depends_on', 'docker:image:alpine'), ('depends_on', 'docker:src/QQ/Dockerfile:from:base')]),
-    Specimen('iac', 'terraform', 'src/QQ.tf', 'terraform', 'resource "aws_s3_bucket" "QQ" {\n}\ndata "aws_ami" "QQ" {\n}\nmodule "QQ" {\n  source = "./QQ"\n}\nvariable "QQ" {\n}\noutput "QQ" {\n}\nprovider "aws" {\n}', [('infra_resource', 'aws_s3_bucket.QQ'), ('infra_resource', 'data.aws_ami.QQ'), ('module', 'QQ'), ('config_definition', 'QQ'), ('config_definition', 'QQ'), ('config_definition', 'aws')], [('depends_on', './QQ')]),
-    Specimen('jvm_messaging', 'active_mq', 'src/QQ.java', 'java', 'import org.apache.activemq.ActiveMQConnectionFactory;\nclass QQ {\n  Object f = new ActiveMQConnectionFactory("tcp://QQ");\n  void a() { s.createQueue("QQ.in"); s.createTopic("QQ.all"); p.send(m); c.receive(); }\n}', [('message_queue', 'activemq:ActiveMQConnectionFactory'), ('queue', 'activemq:queue:QQ.in'), ('topic', 'activemq:topic:QQ.all')], [('connects_to', 'activemq:server:ActiveMQConnectionFactory'), ('sends_to', 'activemq:queue:QQ.in'), ('receives_from', 'activemq:queue:QQ.in'), ('sends_to', 'activemq:topic:QQ.all'), ('receives_from', 'activemq:topic:QQ.all')]),
-    Specimen('jvm_messaging', 'ibm_mq', 'src/QQ.java', 'java', 'import com.ibm.mq.MQQueueManager;\nclass QQ {\n  void a() { m = new MQQueueManager("QM_QQ"); q = m.accessQueue("QQ.Q", 1); q.put(x); q.get(x); }\n}', [('message_queue', 'ibm_mq:QM_QQ'), ('queue', 'ibm_mq:queue:QQ.Q')], [('connects_to', 'ibm_mq:server:QM_QQ'), ('sends_to', 'ibm_mq:queue:QQ.Q'), ('receives_from', 'ibm_mq:queue:QQ.Q')]),
-    Specimen('jvm_messaging', 'tibco_ems', 'src/QQ.java', 'java', 'class QQ {\n  Object f = new TibjmsQueueConnectionFactory("tcp://QQ");\n  void a() { s.createQueue("QQ.q"); s.createTopic("QQ.t"); c.receive(); }\n}', [('message_queue', 'tibco_ems:TibjmsQueueConnectionFactory'), ('queue', 'tibco_ems:queue:QQ.q'), ('topic', 'tibco_ems:topic:QQ.t')], [('connects_to', 'tibco_ems:server:TibjmsQueueConnectionFactory'), ('receives_from', 'tibco_ems:queue:QQ.q'), ('receives_from', 'tibco_ems:topic:QQ.t')]),
-    Specimen('jvm_messaging', 'azure_functions', 'src/QQ.java', 'java', 'class QQ {\n  @FunctionName("QQ")\n  public void run(@HttpTrigger(name = "r") Object r) {}\n  @FunctionName("QQ2")\n  public void two(@ServiceBusQueueTrigger(name = "m", queueName = "QQ-q") String m) {}\n}', [('azure_function', 'QQ'), ('azure_function', 'QQ2'), ('endpoint', 'HTTP trigger'), ('queue', 'QQ-q')], [('exposes', 'src/QQ.java:http:3'), ('triggers', 'java:file:src/QQ.java')]),
-    Specimen('jvm_messaging', 'azure_messaging', 'src/QQ.java', 'java', 'class QQ {\n  ServiceBusSenderClient c = b.sender().queueName("QQ-q").buildClient();\n  EventHubConsumerClient e = b.eventHubName("QQ-h");\n}', [('queue', 'QQ-q'), ('topic', 'QQ-h')], [('connects_to', 'azure:servicebus:QQ-q'), ('connects_to', 'azure:eventhub:QQ-h'), ('sends_to', 'azure:ServiceBusSenderClient'), ('receives_from', 'azure:EventHubConsumerClient')]),
-    Specimen('jvm', 'java.class_hierarchy', 'src/QQ.java', 'java', 'public class QQ extends Base implements Runnable {\n  enum Kind { A }\n}\ninterface QQApi {}\nabstract class QQBase {}\n@interface QQMark {}', [('class', 'QQ'), ('abstract_class', 'QQBase'), ('interface', 'QQApi'), ('enum', 'Kind'), ('annotation_type', 'QQMark')], [('extends', 'Base'), ('implements', 'Runnable')]),
-    Specimen('jvm', 'config_def', 'src/QQ.java', 'java', '@ConfigurationProperties(prefix = "QQ")\nclass QQ {\n  @Value("${QQ.size:3}") int size;\n  void a() { d.define("QQ.retry", 1); }\n}', [('config_definition', 'QQ.size'), ('config_definition', 'QQ'), ('config_definition', 'QQ.retry')], [('reads_config', 'config:QQ.size'), ('reads_config', 'config:QQ'), ('reads_config', 'config:QQ.retry')]),
-    Specimen('jvm', 'cosmos_db', 'src/QQ.java', 'java', 'class QQ {\n  CosmosClient c;\n  void a() { c.getDatabase("QQ-db").getContainer("QQ-c"); }\n}', [('azure_resource', 'QQ-db'), ('azure_resource', 'QQ-c')], [('connects_to', 'cosmos:database:QQ-db'), ('connects_to', 'cosmos:container:QQ-c')]),
-    Specimen('jvm', 'graphql_resolver', 'src/QQ.java', 'java', 'class QQ {\n  @QueryMapping\n  public Thing findQQ(String id) { return null; }\n  @MutationMapping\n  public Thing saveQQ(Thing t) { return t; }\n}', [('endpoint', 'findQQ'), ('endpoint', 'saveQQ')], [('exposes', 'src/QQ.java:graphql:findQQ'), ('exposes', 'src/QQ.java:graphql:saveQQ')]),
-    Specimen('jvm', 'grpc_service', 'src/QQ.java', 'java', 'class QQ extends QQSvcGrpc.QQSvcImplBase {\n  Object s = OtherGrpc.newBlockingStub(ch);\n}', [('endpoint', 'QQSvc')], [('exposes', 'grpc:QQSvc'), ('calls', 'grpc:Other')]),
-    Specimen('jvm', 'jaxrs', 'src/QQ.java', 'java', '@Path("/QQ")\nclass QQ {\n  @GET\n  @Path("/one")\n  public String one() { return ""; }\n  @POST\n  public void add(String x) {}\n}', [('endpoint', 'one'), ('endpoint', 'add')], [('exposes', 'src/QQ.java:QQ:one:GET'), ('exposes', 'src/QQ.java:QQ:add:POST')]),
-    Specimen('jvm', 'jdbc', 'src/QQ.java', 'java', 'class QQ {\n  String u = "jdbc:postgresql://host/QQ";\n  private JdbcTemplate template;\n}', [('database_connection', 'postgresql@host/QQ'), ('database_connection', 'JdbcTemplate')], [('connects_to', 'db:postgresql:host/QQ'), ('connects_to', 'src/QQ.java:JdbcTemplate')]),
-    Specimen('jvm_messaging', 'jms', 'src/QQ.java', 'java', 'class QQ {\n  @JmsListener(destination = "QQ.in")\n  void a(String m) { jmsTemplate.convertAndSend("QQ.out", m); }\n}', [('queue', 'jms:QQ.in'), ('queue', 'jms:QQ.out')], [('consumes', 'jms:queue:QQ.in'), ('produces', 'jms:queue:QQ.out')]),
-    Specimen('jvm', 'jpa_entity', 'src/QQ.java', 'java', '@Entity\n@Table(name = "QQ_rows")\npublic class QQ {}', [('entity', 'QQ')], []),
-    Specimen('jvm_messaging', 'kafka', 'src/QQ.java', 'java', 'class QQ {\n  @KafkaListener(topics = "QQ-in")\n  void a(String m) { kafkaTemplate.send("QQ-out", m); }\n}', [('topic', 'kafka:QQ-in'), ('topic', 'kafka:QQ-out')], [('consumes', 'kafka:topic:QQ-in'), ('produces', 'kafka:topic:QQ-out')]),
-    Specimen('jvm_messaging', 'kafka_protocol', 'src/QQ.java', 'java', 'public class QQRequest extends AbstractRequest {}\nclass QQResponse extends AbstractResponse {}', [('protocol_message', 'QQRequest'), ('protocol_message', 'QQResponse')], [('extends', 'AbstractRequest'), ('extends', 'AbstractResponse')]),
-    Specimen('jvm', 'micronaut', 'src/QQ.java', 'java', 'import io.micronaut.http.annotation.Get;\n@Singleton\nclass QQ {\n  @Get("/QQ")\n  public String one() { return ""; }\n  @Scheduled(fixedDelay = "1s")\n  void tick() {}\n  @EventListener\n  void on() {}\n  @Client("QQ-api") Object api;\n}', [('class', 'QQ'), ('endpoint', 'one'), ('middleware', 'scheduled fixedDelay = "1s"'), ('event', 'event listener')], [('exposes', 'src/QQ.java:GET:one'), ('depends_on', 'QQ-api')]),
-    Specimen('jvm', 'module_deps', 'QQ/pom.xml', 'xml', '<project>\n<artifactId>QQ</artifactId>\n<modules><module>QQ-core</module></modules>\n<dependencies><dependency><groupId>g</groupId><artifactId>QQ-lib</artifactId></dependency></dependencies>\n</project>', [('module', 'QQ')], [('contains', 'maven:module:QQ-core'), ('depends_on', 'g:QQ-lib')]),
-    Specimen('jvm', 'java.public_api', 'src/QQ.java', 'java', 'class QQ {\n  public String findQQ(int id) { return null; }\n  protected void saveQQ() {}\n  private void hidden() {}\n}', [('method', 'findQQ'), ('method', 'saveQQ')], [('defines', 'src/QQ.java:QQ:findQQ'), ('defines', 'src/QQ.java:QQ:saveQQ')]),
-    Specimen('jvm', 'quarkus', 'src/QQ.java', 'java', 'import io.quarkus.runtime.Startup;\n@ApplicationScoped\nclass QQ {\n  @ConfigProperty(name = "QQ.size") int size;\n  @Scheduled(every = "1m")\n  @Transactional\n  void a() {}\n}', [('config_key', 'QQ.size'), ('class', 'QQ'), ('event', 'scheduled'), ('middleware', 'Transactional')], []),
-    Specimen('jvm_messaging', 'rabbitmq', 'src/QQ.java', 'java', 'class QQ {\n  @RabbitListener(queues = "QQ-in")\n  void a(String m) { rabbitTemplate.convertAndSend("QQ-out", m); }\n  Object e = new TopicExchange("QQ-x");\n}', [('queue', 'rabbitmq:QQ-in'), ('queue', 'rabbitmq:QQ-out'), ('queue', 'QQ-x')], [('consumes', 'rabbitmq:queue:QQ-in'), ('produces', 'rabbitmq:queue:QQ-out')]),
-    Specimen('jvm', 'raw_sql', 'src/QQ.java', 'java', 'interface QQ {\n  @Query("select q from QQ q")\n  List<QQ> all();\n}\nclass B { void a() { jdbcTemplate.update("delete from QQ"); } }', [('query', 'select q from QQ q'), ('query', 'delete from QQ')], []),
-    Specimen('jvm', 'spring_repository', 'src/QQ.java', 'java', 'interface QQRepository extends JpaRepository<QQ, Long> {}', [('repository', 'QQRepository')], [('queries', 'QQ')]),
-    Specimen('jvm', 'rmi', 'src/QQ.java', 'java', 'interface QQApi extends Remote {}\nclass QQ extends UnicastRemoteObject {\n  void a() { Naming.rebind("QQ-svc", this); Naming.lookup("other"); }\n}', [('rmi_interface', 'QQApi')], [('exports_rmi', 'rmi:QQ'), ('exports_rmi', 'rmi:QQ-svc'), ('invokes_rmi', 'rmi:other')]),
-    Specimen('jvm', 'spring_events', 'src/QQ.java', 'java', 'class QQ {\n  void a() { bus.publishEvent(new QQMade(this)); }\n  @EventListener\n  public void on(QQGone e) {}\n}', [('event', 'QQMade'), ('event', 'QQGone')], [('publishes', 'event:QQMade'), ('listens', 'event:QQGone')]),
-    Specimen('jvm', 'spring_rest', 'src/QQ.java', 'java', '@RestController\n@RequestMapping("/QQ")\nclass QQ {\n  @GetMapping("/{id}")\n  public String one(String id) { return id; }\n  @PostMapping\n  public void add() {}\n}', [('endpoint', 'one'), ('endpoint', 'add')], []),
-    Specimen('jvm', 'websocket', 'src/QQ.java', 'java', '@ServerEndpoint("/QQ")\nclass QQ {\n  @MessageMapping("/say-QQ")\n  @SendTo("/topic/QQ")\n  void a() {}\n}', [('websocket_endpoint', '/QQ'), ('websocket_endpoint', '/say-QQ')], [('exposes', 'ws:/QQ'), ('exposes', 'ws:/say-QQ'), ('produces', 'ws:/topic/QQ')]),
-    Specimen('jvm', 'kotlin_structures', 'src/QQ.kt', 'kotlin', 'import app.QQ\n\nclass QQ : Base\ninterface QQApi\nobject QQOnly\nfun runQQ() {}', [('class', 'QQ'), ('class', 'QQOnly'), ('interface', 'QQApi'), ('method', 'runQQ'), ('external', 'app.QQ'), ('module', 'src/QQ.kt')], [('imports', 'kotlin:external:app.QQ'), ('extends', 'Base')]),
-    Specimen('jvm', 'ktor_routes', 'src/QQ.kt', 'kotlin', 'import io.ktor.server.routing.*\nfun a() {\n  install(CORS)\n  routing {\n    authenticate("QQ") {\n      get("/QQ") { }\n    }\n  }\n}', [('module', 'src/QQ.kt'), ('endpoint', 'GET /QQ'), ('guard', 'QQ'), ('middleware', 'CORS')], []),
-    Specimen('jvm', 'scala_structures', 'src/QQ.scala', 'scala', 'import app.QQ\ntrait T\nclass QQ extends Base with T {\n  def runQQ = 1\n}\nobject QQOnly', [('class', 'QQ'), ('class', 'QQOnly'), ('interface', 'T'), ('method', 'runQQ'), ('external', 'app.QQ'), ('module', 'src/QQ.scala')], [('imports', 'scala:external:app.QQ'), ('extends', 'Base'), ('implements', 'T')]),
-    Specimen('markup', 'markdown_structure', 'docs/QQ.md', 'markdown', '# QQ\n\n## Use\n\nSee [more](more-QQ.md) and [web](https://x.y).', [('module', 'docs/QQ.md'), ('config_key', 'QQ'), ('config_key', 'Use')], [('contains', 'md:docs/QQ.md:1'), ('contains', 'md:docs/QQ.md:3'), ('depends_on', 'more-QQ.md')]),
-    Specimen('markup', 'proto_structure', 'src/QQ.proto', 'proto', 'package app.QQ;\nimport "base.proto";\nservice QQService {\n  rpc Get (QQRequest) returns (QQReply);\n}\nmessage QQRequest {}', [('config_key', 'app.QQ'), ('external', 'base.proto'), ('module', 'src/QQ.proto'), ('interface', 'QQService'), ('method', 'Get'), ('protocol_message', 'QQRequest')], [('imports', 'proto:external:base.proto'), ('contains', 'proto:src/QQ.proto:rpc:Get')]),
-    Specimen('python', 'python.celery_tasks', 'src/QQ.py', 'python', '@shared_task\ndef mailQQ(): ...\n\nmailQQ.delay()', [('method', 'mailQQ'), ('queue', 'celery:mailQQ')], [('consumes', 'celery:queue:mailQQ'), ('produces', 'celery:queue:mailQQ')]),
-    Specimen('python', 'python.django_models', 'src/QQ.py', 'python', "class QQ(models.Model):\n    owner = models.ForeignKey('User')", [('entity', 'QQ'), ('module', 'src/QQ.py')], [('depends_on', 'User')]),
-    Specimen('python', 'python.django_views', 'src/QQ.py', 'python', "urlpatterns = [path('QQ/', views.one)]\n\nclass QQList(ListView): ...", [('endpoint', '/QQ/'), ('class', 'QQList')], []),
-    Specimen('python', 'python.fastapi_routes', 'src/QQ.py', 'python', "@router.get('/QQ/{id}')\nasync def one(id): ...\n\n@app.post('/QQ')\ndef add(): ...", [('endpoint', 'GET /QQ/{id}'), ('endpoint', 'POST /QQ')], []),
-    Specimen('python', 'python.flask_routes', 'src/QQ.py', 'python', "@bp.route('/QQ', methods=['POST'])\ndef addQQ(): ...", [('endpoint', 'addQQ')], []),
-    Specimen('python', 'kafka_python', 'src/QQ.py', 'python', "from kafka import KafkaConsumer\nc = KafkaConsumer('QQ-in')\np.send('QQ-out', b'')", [('topic', 'kafka:QQ-out'), ('topic', 'kafka:QQ-in'), ('external', 'kafka'), ('module', 'src/QQ.py')], [('produces', 'kafka:topic:QQ-out'), ('consumes', 'kafka:topic:QQ-in'), ('imports', 'py:external:kafka')]),
-    Specimen('python', 'python.pydantic_models', 'src/QQ.py', 'python', 'class QQ(BaseModel):\n    a: int\n\nclass QQSettings(BaseSettings): ...', [('entity', 'QQ'), ('config_definition', 'QQSettings')], [('extends', 'BaseModel')]),
-    Specimen('python', 'python.sqlalchemy_models', 'src/QQ.py', 'python', "class QQ(Base):\n    __tablename__ = 'QQ_rows'\n    owner = relationship('User')", [('entity', 'QQ')], [('maps_to', 'User')]),
-    Specimen('python', 'python_structures', 'src/QQ.py', 'python', "import os\nfrom app.QQ import x\n\n__all__ = ['QQ']\n\nclass QQ(Base):\n    def run(self): ...\n\nasync def go(): ...", [('class', 'QQ'), ('method', 'run'), ('method', 'go'), ('external', 'app.QQ'), ('module', 'src/QQ.py'), ('external', 'os')], [('defines', 'src/QQ.py:run:7'), ('defines', 'src/QQ.py:go:8'), ('imports', 'py:external:app.QQ'), ('imports', 'py:external:os'), ('extends', 'Base')]),
-    Specimen('shell', 'bash', 'src/QQ.sh', 'bash', '#!/bin/bash\nsource ./QQ-lib.sh\nexport QQ=1\nrunQQ() {\n  docker ps\n}', [('module', 'src/QQ.sh'), ('method', 'runQQ'), ('external', './QQ-lib.sh'), ('config_definition', 'QQ')], [('imports', 'bash:external:./QQ-lib.sh'), ('calls', 'tool:docker')]),
-    Specimen('shell', 'powershell', 'src/QQ.ps1', 'powershell', 'Import-Module QQ\n. ./QQ-lib.ps1\nfunction Get-QQ {\n  [CmdletBinding()]\n  param([string]$QQ)\n}', [('method', 'Get-QQ'), ('external', 'QQ'), ('module', 'src/QQ.ps1'), ('external', './QQ-lib.ps1'), ('config_definition', 'QQ')], [('imports', 'ps:external:QQ'), ('imports', 'ps:external:./QQ-lib.ps1')]),
-    Specimen('shell', 'batch_structure', 'src/QQ.bat', 'batch', '@echo off\nset QQ=1\ncall :QQ_sub\n:QQ_sub\necho x', [('module', 'src/QQ.bat'), ('method', 'QQ_sub'), ('config_definition', 'QQ')], [('contains', 'src/QQ.bat:QQ_sub'), ('calls', 'src/QQ.bat:QQ_sub')]),
-    Specimen('sql', 'sql_migration', 'db/QQ.sql', 'sql', 'CREATE TABLE QQ (id int REFERENCES base(id));', [('sql_entity', 'QQ'), ('migration', 'db/QQ.sql')], [('migrates', 'sql_entity:QQ'), ('references_table', 'sql_entity:base')]),
-    Specimen('sql', 'sql_structure', 'db/QQ.sql', 'sql', 'CREATE TABLE QQ (id int REFERENCES base(id));\nCREATE VIEW QQ_v AS SELECT 1;\nCREATE INDEX QQ_i ON QQ (id);\nCREATE FUNCTION QQ_f() RETURNS int;', [('entity', 'QQ'), ('entity', 'QQ_v'), ('config_definition', 'QQ_i'), ('config_definition', 'QQ_f')], [('depends_on', 'sql:table:base')]),
-    Specimen('structured', 'cloudformation', 'QQ.yaml', 'yaml', "Parameters:\n  QQSize: {Type: String}\nResources:\n  QQ: {Type: 'AWS::S3::Bucket', Properties: {Role: {Ref: QQRole}}}\n  QQRole: {Type: 'AWS::IAM::Role'}\nOutputs:\n  QQName: {Value: x}", [('infra_resource', 'QQ'), ('infra_resource', 'QQRole'), ('config_definition', 'QQSize'), ('config_definition', 'QQName')], [('depends_on', 'cfn:QQ.yaml:resource:QQRole')]),
-    Specimen('structured', 'docker_compose', 'QQ/docker-compose.yml', 'yaml', "services:\n  QQ: {image: x, ports: ['80:80'], depends_on: [db]}\n  db: {image: y}", [('infra_resource', 'QQ'), ('config_key', 'QQ:80:80'), ('infra_resource', 'db')], [('depends_on', 'compose:QQ/docker-compose.yml:service:db')]),
-    Specimen('structured', 'github_actions', '.github/workflows/QQ.yml', 'yaml', 'name: QQ\non: [push]\njobs:\n  a: {}\n  b: {needs: a}', [('module', 'QQ'), ('config_key', 'push'), ('method', 'a'), ('method', 'b')], [('contains', 'gha:.github/workflows/QQ.yml:job:a'), ('contains', 'gha:.github/workflows/QQ.yml:job:b'), ('depends_on', 'gha:.github/workflows/QQ.yml:job:a')]),
-    Specimen('structured', 'gitlab_ci', 'QQ/.gitlab-ci.yml', 'yaml', 'stages: [QQ]\ninclude: [QQ-base.yml]\na: {stage: QQ, script: [x]}\nb: {stage: QQ, needs: [a], extends: a}', [('module', 'QQ/.gitlab-ci.yml'), ('config_key', 'QQ'), ('method', 'a'), ('method', 'b')], [('imports', 'QQ-base.yml'), ('contains', 'gitlab:QQ/.gitlab-ci.yml:job:a'), ('contains', 'gitlab:QQ/.gitlab-ci.yml:job:b'), ('depends_on', 'gitlab:QQ/.gitlab-ci.yml:job:a'), ('extends', 'gitlab:QQ/.gitlab-ci.yml:job:a')]),
-    Specimen('structured', 'helm_chart', 'QQ/Chart.yaml', 'yaml', 'name: QQ\nversion: 1.0.0\ndependencies:\n- {name: QQ-dep, version: 2.0.0}', [('module', 'QQ')], [('depends_on', 'helm:chart:QQ-dep')]),
-    Specimen('structured', 'ini_structure', 'QQ.ini', 'ini', '[QQ]\nsize = 3', [('config_file', 'QQ.ini'), ('config_key', 'QQ'), ('config_key', 'QQ.size')], [('contains', 'ini:QQ.ini:QQ'), ('contains', 'ini:QQ.ini:QQ.size')]),
-    Specimen('structured', 'json_structure', 'QQ.json', 'json', '{"QQ": 1, "other": {"a": 2}}', [('config_file', 'QQ.json'), ('config_key', 'QQ'), ('config_key', 'other')], [('contains', 'json:QQ.json:QQ'), ('contains', 'json:QQ.json:other')]),
-    Specimen('structured', 'kubernetes', 'QQ.yaml', 'yaml', 'apiVersion: v1\nkind: Service\nmetadata: {name: QQ}\nspec: {selector: {app: QQ}}\n---\napiVersion: apps/v1\nkind: Deployment\nmetadata: {name: QQ}\nspec: {template: {metadata: {labels: {app: QQ}}, spec: {containers: [{name: QQ-c, image: x}]}}}', [('infra_resource', 'Service/QQ'), ('infra_resource', 'Deployment/QQ'), ('config_key', 'QQ-c')], [('depends_on', 'k8s:Deployment:default:QQ')]),
-    Specimen('structured', 'config.kubernetes_rbac', 'QQ.yaml', 'yaml', 'apiVersion: rbac.authorization.k8s.io/v1\nkind: Role\nmetadata: {name: QQ}\nrules: [{verbs: [get], resources: [pods]}]\n---\napiVersion: v1\nkind: ServiceAccount\nmetadata: {name: QQ-sa}', [('guard', 'QQ'), ('guard', 'QQ-sa')], []),
-    Specimen('structured', 'openapi', 'QQ.yaml', 'yaml', "openapi: 3.0.0\ninfo: {title: QQ, version: '1'}\npaths: {/QQ: {get: {}, post: {}}}\ncomponents: {schemas: {QQ: {type: object, properties: {a: {$ref: '#/components/schemas/Part'}}}, Part: {type: object}}}", [('config_file', 'QQ'), ('endpoint', 'GET /QQ'), ('endpoint', 'POST /QQ'), ('entity', 'QQ'), ('entity', 'Part')], [('contains', 'api:QQ.yaml:get:/QQ'), ('contains', 'api:QQ.yaml:post:/QQ'), ('depends_on', 'api:QQ.yaml:schema:Part')]),
-    Specimen('structured', 'package_json', 'QQ/package.json', 'json', '{"name": "QQ", "version": "1.0.0", "dependencies": {"QQ-dep": "1"}, "scripts": {"build": "x"}}', [('module', 'QQ'), ('method', 'build')], [('depends_on', 'npm:QQ-dep'), ('contains', 'npm:QQ/package.json:script:build')]),
-    Specimen('structured', 'properties', 'QQ.properties', 'properties', 'QQ.size=3\nQQ.url=jdbc:mysql://h/QQ', [('config_file', 'QQ.properties'), ('config_key', 'QQ.size'), ('database_connection', 'QQ.url')], [('contains', 'properties:QQ.properties:QQ.size'), ('contains', 'properties:QQ.properties:QQ.url')]),
-    Specimen('structured', 'pyproject_toml', 'QQ/pyproject.toml', 'toml', '[project]\nname = "QQ"\nversion = "1"\ndependencies = ["QQ-dep>=1"]\n[project.scripts]\nrunQQ = "m:f"', [('module', 'QQ'), ('config_definition', 'runQQ')], [('depends_on', 'pypi:QQ-dep'), ('contains', 'pypi:QQ/pyproject.toml:script:runQQ')]),
-    Specimen('structured', 'toml_structure', 'QQ.toml', 'toml', '[QQ]\nsize = 3', [('config_file', 'QQ.toml'), ('config_key', 'QQ')], [('contains', 'toml:QQ.toml:QQ')]),
-    Specimen('structured', 'tsconfig_json', 'QQ/tsconfig.json', 'json', '{"extends": "./QQ.json", "compilerOptions": {"strict": true, "target": "es2020"}}', [('config_file', 'QQ/tsconfig.json'), ('config_key', 'strict'), ('config_key', 'target')], [('depends_on', './QQ.json'), ('contains', 'tsconfig:QQ/tsconfig.json:strict'), ('contains', 'tsconfig:QQ/tsconfig.json:target')]),
-    Specimen('structured', 'yaml_structure', 'QQ.yml', 'yaml', 'QQ: 1\nother: {a: 2}', [('config_file', 'QQ.yml'), ('config_key', 'QQ'), ('config_key', 'other')], [('contains', 'yaml:QQ.yml:QQ'), ('contains', 'yaml:QQ.yml:other')]),
-    Specimen('systems', 'cpp_structures', 'src/QQ.cpp', 'cpp', '#include <vector>\nnamespace QQns {\nclass QQ : public Base {\n};\nenum class QQKind { A };\nint runQQ(int x) {\n}\n}', [('class', 'QQ'), ('enum', 'QQKind'), ('module', 'QQns'), ('method', 'runQQ'), ('external', 'vector'), ('module', 'src/QQ.cpp')], [('imports', 'cpp:external:vector'), ('extends', 'Base')]),
-    Specimen('systems', 'actix_web', 'src/QQ.rs', 'rust', '#[get("/QQ")]\nasync fn one() {}\n#[actix_web::main]\nasync fn main() { App::new().wrap(Logger::default()).route("/QQ-two", web::post().to(h)); }', [('endpoint', 'GET /QQ'), ('endpoint', 'POST /QQ-two'), ('middleware', 'Logger::default'), ('module', 'src/QQ.rs')], []),
-    Specimen('systems', 'rust_structures', 'src/QQ.rs', 'rust', 'use std::io;\nmod QQmod;\npub struct QQ;\nenum QQKind { A }\ntrait QQApi {}\nimpl QQApi for QQ {}\npub fn runQQ() {}\nmacro_rules! mQQ { }', [('module', 'QQmod'), ('class', 'QQ'), ('enum', 'QQKind'), ('interface', 'QQApi'), ('method', 'runQQ'), ('method', 'mQQ'), ('external', 'std::io'), ('module', 'src/QQ.rs')], [('defines', 'src/QQ.rs:runQQ'), ('imports', 'rust:external:std::io'), ('implements', 'QQApi')]),
-    Specimen('typescript', 'typescript.express_routes', 'src/QQ.ts', 'typescript', "const app = express();\napp.get('/QQ', f);\nrouter.post('/QQ', f);", [('endpoint', 'GET /QQ'), ('endpoint', 'POST /QQ')], []),
-    Specimen('typescript', 'fastify_routes', 'src/QQ.ts', 'typescript', "const fastify = require('fastify')();\nfastify.get('/QQ', f);\nfastify.addHook('onRequest', f);\nfastify.register(pluginQQ);", [('endpoint', 'GET /QQ'), ('middleware', 'onRequest'), ('module', 'src/QQ.ts')], [('imports', 'pluginQQ')]),
-    Specimen('typescript', 'typescript.graphql_resolvers', 'src/QQ.ts', 'typescript', '@Resolver(() => QQ)\nexport class QQResolver {\n  @Query(() => QQ)\n  async oneQQ() {}\n}', [('class', 'QQResolver'), ('endpoint', 'oneQQ')], []),
-    Specimen('typescript', 'kafka_js', 'src/QQ.ts', 'typescript', "const kafka = new Kafka({});\np.send({ topic: 'QQ-out', messages: [] });\nc.subscribe({ topic: 'QQ-in' });\nc.run({ eachMessage: f });", [('database_connection', 'kafka'), ('topic', 'kafka:QQ-out'), ('topic', 'kafka:QQ-in'), ('event', 'eachMessage')], [('produces', 'kafka:topic:QQ-out'), ('consumes', 'kafka:topic:QQ-in')]),
-    Specimen('typescript', 'mongoose_orm', 'src/QQ.ts', 'typescript', "import mongoose from 'mongoose';\nmongoose.connect('x');\nconst QQSchema = new mongoose.Schema({});\nconst QQ = mongoose.model('QQ', QQSchema);\nQQSchema.pre('save', f);\nQQ.findOne({});", [('database_connection', 'mongodb'), ('entity', 'QQ'), ('entity', 'QQSchema'), ('event', 'pre save')], [('queries', 'mongoose:QQ')]),
-    Specimen('typescript', 'typescript.nestjs_controllers', 'src/QQ.ts', 'typescript', "@Controller('QQ')\nexport class QQController {\n  @Get(':id')\n  one() {}\n}", [('class', 'QQController'), ('endpoint', 'GET :id')], [('exposes', 'src/QQ.ts:GET:one')]),
-    Specimen('typescript', 'prisma_orm', 'src/QQ.ts', 'typescript', "import { PrismaClient } from '@prisma/client';\nconst prisma = new PrismaClient();\nprisma.itemQQ.findMany({});", [('database_connection', 'PrismaClient'), ('entity', 'itemQQ'), ('module', 'src/QQ.ts')], [('queries', 'prisma:itemQQ'), ('imports', '@prisma/client')]),
-    Specimen('typescript', 'remix_routes', 'app/routes/QQ.tsx', 'typescript', "import { json } from '@remix-run/node';\nexport async function loader() {}\nexport const action = 1;\nexport default function QQ() {}", [('endpoint', 'loader'), ('endpoint', 'action'), ('component', 'QQ')], []),
-    Specimen('typescript', 'sequelize_orm', 'src/QQ.ts', 'typescript', "const s = new Sequelize('x');\nconst QQ = s.define('QQ', {});\nQQ.hasMany(QQPart);\nQQ.findAll();", [('database_connection', 'Sequelize'), ('entity', 'QQ')], [('depends_on', 'sequelize:QQPart'), ('queries', 'sequelize:QQ')]),
-    Specimen('typescript', 'typescript_structures', 'src/QQ.ts', 'typescript', "import { a } from './QQ-lib';\nexport class QQ {}\ninterface QQApi {}\ntype QQAlias = string;\nenum QQKind { A }\nexport function runQQ() {}\nnamespace QQns {}", [('class', 'QQ'), ('interface', 'QQApi'), ('class', 'QQAlias'), ('enum', 'QQKind'), ('method', 'runQQ'), ('external', './QQ-lib'), ('module', 'src/QQ.ts'), ('module', 'QQns')], [('imports', 'ts:external:./QQ-lib')]),
-    Specimen('typescript', 'typescript.typeorm_entities', 'src/QQ.ts', 'typescript', "@Entity('QQ_rows')\nexport class QQ {\n  @ManyToOne(() => User)\n  owner: User;\n}", [('entity', 'QQ')], [('maps_to', 'User')]),
+    Specimen('auth', 'certificate_auth', 'src/ZQZ.java', 'java', 'class ZQZ { X509Certificate cert; }\nString s = "mTLS";\nSystem.setProperty("javax.net.ssl.keyStore", "ZQZ");', [('guard', 'mTLS'), ('guard', 'X.509'), ('guard', 'TLS configuration')], []),
+    Specimen('auth', 'ldap_auth', 'src/ZQZ.py', 'python', "import ldap3\nserver = ldap3.Server('ZQZ')\nAUTH_LDAP_SERVER_URI = 'ZQZ'", [('guard', 'LDAP: ldap3.'), ('guard', 'LDAP: AUTH_LDAP_SERVER_URI')], []),
+    Specimen('auth', 'session_header_auth', 'src/ZQZ.ts', 'typescript', "import session from 'express-session';\nconst key = req.headers['x-api-key'];\napp.use(csurf());\nconst a = req.headers.authorization; // ZQZ", [('middleware', 'session: express-session'), ('guard', "API key: 'x-api-key'"), ('guard', 'CSRF: csurf'), ('guard', 'authorization header')], []),
+    Specimen('auth', 'spring_security', 'src/ZQZ.java', 'java', '@EnableWebSecurity\nclass ZQZ {\n  @PreAuthorize("hasRole(\'ZQZ\')")\n  void a() {}\n  @Secured("ROLE_ZQZ")\n  void b() {}\n}', [('guard', 'PreAuthorize'), ('guard', 'Secured'), ('guard', '@EnableWebSecurity')], []),
+    Specimen('auth', 'django_auth', 'src/ZQZ.py', 'python', "@login_required\ndef a(request): ...\n\n@permission_required('app.ZQZ')\ndef b(request): ...\n\nclass ZQZ(LoginRequiredMixin, View): ...", [('guard', 'login_required'), ('guard', 'app.ZQZ'), ('guard', 'LoginRequiredMixin')], []),
+    Specimen('auth', 'fastapi_auth', 'src/ZQZ.py', 'python', "oauth = OAuth2PasswordBearer(tokenUrl='ZQZ')\n\n@app.get('/ZQZ')\ndef a(user=Depends(get_current_user)): ...", [('guard', 'get_current_user'), ('guard', 'OAuth2PasswordBearer')], []),
+    Specimen('auth', 'typescript.nestjs_guards', 'src/ZQZ.ts', 'typescript', "import { UseGuards } from '@nestjs/common';\n@UseGuards(ZQZGuard)\n@Roles('ZQZ')\nclass A {}\nclass ZQZGuard implements CanActivate {}\nconst g = AuthGuard('jwt');", [('guard', 'ZQZGuard'), ('guard', "roles 'ZQZ'"), ('guard', 'ZQZGuard'), ('guard', 'AuthGuard jwt')], []),
+    Specimen('auth', 'typescript.passport_jwt', 'src/ZQZ.ts', 'typescript', "passport.use(new ZQZStrategy());\napp.get('/', passport.authenticate('ZQZ'));\njwt.verify(token, key);", [('guard', 'ZQZStrategy'), ('middleware', 'ZQZ'), ('middleware', 'jwt.verify')], []),
+    Specimen('csharp', 'csharp_efcore', 'src/ZQZ.cs', 'csharp', 'public class ZQZContext : DbContext {\n  public DbSet<ZQZ> All { get; set; }\n}\npublic class AddZQZ : Migration {\n  void Up() { b.CreateTable(name: "ZQZ_rows"); }\n}', [('repository', 'ZQZContext'), ('entity', 'ZQZ'), ('migration', 'AddZQZ'), ('entity', 'ZQZ_rows')], [('queries', 'efcore:entity:ZQZ')]),
+    Specimen('csharp', 'csharp_minimal_apis', 'src/ZQZ.cs', 'csharp', 'var b = WebApplication.CreateBuilder(args);\napp.UseAuthorization();\napp.MapGet("/ZQZ", () => 1);\napp.MapPost("/ZQZ", () => 1);', [('endpoint', 'GET /ZQZ'), ('endpoint', 'POST /ZQZ'), ('guard', 'UseAuthorization'), ('module', 'src/ZQZ.cs')], [('exposes', 'src/ZQZ.cs:GET:/ZQZ'), ('exposes', 'src/ZQZ.cs:POST:/ZQZ')]),
+    Specimen('csharp', 'csharp_structures', 'src/ZQZ.cs', 'csharp', 'using System.Text;\nnamespace App.ZQZ;\npublic class ZQZ : Base { }\npublic interface IZQZ { }\npublic class ZQZImpl : IZQZ { }\npublic enum ZQZKind { A }\npublic abstract class ZQZBase { }\n[HttpGet("ZQZ")]', [('module', 'App.ZQZ'), ('class', 'ZQZ'), ('class', 'ZQZImpl'), ('class', 'ZQZBase'), ('interface', 'IZQZ'), ('enum', 'ZQZKind'), ('external', 'System.Text'), ('module', 'src/ZQZ.cs'), ('endpoint', 'GET ZQZ')], [('imports', 'csharp:external:System.Text'), ('extends', 'Base'), ('implements', 'IZQZ')]),
+    Specimen('frontend', 'frontend.angular_components', 'src/ZQZ.ts', 'typescript', "@Component({ selector: 'ZQZ' })\nexport class ZQZComponent {}\n@Injectable()\nexport class ZQZService {}", [('component', 'ZQZComponent'), ('middleware', 'ZQZService')], []),
+    Specimen('frontend', 'frontend.frontend_routes', 'src/ZQZ.tsx', 'typescript', 'const a = <Route path="/ZQZ" element={<ZQZ/>} />;\nconst b = [{ path: \'/list-ZQZ\', component: ZQZList }];', [('endpoint', '/ZQZ'), ('endpoint', '/list-ZQZ')], [('renders', 'ZQZList')]),
+    Specimen('frontend', 'frontend.react_components', 'src/ZQZ.tsx', 'typescript', "import React from 'react';\nexport function ZQZ() { return <ZQZItem/>; }\nclass ZQZOld extends React.Component {}\nexport const useZQZ = () => 1;", [('component', 'ZQZ'), ('component', 'ZQZOld'), ('hook', 'useZQZ')], [('renders', 'ZQZItem')]),
+    Specimen('frontend', 'frontend.svelte_components', 'src/ZQZ.svelte', 'svelte', '<script>\n  export let ZQZ;\n</script>\n<p>{ZQZ}</p>', [('component', 'src/ZQZ.svelte')], []),
+    Specimen('frontend', 'frontend.vue_components', 'src/ZQZ.vue', 'vue', '<template><p/></template>\n<script setup>\nexport function useZQZ() { return 1 }\n</script>', [('component', 'ZQZ'), ('hook', 'useZQZ')], []),
+    Specimen('generic', 'generic_imports', 'src/ZQZ.java', 'java', 'import java.util.List;\nimport org.ZQZ.Thing;', [('module', 'java.util.List'), ('module', 'src/ZQZ.java'), ('module', 'org.ZQZ.Thing')], [('imports', 'java:external:java.util.List'), ('imports', 'java:external:org.ZQZ.Thing')]),
+    Specimen('go', 'go_orm', 'src/ZQZ.go', 'go', 'package m\n\ntype ZQZ struct {\n\tgorm.Model\n}\n\nfunc f() {\n\tdb, _ := gorm.Open(x)\n\tdb.AutoMigrate(&ZQZ{})\n}', [('entity', 'ZQZ'), ('migration', '&ZQZ{}'), ('database_connection', 'gorm.Open')], []),
+    Specimen('go', 'go_structures', 'src/ZQZ.go', 'go', 'package ZQZ\n\nimport (\n\t"fmt"\n)\n\ntype S struct {}\n\ntype I interface {}\n\nfunc (s *S) Run() {}\n\nfunc ZQZRun() {}', [('module', 'ZQZ'), ('class', 'S'), ('interface', 'I'), ('method', 'Run'), ('method', 'ZQZRun'), ('external', 'fmt'), ('module', 'src/ZQZ.go')], [('defines', 'src/ZQZ.go:S:Run'), ('defines', 'src/ZQZ.go::ZQZRun'), ('imports', 'go:external:fmt')]),
+    Specimen('go', 'go_web', 'src/ZQZ.go', 'go', 'package m\n\nfunc f() {\n\tr.GET("/ZQZ", h)\n\thttp.HandleFunc("/any-ZQZ", h)\n\tr.Use(ZQZLog)\n}', [('endpoint', 'GET /ZQZ'), ('endpoint', '/any-ZQZ'), ('middleware', 'ZQZLog')], []),
+    Specimen('iac', 'bicep', 'src/ZQZ.bicep', 'bicep', "param ZQZ string\nresource acc 'Microsoft.Storage/storageAccounts@2021-02-01' = {\n}\nmodule net './ZQZ.bicep' = {\n}", [('azure_resource', 'acc'), ('config_key', 'ZQZ'), ('infra_resource', 'module net (./ZQZ.bicep)'), ('external', './ZQZ.bicep'), ('module', 'src/ZQZ.bicep')], [('depends_on', 'bicep:external:./ZQZ.bicep')]),
+    Specimen('iac', 'dockerfile', 'src/ZQZ/Dockerfile', 'dockerfile', 'FROM python:3 AS base\nARG ZQZ\nENV ZQZ_HOME=1\nEXPOSE 8080/tcp\nLABEL team=ZQZ\nFROM alpine\nCOPY --from=base /a /a', [('infra_resource', 'FROM python:3 AS base'), ('infra_resource', 'FROM alpine'), ('external', 'python:3'), ('module', 'src/ZQZ/Dockerfile'), ('external', 'alpine'), ('endpoint', 'port 8080'), ('config_definition', 'ZQZ_HOME'), ('config_definition', 'ZQZ'), ('config_definition', 'team')], [('depends_on', 'docker:image:python:3'), ('depends_on', 'docker:image:alpine'), ('depends_on', 'docker:src/ZQZ/Dockerfile:from:base')]),
+    Specimen('iac', 'terraform', 'src/ZQZ.tf', 'terraform', 'resource "aws_s3_bucket" "ZQZ" {\n}\ndata "aws_ami" "ZQZ" {\n}\nmodule "ZQZ" {\n  source = "./ZQZ"\n}\nvariable "ZQZ" {\n}\noutput "ZQZ" {\n}\nprovider "aws" {\n}', [('infra_resource', 'aws_s3_bucket.ZQZ'), ('infra_resource', 'data.aws_ami.ZQZ'), ('module', 'ZQZ'), ('config_definition', 'ZQZ'), ('config_definition', 'ZQZ'), ('config_definition', 'aws')], [('depends_on', './ZQZ')]),
+    Specimen('jvm_messaging', 'active_mq', 'src/ZQZ.java', 'java', 'import org.apache.activemq.ActiveMQConnectionFactory;\nclass ZQZ {\n  Object f = new ActiveMQConnectionFactory("tcp://ZQZ");\n  void a() { s.createQueue("ZQZ.in"); s.createTopic("ZQZ.all"); p.send(m); c.receive(); }\n}', [('message_queue', 'activemq:ActiveMQConnectionFactory'), ('queue', 'activemq:queue:ZQZ.in'), ('topic', 'activemq:topic:ZQZ.all')], [('connects_to', 'activemq:server:ActiveMQConnectionFactory'), ('sends_to', 'activemq:queue:ZQZ.in'), ('receives_from', 'activemq:queue:ZQZ.in'), ('sends_to', 'activemq:topic:ZQZ.all'), ('receives_from', 'activemq:topic:ZQZ.all')]),
+    Specimen('jvm_messaging', 'ibm_mq', 'src/ZQZ.java', 'java', 'import com.ibm.mq.MQQueueManager;\nclass ZQZ {\n  void a() { m = new MQQueueManager("QM_ZQZ"); q = m.accessQueue("ZQZ.Q", 1); q.put(x); q.get(x); }\n}', [('message_queue', 'ibm_mq:QM_ZQZ'), ('queue', 'ibm_mq:queue:ZQZ.Q')], [('connects_to', 'ibm_mq:server:QM_ZQZ'), ('sends_to', 'ibm_mq:queue:ZQZ.Q'), ('receives_from', 'ibm_mq:queue:ZQZ.Q')]),
+    Specimen('jvm_messaging', 'tibco_ems', 'src/ZQZ.java', 'java', 'class ZQZ {\n  Object f = new TibjmsQueueConnectionFactory("tcp://ZQZ");\n  void a() { s.createQueue("ZQZ.q"); s.createTopic("ZQZ.t"); c.receive(); }\n}', [('message_queue', 'tibco_ems:TibjmsQueueConnectionFactory'), ('queue', 'tibco_ems:queue:ZQZ.q'), ('topic', 'tibco_ems:topic:ZQZ.t')], [('connects_to', 'tibco_ems:server:TibjmsQueueConnectionFactory'), ('receives_from', 'tibco_ems:queue:ZQZ.q'), ('receives_from', 'tibco_ems:topic:ZQZ.t')]),
+    Specimen('jvm_messaging', 'azure_functions', 'src/ZQZ.java', 'java', 'class ZQZ {\n  @FunctionName("ZQZ")\n  public void run(@HttpTrigger(name = "r") Object r) {}\n  @FunctionName("ZQZ2")\n  public void two(@ServiceBusQueueTrigger(name = "m", queueName = "ZQZ-q") String m) {}\n}', [('azure_function', 'ZQZ'), ('azure_function', 'ZQZ2'), ('endpoint', 'HTTP trigger'), ('queue', 'ZQZ-q')], [('exposes', 'src/ZQZ.java:http:3'), ('triggers', 'java:file:src/ZQZ.java')]),
+    Specimen('jvm_messaging', 'azure_messaging', 'src/ZQZ.java', 'java', 'class ZQZ {\n  ServiceBusSenderClient c = b.sender().queueName("ZQZ-q").buildClient();\n  EventHubConsumerClient e = b.eventHubName("ZQZ-h");\n}', [('queue', 'ZQZ-q'), ('topic', 'ZQZ-h')], [('connects_to', 'azure:servicebus:ZQZ-q'), ('connects_to', 'azure:eventhub:ZQZ-h'), ('sends_to', 'azure:ServiceBusSenderClient'), ('receives_from', 'azure:EventHubConsumerClient')]),
+    Specimen('jvm', 'java.class_hierarchy', 'src/ZQZ.java', 'java', 'public class ZQZ extends Base implements Runnable {\n  enum Kind { A }\n}\ninterface ZQZApi {}\nabstract class ZQZBase {}\n@interface ZQZMark {}', [('class', 'ZQZ'), ('abstract_class', 'ZQZBase'), ('interface', 'ZQZApi'), ('enum', 'Kind'), ('annotation_type', 'ZQZMark')], [('extends', 'Base'), ('implements', 'Runnable')]),
+    Specimen('jvm', 'config_def', 'src/ZQZ.java', 'java', '@ConfigurationProperties(prefix = "ZQZ")\nclass ZQZ {\n  @Value("${ZQZ.size:3}") int size;\n  void a() { d.define("ZQZ.retry", 1); }\n}', [('config_definition', 'ZQZ.size'), ('config_definition', 'ZQZ'), ('config_definition', 'ZQZ.retry')], [('reads_config', 'config:ZQZ.size'), ('reads_config', 'config:ZQZ'), ('reads_config', 'config:ZQZ.retry')]),
+    Specimen('jvm', 'cosmos_db', 'src/ZQZ.java', 'java', 'class ZQZ {\n  CosmosClient c;\n  void a() { c.getDatabase("ZQZ-db").getContainer("ZQZ-c"); }\n}', [('azure_resource', 'ZQZ-db'), ('azure_resource', 'ZQZ-c')], [('connects_to', 'cosmos:database:ZQZ-db'), ('connects_to', 'cosmos:container:ZQZ-c')]),
+    Specimen('jvm', 'graphql_resolver', 'src/ZQZ.java', 'java', 'class ZQZ {\n  @QueryMapping\n  public Thing findZQZ(String id) { return null; }\n  @MutationMapping\n  public Thing saveZQZ(Thing t) { return t; }\n}', [('endpoint', 'findZQZ'), ('endpoint', 'saveZQZ')], [('exposes', 'src/ZQZ.java:graphql:findZQZ'), ('exposes', 'src/ZQZ.java:graphql:saveZQZ')]),
+    Specimen('jvm', 'grpc_service', 'src/ZQZ.java', 'java', 'class ZQZ extends ZQZSvcGrpc.ZQZSvcImplBase {\n  Object s = OtherGrpc.newBlockingStub(ch);\n}', [('endpoint', 'ZQZSvc')], [('exposes', 'grpc:ZQZSvc'), ('calls', 'grpc:Other')]),
+    Specimen('jvm', 'jaxrs', 'src/ZQZ.java', 'java', '@Path("/ZQZ")\nclass ZQZ {\n  @GET\n  @Path("/one")\n  public String one() { return ""; }\n  @POST\n  public void add(String x) {}\n}', [('endpoint', 'one'), ('endpoint', 'add')], [('exposes', 'src/ZQZ.java:ZQZ:one:GET'), ('exposes', 'src/ZQZ.java:ZQZ:add:POST')]),
+    Specimen('jvm', 'jdbc', 'src/ZQZ.java', 'java', 'class ZQZ {\n  String u = "jdbc:postgresql://host/ZQZ";\n  private JdbcTemplate template;\n}', [('database_connection', 'postgresql@host/ZQZ'), ('database_connection', 'JdbcTemplate')], [('connects_to', 'db:postgresql:host/ZQZ'), ('connects_to', 'src/ZQZ.java:JdbcTemplate')]),
+    Specimen('jvm_messaging', 'jms', 'src/ZQZ.java', 'java', 'class ZQZ {\n  @JmsListener(destination = "ZQZ.in")\n  void a(String m) { jmsTemplate.convertAndSend("ZQZ.out", m); }\n}', [('queue', 'jms:ZQZ.in'), ('queue', 'jms:ZQZ.out')], [('consumes', 'jms:queue:ZQZ.in'), ('produces', 'jms:queue:ZQZ.out')]),
+    Specimen('jvm', 'jpa_entity', 'src/ZQZ.java', 'java', '@Entity\n@Table(name = "ZQZ_rows")\npublic class ZQZ {}', [('entity', 'ZQZ')], []),
+    Specimen('jvm_messaging', 'kafka', 'src/ZQZ.java', 'java', 'class ZQZ {\n  @KafkaListener(topics = "ZQZ-in")\n  void a(String m) { kafkaTemplate.send("ZQZ-out", m); }\n}', [('topic', 'kafka:ZQZ-in'), ('topic', 'kafka:ZQZ-out')], [('consumes', 'kafka:topic:ZQZ-in'), ('produces', 'kafka:topic:ZQZ-out')]),
+    Specimen('jvm_messaging', 'kafka_protocol', 'src/ZQZ.java', 'java', 'public class ZQZRequest extends AbstractRequest {}\nclass ZQZResponse extends AbstractResponse {}', [('protocol_message', 'ZQZRequest'), ('protocol_message', 'ZQZResponse')], [('extends', 'AbstractRequest'), ('extends', 'AbstractResponse')]),
+    Specimen('jvm', 'micronaut', 'src/ZQZ.java', 'java', 'import io.micronaut.http.annotation.Get;\n@Singleton\nclass ZQZ {\n  @Get("/ZQZ")\n  public String one() { return ""; }\n  @Scheduled(fixedDelay = "1s")\n  void tick() {}\n  @EventListener\n  void on() {}\n  @Client("ZQZ-api") Object api;\n}', [('class', 'ZQZ'), ('endpoint', 'one'), ('middleware', 'scheduled fixedDelay = "1s"'), ('event', 'event listener')], [('exposes', 'src/ZQZ.java:GET:one'), ('depends_on', 'ZQZ-api')]),
+    Specimen('jvm', 'module_deps', 'ZQZ/pom.xml', 'xml', '<project>\n<artifactId>ZQZ</artifactId>\n<modules><module>ZQZ-core</module></modules>\n<dependencies><dependency><groupId>g</groupId><artifactId>ZQZ-lib</artifactId></dependency></dependencies>\n</project>', [('module', 'ZQZ')], [('contains', 'maven:module:ZQZ-core'), ('depends_on', 'g:ZQZ-lib')]),
+    Specimen('jvm', 'java.public_api', 'src/ZQZ.java', 'java', 'class ZQZ {\n  public String findZQZ(int id) { return null; }\n  protected void saveZQZ() {}\n  private void hidden() {}\n}', [('method', 'findZQZ'), ('method', 'saveZQZ')], [('defines', 'src/ZQZ.java:ZQZ:findZQZ'), ('defines', 'src/ZQZ.java:ZQZ:saveZQZ')]),
+    Specimen('jvm', 'quarkus', 'src/ZQZ.java', 'java', 'import io.quarkus.runtime.Startup;\n@ApplicationScoped\nclass ZQZ {\n  @ConfigProperty(name = "ZQZ.size") int size;\n  @Scheduled(every = "1m")\n  @Transactional\n  void a() {}\n}', [('config_key', 'ZQZ.size'), ('class', 'ZQZ'), ('event', 'scheduled'), ('middleware', 'Transactional')], []),
+    Specimen('jvm_messaging', 'rabbitmq', 'src/ZQZ.java', 'java', 'class ZQZ {\n  @RabbitListener(queues = "ZQZ-in")\n  void a(String m) { rabbitTemplate.convertAndSend("ZQZ-out", m); }\n  Object e = new TopicExchange("ZQZ-x");\n}', [('queue', 'rabbitmq:ZQZ-in'), ('queue', 'rabbitmq:ZQZ-out'), ('queue', 'ZQZ-x')], [('consumes', 'rabbitmq:queue:ZQZ-in'), ('produces', 'rabbitmq:queue:ZQZ-out')]),
+    Specimen('jvm', 'raw_sql', 'src/ZQZ.java', 'java', 'interface ZQZ {\n  @Query("select q from ZQZ q")\n  List<ZQZ> all();\n}\nclass B { void a() { jdbcTemplate.update("delete from ZQZ"); } }', [('query', 'select q from ZQZ q'), ('query', 'delete from ZQZ')], []),
+    Specimen('jvm', 'spring_repository', 'src/ZQZ.java', 'java', 'interface ZQZRepository extends JpaRepository<ZQZ, Long> {}', [('repository', 'ZQZRepository')], [('queries', 'ZQZ')]),
+    Specimen('jvm', 'rmi', 'src/ZQZ.java', 'java', 'interface ZQZApi extends Remote {}\nclass ZQZ extends UnicastRemoteObject {\n  void a() { Naming.rebind("ZQZ-svc", this); Naming.lookup("other"); }\n}', [('rmi_interface', 'ZQZApi')], [('exports_rmi', 'rmi:ZQZ'), ('exports_rmi', 'rmi:ZQZ-svc'), ('invokes_rmi', 'rmi:other')]),
+    Specimen('jvm', 'spring_events', 'src/ZQZ.java', 'java', 'class ZQZ {\n  void a() { bus.publishEvent(new ZQZMade(this)); }\n  @EventListener\n  public void on(ZQZGone e) {}\n}', [('event', 'ZQZMade'), ('event', 'ZQZGone')], [('publishes', 'event:ZQZMade'), ('listens', 'event:ZQZGone')]),
+    Specimen('jvm', 'spring_rest', 'src/ZQZ.java', 'java', '@RestController\n@RequestMapping("/ZQZ")\nclass ZQZ {\n  @GetMapping("/{id}")\n  public String one(String id) { return id; }\n  @PostMapping\n  public void add() {}\n}', [('endpoint', 'one'), ('endpoint', 'add')], []),
+    Specimen('jvm', 'websocket', 'src/ZQZ.java', 'java', '@ServerEndpoint("/ZQZ")\nclass ZQZ {\n  @MessageMapping("/say-ZQZ")\n  @SendTo("/topic/ZQZ")\n  void a() {}\n}', [('websocket_endpoint', '/ZQZ'), ('websocket_endpoint', '/say-ZQZ')], [('exposes', 'ws:/ZQZ'), ('exposes', 'ws:/say-ZQZ'), ('produces', 'ws:/topic/ZQZ')]),
+    Specimen('jvm', 'kotlin_structures', 'src/ZQZ.kt', 'kotlin', 'import app.ZQZ\n\nclass ZQZ : Base\ninterface ZQZApi\nobject ZQZOnly\nfun runZQZ() {}', [('class', 'ZQZ'), ('class', 'ZQZOnly'), ('interface', 'ZQZApi'), ('method', 'runZQZ'), ('external', 'app.ZQZ'), ('module', 'src/ZQZ.kt')], [('imports', 'kotlin:external:app.ZQZ'), ('extends', 'Base')]),
+    Specimen('jvm', 'ktor_routes', 'src/ZQZ.kt', 'kotlin', 'import io.ktor.server.routing.*\nfun a() {\n  install(CORS)\n  routing {\n    authenticate("ZQZ") {\n      get("/ZQZ") { }\n    }\n  }\n}', [('module', 'src/ZQZ.kt'), ('endpoint', 'GET /ZQZ'), ('guard', 'ZQZ'), ('middleware', 'CORS')], []),
+    Specimen('jvm', 'scala_structures', 'src/ZQZ.scala', 'scala', 'import app.ZQZ\ntrait T\nclass ZQZ extends Base with T {\n  def runZQZ = 1\n}\nobject ZQZOnly', [('class', 'ZQZ'), ('class', 'ZQZOnly'), ('interface', 'T'), ('method', 'runZQZ'), ('external', 'app.ZQZ'), ('module', 'src/ZQZ.scala')], [('imports', 'scala:external:app.ZQZ'), ('extends', 'Base'), ('implements', 'T')]),
+    Specimen('markup', 'markdown_structure', 'docs/ZQZ.md', 'markdown', '# ZQZ\n\n## Use\n\nSee [more](more-ZQZ.md) and [web](https://x.y).', [('module', 'docs/ZQZ.md'), ('config_key', 'ZQZ'), ('config_key', 'Use')], [('contains', 'md:docs/ZQZ.md:1'), ('contains', 'md:docs/ZQZ.md:3'), ('depends_on', 'more-ZQZ.md')]),
+    Specimen('markup', 'proto_structure', 'src/ZQZ.proto', 'proto', 'package app.ZQZ;\nimport "base.proto";\nservice ZQZService {\n  rpc Get (ZQZRequest) returns (ZQZReply);\n}\nmessage ZQZRequest {}', [('config_key', 'app.ZQZ'), ('external', 'base.proto'), ('module', 'src/ZQZ.proto'), ('interface', 'ZQZService'), ('method', 'Get'), ('protocol_message', 'ZQZRequest')], [('imports', 'proto:external:base.proto'), ('contains', 'proto:src/ZQZ.proto:rpc:Get')]),
+    Specimen('python', 'python.celery_tasks', 'src/ZQZ.py', 'python', '@shared_task\ndef mailZQZ(): ...\n\nmailZQZ.delay()', [('method', 'mailZQZ'), ('queue', 'celery:mailZQZ')], [('consumes', 'celery:queue:mailZQZ'), ('produces', 'celery:queue:mailZQZ')]),
+    Specimen('python', 'python.django_models', 'src/ZQZ.py', 'python', "class ZQZ(models.Model):\n    owner = models.ForeignKey('User')", [('entity', 'ZQZ'), ('module', 'src/ZQZ.py')], [('depends_on', 'User')]),
+    Specimen('python', 'python.django_views', 'src/ZQZ.py', 'python', "urlpatterns = [path('ZQZ/', views.one)]\n\nclass ZQZList(ListView): ...", [('endpoint', '/ZQZ/'), ('class', 'ZQZList')], []),
+    Specimen('python', 'python.fastapi_routes', 'src/ZQZ.py', 'python', "@router.get('/ZQZ/{id}')\nasync def one(id): ...\n\n@app.post('/ZQZ')\ndef add(): ...", [('endpoint', 'GET /ZQZ/{id}'), ('endpoint', 'POST /ZQZ')], []),
+    Specimen('python', 'python.flask_routes', 'src/ZQZ.py', 'python', "@bp.route('/ZQZ', methods=['POST'])\ndef addZQZ(): ...", [('endpoint', 'addZQZ')], []),
+    Specimen('python', 'kafka_python', 'src/ZQZ.py', 'python', "from kafka import KafkaConsumer\nc = KafkaConsumer('ZQZ-in')\np.send('ZQZ-out', b'')", [('topic', 'kafka:ZQZ-out'), ('topic', 'kafka:ZQZ-in'), ('external', 'kafka'), ('module', 'src/ZQZ.py')], [('produces', 'kafka:topic:ZQZ-out'), ('consumes', 'kafka:topic:ZQZ-in'), ('imports', 'py:external:kafka')]),
+    Specimen('python', 'python.pydantic_models', 'src/ZQZ.py', 'python', 'class ZQZ(BaseModel):\n    a: int\n\nclass ZQZSettings(BaseSettings): ...', [('entity', 'ZQZ'), ('config_definition', 'ZQZSettings')], [('extends', 'BaseModel')]),
+    Specimen('python', 'python.sqlalchemy_models', 'src/ZQZ.py', 'python', "class ZQZ(Base):\n    __tablename__ = 'ZQZ_rows'\n    owner = relationship('User')", [('entity', 'ZQZ')], [('maps_to', 'User')]),
+    Specimen('python', 'python_structures', 'src/ZQZ.py', 'python', "import os\nfrom app.ZQZ import x\n\n__all__ = ['ZQZ']\n\nclass ZQZ(Base):\n    def run(self): ...\n\nasync def go(): ...", [('class', 'ZQZ'), ('method', 'run'), ('method', 'go'), ('external', 'app.ZQZ'), ('module', 'src/ZQZ.py'), ('external', 'os')], [('defines', 'src/ZQZ.py:run:7'), ('defines', 'src/ZQZ.py:go:8'), ('imports', 'py:external:app.ZQZ'), ('imports', 'py:external:os'), ('extends', 'Base')]),
+    Specimen('shell', 'bash', 'src/ZQZ.sh', 'bash', '#!/bin/bash\nsource ./ZQZ-lib.sh\nexport ZQZ=1\nrunZQZ() {\n  docker ps\n}', [('module', 'src/ZQZ.sh'), ('method', 'runZQZ'), ('external', './ZQZ-lib.sh'), ('config_definition', 'ZQZ')], [('imports', 'bash:external:./ZQZ-lib.sh'), ('calls', 'tool:docker')]),
+    Specimen('shell', 'powershell', 'src/ZQZ.ps1', 'powershell', 'Import-Module ZQZ\n. ./ZQZ-lib.ps1\nfunction Get-ZQZ {\n  [CmdletBinding()]\n  param([string]$ZQZ)\n}', [('method', 'Get-ZQZ'), ('external', 'ZQZ'), ('module', 'src/ZQZ.ps1'), ('external', './ZQZ-lib.ps1'), ('config_definition', 'ZQZ')], [('imports', 'ps:external:ZQZ'), ('imports', 'ps:external:./ZQZ-lib.ps1')]),
+    Specimen('shell', 'batch_structure', 'src/ZQZ.bat', 'batch', '@echo off\nset ZQZ=1\ncall :ZQZ_sub\n:ZQZ_sub\necho x', [('module', 'src/ZQZ.bat'), ('method', 'ZQZ_sub'), ('config_definition', 'ZQZ')], [('contains', 'src/ZQZ.bat:ZQZ_sub'), ('calls', 'src/ZQZ.bat:ZQZ_sub')]),
+    Specimen('sql', 'sql_migration', 'db/ZQZ.sql', 'sql', 'CREATE TABLE ZQZ (id int REFERENCES base(id));', [('sql_entity', 'ZQZ'), ('migration', 'db/ZQZ.sql')], [('migrates', 'sql_entity:ZQZ'), ('references_table', 'sql_entity:base')]),
+    Specimen('sql', 'sql_structure', 'db/ZQZ.sql', 'sql', 'CREATE TABLE ZQZ (id int REFERENCES base(id));\nCREATE VIEW ZQZ_v AS SELECT 1;\nCREATE INDEX ZQZ_i ON ZQZ (id);\nCREATE FUNCTION ZQZ_f() RETURNS int;', [('entity', 'ZQZ'), ('entity', 'ZQZ_v'), ('config_definition', 'ZQZ_i'), ('config_definition', 'ZQZ_f')], [('depends_on', 'sql:table:base')]),
+    Specimen('structured', 'cloudformation', 'ZQZ.yaml', 'yaml', "Parameters:\n  ZQZSize: {Type: String}\nResources:\n  ZQZ: {Type: 'AWS::S3::Bucket', Properties: {Role: {Ref: ZQZRole}}}\n  ZQZRole: {Type: 'AWS::IAM::Role'}\nOutputs:\n  ZQZName: {Value: x}", [('infra_resource', 'ZQZ'), ('infra_resource', 'ZQZRole'), ('config_definition', 'ZQZSize'), ('config_definition', 'ZQZName')], [('depends_on', 'cfn:ZQZ.yaml:resource:ZQZRole')]),
+    Specimen('structured', 'docker_compose', 'ZQZ/docker-compose.yml', 'yaml', "services:\n  ZQZ: {image: x, ports: ['80:80'], depends_on: [db]}\n  db: {image: y}", [('infra_resource', 'ZQZ'), ('config_key', 'ZQZ:80:80'), ('infra_resource', 'db')], [('depends_on', 'compose:ZQZ/docker-compose.yml:service:db')]),
+    Specimen('structured', 'github_actions', '.github/workflows/ZQZ.yml', 'yaml', 'name: ZQZ\non: [push]\njobs:\n  a: {}\n  b: {needs: a}', [('module', 'ZQZ'), ('config_key', 'push'), ('method', 'a'), ('method', 'b')], [('contains', 'gha:.github/workflows/ZQZ.yml:job:a'), ('contains', 'gha:.github/workflows/ZQZ.yml:job:b'), ('depends_on', 'gha:.github/workflows/ZQZ.yml:job:a')]),
+    Specimen('structured', 'gitlab_ci', 'ZQZ/.gitlab-ci.yml', 'yaml', 'stages: [ZQZ]\ninclude: [ZQZ-base.yml]\na: {stage: ZQZ, script: [x]}\nb: {stage: ZQZ, needs: [a], extends: a}', [('module', 'ZQZ/.gitlab-ci.yml'), ('config_key', 'ZQZ'), ('method', 'a'), ('method', 'b')], [('imports', 'ZQZ-base.yml'), ('contains', 'gitlab:ZQZ/.gitlab-ci.yml:job:a'), ('contains', 'gitlab:ZQZ/.gitlab-ci.yml:job:b'), ('depends_on', 'gitlab:ZQZ/.gitlab-ci.yml:job:a'), ('extends', 'gitlab:ZQZ/.gitlab-ci.yml:job:a')]),
+    Specimen('structured', 'helm_chart', 'ZQZ/Chart.yaml', 'yaml', 'name: ZQZ\nversion: 1.0.0\ndependencies:\n- {name: ZQZ-dep, version: 2.0.0}', [('module', 'ZQZ')], [('depends_on', 'helm:chart:ZQZ-dep')]),
+    Specimen('structured', 'ini_structure', 'ZQZ.ini', 'ini', '[ZQZ]\nsize = 3', [('config_file', 'ZQZ.ini'), ('config_key', 'ZQZ'), ('config_key', 'ZQZ.size')], [('contains', 'ini:ZQZ.ini:ZQZ'), ('contains', 'ini:ZQZ.ini:ZQZ.size')]),
+    Specimen('structured', 'json_structure', 'ZQZ.json', 'json', '{"ZQZ": 1, "other": {"a": 2}}', [('config_file', 'ZQZ.json'), ('config_key', 'ZQZ'), ('config_key', 'other')], [('contains', 'json:ZQZ.json:ZQZ'), ('contains', 'json:ZQZ.json:other')]),
+    Specimen('structured', 'kubernetes', 'ZQZ.yaml', 'yaml', 'apiVersion: v1\nkind: Service\nmetadata: {name: ZQZ}\nspec: {selector: {app: ZQZ}}\n---\napiVersion: apps/v1\nkind: Deployment\nmetadata: {name: ZQZ}\nspec: {template: {metadata: {labels: {app: ZQZ}}, spec: {containers: [{name: ZQZ-c, image: x}]}}}', [('infra_resource', 'Service/ZQZ'), ('infra_resource', 'Deployment/ZQZ'), ('config_key', 'ZQZ-c')], [('depends_on', 'k8s:Deployment:default:ZQZ')]),
+    Specimen('structured', 'config.kubernetes_rbac', 'ZQZ.yaml', 'yaml', 'apiVersion: rbac.authorization.k8s.io/v1\nkind: Role\nmetadata: {name: ZQZ}\nrules: [{verbs: [get], resources: [pods]}]\n---\napiVersion: v1\nkind: ServiceAccount\nmetadata: {name: ZQZ-sa}', [('guard', 'ZQZ'), ('guard', 'ZQZ-sa')], []),
+    Specimen('structured', 'openapi', 'ZQZ.yaml', 'yaml', "openapi: 3.0.0\ninfo: {title: ZQZ, version: '1'}\npaths: {/ZQZ: {get: {}, post: {}}}\ncomponents: {schemas: {ZQZ: {type: object, properties: {a: {$ref: '#/components/schemas/Part'}}}, Part: {type: object}}}", [('config_file', 'ZQZ'), ('endpoint', 'GET /ZQZ'), ('endpoint', 'POST /ZQZ'), ('entity', 'ZQZ'), ('entity', 'Part')], [('contains', 'api:ZQZ.yaml:get:/ZQZ'), ('contains', 'api:ZQZ.yaml:post:/ZQZ'), ('depends_on', 'api:ZQZ.yaml:schema:Part')]),
+    Specimen('structured', 'package_json', 'ZQZ/package.json', 'json', '{"name": "ZQZ", "version": "1.0.0", "dependencies": {"ZQZ-dep": "1"}, "scripts": {"build": "x"}}', [('module', 'ZQZ'), ('method', 'build')], [('depends_on', 'npm:ZQZ-dep'), ('contains', 'npm:ZQZ/package.json:script:build')]),
+    Specimen('structured', 'properties', 'ZQZ.properties', 'properties', 'ZQZ.size=3\nZQZ.url=jdbc:mysql://h/ZQZ', [('config_file', 'ZQZ.properties'), ('config_key', 'ZQZ.size'), ('database_connection', 'ZQZ.url')], [('contains', 'properties:ZQZ.properties:ZQZ.size'), ('contains', 'properties:ZQZ.properties:ZQZ.url')]),
+    Specimen('structured', 'pyproject_toml', 'ZQZ/pyproject.toml', 'toml', '[project]\nname = "ZQZ"\nversion = "1"\ndependencies = ["ZQZ-dep>=1"]\n[project.scripts]\nrunZQZ = "m:f"', [('module', 'ZQZ'), ('config_definition', 'runZQZ')], [('depends_on', 'pypi:ZQZ-dep'), ('contains', 'pypi:ZQZ/pyproject.toml:script:runZQZ')]),
+    Specimen('structured', 'toml_structure', 'ZQZ.toml', 'toml', '[ZQZ]\nsize = 3', [('config_file', 'ZQZ.toml'), ('config_key', 'ZQZ')], [('contains', 'toml:ZQZ.toml:ZQZ')]),
+    Specimen('structured', 'tsconfig_json', 'ZQZ/tsconfig.json', 'json', '{"extends": "./ZQZ.json", "compilerOptions": {"strict": true, "target": "es2020"}}', [('config_file', 'ZQZ/tsconfig.json'), ('config_key', 'strict'), ('config_key', 'target')], [('depends_on', './ZQZ.json'), ('contains', 'tsconfig:ZQZ/tsconfig.json:strict'), ('contains', 'tsconfig:ZQZ/tsconfig.json:target')]),
+    Specimen('structured', 'yaml_structure', 'ZQZ.yml', 'yaml', 'ZQZ: 1\nother: {a: 2}', [('config_file', 'ZQZ.yml'), ('config_key', 'ZQZ'), ('config_key', 'other')], [('contains', 'yaml:ZQZ.yml:ZQZ'), ('contains', 'yaml:ZQZ.yml:other')]),
+    Specimen('systems', 'cpp_structures', 'src/ZQZ.cpp', 'cpp', '#include <vector>\nnamespace ZQZns {\nclass ZQZ : public Base {\n};\nenum class ZQZKind { A };\nint runZQZ(int x) {\n}\n}', [('class', 'ZQZ'), ('enum', 'ZQZKind'), ('module', 'ZQZns'), ('method', 'runZQZ'), ('external', 'vector'), ('module', 'src/ZQZ.cpp')], [('imports', 'cpp:external:vector'), ('extends', 'Base')]),
+    Specimen('systems', 'actix_web', 'src/ZQZ.rs', 'rust', '#[get("/ZQZ")]\nasync fn one() {}\n#[actix_web::main]\nasync fn main() { App::new().wrap(Logger::default()).route("/ZQZ-two", web::post().to(h)); }', [('endpoint', 'GET /ZQZ'), ('endpoint', 'POST /ZQZ-two'), ('middleware', 'Logger::default'), ('module', 'src/ZQZ.rs')], []),
+    Specimen('systems', 'rust_structures', 'src/ZQZ.rs', 'rust', 'use std::io;\nmod ZQZmod;\npub struct ZQZ;\nenum ZQZKind { A }\ntrait ZQZApi {}\nimpl ZQZApi for ZQZ {}\npub fn runZQZ() {}\nmacro_rules! mZQZ { }', [('module', 'ZQZmod'), ('class', 'ZQZ'), ('enum', 'ZQZKind'), ('interface', 'ZQZApi'), ('method', 'runZQZ'), ('method', 'mZQZ'), ('external', 'std::io'), ('module', 'src/ZQZ.rs')], [('defines', 'src/ZQZ.rs:runZQZ'), ('imports', 'rust:external:std::io'), ('implements', 'ZQZApi')]),
+    Specimen('typescript', 'typescript.express_routes', 'src/ZQZ.ts', 'typescript', "const app = express();\napp.get('/ZQZ', f);\nrouter.post('/ZQZ', f);", [('endpoint', 'GET /ZQZ'), ('endpoint', 'POST /ZQZ')], []),
+    Specimen('typescript', 'fastify_routes', 'src/ZQZ.ts', 'typescript', "const fastify = require('fastify')();\nfastify.get('/ZQZ', f);\nfastify.addHook('onRequest', f);\nfastify.register(pluginZQZ);", [('endpoint', 'GET /ZQZ'), ('middleware', 'onRequest'), ('module', 'src/ZQZ.ts')], [('imports', 'pluginZQZ')]),
+    Specimen('typescript', 'typescript.graphql_resolvers', 'src/ZQZ.ts', 'typescript', '@Resolver(() => ZQZ)\nexport class ZQZResolver {\n  @Query(() => ZQZ)\n  async oneZQZ() {}\n}', [('class', 'ZQZResolver'), ('endpoint', 'oneZQZ')], []),
+    Specimen('typescript', 'kafka_js', 'src/ZQZ.ts', 'typescript', "const kafka = new Kafka({});\np.send({ topic: 'ZQZ-out', messages: [] });\nc.subscribe({ topic: 'ZQZ-in' });\nc.run({ eachMessage: f });", [('database_connection', 'kafka'), ('topic', 'kafka:ZQZ-out'), ('topic', 'kafka:ZQZ-in'), ('event', 'eachMessage')], [('produces', 'kafka:topic:ZQZ-out'), ('consumes', 'kafka:topic:ZQZ-in')]),
+    Specimen('typescript', 'mongoose_orm', 'src/ZQZ.ts', 'typescript', "import mongoose from 'mongoose';\nmongoose.connect('x');\nconst ZQZSchema = new mongoose.Schema({});\nconst ZQZ = mongoose.model('ZQZ', ZQZSchema);\nZQZSchema.pre('save', f);\nZQZ.findOne({});", [('database_connection', 'mongodb'), ('entity', 'ZQZ'), ('entity', 'ZQZSchema'), ('event', 'pre save')], [('queries', 'mongoose:ZQZ')]),
+    Specimen('typescript', 'typescript.nestjs_controllers', 'src/ZQZ.ts', 'typescript', "@Controller('ZQZ')\nexport class ZQZController {\n  @Get(':id')\n  one() {}\n}", [('class', 'ZQZController'), ('endpoint', 'GET :id')], [('exposes', 'src/ZQZ.ts:GET:one')]),
+    Specimen('typescript', 'prisma_orm', 'src/ZQZ.ts', 'typescript', "import { PrismaClient } from '@prisma/client';\nconst prisma = new PrismaClient();\nprisma.itemZQZ.findMany({});", [('database_connection', 'PrismaClient'), ('entity', 'itemZQZ'), ('module', 'src/ZQZ.ts')], [('queries', 'prisma:itemZQZ'), ('imports', '@prisma/client')]),
+    Specimen('typescript', 'remix_routes', 'app/routes/ZQZ.tsx', 'typescript', "import { json } from '@remix-run/node';\nexport async function loader() {}\nexport const action = 1;\nexport default function ZQZ() {}", [('endpoint', 'loader'), ('endpoint', 'action'), ('component', 'ZQZ')], []),
+    Specimen('typescript', 'sequelize_orm', 'src/ZQZ.ts', 'typescript', "const s = new Sequelize('x');\nconst ZQZ = s.define('ZQZ', {});\nZQZ.hasMany(ZQZPart);\nZQZ.findAll();", [('database_connection', 'Sequelize'), ('entity', 'ZQZ')], [('depends_on', 'sequelize:ZQZPart'), ('queries', 'sequelize:ZQZ')]),
+    Specimen('typescript', 'typescript_structures', 'src/ZQZ.ts', 'typescript', "import { a } from './ZQZ-lib';\nexport class ZQZ {}\ninterface ZQZApi {}\ntype ZQZAlias = string;\nenum ZQZKind { A }\nexport function runZQZ() {}\nnamespace ZQZns {}", [('class', 'ZQZ'), ('interface', 'ZQZApi'), ('class', 'ZQZAlias'), ('enum', 'ZQZKind'), ('method', 'runZQZ'), ('external', './ZQZ-lib'), ('module', 'src/ZQZ.ts'), ('module', 'ZQZns')], [('imports', 'ts:external:./ZQZ-lib')]),
+    Specimen('typescript', 'typescript.typeorm_entities', 'src/ZQZ.ts', 'typescript', "@Entity('ZQZ_rows')\nexport class ZQZ {\n  @ManyToOne(() => User)\n  owner: User;\n}", [('entity', 'ZQZ')], [('maps_to', 'User')]),
 ]

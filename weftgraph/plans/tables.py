@@ -25,6 +25,8 @@ UNION ALL SELECT 'component:' || CAST(c_custkey AS STRING), 'component', 'View'
 UNION ALL SELECT 'gha:' || r_name, 'module', r_name || ' build', '', '.github/workflows/' || r_name || '.yml', 'gha:' || r_name, 'infra', 'yaml', '', NULL, NULL, NULL, NULL, NULL FROM {region}
 UNION ALL SELECT 'gha:' || r_name || ':job:' || n_name, 'method', n_name, '', '.github/workflows/' || r_name || '.yml', 'gha:' || r_name, 'infra', 'yaml', '', NULL, NULL, NULL, NULL, NULL FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT CASE n_nationkey % 4 WHEN 0 THEN 'k8s:' WHEN 1 THEN 'compose:' WHEN 2 THEN 'tf:' ELSE 'other:' END || n_name, 'infra_resource', n_name, '', 'deploy/' || n_name || '.tf', '', 'infra', 'terraform', '', NULL, NULL, NULL, NULL, NULL FROM {nation}
+UNION ALL SELECT 'batch:' || CAST(r_regionkey AS STRING), 'service', r_name || '_BATCH', 'svc.' || r_name || '_BATCH', 'batch/' || r_name || '/pom.xml', '', 'backend', 'xml', '', NULL, NULL, NULL, NULL, 'maven' FROM {region}
+UNION ALL SELECT 'old:' || CAST(p_partkey AS STRING), 'entity', p_name || ' (old)', p_name || '.old', 'schema/old.sql', '', 'backend', 'sql', '', NULL, NULL, NULL, NULL, NULL FROM {part} WHERE p_partkey % 40 = 0
 """
 
 #: src, kind, dst.
@@ -46,6 +48,7 @@ UNION ALL SELECT 'part:' || CAST(p_partkey AS STRING), 'imports', 'part:' || CAS
 UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS STRING), 'publishes', 'topic:Brand#' || CAST(1 + s_suppkey % 5 AS STRING) || CAST(1 + s_suppkey % 3 AS STRING) FROM {supplier} WHERE s_suppkey % 4 = 0
 UNION ALL SELECT 'customer:' || CAST(c_custkey AS STRING), 'listens', 'topic:Brand#' || CAST(1 + c_custkey % 5 AS STRING) || CAST(1 + c_custkey % 4 AS STRING) FROM {customer} WHERE c_custkey % 50 = 0
 UNION ALL SELECT 'gha:' || r_name, 'contains', 'gha:' || r_name || ':job:' || n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT 'batch:' || CAST(s_suppkey % 5 AS STRING), 'contains', 'queue:' || CAST(s_suppkey AS STRING) FROM {supplier} WHERE s_suppkey % 20 = 0
 UNION ALL SELECT 'k8s:' || n_name, 'connects_to', 'nation:' || CAST(n_nationkey AS STRING) FROM {nation} WHERE n_nationkey % 4 = 0
 """
 _PROPS = ["language", "framework", "http_method", "auth_type", "protocol", "db_type", "build_tool"]
@@ -66,4 +69,4 @@ def with_graph(sql: str, recursive: bool = False) -> str:
     """``sql`` (a SELECT, or further CTEs and a SELECT) over CTEs ``nodes`` and ``edges``, for another engine over the same tables."""
     body = {x: x for x in TABLES}
     flat = f"SELECT *, coalesce(language, '') AS lang FROM ({NODES_SQL.format(**body)})"
-    return f"WITH {'RECURSIVE ' if recursive else ''}nodes AS ({flat}), edges AS ({EDGES_SQL.format(**body)}){' ' if sql.lstrip().upper().startswith('SELECT') else ', '}{sql}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}nodes AS MATERIALIZED ({flat}), edges AS MATERIALIZED ({EDGES_SQL.format(**body)}){' ' if sql.lstrip().upper().startswith('SELECT') else ', '}{sql}"

@@ -116,7 +116,7 @@ def _shortest_all(n: DataFrame, e: DataFrame) -> DataFrame:
 _EXT = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in stats.EXTENSION_LANGUAGE.items()) + " ELSE ext END"
 _graph("stats_languages", f"SELECT x AS language, count(*) AS n FROM (SELECT CASE WHEN trim(lang) <> '' THEN lower(lang) WHEN contains(file_path, '.') THEN {_EXT} ELSE '' END AS x FROM (SELECT *, lower(regexp_extract(file_path, '\\.([^.]*)$', 1)) AS ext FROM nodes)) WHERE x <> '' GROUP BY x")(lambda n, e: stats.languages(n))
 _graph("stats_frameworks", "SELECT trim(framework) AS framework, count(*) AS n FROM nodes WHERE trim(framework) <> '' GROUP BY 1")(lambda n, e: stats.frameworks(n))
-_graph("stats_infra", "SELECT part, key, count(*) AS n FROM (SELECT CASE WHEN kind = 'database_connection' THEN 'databases' WHEN kind = 'topic' THEN 'messaging' ELSE 'cloud' END AS part, CASE WHEN kind = 'database_connection' THEN CASE db_type WHEN 'postgres' THEN 'PostgreSQL' WHEN 'MySQL@host' THEN 'MySQL' ELSE CASE WHEN contains(label, '.') THEN '' ELSE label END END WHEN kind = 'topic' THEN coalesce(protocol, label) ELSE label END AS key FROM nodes WHERE kind IN ('database_connection', 'topic', 'infra_resource')) WHERE key <> '' GROUP BY part, key")(lambda n, e: stats.infra(n))
+_graph("stats_infra", "SELECT part, key, count(*) AS n FROM (SELECT CASE WHEN kind = 'database_connection' THEN 'databases' WHEN kind IN ('topic', 'queue', 'message_queue') THEN 'messaging' ELSE 'cloud' END AS part, CASE WHEN kind = 'database_connection' THEN CASE db_type WHEN 'postgres' THEN 'PostgreSQL' WHEN 'MySQL@host' THEN 'MySQL' ELSE CASE WHEN contains(label, '.') THEN '' ELSE label END END WHEN kind IN ('topic', 'queue', 'message_queue') THEN coalesce(protocol, label) ELSE label END AS key FROM nodes WHERE kind IN ('database_connection', 'topic', 'queue', 'message_queue', 'infra_resource')) WHERE key <> '' GROUP BY part, key")(lambda n, e: stats.infra(n))
 _graph("stats_connections", "SELECT (SELECT count(*) FROM nodes WHERE kind = 'endpoint' AND protocol IS NULL) AS rest, (SELECT count(*) FROM nodes WHERE kind = 'endpoint' AND protocol IS NOT NULL) AS grpc, 0::BIGINT AS websocket, (SELECT count(*) FROM edges WHERE kind IN ('produces', 'publishes')) AS producers, (SELECT count(*) FROM edges WHERE kind IN ('consumes', 'listens')) AS consumers")(stats.connections)
 _graph("stats_rest_methods", "SELECT upper(coalesce(http_method, 'UNKNOWN')) AS method, count(*) AS n FROM nodes WHERE kind = 'endpoint' AND protocol IS NULL GROUP BY 1")(lambda n, e: stats.rest_by_method(n))
 _graph("stats_auth", "SELECT coalesce(auth_type, 'unknown') AS auth_type, count(*) AS n FROM nodes WHERE kind = 'guard' GROUP BY 1")(lambda n, e: stats.auth(n))
@@ -191,10 +191,10 @@ _table("doc_snippet", "WITH d AS (SELECT page_id, string_split(html, chr(10)) AS
     lambda spark, t: search.snippet(t("pages").select(F.concat(F.lit("p"), "page_id").alias("path"), F.col("html").alias("content")), t("pages").select(F.concat(F.lit("page:"), "page_id").alias("id"), F.concat(F.lit("p"), "page_id").alias("file_path"), (F.col("page_id") % 7 + 1).alias("line_start"), (F.col("page_id") % 7 + 3).alias("line_end")))
 )
 
-_graph("flow_overview", "SELECT count(*) FILTER (kind = 'module' AND contains(id, 'gha:')) AS workflows, count(*) FILTER (kind = 'method' AND contains(id, 'gha:')) AS jobs, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'k8s:')) AS k8s, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'compose:')) AS docker, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'tf:')) AS terraform, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'other:')) AS other_infra, count(*) FILTER (kind = 'endpoint') AS endpoints, count(*) FILTER (kind = 'entity') AS entities, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'component') AS components, count(*) FILTER (kind = 'topic') AS messaging, count(*) FILTER (kind = 'database_connection') AS databases, count(*) FILTER (kind = 'guard') AS guards, count(*) FILTER (kind = 'middleware') AS middleware FROM nodes")(lambda n, e: flow.overview_counts(n))
+_graph("flow_overview", "SELECT count(*) FILTER (kind = 'module' AND contains(id, 'gha:')) AS workflows, count(*) FILTER (kind = 'method' AND contains(id, 'gha:')) AS jobs, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'k8s:')) AS k8s, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'compose:')) AS docker, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'tf:')) AS terraform, count(*) FILTER (kind = 'infra_resource' AND contains(id, 'other:')) AS other_infra, count(*) FILTER (kind = 'endpoint') AS endpoints, count(*) FILTER (kind = 'entity') AS entities, count(*) FILTER (kind = 'class') AS classes, count(*) FILTER (kind = 'component') AS components, count(*) FILTER (kind IN ('topic', 'queue', 'message_queue')) AS messaging, count(*) FILTER (kind = 'database_connection') AS databases, count(*) FILTER (kind = 'guard') AS guards, count(*) FILTER (kind = 'middleware') AS middleware FROM nodes")(lambda n, e: flow.overview_counts(n))
 _graph("flow_ci", "SELECT workflow, id, label, place FROM (SELECT module AS workflow, id, label, row_number() OVER (PARTITION BY module ORDER BY id)::INTEGER AS place FROM nodes WHERE kind = 'method' AND contains(id, 'gha:')) WHERE place <= 20")(lambda n, e: flow.ci_jobs(n))
 _graph("flow_deploy", "SELECT part, id, label, place FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id)::INTEGER AS place FROM (SELECT CASE split_part(id, ':', 1) WHEN 'tf' THEN 'terraform' ELSE split_part(id, ':', 1) END AS part, id, label FROM nodes WHERE kind = 'infra_resource')) WHERE place <= 20")(lambda n, e: flow.deploy_groups(n))
-_graph("flow_runtime", "SELECT count(*) FILTER (kind = 'endpoint' AND layer = 'frontend') AS frontend_endpoints, count(*) FILTER (kind = 'endpoint' AND layer = 'backend') AS backend_endpoints, count(*) FILTER (kind = 'endpoint' AND layer NOT IN ('frontend', 'backend')) AS other_endpoints, count(*) FILTER (kind = 'entity') AS entities, count(*) FILTER (kind = 'database_connection') AS databases, count(*) FILTER (kind = 'topic') AS messaging FROM nodes")(lambda n, e: flow.runtime_counts(n))
+_graph("flow_runtime", "SELECT count(*) FILTER (kind = 'endpoint' AND layer = 'frontend') AS frontend_endpoints, count(*) FILTER (kind = 'endpoint' AND layer = 'backend') AS backend_endpoints, count(*) FILTER (kind = 'endpoint' AND layer NOT IN ('frontend', 'backend')) AS other_endpoints, count(*) FILTER (kind = 'entity') AS entities, count(*) FILTER (kind = 'database_connection') AS databases, count(*) FILTER (kind IN ('topic', 'queue', 'message_queue')) AS messaging FROM nodes")(lambda n, e: flow.runtime_counts(n))
 _graph("flow_auth", "SELECT coalesce(auth_type, 'unknown') AS auth_type, count(*) AS n FROM nodes WHERE kind = 'guard' GROUP BY 1")(lambda n, e: flow.auth_groups(n))
 
 _files = lambda t, low, high: t("events").filter((F.col("event_id") % 10 >= low) & (F.col("event_id") % 10 < high)).groupBy(F.concat(F.lit("f"), F.col("user_id")).alias("path")).agg(F.sha2(F.max("event_type").cast("binary"), 256).alias("content_hash"))

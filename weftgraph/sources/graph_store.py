@@ -1,56 +1,96 @@
-"""The stored graph: versions of two Parquet tables, edges partitioned by kind, and a manifest."""
+"""The stored graph: nodes in buckets by id, edges by source, a manifest, and what a refresh keeps of every file."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph import model as M
+from weftgraph.sources.bucketed import Change, Tables
+
+_S, _MORE = T.StringType(), ("label_lower", "fqn_lower", "language", "framework")
+_REPORT = [T.StructField("path", _S), T.StructField("content_hash", _S), T.StructField("seq", T.LongType())]
+
+
+def _plus(front: list[T.StructField], back: T.StructType) -> T.StructType:
+    return T.StructType([*front, *back.fields])
+
+
+#: Columns and key of each table. Beside the graph, what refreshing needs: texts, reports and where each file's are, facts that
+#: linkers work on by group, build files, and every claim to an edge.
+TABLES = {
+    "nodes": (T.StructType([*M.NODES.fields, *(T.StructField(x, _S) for x in _MORE)]), "id"),
+    "edges": (M.EDGES, "src"),
+    "files": ("path string, language string, content string, content_hash string", "path"),
+    "raw_nodes": (_plus(_REPORT, M.NODES), "id"),
+    "raw_edges": (_plus(_REPORT, M.EDGES), "src"),
+    "reported": ("path string, id string", "path"),
+    "tied": ("path string, src string, dst string, kind string", "path"),
+    "into": ("path string, src string, dst string, kind string", "dst"),
+    "calls": ("path string, src string, name string", "path"),
+    "builds": ("dir string, file string, build_tool string, place int, name string", "dir"),
+    "facts": ("linker string, group string, role string, id string, origin string", "group"),
+    "claims": (_plus([T.StructField("rank", T.IntegerType()), T.StructField("group", _S)], M.EDGES), "src"),
+}
+
+
+def stored_columns(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the columns that searches and filters read, lines only where they are known."""
+    line = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
+    return nodes.select(*(line(f.name) if f.name in ("line_start", "line_end") else F.col(f.name) for f in M.NODES), F.lower("label").alias("label_lower"), F.lower("fqn").alias("fqn_lower"), M.prop("language").alias("language"), M.prop("framework").alias("framework"))
 
 
 class GraphStore:
-    """Every write makes a new version and then points to it, so readers always see a whole graph."""
+    """Every change makes new files of the buckets that it touches and then points to them, so readers always see a whole graph."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 8):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _current(self) -> tuple[int, str] | None:
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        folder = fs.Path(f"{self.root}/meta")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
-            return None
-        row = self.spark.read.schema("version int, manifest string").json(f"{self.root}/meta").orderBy(F.desc("version")).first()
-        return (row["version"], row["manifest"]) if row else None
+        self.tables = Tables(spark, self.root, TABLES, buckets)
 
     def manifest(self) -> str:
-        found = self._current()
-        return found[1] if found else ""
+        return self.tables.state()["note"].get("manifest", "")
+
+    def built_at(self) -> str:
+        """When the graph was last written (UTC, ISO 8601); '' before that."""
+        return self.tables.state()["note"].get("built_at", "")
 
     def fresh(self, manifest: str) -> bool:
         """Whether the stored graph already is the one of this manifest."""
         return manifest != "" and manifest == self.manifest()
 
+    def begin(self) -> Change:
+        return self.tables.begin()
+
     def write(self, nodes: DataFrame, edges: DataFrame, manifest: str = "") -> None:
-        """A ValueError if an id stands for two nodes."""
+        """Store a whole graph; a ValueError if an id stands for two nodes. What refreshing needs isn't known of it."""
         twice = nodes.groupBy("id").count().filter("count > 1").limit(1).collect()
         if twice:
             raise ValueError(f"two nodes have the id {twice[0]['id']}")
-        found = self._current()
-        version = found[0] + 1 if found else 1
-        at = f"{self.root}/v{version}"
-        line = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
-        nodes.select(*(line(f.name) if f.name in ("line_start", "line_end") else F.col(f.name) for f in M.NODES), F.lower("label").alias("label_lower"), F.lower("fqn").alias("fqn_lower"), M.prop("language").alias("language"), M.prop("framework").alias("framework")).write.parquet(f"{at}/nodes")
-        edges.select(*(f.name for f in M.EDGES)).write.partitionBy("kind").parquet(f"{at}/edges")
-        self.spark.createDataFrame([(version, manifest)], "version int, manifest string").coalesce(1).write.mode("append").json(f"{self.root}/meta")
+        change = self.begin()
+        change.new = {}
+        change.put("nodes", None, stored_columns(nodes))
+        change.put("edges", None, edges)
+        commit(change, manifest, whole=True)
 
     def nodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v{self._current()[0]}/nodes")
+        return self.begin().then("nodes")
 
     def edges(self) -> DataFrame:
-        return self.spark.read.schema(M.EDGES).parquet(f"{self.root}/v{self._current()[0]}/edges").select(*(f.name for f in M.EDGES))
+        return self.begin().then("edges")
 
     def reset(self) -> None:
-        self.write(self.spark.createDataFrame([], M.NODES), self.spark.createDataFrame([], M.EDGES))
+        """An empty graph, which can be refreshed."""
+        change = self.begin()
+        change.new = {}
+        commit(change, "")
+
+
+def commit(change: Change, manifest: str, whole: bool = False, refreshed: bool = False) -> None:
+    now = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
+    change.commit(manifest=manifest, whole=whole, refreshed=refreshed, built_at=now)
 
 
 def without_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
