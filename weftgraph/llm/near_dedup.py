@@ -339,9 +339,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id."""
     out = link(docs, k, percent)
-    gone = materialize(out.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    h = free_name(docs.columns, "_h")
-    plane = members(gone.select(F.xxhash64("gone").alias("h")), gone.count())
+    h, lost = (free_name(docs.columns, x) for x in ("_h", "gone"))
+    gone = materialize(out.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(lost)).distinct(), "gone")
+    plane = members(gone.select(F.xxhash64(lost).alias("h")), gone.count())
     marked = docs.withColumn(h, F.coalesce(plane.test(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))), F.lit(False)))
-    stay = marked.filter(~F.col(h)).unionByName(marked.filter(h).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+    stay = marked.filter(~F.col(h)).unionByName(marked.filter(h).join(gone, F.col("doc_id") == F.col(lost), "left_anti"))
     return stay.select(*docs.columns)

@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chunks_p
         return None, prior
     share = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
     picked = known.filter(share < F.when(F.col("quality") == 0, min(1.0, per_class / bad)).otherwise(min(1.0, per_class / good)))
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("quality").cast("int"))
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))  # no other column, whatever its name
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
     found = rows.mapInArrow(K.tidy(_take_chunks(chunks_per_doc)), "doc_id long, chunks binary, quality int").collect()
     samples = [(bytes(x["chunks"]), x["quality"]) for x in sorted(found, key=lambda x: (x["doc_id"], bytes(x["chunks"])))]
     n1 = sum(y for _, y in samples)
