@@ -7,6 +7,12 @@
 5. pack: token ids of what is left, dealt over sequences.
 
 Each stage works on everything that its predecessor kept. All but the last return the columns of documents.
+
+Defined results: null text is empty and scored like any other; the exact stage keeps one of all empty texts, the near stage
+links none of them, the last stage gives each one its end token. Null doc_ids sort last and aren't near copies of anything but
+their own text. Texts are read whole, whatever their length. Of ties the smallest doc_id stays; a repeated row is its
+document again and goes in the exact stage. Of an empty table every stage gives none, without labels or benchmark items the
+quality and decontaminate stages keep everything. Further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
