@@ -213,9 +213,10 @@ def node_text(nodes: DataFrame, fields: str = "label") -> DataFrame:
     return nodes.select("id", F.concat_ws(" ", *parts).alias("text"))
 
 
-def text_search(nodes: DataFrame, query: str, fields: str = "label", limit: int = 50) -> DataFrame:
-    """Compact rows by rank from the index over node fields; where it finds nothing, the scan for the query as part of a text."""
-    found = bm25_documents(node_text(nodes, fields), "id", "text", query, limit)
+def text_search(nodes: DataFrame, query: str, fields: str = "label", limit: int = 50, index=None) -> DataFrame:
+    """Compact rows by rank from the index over node fields, the stored one if it is given; where it finds nothing, the scan for
+    the query as part of a text."""
+    found = index.search(query, limit) if index is not None else bm25_documents(node_text(nodes, fields), "id", "text", query, limit)
     rows = M.compact(nodes).join(F.broadcast(found.withColumnRenamed("key", "id")), "id")
     if not rows.isEmpty():
         return rows.orderBy(F.desc("score"), "id")
@@ -262,9 +263,28 @@ def plan(query_type: str, language: str | None) -> dict:
     return {"query_type": query_type, "language": language, "route": way, "capabilities": capability(language), "note": note}
 
 
-def plans(spark: SparkSession, languages: list[str]) -> DataFrame:
-    rows = [(q, x, route(q, x)) for q in QUERY_DIMENSIONS for x in languages]
-    return spark.createDataFrame(rows, "query_type string, language string, route string")
+def capability_rows(languages: DataFrame) -> DataFrame:
+    """(language, dimension, level) of each of ``languages`` (language). What is known of languages is a table of fixed size."""
+    spark, known = languages.sparkSession, sorted({*CAPABILITIES, *LEXICAL_LANGUAGES})
+    name = F.lower(F.trim("language"))
+    for alias, real in ALIASES.items():
+        name = F.when(name == alias, real).otherwise(name)
+    levels = spark.createDataFrame([(x, d, v) for x in known for d, v in capability(x).items()], "name string, dimension string, level string")
+    each = languages.select("language", name.alias("name"), F.explode(F.array(*map(F.lit, NO_CAPABILITIES))).alias("dimension"))
+    return each.join(F.broadcast(levels), ["name", "dimension"], "left").select("language", "dimension", F.coalesce("level", F.lit("UNSUPPORTED")).alias("level"))
+
+
+def route_rows(languages: DataFrame) -> DataFrame:
+    """(query_type, language, route) for every kind of query in each of ``languages``, as ``route`` tells."""
+    spark = languages.sparkSession
+    asked = spark.createDataFrame([(q, d) for q, ds in QUERY_DIMENSIONS.items() for d in ds], "query_type string, dimension string")
+    levels = capability_rows(languages).join(F.broadcast(asked), "dimension").groupBy("query_type", "language").agg(F.collect_set("level").alias("levels"))
+    has = lambda x: F.array_contains("levels", x)
+    way = F.when(has("UNSUPPORTED"), "DEGRADED").when(has("PARTIAL") | (has("LEXICAL_ONLY") & has("EXACT")), "MERGED").when(has("LEXICAL_ONLY"), "LEXICAL_FIRST").otherwise("GRAPH_FIRST")
+    rest = [q for q, ds in QUERY_DIMENSIONS.items() if not ds or q == "SEARCH_TEXT"]
+    text = languages.select(F.explode(F.array(*map(F.lit, [*rest, *([] if "SEARCH_TEXT" in rest else ["SEARCH_TEXT"])]))).alias("query_type"), "language")
+    text = text.withColumn("route", F.when(F.col("query_type") == "SEARCH_TEXT", "LEXICAL_FIRST").otherwise("DEGRADED"))
+    return levels.filter(F.col("query_type") != "SEARCH_TEXT").select("query_type", "language", way.alias("route")).unionByName(text)
 
 
 def capability_table(spark: SparkSession, languages: list[str]) -> DataFrame:

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode where that is unset."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="weft-paths-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Cut lineage in the session's shared checkpoint folder (a temporary one only in local mode)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        found = context.getConf().get("spark.checkpoint.dir")
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="weft-paths-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from weftgraph import model as M
 from weftgraph.operators import flow, gate, neighbours, search, stats, topology, traversal
 from weftgraph.sources import review
+from weftgraph.sources.adjacency import Adjacency
+from weftgraph.sources.text_index import TextIndex
 
 # The codes of errors.
 INTERNAL_ERROR, INVALID_INPUT, FILE_READ_FAILED = "INTERNAL_ERROR", "INVALID_INPUT", "FILE_READ_FAILED"
@@ -26,6 +28,13 @@ class Graph:
     edges: DataFrame
     files: DataFrame | None = None
     root: str | None = None
+    #: The edges by both ends, and the stored index over labels, where there are any.
+    walks: Adjacency | None = None
+    index: TextIndex | None = None
+
+    @property
+    def steps(self) -> DataFrame | Adjacency:
+        return self.walks or self.edges
 
 
 @dataclass(frozen=True)
@@ -66,7 +75,7 @@ def _source(g: Graph, a: dict) -> DataFrame:
 
 
 def _path(g: Graph, a: dict) -> DataFrame:
-    return _rows(g, list(enumerate(traversal.shortest_path(g.nodes, g.edges, a["from"], a["to"]))), "hop int, id string")
+    return _rows(g, list(enumerate(traversal.shortest_path(g.nodes, g.steps, a["from"], a["to"]))), "hop int, id string")
 
 
 def _flow(g: Graph, a: dict) -> DataFrame:
@@ -77,6 +86,20 @@ def _flow(g: Graph, a: dict) -> DataFrame:
     return _rows(g, [(v, form, flow.render(d, form)) for v, d in made.items()], "view string, format string, text string")
 
 
+def _capped(g: Graph, a: dict) -> DataFrame:
+    """A query's rows with a column that says whether there were more."""
+    found = gate.query_result(g.nodes.sparkSession, a["query"], g.nodes, g.edges, a.get("limit") or 500)
+    if "truncated" in (c.lower() for c in found.rows.columns):
+        raise ValueError("a column is called truncated already")
+    return found.rows.withColumn("truncated", F.lit(found.truncated))
+
+
+def _table(g: Graph, a: dict) -> DataFrame:
+    """A query's rows as one text in columns."""
+    found = gate.query_result(g.nodes.sparkSession, a["query"], g.nodes, g.edges, a.get("limit") or 500)
+    return _rows(g, [(found.table(), found.truncated)], "text string, truncated boolean")
+
+
 def _fuzzy(g: Graph, a: dict) -> DataFrame:
     """Found nodes with the route that the planner takes and its note."""
     told = search.plan("FIND_SYMBOL", a.get("language") or search.guess_language(a["query"]))
@@ -93,22 +116,22 @@ TOOLS: dict[str, tuple[str | None, dict[str, Mode]]] = {
     "find_in_graph": (None, {
         "nodes": Mode(lambda g, a: neighbours.find_by_kind(g.nodes, a["kind"], 0, M.cap_results(a.get("limit") or 50)), ("kind",)),
         "edges": Mode(lambda g, a: neighbours.query_edges(g.edges, a.get("kind"), a.get("limit") or 50)),
-        "text": Mode(lambda g, a: search.text_search(g.nodes, a["query"], limit=a.get("limit") or 50), ("query",)),
+        "text": Mode(lambda g, a: search.text_search(g.nodes, a["query"], limit=a.get("limit") or 50, index=g.index), ("query",)),
         "fuzzy": Mode(_fuzzy, ("query",)),
         "by_file": Mode(lambda g, a: neighbours.component_by_file(g.nodes, g.edges, a["file_path"]), ("file_path",)),
         "by_endpoint": Mode(lambda g, a: neighbours.related_endpoints(g.nodes, g.edges, a["node_id"]), ("node_id",)),
     }),
     "inspect_node": (None, {
         "neighbors": Mode(_neighbours, ("node_id",)),
-        "ego": Mode(lambda g, a: traversal.ego_graph(g.nodes, g.edges, a["center"], a.get("radius") or 2), ("center",)),
+        "ego": Mode(lambda g, a: traversal.ego_graph(g.nodes, g.steps, a["center"], a.get("radius") or 2), ("center",)),
         "evidence": Mode(_evidence),
         "source": Mode(_source, ("file_path",)),
     }),
     "trace_relationships": (None, {k: Mode(lambda g, a, f=f: f(g.nodes, g.edges, a["node_id"]), ("node_id",)) for k, f in WALKS.items()} | {"shortest_path": Mode(_path, ("from", "to"))}),
     "analyze_impact": (None, {
-        "blast_radius": Mode(lambda g, a: traversal.blast_radius(g.nodes, g.edges, a["node_id"], a.get("depth") or 1), ("node_id",)),
-        "trace": Mode(lambda g, a: traversal.blast_radius(g.nodes, g.edges, a["node_id"], a.get("depth") or 5), ("node_id",)),
-        "cycles": Mode(lambda g, a: traversal.cycles(g.edges, limit=a.get("limit") or 100)),
+        "blast_radius": Mode(lambda g, a: traversal.blast_radius(g.nodes, g.steps, a["node_id"], a.get("depth") or 1), ("node_id",)),
+        "trace": Mode(lambda g, a: traversal.blast_radius(g.nodes, g.steps, a["node_id"], a.get("depth") or 5), ("node_id",)),
+        "cycles": Mode(lambda g, a: traversal.cycles(g.steps, limit=a.get("limit") or 100)),
         "circular_deps": Mode(lambda g, a: topology.service_cycle_rows(g.nodes, g.edges)),
         "dead_code": Mode(lambda g, a: neighbours.dead_code(g.nodes, g.edges, [a["kind"]] if a.get("kind") else None, a.get("limit") or 100)),
         "dead_services": Mode(lambda g, a: topology.dead_services(g.nodes, g.edges)),
@@ -121,7 +144,7 @@ TOOLS: dict[str, tuple[str | None, dict[str, Mode]]] = {
         "service_dependents": Mode(lambda g, a: topology.service_links(g.nodes, g.edges, a["service_name"], False), ("service_name",)),
         "flow": Mode(_flow),
     }),
-    "run_query": ("query", {"query": Mode(lambda g, a: gate.run_query(g.nodes.sparkSession, a["query"], g.nodes, g.edges, a.get("limit") or 500), ("query",))}),
+    "run_query": ("query", {"query": Mode(lambda g, a: gate.run_query(g.nodes.sparkSession, a["query"], g.nodes, g.edges, a.get("limit") or 500), ("query",)), "capped": Mode(_capped, ("query",)), "table": Mode(_table, ("query",))}),
     "read_file": ("file", {"file": Mode(_source, ("file_path",))}),
     "generate_flow": ("flow", {"flow": Mode(_flow)}),
 }

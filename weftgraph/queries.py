@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 from weftgraph import model as M
 from weftgraph.operators import enrich, flow, layers, linkers, merge, search, stats, tools, topology, traversal
 from weftgraph.operators import neighbours as N
-from weftgraph.operators.settle import settled
 from weftgraph.plans import specimens
-from weftgraph.plans.tables import graph_from_tables, with_graph
+from weftgraph.plans.stored import documents_index, stored_graph
+from weftgraph.plans.tables import with_graph
 from weftgraph.sources import files as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _graph(name: str, sql: str | None, recursive: bool = False):
+def _graph(name: str, sql: str | None, recursive: bool = False, walks: bool = False):
+    """A query over the stored nodes and edges; with ``walks`` over nodes and the adjacency."""
+
     def add(f: Callable[[DataFrame, DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(*graph_from_tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            g = stored_graph(spark, sf_dir)
+            return f(g.nodes, g.walks if walks else g.edges)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = with_graph(sql, recursive)
         return f
@@ -88,29 +94,29 @@ _graph("service_path_lengths", f"{_LINKS}, pairs AS (SELECT DISTINCT source, tar
 _graph("service_path", f"{_LINKS}, pairs AS (SELECT source AS src, target AS dst, min(kind) AS kind FROM links GROUP BY ALL), far AS (SELECT src, dst, kind FROM pairs), walk AS (SELECT 'NATION_3' AS id, 0 AS hops UNION SELECT dst, hops + 1 FROM walk JOIN far ON src = id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT f.dst AS id, min(f.src) AS parent FROM far f JOIN best a ON a.id = f.src JOIN best b ON b.id = f.dst WHERE b.hops = a.hops + 1 GROUP BY f.dst), back AS (SELECT id, parent FROM parent WHERE id = 'NATION_20' UNION ALL SELECT p.id, p.parent FROM back JOIN parent p ON p.id = back.parent) SELECT b.hops::INTEGER AS hop, k.parent AS source, k.id AS target, f.kind FROM back k JOIN best b ON b.id = k.id JOIN far f ON f.src = k.parent AND f.dst = k.id", True)(lambda n, e: topology.service_path_rows(n, e, "NATION_3", "NATION_20"))
 _graph("service_cycles", f"{_LINKS}, pairs AS (SELECT DISTINCT source AS src, target AS dst FROM links), two AS (SELECT a.src || '>' || a.dst || '>' || a.src AS cycle, 2 AS length, a.src || '>' || a.dst AS key FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst), three AS (SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || a.src, 3, a.src || '>' || a.dst || '>' || b.dst FROM pairs a JOIN pairs b ON b.src = a.dst JOIN pairs c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst) SELECT cycle, length FROM (SELECT * FROM two UNION ALL SELECT * FROM three) ORDER BY length, key LIMIT 100")(topology.service_cycle_rows)
 
-_graph("blast_radius", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'nation:3' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 5) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'nation:3' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "nation:3", 5))
-_graph("blast_radius_direct", f"SELECT {COMPACT}, 1 AS hops FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = 'nation:3')")(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "nation:3", 1))
-_graph("ego_graph", "two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT dst AS id, 1 AS hops FROM two WHERE src = 'part:7' UNION SELECT t.dst, hops + 1 FROM walk w JOIN two t ON t.src = w.id WHERE hops < 2) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:7' GROUP BY ALL ORDER BY n.id LIMIT 500", True)(lambda n, e: traversal.ego_graph(n, settled(e.select("src", "dst", "kind")), "part:7", 2))
-_graph("affected_services", f"{_OWN}, walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT DISTINCT service FROM own WHERE node_id IN (SELECT id FROM walk)", True)(lambda n, e: traversal.affected_services(n, e, traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "order:1", 3)))
-_graph("trace_impact", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'order:1' GROUP BY ALL", True)(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "order:1", 3))
+_graph("blast_radius", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'nation:3' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 5) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'nation:3' GROUP BY ALL", True, walks=True)(lambda n, e: traversal.blast_radius(n, e, "nation:3", 5))
+_graph("blast_radius_direct", f"SELECT {COMPACT}, 1 AS hops FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = 'nation:3')", walks=True)(lambda n, e: traversal.blast_radius(n, e, "nation:3", 1))
+_graph("ego_graph", "two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT dst AS id, 1 AS hops FROM two WHERE src = 'part:7' UNION SELECT t.dst, hops + 1 FROM walk w JOIN two t ON t.src = w.id WHERE hops < 2) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'part:7' GROUP BY ALL ORDER BY n.id LIMIT 500", True, walks=True)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
+_graph("affected_services", f"{_OWN}, walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT DISTINCT service FROM own WHERE node_id IN (SELECT id FROM walk)", True, walks=True)(lambda n, e: traversal.affected_services(n, e.out, traversal.blast_radius(n, e, "order:1", 3)))
+_graph("trace_impact", "walk AS (SELECT dst AS id, 1 AS hops FROM edges WHERE src = 'order:1' UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 3) SELECT n.id, kind, label, file_path, layer, min(hops)::INTEGER AS hops FROM walk JOIN nodes n USING (id) WHERE n.id <> 'order:1' GROUP BY ALL", True, walks=True)(lambda n, e: traversal.blast_radius(n, e, "order:1", 3))
 
 
-@_graph("shortest_path", "walk AS (SELECT 'region:0' AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT e.dst AS id, min(e.src) AS parent FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE b.hops = a.hops + 1 GROUP BY e.dst), back AS (SELECT 'part:4' AS id UNION ALL SELECT p.parent FROM back JOIN parent p ON p.id = back.id) SELECT hops::INTEGER AS hop, id FROM back JOIN best USING (id)", True)
+@_graph("shortest_path", "walk AS (SELECT 'region:0' AS id, 0 AS hops UNION SELECT e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 6), best AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id), parent AS (SELECT e.dst AS id, min(e.src) AS parent FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE b.hops = a.hops + 1 GROUP BY e.dst), back AS (SELECT 'part:4' AS id UNION ALL SELECT p.parent FROM back JOIN parent p ON p.id = back.id) SELECT hops::INTEGER AS hop, id FROM back JOIN best USING (id)", True, walks=True)
 def _shortest(n: DataFrame, e: DataFrame) -> DataFrame:
-    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, settled(e.select("src", "dst", "kind")), "region:0", "part:4"))), "hop int, id string")
+    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, e, "region:0", "part:4"))), "hop int, id string")
 
 
 # In SQL only edges whose two ends lie on the kinds that cycles need are walked: a path over every edge has too many others.
 _graph("node_cycles", "one AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND src IN (SELECT dst FROM edges) AND dst IN (SELECT src FROM edges)), core AS (SELECT src, dst FROM one WHERE src IN (SELECT dst FROM one) AND dst IN (SELECT src FROM one)), walk AS (SELECT src AS first, [src, dst] AS path, dst AS last FROM core WHERE dst > src UNION ALL SELECT first, list_append(path, dst), dst FROM walk JOIN core ON src = last WHERE len(path) < 10 AND dst > first AND NOT list_contains(path, dst)) SELECT array_to_string(path, '>') AS cycle, len(path)::INTEGER AS length FROM walk JOIN core ON src = last AND dst = first", True)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
 
-_graph("blast_radius_all", None)(lambda n, e: traversal.blast_radius(n, settled(e.select("src", "dst", "kind")), "region:0", 5))
-_graph("ego_graph_all", None)(lambda n, e: traversal.ego_graph(n, settled(e.select("src", "dst", "kind")), "part:7", 2))
+_graph("blast_radius_all", None, walks=True)(lambda n, e: traversal.blast_radius(n, e, "region:0", 5))
+_graph("ego_graph_all", None, walks=True)(lambda n, e: traversal.ego_graph(n, e, "part:7", 2))
 _graph("node_cycles_all", None)(lambda n, e: traversal.cycles(e, limit=None).select(F.concat_ws(">", "path").alias("cycle"), F.size("path").alias("length")))
 
 
-@_graph("shortest_path_all", None)
+@_graph("shortest_path_all", None, walks=True)
 def _shortest_all(n: DataFrame, e: DataFrame) -> DataFrame:
-    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, settled(e.select("src", "dst", "kind")), "region:0", "part:4"))), "hop int, id string")
+    return n.sparkSession.createDataFrame(list(enumerate(traversal.shortest_path(n, e, "region:0", "part:4"))), "hop int, id string")
 
 
 _EXT = "CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in stats.EXTENSION_LANGUAGE.items()) + " ELSE ext END"
@@ -167,7 +173,6 @@ w AS (SELECT key, size, token, count(*) AS tf FROM (SELECT key, len(t) AS size,
 SELECT key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM w JOIN f USING (token), z GROUP BY key HAVING count(DISTINCT token) >= %d ORDER BY round(score, 6) DESC, key LIMIT 50"""
 for _name, _query, _where, _n in (("bm25_search", "the license", "token IN ('the', 'license')", 2), ("bm25_prefix", "licen", "starts_with(token, 'licen')", 1)):
     _table(_name, _BM25 % (_where, _n))(lambda spark, t, q=_query: search.bm25_documents(t("documents"), "doc_id", "text", q).withColumn("score", F.round("score", 6)))
-_LANGS = ["java", "typescript", "javascript", "python", "go", "C#", "rust", "cpp", "kotlin", "cobol", ""]
 _D = ["SYMBOL_DEFINITIONS", "SYMBOL_REFERENCES", "IMPORT_RESOLUTION", "TYPE_INFO", "CLASS_HIERARCHY", "FRAMEWORK_SEMANTICS", "ORM_ENTITY_MAPPING", "AUTH_SECURITY", "ASYNC_PATTERNS"]
 # Levels written out once more, apart from the operator's table: what each language lacks of PARTIAL in all dimensions.
 _OTHER_LEVELS = """
@@ -175,13 +180,23 @@ java SYMBOL_DEFINITIONS EXACT, java SYMBOL_REFERENCES EXACT, java IMPORT_RESOLUT
 javascript TYPE_INFO LEXICAL_ONLY, python TYPE_INFO LEXICAL_ONLY, go CLASS_HIERARCHY LEXICAL_ONLY, go AUTH_SECURITY LEXICAL_ONLY,
 rust CLASS_HIERARCHY LEXICAL_ONLY, rust ORM_ENTITY_MAPPING UNSUPPORTED, rust AUTH_SECURITY LEXICAL_ONLY, cpp ORM_ENTITY_MAPPING UNSUPPORTED, cpp AUTH_SECURITY LEXICAL_ONLY,
 kotlin SYMBOL_DEFINITIONS LEXICAL_ONLY, kotlin SYMBOL_REFERENCES LEXICAL_ONLY, kotlin IMPORT_RESOLUTION LEXICAL_ONLY, kotlin TYPE_INFO UNSUPPORTED, kotlin CLASS_HIERARCHY LEXICAL_ONLY, kotlin FRAMEWORK_SEMANTICS LEXICAL_ONLY, kotlin ORM_ENTITY_MAPPING UNSUPPORTED, kotlin AUTH_SECURITY LEXICAL_ONLY, kotlin ASYNC_PATTERNS LEXICAL_ONLY"""
-_LEVELS_SQL = f"""WITH l AS (SELECT unnest({_LANGS!r}) AS language), d AS (SELECT unnest({_D!r}) AS dimension),
+_LANGUAGES = f"SELECT DISTINCT x AS language FROM (SELECT CASE WHEN trim(lang) <> '' THEN lower(lang) WHEN contains(file_path, '.') THEN {_EXT} ELSE '' END AS x FROM (SELECT *, lower(regexp_extract(file_path, '\\.([^.]*)$', 1)) AS ext FROM nodes)) WHERE x <> ''"
+_KNOWN_LANGUAGES = [*search.CAPABILITIES, *search.LEXICAL_LANGUAGES]
+_PROSE = "CASE WHEN dimension IN ('TYPE_INFO', 'ORM_ENTITY_MAPPING') THEN 'UNSUPPORTED' ELSE 'LEXICAL_ONLY' END"
+_LEVELS_SQL = f"""l AS ({_LANGUAGES}), d AS (SELECT unnest({_D!r}) AS dimension),
 o AS (SELECT split_part(x, ' ', 1) AS language, split_part(x, ' ', 2) AS dimension, split_part(x, ' ', 3) AS level FROM (SELECT trim(unnest(string_split(replace('{_OTHER_LEVELS.strip()}', chr(10), ' '), ','))) AS x)),
-c AS (SELECT language, dimension, CASE WHEN language IN ('cobol', '') THEN 'UNSUPPORTED' ELSE coalesce(level, 'PARTIAL') END AS level FROM (SELECT e.language, e.dimension, level FROM (SELECT language, dimension FROM l, d) e LEFT JOIN o ON lower(e.language) = o.language AND e.dimension = o.dimension))"""
-_table("capabilities", f"{_LEVELS_SQL} SELECT language, dimension, level FROM c")(lambda spark, t: search.capability_table(spark, _LANGS))
-_table("plan_route", f"""{_LEVELS_SQL}, q AS (SELECT * FROM (VALUES ('FIND_SYMBOL', 'SYMBOL_DEFINITIONS'), ('FIND_REFERENCES', 'SYMBOL_REFERENCES'), ('FIND_CALLERS', 'SYMBOL_REFERENCES'), ('FIND_DEPENDENCIES', 'IMPORT_RESOLUTION'), ('FIND_CONFIG', 'FRAMEWORK_SEMANTICS')) AS q(query_type, dimension))
-SELECT query_type, language, CASE level WHEN 'UNSUPPORTED' THEN 'DEGRADED' WHEN 'PARTIAL' THEN 'MERGED' WHEN 'LEXICAL_ONLY' THEN 'LEXICAL_FIRST' ELSE 'GRAPH_FIRST' END AS route FROM q JOIN c USING (dimension) UNION ALL SELECT 'SEARCH_TEXT', language, 'LEXICAL_FIRST' FROM l""")(lambda spark, t: search.plans(spark, _LANGS))
+c AS (SELECT e.language, e.dimension, CASE WHEN e.language IN {_in(search.LEXICAL_LANGUAGES)} THEN {_PROSE.replace("dimension", "e.dimension")} WHEN e.language NOT IN {_in(search.CAPABILITIES)} THEN 'UNSUPPORTED' ELSE coalesce(level, 'PARTIAL') END AS level FROM (SELECT language, dimension FROM l, d) e LEFT JOIN o ON e.language = o.language AND e.dimension = o.dimension)"""
+_used_languages = lambda n: stats.languages(n).select("language").distinct()
+_graph("capabilities", f"{_LEVELS_SQL} SELECT language, dimension, level FROM c")(lambda n, e: search.capability_rows(_used_languages(n)))
+_graph("plan_route", f"""{_LEVELS_SQL}, q AS (SELECT * FROM (VALUES ('FIND_SYMBOL', 'SYMBOL_DEFINITIONS'), ('FIND_REFERENCES', 'SYMBOL_REFERENCES'), ('FIND_CALLERS', 'SYMBOL_REFERENCES'), ('FIND_DEPENDENCIES', 'IMPORT_RESOLUTION'), ('FIND_CONFIG', 'FRAMEWORK_SEMANTICS')) AS q(query_type, dimension))
+SELECT query_type, language, CASE level WHEN 'UNSUPPORTED' THEN 'DEGRADED' WHEN 'PARTIAL' THEN 'MERGED' WHEN 'LEXICAL_ONLY' THEN 'LEXICAL_FIRST' ELSE 'GRAPH_FIRST' END AS route FROM q JOIN c USING (dimension) UNION ALL SELECT 'SEARCH_TEXT', language, 'LEXICAL_FIRST' FROM l""")(lambda n, e: search.route_rows(_used_languages(n)))
 _graph("text_search", "t AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', label, fqn)), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM nodes), z AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t WHERE len(t) > 0), w AS (SELECT id, size, token, count(*) AS tf FROM (SELECT id, len(t) AS size, unnest(t) AS token FROM t) WHERE starts_with(token, 'nation_1') GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM w GROUP BY token), s AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) AS score FROM w JOIN f USING (token), z GROUP BY id) SELECT id, kind, label, file_path, layer, round(score, 6) AS score FROM s JOIN nodes USING (id) ORDER BY round(score, 9) DESC, id LIMIT 50")(lambda n, e: search.text_search(n, "Nation_1").withColumn("score", F.round("score", 6)))
+_stored = lambda name, like, run: (QUERIES.__setitem__(name, run), ORACLES.__setitem__(name, ORACLES[like]))
+for _name, _query in (("indexed_bm25", "the license"), ("indexed_bm25_prefix", "licen")):
+    _stored(_name, _name.removeprefix("indexed_").replace("bm25_prefix", "bm25_prefix") if "prefix" in _name else "bm25_search", lambda spark, sf_dir, q=_query: documents_index(spark, sf_dir, "documents", "doc_id", "text").search(q).select(F.col("key").cast("long").alias("key"), F.round("score", 6).alias("score")))
+_stored("indexed_text_search", "text_search", lambda spark, sf_dir: search.text_search(stored_graph(spark, sf_dir).nodes, "Nation_1", index=stored_graph(spark, sf_dir).index("label")).withColumn("score", F.round("score", 6)))
+_graph("reach_of_services", "walk AS (SELECT id AS start, id, 0 AS hops FROM nodes WHERE kind = 'service' UNION SELECT start, e.dst, hops + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE hops < 2) SELECT start, count(DISTINCT id) FILTER (id <> start AND id IN (SELECT id FROM nodes)) AS n FROM walk GROUP BY start", True, walks=True)(lambda n, e: traversal.reach_of_each(n, e, n.filter("kind = 'service'"), 2))
+_graph("node_components", "one AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND src IN (SELECT dst FROM edges) AND dst IN (SELECT src FROM edges)), core AS (SELECT src, dst FROM one WHERE src IN (SELECT dst FROM one) AND dst IN (SELECT src FROM one)), reach AS (SELECT src, dst FROM core UNION SELECT r.src, c.dst FROM reach r JOIN core c ON c.src = r.dst) SELECT a.src AS id, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src", True)(lambda n, e: traversal.components(e))
 _graph("references", f"hit AS (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM nodes WHERE kind = 'class')) SELECT {COMPACT} FROM nodes WHERE id IN (SELECT src FROM hit) AND kind <> 'class'")(lambda n, e: search.references(n, e, n.filter("kind = 'class'")))
 _graph("evidence_pack", "m AS (SELECT * FROM nodes WHERE contains(lower(label), 'customer#00000001') OR contains(lower(fqn), 'customer#00000001') ORDER BY id LIMIT 20), r AS (SELECT * FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM m)) AND id NOT IN (SELECT id FROM m)) SELECT 'match' AS part, id, kind, label, file_path FROM m UNION ALL SELECT 'reference', id, kind, label, file_path FROM r")(lambda n, e: search.evidence_pack(n, e, symbol="Customer#00000001"))
 _graph("evidence_files", "m AS (SELECT * FROM nodes WHERE contains(lower(label), 'customer#00000001') OR contains(lower(fqn), 'customer#00000001') ORDER BY id LIMIT 20), p AS (SELECT 'match' AS part, file_path FROM m UNION ALL SELECT 'reference', file_path FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind IN ('calls', 'depends_on') AND dst IN (SELECT id FROM m)) AND id NOT IN (SELECT id FROM m)) SELECT file_path, array_to_string(list_sort(list(DISTINCT part)), ',') AS parts FROM p WHERE file_path <> '' GROUP BY file_path")(lambda n, e: search.related_files(search.evidence_pack(n, e, symbol="Customer#00000001")))
@@ -238,5 +253,5 @@ for _name, _tool, _args, _like in (
     ("tool_trace_relationships", "trace_relationships", {"mode": "shortest_path", "from": "region:0", "to": "part:4"}, "shortest_path"), ("tool_analyze_impact", "analyze_impact", {"mode": "blast_radius", "node_id": "nation:3"}, "blast_radius_direct"), ("tool_topology_view", "topology_view", {"mode": "service", "service_name": "NATION_3"}, "service_detail"),
     ("tool_run_query", "run_query", {"query": "SELECT kind, count(*) AS n FROM {nodes} GROUP BY kind"}, "count_nodes_by_kind"),
 ):
-    _graph(_name, None)(lambda n, e, tool=_tool, args=_args: tools.call(tools.Graph(n, settled(e)), tool, args))
+    _graph(_name, None, walks=True)(lambda n, e, tool=_tool, args=_args: tools.call(tools.Graph(n, e.out, walks=e), tool, args))
     ORACLES[_name] = ORACLES[_like]

@@ -51,6 +51,7 @@ class Change:
         self.number, self.buckets, self.note = state["number"] + 1, state["buckets"], dict(state["note"])
         self.old = {t: {int(b): g for b, g in x.items()} for t, x in state["tables"].items()}
         self.new = {t: dict(x) for t, x in self.old.items()}
+        self.written: set[str] = set()
 
     def bucket(self, key: str | Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -76,16 +77,19 @@ class Change:
     def now(self, table: str, keys: DataFrame | None = None) -> DataFrame:
         return self._read(self.new, table, None) if keys is None else self._of(self.new, table, keys)
 
-    def beside(self, table: str, keys: DataFrame) -> DataFrame:
-        """All rows, before the change, of the buckets of ``keys``."""
-        return self._read(self.old, table, self.touched(keys))
+    def beside(self, table: str, buckets: list[int]) -> DataFrame:
+        """All rows, before the change, of some buckets."""
+        return self._read(self.old, table, buckets)
 
-    def put(self, table: str, keys: DataFrame | None, rows: DataFrame) -> None:
-        """``rows`` are from now on all that the buckets of ``keys`` hold; of all buckets where there are no keys."""
+    def put(self, table: str, buckets: list[int] | None, rows: DataFrame) -> None:
+        """``rows`` are from now on all that these buckets hold, or the whole table."""
         schema, key = self.tables.schemas[table]
-        buckets = list(range(self.buckets)) if keys is None else self.touched(keys)
+        buckets = list(range(self.buckets)) if buckets is None else buckets
         if not buckets:
             return
+        if table in self.written:
+            raise ValueError(f"{table} was written in this change already")
+        self.written.add(table)
         path, names = f"{self.tables.root}/{table}/g{self.number}", self.spark.createDataFrame([], schema).columns
         dealt = rows.select(*names).withColumn("bucket", self.bucket(key)).repartition("bucket").sortWithinPartitions("bucket", key)
         dealt.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(path)

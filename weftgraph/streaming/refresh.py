@@ -40,9 +40,10 @@ def _differ(old: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, D
 def _swap(change: Change, table: str, gone: DataFrame, come: DataFrame, by: list[str]) -> None:
     """Rewrite the buckets that ``gone`` (told apart by ``by``) and ``come`` fall into."""
     key = change.tables.schemas[table][1]
-    keys = gone.select(key).unionByName(come.select(key))
-    left = change.beside(table, keys).join(gone.select(by).distinct(), by, "left_anti")
-    change.put(table, keys, left.unionByName(come, allowMissingColumns=True))
+    buckets = change.touched(gone.select(key).unionByName(come.select(key)))
+    if buckets:
+        left = change.beside(table, buckets).join(gone.select(by).distinct(), by, "left_anti")
+        change.put(table, buckets, left.unionByName(come, allowMissingColumns=True))
 
 
 def _both(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
@@ -88,13 +89,19 @@ class Refresh:
         old = settled(c.then("builds", dirs))
         new = enrich.build_files(self.there)
         gone = old.join(self.paths.withColumnRenamed("path", "file"), "file", "left_semi")
-        had_any = not c.then("builds").isEmpty()
-        _swap(c, "builds", gone, new, ["dir", "file"])
-        has_any = not c.now("builds").isEmpty()
+        had_any = has_any = not c.then("builds").isEmpty()
+        quiet = gone.isEmpty() and new.isEmpty()
+        if not quiet:
+            _swap(c, "builds", gone, new, ["dir", "file"])
+            has_any = not c.now("builds").isEmpty()
         modules = lambda rows, any_: enrich.build_modules(rows, self.project) if any_ else enrich.no_build_file(self.spark, self.project)
         self.modules_of = lambda read, any_, dirs: modules(read("builds", dirs), any_)
         self.any = had_any, has_any
         none = enrich.no_build_file(self.spark, self.project)
+        if quiet and c.note.get("refreshed", False):
+            self.root_moved, self.modules_gone = False, none.limit(0)
+            self.modules_come = self.modules_gone
+            return self.paths.limit(0).select(F.col("path").alias("id"))
         before = modules(old, True).unionByName(none.filter(F.lit(not had_any and c.note.get("refreshed", False))))
         after = modules(c.now("builds", dirs), True).unionByName(none.filter(F.lit(not has_any)))
         self.modules_gone, self.modules_come = _differ(before, after, before.columns)
