@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
+from weftgraph.operators import lexer
 from weftgraph.operators.linkers import first_by, longest_prefix
 from weftgraph.sources.files import EXCLUDED
 
@@ -148,11 +149,24 @@ def detect_services(nodes: DataFrame, files: DataFrame, project: str = "root") -
     return stamped(placed, nodes.columns), service_nodes(modules.join(counts, "service_id", "left")), service_edges(placed)
 
 
-_KEYWORDS = set("if for while switch return catch new function super this else do try throw typeof await async class def elif print assert not in and or match func go defer range select case sizeof".split())
+#: Sorts of files, as detectors may mark them, that extractors leave out; from how many letters, and letters a line, a script is packed.
+NOT_SOURCE, PACKED, PACKED_LINE = ["test", "generated", "minified", "binary", "text", "filtered"], 50_000, 1000
+
+
+def source_files(files: DataFrame) -> DataFrame:
+    """``files`` without scripts that are packed into a few long lines."""
+    script = F.col("path").rlike(r"\.(?:[cm]?js|jsx|ts|css)$") & (F.length("content") >= PACKED)
+    lines = F.greatest(F.lit(1), F.regexp_count("content", F.lit("\n")))
+    return files.filter(~F.coalesce(script & (F.length("content") / lines > PACKED_LINE), F.lit(False)))
+
+
+def source_nodes(nodes: DataFrame) -> DataFrame:
+    """``nodes`` that aren't marked as parts of tests or of generated files."""
+    return nodes.filter(~F.coalesce(M.prop("file_type").isin(NOT_SOURCE), F.lit(False))) if "props" in nodes.columns else nodes
 
 
 def call_sites(language: str, text: str) -> list[tuple[str, int, str]]:
-    """(method, its line, name called) within a file: python by its syntax tree, other languages by their braces."""
+    """(method, its line, name called) within a file: python by its syntax tree, other languages by their tokens."""
     if language == "python":
         try:
             tree = ast.parse(text)
@@ -165,17 +179,7 @@ def call_sites(language: str, text: str) -> list[tuple[str, int, str]]:
                     if isinstance(c, ast.Call) and (name := getattr(c.func, "attr", None) or getattr(c.func, "id", None)):
                         out.append((f.name, f.lineno, name))
         return out
-    heads = {"go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\([^{]*\{", "java": r"^[ \t]*(?:public|protected|private|static|final|synchronized|\s)*[\w<>\[\], ?]+\s+(\w+)\s*\([^;{}]*\)\s*(?:throws[^{]*)?\{", "typescript": r"(?:function\s*\*?\s*(\w+)\s*\([^{]*\{|^[ \t]*(?:async\s+|public\s+|private\s+)*(\w+)\s*\([^;{}]*\)\s*(?::[^{]+)?\{)"}
-    out = []
-    for m in re.finditer(heads[language], text, re.M) if language in heads else ():
-        name, depth, at = next(x for x in m.groups() if x), 1, m.end()
-        if name in _KEYWORDS:
-            continue
-        while at < len(text) and depth:
-            depth += {"{": 1, "}": -1}.get(text[at], 0)
-            at += 1
-        out += [(name, text.count("\n", 0, m.start()) + 1, c) for c in re.findall(r"\b(\w+)\s*\(", text[m.end() : at]) if c not in _KEYWORDS]
-    return out
+    return lexer.calls(language, text) if language in lexer.TOKENS else []
 
 
 def extract_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -186,21 +190,36 @@ def extract_calls(files: DataFrame, nodes: DataFrame) -> DataFrame:
             rows = [(p, m, n) for p, x, t in zip(pdf["path"], pdf["language"], pdf["content"], strict=True) for m, _, n in call_sites(x, t or "")]
             yield pd.DataFrame(sorted(set(rows)), columns=["file_path", "label", "name"])
 
-    sites = files.select("path", "language", "content").mapInPandas(run, "file_path string, label string, name string")
-    return sites.join(nodes.filter("kind = 'method'").select("file_path", "label", F.col("id").alias("src")), ["file_path", "label"]).select("src", "name", F.col("file_path").alias("path"))
+    sites = source_files(files).select("path", "language", "content").mapInPandas(run, "file_path string, label string, name string")
+    return sites.join(source_nodes(nodes).filter("kind = 'method'").select("file_path", "label", F.col("id").alias("src")), ["file_path", "label"]).select("src", "name", F.col("file_path").alias("path"))
 
 
 def type_relations(language: str, text: str) -> list[tuple[str, str, str]]:
     """(type, extends_type or implements_types, names)."""
-    out = []
     if language == "python":
-        out = [(m[1], "extends_type", m[2].strip()) for m in re.finditer(r"^\s*class\s+(\w+)\(([^)]*)\)", text, re.M) if m[2].strip()]
-    elif language in ("java", "typescript"):
-        for m in re.finditer(r"\b(?:class|interface)\s+(\w+)(?:<[^{]*?>)?(?:\s+extends\s+([\w.<>, ]+?))?(?:\s+implements\s+([\w.<>, ]+?))?\s*\{", text):
-            out += [(m[1], how, x.strip()) for how, x in (("extends_type", m[2]), ("implements_types", m[3])) if x]
-    elif language == "go":
-        out = [(m[2], "implements_types", m[1]) for m in re.finditer(r"var\s+_\s+([\w.]+)\s*=\s*(?:\(\*|&)(\w+)", text)]
-    return out
+        return [(m[1], "extends_type", m[2].strip()) for m in re.finditer(r"^\s*class\s+(\w+)\(([^)]*)\)", text, re.M) if m[2].strip()]
+    return lexer.type_relations(language, text) if language in lexer.TOKENS else []
+
+
+def exports(language: str, text: str) -> list[tuple[str, str]]:
+    """(property, names) of what a file as a module exports: Python's list of names, TypeScript's declarations."""
+    if language == "python":
+        m = re.search(r"^__all__\s*=\s*[\[(]([^\])]*)[\])]", text, re.M)
+        names = [x for x in (p.strip().strip("\"'`") for p in re.sub(r"#[^\n]*", "", m[1]).split(",")) if x] if m else []
+        return [("all_exports", ", ".join(names))] if names else []
+    found = lexer.module_exports(text) if language == "typescript" else []
+    return [("module_exports", ", ".join(found))] if found else []
+
+
+def extract_exports(files: DataFrame) -> DataFrame:
+    """(file_path, relation, names) of the files that export something."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, *r) for p, x, t in zip(pdf["path"], pdf["language"], pdf["content"], strict=True) for r in exports(x, t or "")]
+            yield pd.DataFrame(rows, columns=["file_path", "relation", "names"])
+
+    return source_files(files).select("path", "language", "content").mapInPandas(run, "file_path string, relation string, names string")
 
 
 def extract_types(files: DataFrame) -> DataFrame:
@@ -211,13 +230,17 @@ def extract_types(files: DataFrame) -> DataFrame:
             rows = [(p, *r) for p, x, t in zip(pdf["path"], pdf["language"], pdf["content"], strict=True) for r in type_relations(x, t or "")]
             yield pd.DataFrame(sorted(set(rows)), columns=["file_path", "label", "relation", "names"])
 
-    return files.select("path", "language", "content").mapInPandas(run, "file_path string, label string, relation string, names string")
+    return source_files(files).select("path", "language", "content").mapInPandas(run, "file_path string, label string, relation string, names string")
 
 
 def with_types(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """``nodes`` whose types have the properties extends_type and implements_types; a property that is there already stays."""
-    found = extract_types(files).groupBy("file_path", "label").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("relation", "names")))).alias("types"))
-    kinds = F.col("kind").isin("class", "abstract_class", "interface", "entity")
-    met = nodes.join(found, ["file_path", "label"], "left")
-    missing = F.map_filter(F.col("types"), lambda k, _: ~F.map_contains_key(F.col("props"), k))
-    return met.withColumn("props", F.when(kinds & F.col("types").isNotNull(), F.map_concat("props", missing)).otherwise(F.col("props"))).select(*nodes.columns)
+    """``nodes`` whose types have the properties extends_type and implements_types, and whose modules have what their files export;
+    a property that is there already stays."""
+    types, own = extract_types(files), extract_exports(files)
+    found = types.select("file_path", F.concat(F.lit("type:"), "label").alias("_key"), "relation", "names").unionByName(own.select("file_path", F.lit("module").alias("_key"), "relation", "names"))
+    found = found.groupBy("file_path", "_key").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("relation", "names")))).alias("_types"))
+    key = F.when(F.col("kind") == "module", F.lit("module")).when(F.col("kind").isin("class", "abstract_class", "interface", "entity"), F.concat(F.lit("type:"), "label"))
+    key = F.when(~F.coalesce(M.prop("file_type").isin(NOT_SOURCE), F.lit(False)), key)
+    met = nodes.withColumn("_key", key).join(found, ["file_path", "_key"], "left")
+    missing = F.map_filter(F.col("_types"), lambda k, _: ~F.map_contains_key(F.col("props"), k))
+    return met.withColumn("props", F.when(F.col("_types").isNotNull(), F.map_concat("props", missing)).otherwise(F.col("props"))).select(*nodes.columns)
