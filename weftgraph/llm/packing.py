@@ -31,7 +31,7 @@ from weftgraph.llm import kernels as K
 from weftgraph.llm.storage import modest_batches
 from weftgraph.llm.tokens import tokenizer
 
-CAPACITY, END, HOLD, CHARS = 2048, 1, 1 << 22, 1 << 20
+CAPACITY, END, HOLD, CHARS = 2048, 1, 1 << 22, 1 << 18
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -26,12 +26,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @cache
 def classes() -> np.ndarray:
-    points = np.setdiff1d(np.arange(0x110000), np.arange(0xD800, 0xE000))
-    every = "".join(map(chr, points.tolist()))
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind, pattern in ((SPACE, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            out[points[m.start() : m.end()]] = kind
+    for low in range(0, 0x110000, 1 << 11):  # a part at a time: as a list all code points take a hundred MB
+        every = "" if low == 0xD800 else "".join(map(chr, range(low, low + (1 << 11))))  # that part holds no characters
+        for kind, pattern in ((SPACE, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, every):
+                out[low + m.start() : low + m.end()] = kind
     return out
 
 
