@@ -1,4 +1,4 @@
-"""Seven tools over a graph: each has modes that lead to an operator, checked arguments, and errors as envelopes."""
+"""Tools over a graph: each has modes that lead to an operator, checked arguments, and errors as envelopes."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import model as M
 from weftgraph.operators import flow, gate, neighbours, search, stats, topology, traversal
-from weftgraph.sources import review
+from weftgraph.sources import git_diff, review
 from weftgraph.sources.adjacency import Adjacency
 from weftgraph.sources.text_index import TextIndex
 
@@ -74,6 +74,19 @@ def _source(g: Graph, a: dict) -> DataFrame:
     return _rows(g, [(a["file_path"], review.read_repo_file(g.root, a["file_path"]))], "path string, text string")
 
 
+def _changed(g: Graph, a: dict) -> DataFrame:
+    if g.root is None:
+        raise ValueError("this graph has no folder of sources")
+    return git_diff.read_diff(g.nodes.sparkSession, g.root, a.get("base_ref") or "", a.get("head_ref") or "")
+
+
+def _review(g: Graph, a: dict) -> DataFrame:
+    focus = a.get("focus_files") or []
+    if not isinstance(focus, list):
+        raise ValueError("focus_files must be a list of paths")
+    return review.review_changes(g.nodes, g.edges, _changed(g, a), focus)
+
+
 def _path(g: Graph, a: dict) -> DataFrame:
     return _rows(g, list(enumerate(traversal.shortest_path(g.nodes, g.steps, a["from"], a["to"]))), "hop int, id string")
 
@@ -145,6 +158,7 @@ TOOLS: dict[str, tuple[str | None, dict[str, Mode]]] = {
         "flow": Mode(_flow),
     }),
     "run_query": ("query", {"query": Mode(lambda g, a: gate.run_query(g.nodes.sparkSession, a["query"], g.nodes, g.edges, a.get("limit") or 500), ("query",)), "capped": Mode(_capped, ("query",)), "table": Mode(_table, ("query",))}),
+    "review_changes": ("prompt", {"prompt": Mode(_review), "files": Mode(_changed)}),
     "read_file": ("file", {"file": Mode(_source, ("file_path",))}),
     "generate_flow": ("flow", {"flow": Mode(_flow)}),
 }

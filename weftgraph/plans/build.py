@@ -48,7 +48,7 @@ def build(spark: SparkSession, root: str, cache: S.Cache, store: GraphStore, pro
     """Index the tree at ``root`` and store its graph; False where the stored graph is that of the same files."""
     files = S.read_files(spark, root, use_git)
     index(spark, files, cache)
-    manifest = S.manifest_hash(files).first()["manifest"]
+    manifest = S.manifest_tree(files).first()["manifest"]
     if store.fresh(manifest):
         return False
     nodes, edges = assemble(cache.read("raw_nodes"), cache.read("raw_edges"), files, project)

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model as M
+from weftgraph.detectors import udtf
 from weftgraph.operators import enrich, flow, layers, linkers, merge, search, stats, tools, topology, traversal
 from weftgraph.operators import neighbours as N
 from weftgraph.plans import specimens
 from weftgraph.plans.stored import documents_index, stored_graph
 from weftgraph.plans.tables import with_graph
 from weftgraph.sources import files as S
+from weftgraph.sources import review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,6 +219,8 @@ _MAN = "SELECT 'f' || user_id AS path, sha256(max(event_type)) AS content_hash F
 _table("manifest_diff", f"WITH a AS ({_MAN.format(0, 6)}), b AS ({_MAN.format(4, 10)}) SELECT path, CASE WHEN a.content_hash IS NULL THEN 'added' WHEN b.content_hash IS NULL THEN 'deleted' WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'modified' END AS status FROM a FULL JOIN b USING (path)")(lambda spark, t: S.diff(_files(t, 0, 6), _files(t, 4, 10)))
 _table("content_hash", "SELECT page_id, sha256(html) AS content_hash FROM pages")(lambda spark, t: t("pages").select("page_id", S.content_hash(F.col("html").cast("binary")).alias("content_hash")))
 _table("manifest_hash", f"SELECT sha256(string_agg(path || chr(0) || content_hash || chr(0), '' ORDER BY path)) AS manifest FROM ({_MAN.format(0, 10)})")(lambda spark, t: S.manifest_hash(_files(t, 0, 10)))
+_table("manifest_tree", f"SELECT CASE WHEN (SELECT count(*) FROM m) <= {S.BRANCH_FILES} THEN (SELECT sha256(string_agg(path || chr(0) || content_hash || chr(0), '' ORDER BY path)) FROM m) END AS manifest FROM (SELECT 1)".replace("FROM m", f"FROM ({_MAN.format(0, 10)})"))(lambda spark, t: S.manifest_tree(_files(t, 0, 10)))
+_table("manifest_diff_tree", f"WITH a AS ({_MAN.format(0, 1)}), b AS ({_MAN.format(1, 2)}) SELECT * FROM (SELECT path, CASE WHEN a.content_hash IS NULL THEN 'added' WHEN b.content_hash IS NULL THEN 'deleted' WHEN a.content_hash = b.content_hash THEN 'unchanged' ELSE 'modified' END AS status FROM a FULL JOIN b USING (path)) WHERE status <> 'unchanged'")(lambda spark, t: S.diff_branches(_files(t, 0, 1), _files(t, 1, 2), 64))
 _cached = lambda t: t("pages").select(F.concat(F.lit("f"), "page_id").alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("content_hash"), F.lit("html").alias("language"), F.size(F.split("html", "<a ")).alias("links"), F.size(F.split("html", "<p")).alias("paras"))
 _each = lambda d, n: d.select("path", "content_hash", F.explode(F.sequence(F.lit(0), F.col(n))).alias("seq")).filter("seq > 1")
 _table("cache_list", "SELECT 'f' || page_id AS path, sha256(html) AS content_hash, 'html' AS language, greatest(len(string_split(html, '<a ')) - 1, 0)::BIGINT AS n_nodes, greatest(len(string_split(html, '<p')) - 1, 0)::BIGINT AS n_edges FROM pages")(lambda spark, t: S.cache_list(_cached(t), _each(_cached(t), "links"), _each(_cached(t), "paras")))
@@ -243,6 +247,10 @@ def _comments(t) -> DataFrame:
     return enrich.with_comments(nodes, files).select("file_path", F.col("line_start").alias("line"), F.col("props")["lex_comment"].alias("comment"))
 
 
+_page_files = lambda t: t("pages").select(F.concat(F.lit("docs/p"), "page_id", F.lit(".md")).alias("path"), F.lit("markdown").alias("language"), F.concat(F.lit("# Page "), "page_id", F.lit("\nSee [it]("), "url", F.lit(")\n## Size "), F.length("html"), F.lit("\n")).alias("content"), F.lit("h").alias("content_hash"))
+_table("detect_lateral", "SELECT 'docs/p' || page_id || '.md' AS path, kind, label, line FROM (SELECT page_id, 'config_key' AS kind, 'Page ' || page_id AS label, 1::BIGINT AS line FROM pages UNION ALL SELECT page_id, 'config_key', 'Size ' || length(html), 3 FROM pages)")(lambda spark, t: udtf.detect_lateral(_page_files(t), "markdown_structure").filter("item = 'node' AND kind = 'config_key'").select("path", "kind", "label", F.col("line_start").alias("line")))
+_table("extract_exports", specimens.source_sql([("src/ZQZ.ts", "module_exports", "class ZQZ extends Base implements Store {\n}")], ["file_path", "relation", "names"]))(lambda spark, t: enrich.extract_exports(specimens.sources(t("nation"))))
+_graph("review_evidence", "f AS (SELECT DISTINCT file_path AS path FROM nodes WHERE kind = 'entity'), own AS (SELECT * FROM (SELECT path, id, '- ' || kind || ' ' || label || ' (' || id || ')' AS line, row_number() OVER (PARTITION BY path ORDER BY id) AS place FROM nodes JOIN f ON file_path = path) WHERE place <= 25), hit AS (SELECT DISTINCT path, src AS id FROM edges JOIN own ON dst = own.id), up AS (SELECT * FROM (SELECT path, id, '< ' || kind || ' ' || label || ' (' || id || ')' AS line, row_number() OVER (PARTITION BY path ORDER BY id) AS place FROM nodes JOIN hit USING (id)) WHERE place <= 15) SELECT path, string_agg(line, chr(10) ORDER BY part, place) AS text FROM (SELECT 0 AS part, * FROM own UNION ALL SELECT 1, * FROM up) GROUP BY path")(lambda n, e: review.evidence_of_files(n, e, n.filter("kind = 'entity'").select(F.col("file_path").alias("path"))))
 _table("extract_calls", specimens.source_sql(specimens.CALLS, ["file_path", "label", "name"]))(lambda spark, t: _calls(t))
 _table("extract_types", specimens.source_sql(specimens.TYPES, ["file_path", "label", "relation", "names"]))(lambda spark, t: enrich.extract_types(specimens.sources(t("nation"))))
 _table("doc_comments", specimens.source_sql(specimens.COMMENTS, ["file_path", "line", "comment"]))(lambda spark, t: _comments(t))

@@ -61,6 +61,46 @@ def manifest_hash(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(F.array_join(parts, ""), 256).alias("manifest"))
 
 
+#: Files that one branch of a manifest holds, about.
+BRANCH_FILES = 4096
+
+
+def manifest_branches(files: DataFrame, branches: int) -> DataFrame:
+    """(branch, hash, n): SHA-256 over path, NUL, hash, NUL of each branch's files in order of paths, a path's branch being told by
+    its own hash. With as many branches as there are some thousand files no row holds many of them."""
+    dealt = files.select(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(branches)).cast("int").alias("branch"), "path", "content_hash")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "content_hash"))), lambda x: F.concat(x["path"], F.lit("\0"), x["content_hash"], F.lit("\0")))
+    return dealt.groupBy("branch").agg(F.sha2(F.array_join(parts, ""), 256).alias("hash"), F.count(F.lit(1)).alias("n"))
+
+
+def branches_for(n: int) -> int:
+    """A power of two that leaves some ``BRANCH_FILES`` files to a branch."""
+    return 1 << max(0, (n - 1) // BRANCH_FILES).bit_length()
+
+
+def manifest_tree(files: DataFrame) -> DataFrame:
+    """One row, as ``manifest_hash`` gives it for up to ``BRANCH_FILES`` files; of more, the hash of their branches' hashes."""
+    n = files.count()
+    if n <= BRANCH_FILES:
+        return manifest_hash(files)
+    tree = manifest_branches(files, branches_for(n))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("branch", "hash"))), lambda x: F.concat(x["branch"].cast("string"), F.lit("\0"), x["hash"], F.lit("\0")))
+    return tree.agg(F.sha2(F.array_join(parts, ""), 256).alias("manifest"))
+
+
+def changed_branches(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(branch) of two manifests' branches whose hashes differ."""
+    a, b = before.select("branch", F.col("hash").alias("old")), now.select("branch", F.col("hash").alias("new"))
+    return a.join(b, "branch", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new"))).select("branch")
+
+
+def diff_branches(before: DataFrame, now: DataFrame, branches: int) -> DataFrame:
+    """As ``diff``, of the files that aren't unchanged; files are joined in branches whose hashes differ alone."""
+    moved = changed_branches(manifest_branches(before, branches), manifest_branches(now, branches))
+    inside = lambda d: d.withColumn("branch", F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(branches)).cast("int")).join(F.broadcast(moved), "branch", "left_semi").select("path", "content_hash")
+    return diff(inside(before), inside(now)).filter("status <> 'unchanged'")
+
+
 def diff(before: DataFrame, now: DataFrame) -> DataFrame:
     """(path, status) of two manifests (path, content_hash): added, modified, deleted or unchanged."""
     a, b = before.select("path", F.col("content_hash").alias("old")), now.select("path", F.col("content_hash").alias("new"))

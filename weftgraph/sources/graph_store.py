@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph import model as M
+from weftgraph.operators import search
 from weftgraph.sources.bucketed import Change, Tables
+from weftgraph.sources.text_index import TextIndex
 
+#: What text indexes cover.
+FIELDS = ("label", "lexical")
 _S, _MORE = T.StringType(), ("label_lower", "fqn_lower", "language", "framework")
 _REPORT = [T.StructField("path", _S), T.StructField("content_hash", _S), T.StructField("seq", T.LongType())]
 
@@ -81,6 +85,15 @@ class GraphStore:
     def edges(self) -> DataFrame:
         return self.begin().then("edges")
 
+    def index(self, fields: str) -> TextIndex:
+        """The stored index over nodes' labels ("label") or their prose ("lexical"); a refresh keeps up those that were built."""
+        return TextIndex(self.spark, f"{self.root}/text-{fields}", self.tables.buckets)
+
+    def build_indexes(self) -> None:
+        for fields in FIELDS:
+            if not self.index(fields).exists():
+                self.index(fields).update(search.node_text(self.nodes(), fields).withColumnRenamed("id", "key"))
+
     def reset(self) -> None:
         """An empty graph, which can be refreshed."""
         change = self.begin()

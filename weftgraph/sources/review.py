@@ -6,7 +6,7 @@ import os
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_FILES, MAX_BYTES = 30, 256 * 1024
@@ -61,6 +61,23 @@ def focused(files: DataFrame, focus: list[str]) -> DataFrame:
     return files.filter(F.col("path").isin(focus)) if focus else files
 
 
+def evidence_of_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame, most_nodes: int = 25, most_upstream: int = 15) -> DataFrame:
+    """(path, text) for each of ``paths`` (path): its first nodes, and the first that point to them, as lines of text; of all at once."""
+    line = lambda mark: F.concat(F.lit(mark), F.col("kind"), F.lit(" "), F.col("label"), F.lit(" ("), F.col("id"), F.lit(")"))
+    first = lambda d, n: d.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("id"))).filter(F.col("place") <= n)
+    own = first(nodes.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path").withColumnRenamed("file_path", "path"), most_nodes)
+    hit = edges.select("src", "dst").join(own.select("path", F.col("id").alias("dst")), "dst").select("path", F.col("src").alias("id")).distinct()
+    up = first(nodes.select("id", "kind", "label").join(hit, "id"), most_upstream)
+    rows = own.select("path", F.lit(0).alias("part"), "place", line("- ").alias("line")).unionByName(up.select("path", F.lit(1).alias("part"), "place", line("< ").alias("line")))
+    return rows.groupBy("path").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "line"))), lambda r: r["line"])).alias("text"))  # some lines a file
+
+
+def review_changes(nodes: DataFrame, edges: DataFrame, diff: DataFrame, focus: list[str] | None = None, most: int = MAX_FILES) -> DataFrame:
+    """One row of text for a reviewer: the changed files of ``diff`` (path, status, added, removed, hunks) with what the graph knows."""
+    files = focused(diff, focus or []).orderBy("path").limit(most)
+    return review_prompt(files, evidence_of_files(nodes, edges, files.select("path")), None, most)
+
+
 def review_prompt(files: DataFrame, evidence: DataFrame, focus: list[str] | None = None, most: int = MAX_FILES) -> DataFrame:
     """One row of text: up to ``most`` files in order, each with its evidence (path, text) and hunks."""
     picked = focused(files, focus or []).orderBy("path").limit(most).join(evidence.select("path", F.col("text").alias("evidence")), "path", "left")

@@ -17,11 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from weftgraph import model as M
 from weftgraph.detectors import engine
 from weftgraph.operators import claims as C
-from weftgraph.operators import enrich, layers, linkers, merge
+from weftgraph.operators import enrich, layers, linkers, merge, search
 from weftgraph.operators.neighbours import drop_dangling
 from weftgraph.operators.settle import settled
 from weftgraph.sources.bucketed import Change
-from weftgraph.sources.graph_store import GraphStore, commit, stored_columns
+from weftgraph.sources.graph_store import FIELDS, GraphStore, commit, stored_columns
 
 ARRIVAL = ["path", "content_hash", "seq"]
 KEY = C.KEY
@@ -60,7 +60,7 @@ class Refresh:
     """One change of one store. Methods go from reports to nodes, from these to facts, claims and edges."""
 
     def __init__(self, store: GraphStore, changes: DataFrame, project: str):
-        self.spark, self.project, self.change = store.spark, project, store.begin()
+        self.store, self.spark, self.project, self.change = store, store.spark, project, store.begin()
         if self.change.note.get("whole"):
             raise ValueError("this graph was stored whole: reset it and refresh it with all its files")
         self.changed = settled(newest(changes).select("path", "language", "content", "content_hash"))
@@ -196,7 +196,13 @@ class Refresh:
         counted = modules.join(held, "service_id", "left").join(moves, "service_id", "left").withColumn("n_endpoints", F.coalesce("e0", zero) + F.coalesce("e", zero)).withColumn("n_entities", F.coalesce("t0", zero) + F.coalesce("t", zero))
         services = settled(enrich.service_nodes(counted))
         gone = _both(self.stored, old_services, "id").unionByName(gone_ids)
-        _swap(c, "nodes", gone, stored_columns(enrich.stamped(now, names).unionByName(services)), ["id"])
+        rows = stored_columns(enrich.stamped(now, names).unionByName(services))
+        _swap(c, "nodes", gone, rows, ["id"])
+        for fields in FIELDS:  # indexes that were built
+            index = self.store.index(fields)
+            if index.exists():
+                come = search.node_text(rows, fields).withColumnRenamed("id", "key")
+                index.update(settled(come.unionByName(gone.join(rows.select("id"), "id", "left_anti").select(F.col("id").alias("key"), F.lit(None).cast("string").alias("text")))))
         old_claims = [self.claims_old, C.derived(self.facts_old), C.claimed(enrich.service_edges(was), C.SERVICES)]
         new_claims = [self.claims_new, C.derived(self.facts_new), C.claimed(enrich.service_edges(now), C.SERVICES)]
         # Claims of one rank, group and key are the same but for detectors', which are merged anew.
