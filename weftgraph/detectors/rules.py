@@ -52,7 +52,7 @@ _CLASSY = r"(?:(?:public|private|protected|internal|static|sealed|partial|final|
 CODE = (
     Detector("csharp_efcore", ("csharp",), (Rule("repository", r"class\s+(?P<name>\w+)\s*:\s*[^{]*DbContext\b", "{name}", "{path}:{name}", {"framework": "efcore"}), Rule("entity", r"DbSet<(?P<name>\w+)>", "{name}", "efcore:entity:{name}", {"framework": "efcore"}, (("queries", _OWNER, "efcore:entity:{name}"),)), Rule("migration", r"class\s+(?P<name>\w+)\s*:\s*Migration\b", "{name}", "{path}:{name}", {"framework": "efcore"}), Rule("entity", r"CreateTable\(\s*(?:name:\s*)?\"(?P<name>\w+)\"", "{name}", "efcore:table:{name}", {"framework": "efcore"}))),
     Detector("csharp_minimal_apis", ("csharp",), (Rule("endpoint", r"\.Map(?P<verb>Get|Post|Put|Delete|Patch)\(\s*\"(?P<name>[^\"]+)\"", "{verb} {name}", "{path}:{verb}:{name}", {"http_method": "{verb}", "path": "{name}", "framework": "dotnet_minimal_api"}, (("exposes", "{file}", "{path}:{verb}:{name}"),), upper=("verb",)), Rule("guard", r"(?P<name>(?:Add|Use)(?:Authentication|Authorization))\b", "{name}", "{path}:{name}", {"guard_type": "{name}"}), Rule("module", r"(?P<name>WebApplication\.CreateBuilder)", "{path}", "{file}", {"framework": "dotnet_minimal_api"})), needs=(".Map", "WebApplication", "Authentication")),
-    Detector("csharp_structures", ("csharp",), (Rule("module", r"^\s*namespace\s+(?P<name>[\w.]+)", "{name}", "csharp:namespace:{name}"), _types(rf"^\s*{_CLASSY}class\s+(?P<name>\w+)", "class"), _types(r"^\s*(?:public\s+|internal\s+)?abstract\s+(?:partial\s+)?class\s+(?P<name>\w+)", "abstract_class"), _types(rf"^\s*{_CLASSY}interface\s+(?P<name>\w+)", "interface"), _types(rf"^\s*{_CLASSY}enum\s+(?P<name>\w+)", "enum"), _imports(r"^\s*using\s+(?:static\s+)?(?P<name>[\w.]+)\s*;", "csharp:external"), Rule(None, r"class\s+(?P<a>\w+)\s*(?:<[^>]*>)?\s*:\s*(?P<b>[A-HJ-Z]\w*)", "{b}", edges=(("extends", "{path}:{a}", "{b}"),)), Rule(None, r"class\s+(?P<a>\w+)\s*(?:<[^>]*>)?\s*:[^{\n]*?\b(?P<b>I[A-Z]\w*)", "{b}", edges=(("implements", "{path}:{a}", "{b}"),)), Rule("endpoint", r"\[Http(?P<verb>Get|Post|Put|Delete|Patch)(?:\(\s*\"(?P<name>[^\"]*)\")?", "{verb} {name}", "{path}:{verb}:{line}", {"http_method": "{verb}", "path": "{name}"}, upper=("verb",)))),
+    Detector("csharp_structures", ("csharp",), (Rule("module", r"^\s*namespace\s+(?P<name>[\w.]+)", "{name}", "csharp:namespace:{name}"), _types(r"^\s*(?:public\s+|internal\s+)?abstract\s+(?:partial\s+)?class\s+(?P<name>\w+)", "abstract_class"), _types(rf"^\s*{_CLASSY}class\s+(?P<name>\w+)", "class"), _types(rf"^\s*{_CLASSY}interface\s+(?P<name>\w+)", "interface"), _types(rf"^\s*{_CLASSY}enum\s+(?P<name>\w+)", "enum"), _imports(r"^\s*using\s+(?:static\s+)?(?P<name>[\w.]+)\s*;", "csharp:external"), Rule(None, r"class\s+(?P<a>\w+)\s*(?:<[^>]*>)?\s*:\s*(?P<b>[A-HJ-Z]\w*)", "{b}", edges=(("extends", "{path}:{a}", "{b}"),)), Rule(None, r"class\s+(?P<a>\w+)\s*(?:<[^>]*>)?\s*:[^{\n]*?\b(?P<b>I[A-Z]\w*)", "{b}", edges=(("implements", "{path}:{a}", "{b}"),)), Rule("endpoint", r"\[Http(?P<verb>Get|Post|Put|Delete|Patch)(?:\(\s*\"(?P<name>[^\"]*)\")?", "{verb} {name}", "{path}:{verb}:{line}", {"http_method": "{verb}", "path": "{name}"}, upper=("verb",)))),
     Detector("generic_imports", ("java", "python"), (Rule("module", r"^\s*import\s+(?:static\s+)?(?P<name>[\w.]+)", "{name}", "{language}:external:{name}", {"module": "{name}", "external": "true", "language": "{language}"}, (("imports", "{file}", "{language}:external:{name}"),)), Rule("module", r"^\s*from\s+(?P<name>[\w.]+)\s+import", "{name}", "{language}:external:{name}", {"module": "{name}", "external": "true", "language": "{language}"}, (("imports", "{file}", "{language}:external:{name}"),)))),
     Detector("go_structures", ("go",), (Rule("module", r"^package\s+(?P<name>\w+)", "{name}", "go:package:{name}", {"package": "{name}"}), _types(r"^type\s+(?P<name>\w+)\s+struct\b", "class"), _types(r"^type\s+(?P<name>\w+)\s+interface\b", "interface"), Rule("method", r"^func\s+(?:\(\s*\w*\s*\*?(?P<on>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*\(", "{name}", "{path}:{on}:{name}", {"receiver_type": "{on}"}, (("defines", "{file}", "{path}:{on}:{name}"),)), _imports(r"^(?:import\s+|\s+)(?:\w+\s+)?\"(?P<name>[\w./-]+)\"\s*$", "go:external"))),
     Detector("go_web", ("go",), (Rule("endpoint", r"\.(?P<verb>GET|POST|PUT|DELETE|PATCH|Get|Post|Put|Delete|Patch)\(\s*\"(?P<name>/[^\"]*)\"", "{verb} {name}", "{path}:{verb}:{name}", {"http_method": "{verb}", "path": "{name}"}, upper=("verb",)), Rule("endpoint", r"\.?HandleFunc\(\s*\"(?P<name>[^\"]+)\"", "{name}", "{path}:ANY:{name}", {"http_method": "ANY", "path": "{name}", "framework": "net_http"}), Rule("middleware", r"\.Use\(\s*(?P<name>[\w.]+)", "{name}", "{path}:use:{name}", {"middleware": "{name}"}))),
@@ -100,7 +100,7 @@ _MQ = (
 )
 JVM = (
     *_MQ,
-    Detector("azure_functions", ("java", "csharp", *JS), (Rule("azure_function", r"[@\[]Function(?:Name)?\(\s*(?:name\s*=\s*)?\"(?P<name>[^\"]+)\"", "{name}", "azure:function:{name}", {"function_name": "{name}"}), Rule("endpoint", r"@?HttpTrigger\b(?P<name>[^)\n]*)", "HTTP trigger", "{path}:http:{line}", {"http_trigger": "true"}, (("exposes", "{file}", "{path}:http:{line}"),)), Rule("queue", r"ServiceBus(?:Queue)?Trigger\(?(?:[^)]*?queueName\s*=\s*|\s*)\"(?P<name>[^\"]+)\"", "{name}", "azure:queue:{name}", {"queue": "{name}", "broker": "azure_servicebus"}, (("triggers", "azure:queue:{name}", "{file}"),)), Rule("topic", r"EventHubTrigger\(?[^)]*?eventHubName\s*=\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:eventhub:{name}", {"event_hub": "{name}"}, (("triggers", "azure:eventhub:{name}", "{file}"),)), Rule("azure_resource", r"(?P<name>CosmosDBTrigger)\b", "{name}", "{path}:cosmos", {"cosmos_type": "trigger"})), needs=("Trigger", "FunctionName")),
+    Detector("azure_functions", ("java", "csharp", *JS), (Rule("azure_function", r"[@\[]Function(?:Name)?\(\s*(?:name\s*=\s*)?\"(?P<name>[^\"]+)\"", "{name}", "azure:function:{name}", {"function_name": "{name}"}), Rule("endpoint", r"@?HttpTrigger\b(?P<name>[^)\n]*)", "HTTP trigger", "{path}:http:{line}", {"http_trigger": "true"}, (("exposes", "{file}", "{path}:http:{line}"),)), Rule("queue", r"ServiceBus(?:Queue)?Trigger\(?(?:[^)]*?queueName\s*=\s*|\s*)\"(?P<name>[^\"]+)\"", "{name}", "azure:queue:{name}", {"queue": "{name}", "broker": "azure_servicebus"}, (("triggers", "azure:queue:{name}", "{file}"),)), Rule("topic", r"EventHubTrigger\(?[^)]*?eventHubName\s*=\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:eventhub:{name}", {"event_hub": "{name}"}, (("triggers", "azure:eventhub:{name}", "{file}"),)), Rule("topic", r"ServiceBusTopicTrigger\(?[^)]*?topicName\s*=\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:topic:{name}", {"topic": "{name}", "broker": "azure_servicebus"}, (("triggers", "azure:topic:{name}", "{file}"),)), Rule("azure_resource", r"(?P<name>CosmosDB(?P<how>Trigger|Input|Output))\b", "{name}", "{path}:cosmos", {"cosmos_type": "{how}"})), needs=("Trigger", "FunctionName")),
     Detector("azure_messaging", ("java",), (Rule("queue", r"queueName\(\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:servicebus:{name}", {}, (("connects_to", _OWNER, "azure:servicebus:{name}"),)), Rule("topic", r"(?:topicName|eventHubName)\(\s*\"(?P<name>[^\"]+)\"", "{name}", "azure:eventhub:{name}", {}, (("connects_to", _OWNER, "azure:eventhub:{name}"),)), Rule(None, r"(?P<name>ServiceBusSenderClient|EventHubProducerClient)", "{name}", edges=(("sends_to", _OWNER, "azure:{name}"),)), Rule(None, r"(?P<name>ServiceBusReceiverClient|ServiceBusProcessorClient|EventHubConsumerClient|EventProcessorClient)", "{name}", edges=(("receives_from", _OWNER, "azure:{name}"),))), needs=("ServiceBus", "EventHub", "EventProcessor")),
     Detector("config_def", ("java",), (Rule("config_definition", r"@Value\(\s*\"\$\{(?P<name>[^}:\"]+)", "{name}", "config:{name}", {"config_key": "{name}", "config_source": "spring_value"}, (("reads_config", _OWNER, "config:{name}"),)), Rule("config_definition", r"@ConfigurationProperties\(\s*(?:prefix\s*=\s*)?\"(?P<name>[^\"]+)", "{name}", "config:{name}", {"config_key": "{name}", "config_source": "spring_config_props"}, (("reads_config", _OWNER, "config:{name}"),)), Rule("config_definition", r"\.define\(\s*\"(?P<name>[^\"]+)", "{name}", "config:{name}", {"config_key": "{name}", "config_source": "kafka_configdef"}, (("reads_config", _OWNER, "config:{name}"),)))),
     Detector("cosmos_db", ("java", *JS), (Rule("azure_resource", r"(?:getDatabase|database|databases\.get)\(\s*[\"'](?P<name>[^\"']+)", "{name}", "cosmos:database:{name}", {"cosmos_type": "database", "resource_name": "{name}"}, (("connects_to", _OWNER, "cosmos:database:{name}"),)), Rule("azure_resource", r"(?:getContainer|container)\(\s*[\"'](?P<name>[^\"']+)", "{name}", "cosmos:container:{name}", {"cosmos_type": "container", "resource_name": "{name}"}, (("connects_to", _OWNER, "cosmos:container:{name}"),))), needs=("Cosmos", "cosmos")),

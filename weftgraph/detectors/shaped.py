@@ -182,11 +182,11 @@ def _rbac(file: File, out: Found) -> None:
         rules = [_as_dict(r) for r in _as_list(doc.get("rules"))]
         listed = lambda k, rules=rules: ",".join(sorted({str(x) for r in rules for x in _as_list(r.get(k))}))
         me = out.node(f"rbac:{_kube_id(doc)}", "guard", str(_as_dict(doc.get("metadata")).get("name")), file, auth_type="k8s_rbac", k8s_kind=doc["kind"], verbs=listed("verbs"), resources=listed("resources"), apiGroups=listed("apiGroups"))
-        for s in map(_as_dict, _as_list(doc.get("subjects"))):
-            role = _as_dict(doc.get("roleRef"))
-            space = "default" if role.get("kind") == "ClusterRole" else _as_dict(doc.get("metadata")).get("namespace", "default")
-            out.edge("protects", f"rbac:k8s:{role.get('kind')}:{space}:{role.get('name')}", f"rbac:k8s:{s.get('kind')}:{s.get('namespace', 'default')}:{s.get('name')}", binding_kind=doc["kind"])
-            out.edge("protects", me, f"rbac:k8s:{s.get('kind')}:{s.get('namespace', 'default')}:{s.get('name')}", binding_kind=doc["kind"])
+        role, space = _as_dict(doc.get("roleRef")), _as_dict(doc.get("metadata")).get("namespace", "default")
+        giver = f"rbac:k8s:{role.get('kind')}:{'default' if role.get('kind') == 'ClusterRole' else space}:{role.get('name')}"
+        for s in map(_as_dict, _as_list(doc.get("subjects"))):  # a binding without a role, and users and groups, protect no account
+            if role and s.get("kind") == "ServiceAccount":
+                out.edge("protects", giver, f"rbac:k8s:ServiceAccount:{s.get('namespace', space)}:{s.get('name')}", binding_kind=doc["kind"])
 
 
 def _openapi(file: File, out: Found) -> None:

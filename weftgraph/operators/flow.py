@@ -173,6 +173,9 @@ def _auth(nodes: DataFrame, edges: DataFrame) -> Diagram:
     c = auth_coverage(nodes, edges).first().asDict()
     d = Diagram("Authentication", "auth", stats=c)
     d.groups = [Group("guards", "Guards", [Node(f"guard_{r['auth_type']}", f"{r['auth_type']} x{r['n']}", "guard", props={"count": r["n"]}) for r in auth_groups(nodes).collect()])]
+    ways = nodes.filter("kind = 'middleware'").count()
+    if ways:
+        d.groups[0].nodes.append(Node("guard_middleware", f"Middleware x{ways}", "middleware", props={"count": ways}))
     bare = c["endpoints"] - c["protected"]
     d.nodes = [Node("protected", f"Protected x{c['protected']}", "endpoint", "success"), Node("unprotected", f"Unprotected x{bare}", "endpoint", "danger" if bare else "default")]
     d.edges = [Edge(n.id, "protected", "protects", "thick") for n in d.groups[0].nodes]

@@ -96,7 +96,7 @@ SPECIMENS = [
     Specimen('auth', 'typescript.passport_jwt', 'src/ZQZ.ts', 'typescript', "passport.use(new ZQZStrategy());\napp.get('/', passport.authenticate('ZQZ'));\njwt.verify(token, key);", [('guard', 'ZQZStrategy'), ('middleware', 'ZQZ'), ('middleware', 'jwt.verify')], []),
     Specimen('csharp', 'csharp_efcore', 'src/ZQZ.cs', 'csharp', 'public class ZQZContext : DbContext {\n  public DbSet<ZQZ> All { get; set; }\n}\npublic class AddZQZ : Migration {\n  void Up() { b.CreateTable(name: "ZQZ_rows"); }\n}', [('repository', 'ZQZContext'), ('entity', 'ZQZ'), ('migration', 'AddZQZ'), ('entity', 'ZQZ_rows')], [('queries', 'efcore:entity:ZQZ')]),
     Specimen('csharp', 'csharp_minimal_apis', 'src/ZQZ.cs', 'csharp', 'var b = WebApplication.CreateBuilder(args);\napp.UseAuthorization();\napp.MapGet("/ZQZ", () => 1);\napp.MapPost("/ZQZ", () => 1);', [('endpoint', 'GET /ZQZ'), ('endpoint', 'POST /ZQZ'), ('guard', 'UseAuthorization'), ('module', 'src/ZQZ.cs')], [('exposes', 'src/ZQZ.cs:GET:/ZQZ'), ('exposes', 'src/ZQZ.cs:POST:/ZQZ')]),
-    Specimen('csharp', 'csharp_structures', 'src/ZQZ.cs', 'csharp', 'using System.Text;\nnamespace App.ZQZ;\npublic class ZQZ : Base { }\npublic interface IZQZ { }\npublic class ZQZImpl : IZQZ { }\npublic enum ZQZKind { A }\npublic abstract class ZQZBase { }\n[HttpGet("ZQZ")]', [('module', 'App.ZQZ'), ('class', 'ZQZ'), ('class', 'ZQZImpl'), ('class', 'ZQZBase'), ('interface', 'IZQZ'), ('enum', 'ZQZKind'), ('external', 'System.Text'), ('module', 'src/ZQZ.cs'), ('endpoint', 'GET ZQZ')], [('imports', 'csharp:external:System.Text'), ('extends', 'Base'), ('implements', 'IZQZ')]),
+    Specimen('csharp', 'csharp_structures', 'src/ZQZ.cs', 'csharp', 'using System.Text;\nnamespace App.ZQZ;\npublic class ZQZ : Base { }\npublic interface IZQZ { }\npublic class ZQZImpl : IZQZ { }\npublic enum ZQZKind { A }\npublic abstract class ZQZBase { }\n[HttpGet("ZQZ")]', [('module', 'App.ZQZ'), ('abstract_class', 'ZQZBase'), ('class', 'ZQZ'), ('class', 'ZQZImpl'), ('interface', 'IZQZ'), ('enum', 'ZQZKind'), ('external', 'System.Text'), ('module', 'src/ZQZ.cs'), ('endpoint', 'GET ZQZ')], [('imports', 'csharp:external:System.Text'), ('extends', 'Base'), ('implements', 'IZQZ')]),
     Specimen('frontend', 'frontend.angular_components', 'src/ZQZ.ts', 'typescript', "@Component({ selector: 'ZQZ' })\nexport class ZQZComponent {}\n@Injectable()\nexport class ZQZService {}", [('component', 'ZQZComponent'), ('middleware', 'ZQZService')], []),
     Specimen('frontend', 'frontend.frontend_routes', 'src/ZQZ.tsx', 'typescript', 'const a = <Route path="/ZQZ" element={<ZQZ/>} />;\nconst b = [{ path: \'/list-ZQZ\', component: ZQZList }];', [('endpoint', '/ZQZ'), ('endpoint', '/list-ZQZ')], [('renders', 'ZQZList')]),
     Specimen('frontend', 'frontend.react_components', 'src/ZQZ.tsx', 'typescript', "import React from 'react';\nexport function ZQZ() { return <ZQZItem/>; }\nclass ZQZOld extends React.Component {}\nexport const useZQZ = () => 1;", [('component', 'ZQZ'), ('component', 'ZQZOld'), ('hook', 'useZQZ')], [('renders', 'ZQZItem')]),

@@ -127,6 +127,15 @@ class Cache:
             return []
         return sorted(int(p.getPath().getName()[1:]) for p in fs.listStatus(folder) if p.getPath().getName()[1:].isdigit() and fs.exists(hadoop.Path(p.getPath(), "raw_edges/_SUCCESS")))
 
+    def version(self) -> int:
+        """How many changes the cache has seen; 0 before the first."""
+        return (self._versions() or [0])[-1]
+
+    def stats(self) -> dict[str, int]:
+        """Numbers of files, nodes and edges, and the version."""
+        rows = [self.read(t) for t in self.TABLES]
+        return dict(zip(("files", "nodes", "edges"), (0 if r is None else r.count() for r in rows), strict=True)) | {"version": self.version()}
+
     def read(self, table: str) -> DataFrame | None:
         versions = self._versions()
         return self.spark.read.parquet(self._path(table, versions[-1])) if versions else None
