@@ -14,6 +14,8 @@ from weftgraph.plans.tables import TABLES, graph_from_tables
 from weftgraph.sources.adjacency import Adjacency
 from weftgraph.sources.text_index import TextIndex
 
+#: Bytes of tables for each bucket of edges, and the fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 1 << 25, 8
 _KNOWN: dict[tuple, StoredGraph | TextIndex] = {}
 
 
@@ -36,7 +38,8 @@ class StoredGraph:
         names = [f.name for f in M.NODES]
         nodes.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").write.option("compression", "zstd").partitionBy("kind").parquet(f"{self.root}/nodes")
         self.nodes: DataFrame = spark.read.schema(nodes.schema).parquet(f"{self.root}/nodes").select(*names)
-        self.walks = Adjacency.write(edges, f"{self.root}/edges")
+        size = sum(x[1] for x in _print(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES]))
+        self.walks = Adjacency.write(edges, f"{self.root}/edges", max(LEAST_BUCKETS, size // BUCKET_BYTES))
         self.edges = self.walks.out
 
     def index(self, fields: str) -> TextIndex:
