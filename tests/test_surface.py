@@ -53,6 +53,15 @@ def test_every_query_has_rows(spark, name):
     assert not QUERIES[name](spark, SMALLEST).isEmpty()
 
 
+MIDDLE = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(MIDDLE), reason="the tables aren't there")
+@pytest.mark.parametrize("name", ["dead_code", "dead_code_entities", "dead_services", "manifest_diff_tree", "node_components", "reach_of_services", "review_evidence"])
+def test_rows_at_the_scale_of_the_comparison(spark, name):
+    assert not QUERIES[name](spark, MIDDLE).isEmpty()
+
+
 def test_every_oracle_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
