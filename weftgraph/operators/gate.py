@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.operators.settle import settled
+from weftgraph.operators.neighbours import limited
 
 # Words that write, and procedures that only read.
 WRITES = [r"\bCREATE\b", r"\bDELETE\b", r"\bDETACH\b", r"\bSET\b", r"\bREMOVE\b", r"\bMERGE\b", r"\bDROP\b", r"\bFOREACH\b", r"\bLOAD\s+CSV\b", r"\bCOPY\b"]
@@ -124,7 +124,6 @@ class Result:
 
 
 def query_result(spark: SparkSession, sql: str, nodes: DataFrame, edges: DataFrame, limit: int = 500) -> Result:
-    """``run_query`` with whether rows were left out. The query runs once: one row more than the limit is kept."""
-    limit = max(1, limit)
-    kept = settled(checked(spark, sql, nodes, edges).limit(limit + 1))
-    return Result(kept.limit(limit), kept.count() > limit, limit)
+    """``run_query`` with whether rows were left out."""
+    rows, more = limited(checked(spark, sql, nodes, edges), limit)
+    return Result(rows, more, max(1, limit))

@@ -29,9 +29,10 @@ def query_edges(edges: DataFrame, kind: str | None = None, limit: int = 50) -> D
 
 
 def limited(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """The first ``most`` rows (1 at least) and whether there were more."""
+    """The first ``most`` rows (1 at least) and whether there were more. The input runs once: one row more is kept."""
     most = max(1, most)
-    return rows.limit(most), rows.limit(most + 1).count() > most
+    kept = settled(rows.limit(most + 1))
+    return kept.limit(most), kept.count() > most
 
 
 def incoming(nodes: DataFrame, edges: DataFrame, node_id: str, kinds: list[str] | None = None) -> DataFrame:
