@@ -122,6 +122,33 @@ def test_near_in_a_template_crowd(spark, monkeypatch, rows):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("rows, percent", [(2048, 85), (7, 80)])
+def test_rare_pairs_lose_none(spark, monkeypatch, rows, percent):
+    """Sets of all sizes around a few templates: every pair at the limit is met; those that only share a template aren't."""
+    monkeypatch.setattr(near_dedup, "ROWS", rows)
+    r = np.random.default_rng(8)
+    number = lambda n: r.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    sets = []
+    for template in [number(80), number(200), number(7), number(1)]:
+        for _ in range(60):
+            stay = template[r.random(len(template)) > r.choice([0, 0.03, 0.1])]
+            sets.append(np.unique(np.concatenate([stay, number(int(r.integers(0, 2 + len(template) // 4)))])))
+    apart = number(100)
+    sets += [np.unique(np.concatenate([apart, number(30)])) for _ in range(120)]
+    sets = [x for x in sets if len(x)]
+    full = spark.createDataFrame([(i, bytearray(x.tobytes()), i // 2) for i, x in enumerate(sets)], "id long, items binary, root long")
+    got = {(p["a"], p["b"]) for p in near_dedup.rare_pairs(full.repartition(3), percent).collect()}
+    want = set()
+    for b, y in enumerate(sets):
+        for a, x in enumerate(sets[:b]):
+            both = len(np.intersect1d(x, y))
+            if a // 2 != b // 2 and 100 * both >= percent * (len(x) + len(y) - both):
+                want.add((a, b))
+    assert len(want) > 100
+    assert want <= got
+    assert not [p for p in got if p[0] >= len(sets) - 120]
+
+
 def test_components(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK", 40)
     r = random.Random(3)

@@ -6,10 +6,13 @@ no prefix, however common, gathers in one task. In each order every set meets th
 longest common prefixes, whatever its depth is there; rows at the border of two tasks meet by a join on the border. A
 small sketch drops chance neighbours; pairs that are left are confirmed on the full sets: first chains and best
 partners, then, after components are taken, every pair that still lies between two components. Last come crowds:
-regions of an order whose rows share its first ``PREFIX`` slots and are too many to have all met. There the depth is
-cut to ``PREFIX``: where a region still holds several components, its sets are dealt over blocks and every pair
-between two components is compared in full. So each pair that shares the first ``PREFIX`` slots of any order is
-tested, however many others share them; the work of a crowd that stays apart grows with its square.
+regions of an order whose rows share its first ``PREFIX`` slots, are too many to have all met and still hold several
+components. Their sets are joined exactly, once, whatever number of orders they are crowded in: each set's shingles are
+put in order of how rare they are among the crowded sets, and two sets can only be linked if they share one of the
+rarest ``100 - percent`` percent, of which the smaller set shows about half. What a crowd has in common comes last in that order,
+so sets that share a template and stay apart don't meet; of those that do, sizes and the places of the shared
+shingle rule out most. So each pair that shares the first ``PREFIX`` slots of any order is found, however many others
+share them. Rows of a shingle that many show are dealt over blocks of ``ROWS``.
 
 Defined results: a text without words, or null, has the empty set and is linked with nothing; with fewer words
 than ``k``, the whole sequence is one shingle; rows that repeat an id are one document; rows without
@@ -32,8 +35,8 @@ from weftgraph.llm.graph import components
 from weftgraph.llm.storage import free_name, join_groups, materialize
 
 SLOTS, TREES, DEPTH, PREFIX, REACH, SKETCH = 96, 24, 8, 6, 8, 64
-#: Rows and shingles of a crowd's block, about, and columns of the matrix that counts what sets of a block share.
-ROWS, SHINGLES, WIDE = 512, 1 << 20, 4096
+#: Rows of one shingle that a block of a crowd's join holds, about, and the logarithm of the most counts of shingles (8 MB).
+ROWS, CELLS = 2048, 20
 _U = np.uint64
 _R = np.random.default_rng(424243)
 _XOR, _MUL = (_R.integers(0, 1 << 63, SLOTS, dtype=np.int64).astype(_U) * _U(2) + _U(1) for _ in range(2))
@@ -237,7 +240,11 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` whose documents' full sets are similar enough."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    full = full_sets(ends, docs, k)
+    return similar(pairs, full_sets(ends, docs, k), percent)
+
+
+def similar(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` whose sets in ``full`` (id, items) are similar enough."""
     one, two = full.select(F.col("id").alias("a"), F.col("items").alias("x")), full.select(F.col("id").alias("b"), F.col("items").alias("y"))
     met = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
     return met.mapInArrow(K.tidy(_confirm(percent)), "a long, b long").distinct()
@@ -254,58 +261,100 @@ def _regions(batches):
             yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), b.column(0), b.column(1), b.column(2)], ["region", "id", "n", "root"])
 
 
-def shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many items each two of ``sets`` share."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(count > 1) - 1
-    stay = count[item] > 1
-    owner, item = owner[stay], column[item[stay]]
-    order = np.argsort(item, kind="stable")
-    owner, item = owner[order], item[order]
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    for low in range(0, int(item[-1]) + 1 if len(item) else 0, WIDE):
-        a, b = np.searchsorted(item, [low, low + WIDE])
-        there = np.zeros((len(sets), WIDE), np.float32)
-        there[owner[a:b], item[a:b] - low] = 1
-        out += (there @ there.T).astype(np.int64)
-    return out
+def _flat(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a column without nulls, one after another, and where each begins and ends."""
+    ends = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1]
+    return np.frombuffer(items.buffers()[2], _U, (int(ends[-1]) - int(ends[0])) // 8, int(ends[0])), (ends - ends[0]) // 8
 
 
-def _block(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        """One link for each two components that a block's sets join."""
-        ids, root, part = (table[x].to_numpy() for x in ("id", "root", "part"))
-        sets = [np.frombuffer(x, _U) for x in table["items"].to_pylist()]
-        n, both = np.fromiter(map(len, sets), np.int64, len(sets)), shared(sets)
-        ok = (100 * both >= percent * (n[:, None] + n - both)) & (root[:, None] < root)
-        if table["one"][0].as_py() != table["two"][0].as_py():
-            ok &= part[:, None] != part
-        i, j = np.nonzero(ok)
-        _, first = np.unique(np.stack([root[i], root[j]], axis=1), axis=0, return_index=True)
-        i, j = i[first], j[first]
-        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j]), pa.int64()), "b": pa.array(np.maximum(ids[i], ids[j]), pa.int64())})
+def _cells(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x * _U(0x9E3779B97F4A7C15) >> _U(64 - bits)).astype(np.int64)
+
+
+def _counted(bits: int):
+    def run(batches):
+        """A task's counts of shingles, by cell."""
+        seen = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            if b.num_rows:
+                x = _flat(b.column(0))[0]
+                for at in range(0, len(x), 1 << 20):
+                    seen += np.bincount(_cells(x[at : at + (1 << 20)], bits), minlength=1 << bits)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["cell", "n"])
 
     return run
 
 
+def _rarest(percent: int, bits: int, counts):
+    def run(batches):
+        """The rarest shingles of each set, one of which it must share with any set that it is linked with."""
+        seen = counts.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ends = _flat(b.column(1))
+            often = seen[_cells(x, bits)]
+            sizes = np.diff(ends)
+            shown = sizes - -(-percent * sizes // 100) + 1
+            took = [lo + np.lexsort((x[lo:hi], often[lo:hi]))[:m] for lo, hi, m in zip(ends[:-1].tolist(), ends[1:].tolist(), shown.tolist(), strict=True)]
+            row = np.repeat(np.arange(len(sizes)), shown)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(shown) - shown, shown) + 1
+            ids, root = b.column(0).to_numpy(), b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x[np.concatenate(took)].view(np.int64)), pa.array(ids[row]), pa.array(sizes[row].astype(np.int64)), pa.array(place), pa.array(root[row])], ["item", "id", "n", "place", "root"])
+
+    return run
+
+
+def rare_pairs(full: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``full`` (id, items, root) from two components that may be similar enough, none that is left out: a < b, the components' ``low`` < ``high``,
+    and ``most``, a bound on the similarity in millionths."""
+    weight = full.agg(F.sum(F.length("items") / 8)).first()[0] or 0
+    bits = min(CELLS, max(10, int(weight).bit_length()))
+    table = full.select("items").mapInArrow(K.tidy(_counted(bits)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2**bits rows at most
+    counts = np.zeros(1 << bits, np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    sent = full.sparkSession.sparkContext.broadcast(counts)
+    shown = materialize(full.select("id", "items", "root").mapInArrow(K.tidy(_rarest(percent, bits, sent)), "item long, id long, n long, place long, root long"), "rarest")
+    # The smaller set of a pair shows fewer: at least so much of it is in the larger one.
+    early = F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
+    groups = shown.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(early).alias("early"))
+    groups = materialize(groups.filter("early AND low < high").select("item", "m", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks")), "shown")
+    n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    plane = members(groups.select(F.col("item").alias("h")), n)
+    met = materialize(join_groups(shown.filter(plane.test("item")), groups, "item", "m", total), "met")
+    own, others = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = met.filter(early).withColumn("at", own).withColumn("to", others).select("item", "at", "to", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "place", "root")))
+    two = met.withColumn("to", own).withColumn("at", others).select("item", "at", "to", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "root")))
+    most = 1 + F.least(F.expr("n1 - place1"), F.expr("n2 - place2"))
+    fits = F.expr(f"root1 <> root2 AND (n1 < n2 OR n1 = n2 AND id1 < id2) AND 100 * n1 >= {percent} * n2") & ((100 + percent) * most >= percent * F.expr("n1 + n2"))
+    pairs = one.join(two, ["item", "at", "to"]).filter(fits).select(
+        F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.least("root1", "root2").alias("low"), F.greatest("root1", "root2").alias("high"), (1000000 * most / F.expr("n1 + n2")).cast("long").alias("most")
+    )
+    return pairs.groupBy("a", "b", "low", "high").agg(F.max("most").alias("most"))
+
+
 def crowd_links(sets: DataFrame, roots: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Links between components within regions of more rows than have all met; None where there is no such region."""
     named = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), "sig")
     rows = named.mapInArrow(K.tidy(_regions), "region long, id long, n long, root long")
-    counted = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    blocks = F.greatest(F.ceil(F.col("m") / ROWS), F.ceil(F.col("size") / SHINGLES)).cast("int")
-    crowds = materialize(counted.filter(f"m > {REACH + 1} AND low < high").select("region", "m", blocks.alias("blocks")), "crowds")
-    n, total = crowds.agg(F.count(F.lit(1)), F.sum("m")).first()
+    counted = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crowds = materialize(counted.filter(f"m > {REACH + 1} AND low < high").select("region"), "crowds")
+    n = crowds.count()
     if not n:
         return None
-    plane = members(crowds.select(F.col("region").alias("h")), n)
-    met = materialize(join_groups(rows.filter(plane.test("region")), crowds, "region", "m", total).select("region", "id", "root", "blocks"), "crowded")
-    part = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = met.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("region", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "root")
-    full = full_sets(met.select("id").distinct(), docs, k)
-    return materialize(dealt.join(full, "id").groupBy("region", "one", "two").applyInArrow(_block(percent), "a long, b long").distinct(), "linked")
+    # Rows that the filter lets through by chance are compared too.
+    met = materialize(rows.filter(members(crowds.select(F.col("region").alias("h")), n).test("region")).select("id", "root").distinct(), "crowded")
+    full = full_sets(met.select("id"), docs, k)
+    pairs = materialize(rare_pairs(full.join(met, "id"), percent), "pairs")
+    # One pair for each two components first; then what still lies between two.
+    best = materialize(pairs.groupBy("low", "high").agg(F.max(F.struct("most", "a", "b")).alias("best")).select("best.a", "best.b", "low", "high"), "early")
+    links = materialize(similar(best, full, percent), "linked")
+    now = components(best.join(links, ["a", "b"]).select("low", "high"))
+    rest = pairs.select("a", "b", "low", "high").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    for side in ("low", "high"):
+        rest = rest.join(now.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
+    return links.unionByName(materialize(similar(rest.filter("low <> high").select("a", "b"), full, percent), "linked"))
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
