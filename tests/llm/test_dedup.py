@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import exact_dedup, graph, near_dedup, substring_dedup, suffix_dedup
 from weftgraph.llm.repeats import Unit
@@ -149,6 +150,25 @@ def test_rare_pairs_lose_none(spark, monkeypatch, rows, percent):
     assert not [p for p in got if p[0] >= len(sets) - 120]
 
 
+def test_near_asks_only_crowded_sets(spark, monkeypatch):
+    """What the filter of crowded regions lets through by chance costs time: only sets of crowds may be asked, however much passes."""
+
+    class Everything:
+        def test(self, column):
+            return F.lit(True)
+
+    r = random.Random(4)
+    words = lambda n, stem: [f"{stem}{r.randrange(10**9)}" for _ in range(n)]
+    template = words(300, "t")
+    texts = [(i, " ".join([*template, *words(100, "own")])) for i in range(40)] + [(i, " ".join(words(50, "w"))) for i in range(40, 140)]
+    asked, plain = [], near_dedup.rare_pairs
+    monkeypatch.setattr(near_dedup, "members", lambda hashed, n: Everything())
+    monkeypatch.setattr(near_dedup, "rare_pairs", lambda full, percent: asked.extend(x.id for x in full.select("id").collect()) or plain(full, percent))
+    got = near_dedup.link(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {(x.doc_id, x.component_id) for x in got.collect()} == {(i, i) for i, _ in texts}
+    assert asked and len(asked) == len(set(asked)) and set(asked) <= set(range(40))
+
+
 def test_components(spark, monkeypatch):
     monkeypatch.setattr(graph, "TASK", 40)
     r = random.Random(3)

@@ -339,12 +339,13 @@ def crowd_links(sets: DataFrame, roots: DataFrame, docs: DataFrame, k: int, perc
     named = sets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), "sig")
     rows = named.mapInArrow(K.tidy(_regions), "region long, id long, n long, root long")
     counted = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-    crowds = materialize(counted.filter(f"m > {REACH + 1} AND low < high").select("region"), "crowds")
-    n = crowds.count()
+    crowds = materialize(counted.filter(f"m > {REACH + 1} AND low < high").select("region", "m"), "crowds")
+    n, total = crowds.agg(F.count(F.lit(1)), F.sum("m")).first()
     if not n:
         return None
-    # Rows that the filter lets through by chance are compared too.
-    met = materialize(rows.filter(members(crowds.select(F.col("region").alias("h")), n).test("region")).select("id", "root").distinct(), "crowded")
+    # A set is asked once for each order, so chance alone would let many of them through the filter: the join says which are crowded.
+    asked = rows.filter(members(crowds.select(F.col("region").alias("h")), n).test("region")).select("region", "id", "root")
+    met = materialize(join_groups(asked, crowds, "region", "m", total).select("id", "root").distinct(), "crowded")
     full = full_sets(met.select("id"), docs, k)
     pairs = materialize(rare_pairs(full.join(met, "id"), percent), "pairs")
     # One pair for each two components first; then what still lies between two.
