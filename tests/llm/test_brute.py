@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from weftgraph.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, substring_dedup, suffix_dedup, tokens
+from weftgraph.llm import decontaminate, exact_dedup, language, licenses, near_dedup, packing, quality, repeats, substring_dedup, suffix_dedup, tokens
 from weftgraph.llm import kernels as K
 
 SOLID = re.compile(r"[^\x20\x09-\x0D]+")
@@ -219,6 +220,31 @@ def test_long_texts_in_scans(spark, long_docs, long_texts):
     assert quality.report(long_docs, labels).count() == 6
 
 
+@pytest.mark.parametrize("unit", [repeats.WORDS20, repeats.BYTES50])
+def test_requested_windows_come_a_block_at_a_time(unit):
+    """Each requested window with the hash that it has alone, those beyond a text's end left out; short and empty texts between."""
+    r = random.Random(11)
+    texts = [" ".join(r.choices(["a", "bc", "déf"], k=r.choice([0, 3, 19, 20, 21, 90]))) for _ in range(40)]
+    asked = [[(at, r.randint(1, 4)) for at in sorted(r.sample(range(120), 3))] if i % 3 else [] for i, _ in enumerate(texts)]
+    lists = [pa.array([[x[k] for x in a] for a in asked], t) for k, t in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.int32())))]
+    fresh = pa.array([[x[0] % 2 == 0 for x in a] for a in asked], pa.list_(pa.bool_()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 140)), pa.array(texts), *lists, fresh], ["doc", "text", "start", "c", "fresh"])
+    out = list(repeats._windows(unit)([batch]))
+    assert len(out) == 1
+    want = []
+    for i, (text, a) in enumerate(zip(texts, asked, strict=True)):
+        h = unit.symbols(next(K.blocks([text.encode()])))[0][: None if unit.words else len(text.encode())]
+        alone = repeats.window_hashes(unit, h).view(np.int64).tolist()
+        want += [(alone[j], 100 + i, j, at % 2 == 0) for at, c in a for j in range(at, at + c) if j < len(alone)]
+    assert want and [(x["w"], x["doc"], x["start"], x["fresh"]) for x in out[0].to_pylist()] == want
+
+
+def test_words_without_hashes_stand_where_those_with_them_do():
+    block = next(K.blocks(["one  two\tthree".encode(), b"", b" x "]))
+    with_, without = K.words(block, K.SOLID, K.CODES), K.words(block, K.SOLID)
+    assert all(np.array_equal(getattr(with_, x), getattr(without, x)) for x in ("begin", "end", "doc", "bounds"))
+
+
 def test_runs_are_joined_and_compacted(spark):
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]

@@ -12,6 +12,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one call of a kernel works on; a longer document is a block of its own.
 BLOCK = 1 << 18
+#: Bytes whose words are hashed at a time.
+PART = 1 << 14
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -156,18 +158,18 @@ def piece_hashes(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def words(block: Block, solid: np.ndarray, codes: np.ndarray) -> Words:
-    """Words are runs of ``solid`` bytes; equal words under ``codes`` get equal hashes."""
+def words(block: Block, solid: np.ndarray, codes: np.ndarray | None = None) -> Words:
+    """Words are runs of ``solid`` bytes; equal words under ``codes`` get equal hashes, without codes none are made."""
     mask = solid[block.data]
     edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
     if len(mask) and mask[0]:
         edge = np.concatenate([[0], edge])
     begin, end = edge[0::2], edge[1::2]
     bounds = np.searchsorted(begin, np.append(block.begin, len(block.data) + 1))
-    hashes, n = np.empty(len(begin), U64), len(begin)
+    hashes, n = np.empty(len(begin), U64), 0 if codes is None else len(begin)
     at = 0
-    while at < n:  # a part at a time: codes take eight bytes for each byte
-        to = max(at + 1, int(np.searchsorted(end, begin[at] + 2 * BLOCK)))
+    while at < n:  # a part at a time: codes take eight bytes for each byte, and are fastest in the processor's cache
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + PART)))
         low, high = int(begin[at]), int(end[to - 1])
         first = np.cumsum(end[at:to] - begin[at:to]) - (end[at:to] - begin[at:to])
         hashes[at:to] = piece_hashes(codes[block.data[low:high][mask[low:high]]], first)

@@ -56,12 +56,13 @@ def _prefix(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of ``h`` under powers of a base, and the inverse powers that move a difference to the origin."""
     up, down = K.powers(len(h) + 1)
     sums = np.zeros(len(h) + 1, _U)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
+    np.multiply(h, up[: len(h)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return sums, down
 
 
 def window_hashes(unit: Unit, h: np.ndarray) -> np.ndarray:
-    """Hashes of all windows of one document."""
+    """Hashes of all windows of ``h``; those over the border of two documents are of no use."""
     if len(h) < unit.width:
         return np.empty(0, _U)
     sums, down = _prefix(h)
@@ -69,35 +70,57 @@ def window_hashes(unit: Unit, h: np.ndarray) -> np.ndarray:
     return K.mix((sums[unit.width :] - sums[:n]) * down[:n])
 
 
+#: Windows whose least grams are looked for at a time: what that takes stays in the processor's cache.
+_CHUNK = 1 << 13
+#: 44 bits of hash above 20 of position: the least entry is the lowest hash, and the first of equal ones.
+_PLACE = _U((1 << 20) - 1)
+
+
+def _least_grams(unit: Unit, sums: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """For each window, the entry of its gram of lowest hash."""
+    reach, n = unit.width - unit.gram + 1, len(sums) - unit.width
+    out = np.empty(n, _U)
+    one, two = np.empty(_CHUNK + reach, _U), np.empty(_CHUNK + reach, _U)
+    for at in range(0, n, _CHUNK):
+        windows = min(_CHUNK, n - at)
+        m = windows + reach - 1
+        low, other = one[:m], two[:m]
+        np.subtract(sums[at + unit.gram : at + unit.gram + m], sums[at : at + m], out=low)
+        low *= down[at : at + m]
+        np.right_shift(low, _U(29), out=other)
+        low ^= other
+        low *= _A
+        low &= ~_PLACE
+        low |= np.arange(at, at + m, dtype=_U)
+        have = 1
+        while have < reach:
+            step = min(have, reach - have)
+            low, other = np.minimum(low[:-step], low[step:], out=other[: len(low) - step]), low
+            have += step
+        out[at : at + windows] = low
+    return out
+
+
 def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor, stretch, document, first window, windows, symbols from there to the anchor, check) arrays; a part of a long
     document at a time. The check of words is a hash apart from the stretch's, of bytes it is 0."""
     h, first, end = unit.symbols(block)
-    owner = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(np.append(first, len(h)))) if len(block) else np.empty(0, np.int32)
-    reach, place = unit.width - unit.gram + 1, _U((1 << 20) - 1)
+    following = np.append(first[1:], len(h))
     for at in range(0, max(0, len(h) - unit.width + 1), K.BLOCK):
         sums, down = _prefix(h[at : at + K.BLOCK + unit.width - 1])
-        m = len(sums) - unit.gram
-        gram = sums[unit.gram :] - sums[:m]
-        gram *= down[:m]
-        # 44 bits of hash above 20 of position: the least entry is the lowest hash, and the first of equal ones.
-        low = (gram ^ gram >> _U(29)) * _A
-        low &= ~place
-        low |= np.arange(m, dtype=_U)
-        have = 1
-        while have < reach:
-            step = min(have, reach - have)
-            low = np.minimum(low[:-step], low[step:])
-            have += step
+        low = _least_grams(unit, sums, down)
         n = len(low)
-        doc = owner[at : at + n]
-        inside = np.arange(at + unit.width, at + unit.width + n) <= end[doc]
+        inside = np.ones(n, bool)
+        i, j = np.searchsorted(following, at, "right"), np.searchsorted(first, at + n)
+        for x, y in zip(np.maximum(first[i:j], end[i:j] - unit.width + 1).tolist(), following[i:j].tolist(), strict=True):
+            inside[max(0, x - at) : max(0, y - at)] = False
         fresh = np.ones(n, bool)
-        fresh[1:] = (low[1:] != low[:-1]) | ~inside[:-1]
+        np.not_equal(low[1:], low[:-1], out=fresh[1:])
+        fresh[1:] |= ~inside[:-1]
         begin = np.flatnonzero(fresh & inside)
         if len(begin):
             stop = np.flatnonzero(np.append((fresh | ~inside)[1:], True) & inside)
-            pick = (low[begin] & place).astype(np.int64)
+            pick = (low[begin] & _PLACE).astype(np.int64)
             one, two = ((sums[x + unit.width] - sums[x]) * down[x] for x in (begin, stop))
             count = stop - begin + 1
             s = K.mix(K.mix(one) * _A + K.mix(two) * _B + count.astype(_U) * _C + (pick - begin).astype(_U))
@@ -105,7 +128,8 @@ def stretches(unit: Unit, block: K.Block) -> Iterator[tuple[np.ndarray, ...]]:
             if unit.words:
                 more, down = _prefix(K.mix(h[at : at + K.BLOCK + unit.width - 1] ^ _C))
                 check = K.mix((more[stop + unit.width] - more[begin]) * down[begin])
-            yield K.mix(gram[pick]), s, doc[begin], begin + at - first[doc[begin]], count, pick - begin, check
+            doc = (np.searchsorted(first, begin + at, "right") - 1).astype(np.int32)
+            yield K.mix((sums[pick + unit.gram] - sums[pick]) * down[pick]), s, doc, begin + at - first[doc], count, pick - begin, check
 
 
 #: Places are one number, document times this and the start in it: a hash aggregate can hold the least of them.
@@ -230,25 +254,30 @@ def flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets) - column.offsets[0].as_py()
 
 
-def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
-    """(w, place, doc, start, fresh) for every window of the requested stretches (doc, start, c, fresh)."""
+def _windows(unit: Unit):
+    """The windows of requested stretches, a batch for each block: one for each document would cost more than what is in it."""
 
     def run(batches):
         for b in batches:
             ids, start, c, fresh = b.column(0).to_numpy(), *(flat(b, x) for x in ("start", "c", "fresh"))
             for block in K.blocks(K.encoded(b.column(1))):
                 h, first, end = unit.symbols(block)
-                for i in range(len(block)):
-                    lo, hi = start[1][block.first + i], start[1][block.first + i + 1]
-                    w = window_hashes(unit, h[first[i] : end[i]])
-                    n = c[0][lo:hi].astype(np.int64)
-                    at = np.repeat(start[0][lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    ok = at < len(w)
-                    at, f = at[ok].astype(np.int64), np.repeat(fresh[0][lo:hi].astype(bool), n)[ok]
-                    doc = np.full(len(at), ids[block.first + i])
-                    yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), _places(doc, at), pa.array(doc), pa.array(at), pa.array(f)], ["w", "place", "doc", "start", "fresh"])
+                w = window_hashes(unit, h)
+                edge = start[1][block.first : block.first + len(block) + 1]
+                n = c[0][edge[0] : edge[-1]].astype(np.int64)
+                at = np.repeat(start[0][edge[0] : edge[-1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                doc = np.repeat(np.repeat(np.arange(len(block)), np.diff(edge)), n)
+                ok = at <= (end - first)[doc] - unit.width
+                at, doc, f = at[ok].astype(np.int64), doc[ok], np.repeat(fresh[0][edge[0] : edge[-1]].astype(bool), n)[ok]
+                whose = ids[block.first + doc]
+                yield pa.RecordBatch.from_arrays([pa.array(w[first[doc] + at].view(np.int64)), _places(whose, at), pa.array(whose), pa.array(at), pa.array(f)], ["w", "place", "doc", "start", "fresh"])
 
-    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(run), "w long, place decimal(38,0), doc long, start long, fresh boolean")
+    return run
+
+
+def windows_of(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
+    """(w, place, doc, start, fresh) for every window of the requested stretches (doc, start, c, fresh)."""
+    return with_requests(docs, requests, "start c fresh").mapInArrow(K.tidy(_windows(unit)), "w long, place decimal(38,0), doc long, start long, fresh boolean")
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFrame:
@@ -259,14 +288,21 @@ def repeated_windows(docs: DataFrame, unit: Unit, requests: DataFrame) -> DataFr
     return found.select("doc", "start", F.lit(1).alias("c"))
 
 
-def _cut(unit: Unit, block: K.Block, i: int, mask: np.ndarray, w: K.Words | None) -> str:
-    """SHA-256 of what stays of document i."""
-    if unit.words:
-        lo = w.bounds[i]
-        stay = np.flatnonzero(~mask)
-        raw = block.data.tobytes()
-        return hashlib.sha256(b" ".join(raw[s:e] for s, e in zip(w.begin[lo + stay].tolist(), w.end[lo + stay].tolist(), strict=True))).hexdigest()
-    return hashlib.sha256(block.data[block.begin[i] : block.end[i]][~mask].tobytes()).hexdigest()
+def _kept(unit: Unit, block: K.Block, gone: np.ndarray, w: K.Words | None) -> tuple[np.ndarray, np.ndarray]:
+    """The block's bytes, and which of them are what stays, words with one space between them; ``gone``: its symbols that go."""
+    if not unit.words:
+        keep = np.zeros(len(block.data), bool)
+        for b, e, at in zip(block.begin.tolist(), block.end.tolist(), (block.begin - np.arange(len(block))).tolist(), strict=True):
+            np.logical_not(gone[at : at + e - b], out=keep[b:e])
+        return block.data, keep
+    data, keep = block.data.copy(), K.SOLID[block.data]
+    if gone.any():
+        keep[keep] = np.repeat(~gone, w.end - w.begin)
+    stay = np.flatnonzero(~gone)
+    last = np.append(w.doc[stay][1:] != w.doc[stay][:-1], True)[: len(stay)]
+    data[w.end[stay]] = 0x20
+    keep[w.end[stay[~last]]] = True
+    return data, keep
 
 
 def report(docs: DataFrame, unit: Unit, removed: DataFrame) -> DataFrame:
@@ -278,14 +314,17 @@ def report(docs: DataFrame, unit: Unit, removed: DataFrame) -> DataFrame:
             (start, at), (c, _) = (flat(b, "start"), flat(b, "c")) if asked else ((np.empty(0, np.int64), np.zeros(b.num_rows + 1, int)),) * 2
             out = []
             for block in K.blocks(K.encoded(b.column(1))):
-                w = K.words(block, K.SOLID, K.CODES) if unit.words else None
+                w = K.words(block, K.SOLID) if unit.words else None
                 counts = w.counts if unit.words else block.end - block.begin
+                masks = []
                 for i, n in enumerate(counts.tolist()):
                     lo, hi = at[block.first + i], at[block.first + i + 1]
                     from_ = np.minimum(start[lo:hi], n)
                     to = np.minimum(start[lo:hi] + c[lo:hi] + unit.width - 1, n)
-                    mask = K.spans_cover(from_, to - from_, n) if hi > lo else np.zeros(n, bool)
-                    out.append((n, int(mask.sum()), len(K.runs_of(mask)[0]) if hi > lo else 0, _cut(unit, block, i, mask, w)))
+                    masks.append(K.spans_cover(from_, to - from_, n) if hi > lo else np.zeros(n, bool))
+                data, keep = _kept(unit, block, np.concatenate(masks), w)
+                for mask, x, y in zip(masks, block.begin.tolist(), block.end.tolist(), strict=True):
+                    out.append((len(mask), int(mask.sum()), len(K.runs_of(mask)[0]), hashlib.sha256(data[x:y][keep[x:y]].tobytes()).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.string())], ["doc", "n", "n_removed", "n_spans", "kept_sha256"])
 
