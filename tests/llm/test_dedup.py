@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup, graph, near_dedup, substring_dedup, suffix_dedup
+from weftgraph.llm import exact_dedup, graph, near_dedup, run_index, substring_dedup, suffix_dedup
 from weftgraph.llm.repeats import Unit
 from weftgraph.llm.run_index import RunIndex
 
@@ -279,3 +279,23 @@ def test_run_index_against_search():
         for i in range(12):
             want = [min(j for j in range(12) if texts[i][k : k + width] in texts[j]) for k in range(len(texts[i]) - width + 1)]
             assert least[first[i] : first[i] + len(want)].tolist() == want
+
+
+@pytest.mark.parametrize("symbols", [40, 120, 250])
+def test_suffixes_of_a_shard_are_sorted_as_single_words(monkeypatch, symbols):
+    """A shard's keys fit in one word with their positions, however many symbols there are, and the order is that of the suffixes."""
+    r = random.Random(symbols)
+    texts = [bytes(r.choices(range(1, symbols), k=80)) for _ in range(60)]
+    texts = [x[: r.randint(50, 80)] for _ in range(suffix_dedup.SHARD // 60) for x in texts]
+    room, seen, plain = [], [], run_index._sorted
+    monkeypatch.setattr(run_index, "_sorted", lambda key, bits: seen.append(bits) or room.append((len(key) - 1).bit_length()) or plain(key, bits))
+    index = RunIndex(texts, np.arange(len(texts)), 50)
+    assert all(x + y < 64 for x, y in zip(seen, room, strict=True))
+    asked = np.arange(0, len(texts), 97)
+    least, first = index.least_values(asked)
+    holders = {}
+    for i, x in enumerate(texts):
+        for j in range(len(x) - 49):
+            holders.setdefault(x[j : j + 50], i)
+    assert least.tolist() == [holders[texts[i][j : j + 50]] for i in asked for j in range(len(texts[i]) - 49)]
+    assert first.tolist() == [sum(len(texts[k]) - 49 for k in asked[:i]) for i in range(len(asked))]

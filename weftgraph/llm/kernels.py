@@ -172,7 +172,7 @@ def words(block: Block, solid: np.ndarray, codes: np.ndarray | None = None) -> W
         to = max(at + 1, int(np.searchsorted(end, begin[at] + PART)))
         low, high = int(begin[at]), int(end[to - 1])
         first = np.cumsum(end[at:to] - begin[at:to]) - (end[at:to] - begin[at:to])
-        hashes[at:to] = piece_hashes(codes[block.data[low:high][mask[low:high]]], first)
+        hashes[at:to] = piece_hashes(codes.take(block.data[low:high][mask[low:high]]), first)
         at = to
     return Words(begin, end, np.repeat(np.arange(len(block), dtype=np.int32), np.diff(bounds)), hashes, bounds)
 

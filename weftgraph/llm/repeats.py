@@ -45,7 +45,7 @@ class Unit:
         if self.words:
             w = K.words(block, K.SOLID, K.CODES)
             return w.hash, w.bounds[:-1], w.bounds[1:]
-        return K.CODES[block.data], block.begin, block.end
+        return K.CODES.take(block.data), block.begin, block.end
 
 
 WORDS20 = Unit(True, 20, 5, True)

@@ -27,7 +27,8 @@ def sorted_suffixes(text: np.ndarray, left: np.ndarray, width: int, most: int) -
     dense = np.zeros(257, np.uint64)
     held = np.unique(text)
     dense[held] = np.arange(len(held))
-    bits, depth, near = max(1, len(held) - 1).bit_length(), 7, None
+    bits, near = max(1, len(held) - 1).bit_length(), None
+    depth = max(4, min(7, (63 - max(1, n - 1).bit_length()) // bits))  # what one word holds beside the position
     key, symbols = np.zeros(n, np.uint64), dense[text]
     for i in range(depth):
         symbol = np.zeros(n, np.uint64)

@@ -31,8 +31,8 @@ from weftgraph.llm.bloom import members
 from weftgraph.llm.run_index import RunIndex
 from weftgraph.llm.storage import join_groups, materialize, release
 
-#: Most stretches of one anchor that meet in a shard, and stretches of a shard, about.
-GROUP, SHARD = 2000, 6000
+#: Most stretches of one anchor that meet in a shard, and stretches of a shard, about: few enough for the processor's cache.
+GROUP, SHARD = 2000, 2000
 #: About how many anchors one bucket of the count holds.
 BUCKET = 500_000
 _TEXT = "k long, q long, n long, doc long, start long, c int, p int, context binary"
