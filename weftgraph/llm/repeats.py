@@ -212,7 +212,8 @@ def shared_anchors(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
 
 def firsts(rows: DataFrame) -> DataFrame:
     """Each different stretch once: where it comes first, and in how many rows it occurs."""
-    return rows.groupBy("a", "s").agg(F.min("place").alias("place"), F.first("c").alias("c"), F.first("p").alias("p"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    same = [x for x in ("c", "p", "v") if x in rows.columns]
+    return rows.groupBy("a", "s").agg(F.min("place").alias("place"), *(F.first(x).alias(x) for x in same), F.count(F.lit(1)).alias("n"))
 
 
 def later(unit: Unit) -> F.Column:
@@ -229,6 +230,7 @@ def placed(docs: DataFrame, unit: Unit, known: DataFrame, n: int) -> DataFrame:
     """All rows of the ``known`` stretches (a, s, first_doc, first_start, n; ``n`` of them), with their first places."""
     plane = members(known.select(F.col("s").alias("h")), n)
     rows = stretch_rows(docs, unit, known=plane)
+    rows = rows if unit.words else rows.drop("v")  # no check of bytes
     size = known.agg(F.sum("n")).first()[0] or 0
     return join_groups(rows, known, ["a", "s"], "n", size)
 

@@ -166,7 +166,7 @@ def removed_strings(docs: DataFrame, unit: R.Unit = R.BYTES50, group: int = GROU
     buckets = max(64, 2 * size // (unit.width - unit.gram) // BUCKET)
     shared = materialize(R.shared_anchors(docs, unit, buckets), "anchors")
     rows = R.stretch_rows(docs, unit, anchors=(members(shared, shared.count()), buckets))
-    different = materialize(R.firsts(rows), "stretches")
+    different = materialize(R.firsts(rows.drop("v")), "stretches")
     release(shared)
     known = materialize(different.filter("n > 1").select("a", "s", *R.first_place(F.col("place")), "n"), "known")
     placed = R.placed(docs, unit, known, known.count()).filter("doc <> first_doc OR start <> first_start")
