@@ -53,6 +53,16 @@ def test_queries_store_what_they_read(spark):
     assert graph.walks.into.count() == graph.edges.count() and "edges/dst" in there()
 
 
+@pytest.mark.parametrize("query", ["resolve_calls", "stats_infra", "tool_graph_summary"])
+def test_queries_of_nodes_store_no_edges(spark, monkeypatch, query):
+    from weftgraph import queries
+
+    graph = StoredGraph(spark, SMALL)
+    monkeypatch.setattr(queries, "stored_graph", lambda *_: graph)
+    assert rows(QUERIES[query](spark, SMALL)) == by_sql(query)
+    assert not os.path.exists(f"{graph.root}/edges".removeprefix("file://"))
+
+
 @pytest.mark.parametrize("query", ["tool_analyze_impact", "service_cycles", "service_path", "topic_link", "incoming_neighbors"])
 def test_queries_of_edges_store_them_once(spark, monkeypatch, query):
     from weftgraph import queries
