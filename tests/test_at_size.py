@@ -43,6 +43,12 @@ def by_sql(query):
     return sorted(c.execute(ORACLES[query]).fetchall(), key=str)
 
 
+def test_neighbours(stored, none_is_few):
+    found = N.incoming(stored.nodes, stored.edges, "part:5")
+    assert sent(found) == 0
+    assert rows(found) == by_sql("incoming_neighbors")
+
+
 def test_queries_store_what_they_read(spark):
     graph = StoredGraph(spark, SMALL)
     there = lambda: {x for x in ("nodes", "edges/src", "edges/dst") if os.path.isdir(f"{graph.root}/{x}".removeprefix("file://"))}
