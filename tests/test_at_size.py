@@ -43,6 +43,12 @@ def by_sql(query):
     return sorted(c.execute(ORACLES[query]).fetchall(), key=str)
 
 
+def test_service_counts(stored, none_is_few):
+    found = topology.counts_by_service(stored.nodes, stored.edges)
+    assert sent(found) == 1  # the services
+    assert rows(found) == by_sql("service_counts")
+
+
 def test_neighbours(stored, none_is_few):
     found = N.incoming(stored.nodes, stored.edges, "part:5")
     assert sent(found) == 0
