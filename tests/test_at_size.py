@@ -49,6 +49,17 @@ def test_service_counts(stored, none_is_few):
     assert rows(found) == by_sql("service_counts")
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_drop_phantom_edges(spark, stored, monkeypatch, few):
+    monkeypatch.setattr(settle, "FEW", few)
+    found = N.drop_dangling(stored.nodes, stored.edges).select(F.col("id").alias("edge"), "kind", "src", "dst")
+    assert sent(found) == (0 if few == 0 else 2)
+    assert rows(found) == by_sql("drop_phantom_edges")
+    n = spark.createDataFrame([("a",), ("b",)], "id string")
+    e = spark.createDataFrame([("a", "b"), ("a", "x"), ("x", "b"), (None, "b"), ("a", None), ("a", "b")], "src string, dst string")
+    assert rows(N.drop_dangling(n, e)) == [("a", "b"), ("a", "b")]
+
+
 def test_neighbours(stored, none_is_few):
     found = N.incoming(stored.nodes, stored.edges, "part:5")
     assert sent(found) == 0
