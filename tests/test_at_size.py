@@ -49,6 +49,14 @@ def test_service_counts(stored, none_is_few):
     assert rows(found) == by_sql("service_counts")
 
 
+def test_snapshot_counters(stored, none_is_few):
+    found = linkers.phantom_counts(stored.nodes, stored.edges)
+    assert sent(found) == 0
+    # Edges that lie in buckets by source are counted there: what moves are ends, nodes and counts.
+    assert "hashpartitioning(src" not in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    assert rows(found) == by_sql("snapshot_counters")
+
+
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_drop_phantom_edges(spark, stored, monkeypatch, few):
     monkeypatch.setattr(settle, "FEW", few)
