@@ -68,6 +68,12 @@ def test_drop_phantom_edges(spark, stored, monkeypatch, few):
     assert rows(N.drop_dangling(n, e)) == [("a", "b"), ("a", "b")]
 
 
+def test_all_callers(spark, none_is_few):
+    found = QUERIES["all_callers"](spark, SMALL)
+    assert sent(found) == 0
+    assert rows(found) == by_sql("all_callers")
+
+
 def test_neighbours(stored, none_is_few):
     found = N.incoming(stored.nodes, stored.edges, "part:5")
     assert sent(found) == 0
