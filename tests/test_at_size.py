@@ -74,6 +74,12 @@ def test_all_callers(spark, none_is_few):
     assert rows(found) == by_sql("all_callers")
 
 
+def test_review_evidence(stored, none_is_few):
+    found = review.evidence_of_files(stored.nodes, stored.edges, stored.nodes.filter("kind = 'entity'").select(F.col("file_path").alias("path")))
+    assert sent(found) == 0
+    assert rows(found) == by_sql("review_evidence")
+
+
 def test_neighbours(stored, none_is_few):
     found = N.incoming(stored.nodes, stored.edges, "part:5")
     assert sent(found) == 0
