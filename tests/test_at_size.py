@@ -57,6 +57,14 @@ def test_snapshot_counters(stored, none_is_few):
     assert rows(found) == by_sql("snapshot_counters")
 
 
+def test_affected_services(stored, none_is_few):
+    near = traversal.blast_radius(stored.nodes, stored.walks, "order:1", 3)
+    assert sent(near) == 0
+    found = traversal.affected_services(stored.nodes, stored.edges, near)
+    assert sent(found) == 1  # the services
+    assert rows(found) == by_sql("affected_services")
+
+
 @pytest.mark.parametrize("few", [0, 100_000])
 def test_drop_phantom_edges(spark, stored, monkeypatch, few):
     monkeypatch.setattr(settle, "FEW", few)
