@@ -88,6 +88,12 @@ def test_review_evidence(stored, none_is_few):
     assert rows(found) == by_sql("review_evidence")
 
 
+def test_reach_of_services(stored, none_is_few):
+    found = traversal.reach_of_each(stored.nodes, stored.walks, stored.nodes.filter("kind = 'service'"), 2)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString().split("LeftOuter")[-1]
+    assert rows(found) == by_sql("reach_of_services")
+
+
 def test_neighbours(stored, none_is_few):
     found = N.incoming(stored.nodes, stored.edges, "part:5")
     assert sent(found) == 0
