@@ -100,6 +100,19 @@ def test_neighbours(stored, none_is_few):
     assert rows(found) == by_sql("incoming_neighbors")
 
 
+def test_cycles_write_what_can_lie_on_one(spark, tmp_path):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(300)]
+    tree = [(f"t{i}", f"t{2 * i + k}") for i in range(1, 200) for k in (0, 1)]
+    ring = [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r3", "t1"), ("r1", "r1"), ("r1", "r2")]
+    e = spark.createDataFrame(tree + chain[:4] + ring, "src string, dst string")
+    left = traversal._entered(e, 10)
+    # Nothing of the chain; of what the ring leads to all, which goes from the other end.
+    assert {tuple(r) for r in left.collect()} == {x for x in {*tree, *ring} if x[0] != x[1]}
+    assert {tuple(r) for r in traversal._entered(spark.createDataFrame(chain, "src string, dst string"), 400).collect()} == set()
+    found = spark.createDataFrame(tree + chain + ring, "src string, dst string")
+    assert [r["path"] for r in traversal.cycles(found, limit=None).collect()] == [["r1", "r2", "r3"]]
+
+
 def test_queries_store_what_they_read(spark):
     graph = StoredGraph(spark, SMALL)
     there = lambda: {x for x in ("nodes", "edges/src", "edges/dst") if os.path.isdir(f"{graph.root}/{x}".removeprefix("file://"))}
