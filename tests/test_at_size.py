@@ -152,3 +152,28 @@ def test_repeated_rows_of_tables(spark, tmp_path):
     for a, b in ((want[0], graph.nodes), (want[1], graph.edges), (want[1], graph.walks.into)):
         as_text = lambda d: rows(d.select(F.to_json(F.struct(*d.columns))))
         assert as_text(a) == as_text(b)
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """120 documents of one score, and some a little below it in the seventh decimal or less."""
+    place = str(tmp_path_factory.mktemp("alike"))
+    made = [(i, "the license " + "word " * 4) for i in range(1, 121)] + [(i, "other " * (i - 200)) for i in range(201, 230)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{place}/documents.parquet")
+    return place
+
+
+@pytest.mark.parametrize("query", ["indexed_bm25", "indexed_bm25_prefix", "bm25_search", "bm25_prefix"])
+def test_ties_of_scores_go_by_number(spark, alike, query):
+    found = [r["key"] for r in QUERIES[query](spark, alike).collect()]
+    assert found == list(range(1, 51))
+
+
+def test_scores_are_compared_rounded(spark, alike):
+    """Texts whose scores differ less than is shown: the smaller key comes first."""
+    long = 4_000_000
+    from weftgraph.operators import search
+
+    hit = spark.createDataFrame([("x", 1, 1, long), ("x", 2, 1, long - 1), ("y", 3, 1, 5)], "token string, key long, tf long, size int")
+    sizes = spark.createDataFrame([(3, float(long))], "n long, mean double")
+    assert [r["key"] for r in search.ranked(hit.filter("token = 'x'"), sizes, ["x"], digits=6).collect()] == [1, 2]
