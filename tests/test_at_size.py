@@ -177,3 +177,22 @@ def test_scores_are_compared_rounded(spark, alike):
     hit = spark.createDataFrame([("x", 1, 1, long), ("x", 2, 1, long - 1), ("y", 3, 1, 5)], "token string, key long, tf long, size int")
     sizes = spark.createDataFrame([(3, float(long))], "n long, mean double")
     assert [r["key"] for r in search.ranked(hit.filter("token = 'x'"), sizes, ["x"], digits=6).collect()] == [1, 2]
+
+
+def test_a_new_index_sends_no_keys(spark, stored, tmp_path):
+    """Keys of a first batch are dealt, whatever Spark thinks of their size."""
+    from weftgraph.sources.text_index import TextIndex
+
+    index = TextIndex(spark, str(tmp_path / "index"))
+    seen, put = [], index.tables.begin().__class__.put
+
+    def watched(self, table, buckets, found):
+        seen.append(sent(found))
+        put(self, table, buckets, found)
+
+    index.tables.begin().__class__.put = watched
+    try:
+        index.update(stored.nodes.select(F.col("id").alias("key"), F.col("label").alias("text")))
+    finally:
+        index.tables.begin().__class__.put = put
+    assert seen == [0] and index._note()["n"] == stored.nodes.count()
