@@ -196,3 +196,18 @@ def test_a_new_index_sends_no_keys(spark, stored, tmp_path):
     finally:
         index.tables.begin().__class__.put = put
     assert seen == [0] and index._note()["n"] == stored.nodes.count()
+
+
+def test_an_update_reads_texts_no_more_than_needed(spark, tmp_path):
+    """Sizes are written, not cut out of the texts once more."""
+    from weftgraph.sources.text_index import TextIndex
+
+    cut = spark.sparkContext.accumulator(0)
+
+    def seen(key):
+        cut.add(1)
+        return f"word{key}"
+
+    text = F.udf(seen, "string").asNondeterministic()
+    TextIndex(spark, str(tmp_path / "cut")).update(spark.range(40).select(F.col("id").cast("string").alias("key"), text("id").alias("text")).filter("text <> ''"))
+    assert cut.value <= 40 * 6  # a text is made anew in the filter too; without the written sizes 7 times
