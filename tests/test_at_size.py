@@ -198,6 +198,17 @@ def test_a_new_index_sends_no_keys(spark, stored, tmp_path):
     assert seen == [0] and index._note()["n"] == stored.nodes.count()
 
 
+def test_manifest_of_more_than_a_branch(spark, tmp_path):
+    """Its SQL gives null there; the whole tree's hash has a query of its own."""
+    e = spark.read.parquet(f"{SMALL}/events.parquet").limit(1).drop("user_id", "event_id").crossJoin(spark.range(5000).select(F.col("id").alias("user_id"), F.col("id").alias("event_id")))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(QUERIES["manifest_tree"](spark, str(tmp_path))) == c.execute(ORACLES["manifest_tree"]).fetchall() == [(None,)]
+    assert len(QUERIES["manifest_tree_all"](spark, str(tmp_path)).first()["manifest"]) == 64
+    assert rows(QUERIES["manifest_tree"](spark, SMALL)) == rows(QUERIES["manifest_tree_all"](spark, SMALL)) == by_sql("manifest_tree")
+
+
 def test_an_update_reads_texts_no_more_than_needed(spark, tmp_path):
     """Sizes are written, not cut out of the texts once more."""
     from weftgraph.sources.text_index import TextIndex
